@@ -64,13 +64,13 @@ def apply_roles(df: DataFrame, catalog: cat.Catalog | None = None) -> DataFrame:
 
 
 def columns_containing(df: DataFrame, value, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column) for every column that holds ``value`` somewhere.
+    """(column_name) for every column that holds ``value`` somewhere.
 
     One aggregate over all columns; the result has one row per column."""
     cols = list(cols or numeric_columns(df))
     flags = df.agg(*[F.max((F.col(c) == value).cast("int")).alias(c) for c in cols])
-    long = flags.unpivot([], cols, "column", "hit")
-    return long.where(F.col("hit") == 1).select("column")
+    long = flags.unpivot([], cols, "column_name", "hit")
+    return long.where(F.col("hit") == 1).select("column_name")
 
 
 def auto_recode_binary9(df: DataFrame, code: int = 9, to: int = 0,

@@ -70,8 +70,8 @@ def eq5d_index_sql(t: str, legacy: bool = False) -> str:
     above1 = " OR ".join(f"{d} > 1" for d in dims)
     const = f"{cat.EQ5D_CONSTANT}" if legacy else f"CASE WHEN {above1} THEN {cat.EQ5D_CONSTANT} ELSE 0.0 END"
     valid = " AND ".join(f"{d} IN (1, 2, 3)" for d in dims)
-    return (f"CASE WHEN {valid} THEN ROUND(1.0 - ({const} + {dec} + "
-            f"CASE WHEN {any3} THEN {cat.EQ5D_N3} ELSE 0.0 END), 6) END")
+    return (f"CASE WHEN {valid} THEN ROUND(CAST(1.0 - ({const} + {dec} + "
+            f"CASE WHEN {any3} THEN {cat.EQ5D_N3} ELSE 0.0 END) AS DOUBLE), 6) END")
 
 
 def r6(expr: str) -> str:
