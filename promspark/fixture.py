@@ -94,6 +94,13 @@ def prom_fixture(orders: DataFrame) -> DataFrame:
 
 
 def load_prom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every fixture column is a wide CASE expression that later projections
+    # inline many times (scores reference 12 items twice, etc.).  Constraint
+    # propagation over such plans costs tens of seconds of optimizer time for
+    # no benefit (there are no joins to infer filters for), so it is switched
+    # off for sessions that read the fixture.  Real PROM tables are plain
+    # parquet columns and do not need this.
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     return prom_fixture(spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["prep", "derive"]
+MODULES = ["prep", "derive", "profile"]
 
 
 def registry() -> dict:
