@@ -66,15 +66,18 @@ def one_hot(df: DataFrame, col: str, categories: Sequence[str], prefix: str | No
 def equal_width_bins(df: DataFrame, col: str, k: int = 10, name: str | None = None) -> DataFrame:
     """``pd.cut(x, k)`` semantics: right-closed bins of equal width over
     [min, max], the lowest edge widened so min falls in bin 1.  Bin numbers
-    1..k.  min/max come from one aggregate row, joined as a one-row table."""
+    1..k.  min/max come from one aggregate row and enter the plan as literals."""
     name = name or f"{col}_bin"
-    mm = df.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
+    mm = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    if mm["lo"] is None:
+        return df.withColumn(name, F.lit(None).cast("int"))
+    lo, hi = F.lit(mm["lo"]).cast("double"), F.lit(mm["hi"]).cast("double")
     x = F.col(col)
-    w = (F.col("__hi") - F.col("__lo")) / F.lit(k)
-    raw = F.ceil((x - F.col("__lo")) / w)
+    w = (hi - lo) / F.lit(k)
+    raw = F.ceil((x - lo) / w)
     b = F.when(x.isNull(), None).when(w == 0, F.lit(1)).otherwise(
         F.greatest(F.lit(1), F.least(F.lit(k), raw))).cast("int")
-    return df.crossJoin(mm).withColumn(name, b).drop("__lo", "__hi")
+    return df.withColumn(name, b)
 
 
 def quantile_edges(df: DataFrame, col: str, q: int = 10) -> list[float]:

@@ -28,7 +28,7 @@ def join_keys_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     tables produced by ``groupBy`` keep a null group)."""
     keys = list(keys)
     if not keys:
-        return left.crossJoin(right)
+        raise ValueError("join_keys_null_safe needs at least one key")
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = None
@@ -180,8 +180,8 @@ def count_pivot(df: DataFrame, row: str, col: str, values: Sequence) -> DataFram
 def crosstab_share(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of (a, b) and their share of the whole table."""
     counts = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    tot = df.agg(F.count(F.lit(1)).alias("__tot"))
-    return counts.crossJoin(tot).withColumn("share", _r6(F.col("n") / F.col("__tot"))).drop("__tot")
+    # the total is a window over the (small) cell table
+    return counts.withColumn("share", _r6(F.col("n") / F.sum("n").over(Window.partitionBy())))
 
 
 def outcome_by_missing(df: DataFrame, cols: Sequence[str], outcome: str) -> DataFrame:
@@ -217,25 +217,26 @@ def size_vs_outcome(df: DataFrame, by: str, outcome: str) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram counts over [min, max] (last bin closed)."""
-    mm = df.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
+    mm = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    lo = F.lit(mm["lo"]).cast("double")
+    w = (F.lit(mm["hi"]).cast("double") - lo) / F.lit(bins)
     x = F.col(col)
-    w = (F.col("__hi") - F.col("__lo")) / F.lit(bins)
-    b = F.when(w == 0, F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor((x - F.col("__lo")) / w)))
-    j = df.where(x.isNotNull()).crossJoin(mm).withColumn("bin", b.cast("int"))
-    return j.groupBy("bin").agg(F.count(F.lit(1)).alias("n"),
-                                _r6(F.first("__lo") + F.col("bin") * F.first(w)).alias("left_edge"))
+    b = F.when(w == 0, F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor((x - lo) / w)))
+    j = df.where(x.isNotNull()).withColumn("bin", b.cast("int"))
+    return j.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).withColumn("left_edge", _r6(lo + F.col("bin") * w))
 
 
 def binned_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """Square-grid density; empty cells are absent."""
-    mm = df.agg(F.min(x).alias("__xl"), F.max(x).alias("__xh"), F.min(y).alias("__yl"), F.max(y).alias("__yh"))
+    mm = df.agg(F.min(x).alias("xl"), F.max(x).alias("xh"), F.min(y).alias("yl"), F.max(y).alias("yh")).first()
 
     def idx(c, lo, hi):
-        w = (F.col(hi) - F.col(lo)) / F.lit(bins)
+        lo, hi = F.lit(mm[lo]).cast("double"), F.lit(mm[hi]).cast("double")
+        w = (hi - lo) / F.lit(bins)
         return F.when(w == 0, F.lit(0)).otherwise(
-            F.least(F.lit(bins - 1), F.floor((F.col(c) - F.col(lo)) / w))).cast("int")
-    j = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).crossJoin(mm)
-    return j.groupBy(idx(x, "__xl", "__xh").alias("xbin"), idx(y, "__yl", "__yh").alias("ybin")) \
+            F.least(F.lit(bins - 1), F.floor((F.col(c) - lo) / w))).cast("int")
+    j = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return j.groupBy(idx(x, "xl", "xh").alias("xbin"), idx(y, "yl", "yh").alias("ybin")) \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -244,6 +245,8 @@ def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     1.5 IQR, n and number of outliers per group.  Pass 1 = grouped exact
     quartiles over value counts; pass 2 joins the (small) per-group limits."""
     by = list(by)
+    if not by:
+        return box_stats(df.withColumn("__all", F.lit(1)), ["__all"], col).drop("__all")
     q = grouped_percentiles(df, by, col, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     lim = q.withColumns({"__lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                          "__hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})

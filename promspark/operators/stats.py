@@ -223,9 +223,10 @@ def chi2_scores(df: DataFrame, features: Sequence[str], label: str, with_p: bool
     total; df = classes - 1)."""
     per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"),
                                       *[F.sum(F.col(f).cast("double")).alias(f) for f in features])
-    tot = per_class.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"),
-                        *[F.sum(f).alias(f"{f}__tot") for f in features])
-    j = per_class.crossJoin(tot)
+    # totals over the (small) per-class table by a window, not a join
+    wall = Window.partitionBy()
+    j = per_class.select("*", F.sum("__nc").over(wall).alias("__n"), F.count(F.lit(1)).over(wall).alias("__k"),
+                         *[F.sum(f).over(wall).alias(f"{f}__tot") for f in features])
     aggs = []
     for f in features:
         exp = F.col("__nc") / F.col("__n") * F.col(f"{f}__tot")
@@ -311,3 +312,99 @@ def missing_vs_target(df: DataFrame, cols: Sequence[str], target: str, kind: str
     if with_p:
         res = bh_adjust(res, "p_value", alpha)
     return res
+
+
+# -- Kendall tau-b without pair enumeration --------------------------------------
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, max_grid: int = 5_000_000, with_p: bool = True) -> DataFrame:
+    """Kendall tau-b with tie correction, exact, for ordinal columns.
+
+    S = concordant - discordant = sum over cells (x, y) of n(x, y) * (L - G)
+    where L (G) counts observations with smaller x and smaller (larger) y.
+    L and G come from a level grid (distinct x levels x distinct y levels,
+    generated with ``sequence``, no join of row pairs): running sums down x
+    per y level, then along y per x level.  Cost: one shuffle of the rows to
+    the (x, y) count table, then windows over a grid bounded by the number
+    of distinct levels (checked against ``max_grid``).  The p-value is the
+    asymptotic normal one with the tie-corrected variance."""
+    xx, yy = F.col(x).cast("double"), F.col(y).cast("double")
+    cells = df.where(xx.isNotNull() & yy.isNotNull()).groupBy(xx.alias("x"), yy.alias("y")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    xl = cells.select("x").distinct()
+    yl = cells.select("y").distinct()
+    lv = xl.agg(F.count(F.lit(1)).alias("kx")).first()["kx"], yl.agg(F.count(F.lit(1)).alias("ky")).first()["ky"]
+    if lv[0] * lv[1] > max_grid:
+        raise ValueError(f"level grid {lv[0]} x {lv[1]} exceeds max_grid; bin the columns first")
+    yidx = yl.withColumn("yi", F.dense_rank().over(Window.orderBy("y")) - 1)
+    cells = cells.join(yidx, "y")
+    grid = xl.select("x", F.explode(F.sequence(F.lit(0), F.lit(lv[1] - 1))).alias("yi"))
+    g = grid.join(cells.select("x", "yi", "n"), ["x", "yi"], "left").fillna(0, subset=["n"])
+    below_x = Window.partitionBy("yi").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("c", F.coalesce(F.sum("n").over(below_x), F.lit(0)))
+    lower_y = Window.partitionBy("x").orderBy("yi").rowsBetween(Window.unboundedPreceding, -1)
+    upper_y = Window.partitionBy("x").orderBy("yi").rowsBetween(1, Window.unboundedFollowing)
+    g = g.withColumns({"L": F.coalesce(F.sum("c").over(lower_y), F.lit(0)),
+                       "G": F.coalesce(F.sum("c").over(upper_y), F.lit(0))})
+    s = g.agg(F.sum(F.col("n") * (F.col("L") - F.col("G"))).cast("double").alias("S"),
+              F.sum("n").cast("double").alias("n"))
+    tx = cells.groupBy("x").agg(F.sum("n").cast("double").alias("t"))
+    ty = cells.groupBy("y").agg(F.sum("n").cast("double").alias("t"))
+
+    def ties(d, p):
+        t = F.col("t")
+        return d.agg(F.sum(t * (t - 1) / 2).alias(f"{p}tie"), F.sum(t * (t - 1) * (t - 2)).alias(f"{p}0"),
+                     F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{p}1"))
+    srow, xrow, yrow = s.first(), ties(tx, "x").first(), ties(ty, "y").first()
+    n, S = srow["n"], srow["S"]
+    n0 = n * (n - 1) / 2
+    tau = S / ((n0 - xrow["xtie"]) * (n0 - yrow["ytie"])) ** 0.5 if n0 > max(xrow["xtie"], yrow["ytie"]) else None
+    m = n * (n - 1)
+    var = ((m * (2 * n + 5) - xrow["x1"] - yrow["y1"]) / 18 + (2 * xrow["xtie"] * yrow["ytie"]) / m
+           + xrow["x0"] * yrow["y0"] / (9 * m * (n - 2))) if n > 2 else None
+    z = S / var ** 0.5 if var else None
+    spark = df.sparkSession
+    out = spark.createDataFrame([(x, y, int(n), float(S), tau, z)],
+                                "x string, y string, n long, s double, tau_b double, z double")
+    out = out.withColumns({"tau_b": _r6(F.col("tau_b")), "z": _r6(F.col("z"))})
+    if with_p:
+        from ..functions.distributions import z_p_value
+        out = out.withColumn("p_value", z_p_value(F.col("z")))
+    return out
+
+
+# -- missingness patterns -----------------------------------------------------------
+
+def missing_patterns(df: DataFrame, cols: Sequence[str], top: int | None = 10) -> DataFrame:
+    """Rows grouped by their missingness mask (bit string over
+    ``cols``): size, share of missing cells in the mask, rank by size."""
+    mask = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in cols])
+    g = df.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+    nmiss = F.length(F.regexp_replace("mask", "0", ""))
+    g = g.withColumns({"n_missing_cols": nmiss.cast("int"),
+                       "missing_share": _r6(nmiss / F.lit(float(len(cols))))})
+    w = Window.orderBy(F.desc("n"), "mask")
+    g = g.withColumn("rank", F.row_number().over(w))
+    return g.where(F.col("rank") <= top) if top else g
+
+
+def pattern_clusters(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42) -> DataFrame:
+    """T22 (re-aimed from UMAP + DBSCAN): weighted k-means over the distinct
+    masks (weight = rows with that mask), so the clustering input is the
+    pattern table, not the rows; result per cluster: rows, masks, mean
+    missing share, and the most frequently missing columns."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    bits = df.groupBy(*[F.col(c).isNull().cast("double").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("w"))
+    vec = VectorAssembler(inputCols=list(cols), outputCol="features").transform(bits)
+    km = KMeans(k=k, seed=seed, weightCol="w", featuresCol="features").fit(vec)
+    pred = km.transform(vec)
+    agg = pred.groupBy("prediction").agg(
+        F.sum("w").alias("rows"), F.count(F.lit(1)).alias("masks"),
+        _r6(F.sum(F.col("w") * sum((F.col(c) for c in cols), F.lit(0.0)) / len(cols)) / F.sum("w")).alias("mean_missing_share"),
+        *[_r6(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in cols])
+    long = agg.unpivot(["prediction", "rows", "masks", "mean_missing_share"], list(cols), "column_name", "share")
+    w = Window.partitionBy("prediction").orderBy(F.desc("share"), "column_name")
+    top = long.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 10) \
+        .groupBy("prediction", "rows", "masks", "mean_missing_share") \
+        .agg(F.array_join(F.collect_list("column_name"), ",").alias("top_columns"))
+    return top.withColumnRenamed("prediction", "cluster")

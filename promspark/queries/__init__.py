@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["prep", "derive", "profile", "stats", "relate", "impute"]
+MODULES = ["prep", "derive", "profile", "stats", "relate", "impute", "model", "sources", "schema"]
 
 
 def registry() -> dict:

@@ -111,18 +111,21 @@ IND_COLS = T1 + ["t0_eq_vas", "t1_eq_vas", "t0_mobility", "t0_symptom_period", "
 
 
 def p09_indicators(spark, sf):
+    """Indicator columns for features above 2 % missing on train, applied to
+    the whole table; reported as (column_name, n_flagged)."""
     train = SP.random_split(cleaned(spark, sf), "record_id", 80).where(F.col("split") == "train")
     chosen = I.indicator_columns(train, IND_COLS, 2.0)
-    df = cleaned(spark, sf)
-    out = df.select("record_id", *[F.col(c).isNull().cast("int").alias(c + "_is_missing") for c in chosen])
-    return out.agg(*[F.sum(c + "_is_missing").alias(c + "_is_missing") for c in chosen]) if chosen else out
+    df = cleaned(spark, sf).select(*[F.col(c).isNull().cast("int").alias(c + "_is_missing") for c in chosen])
+    wide = df.agg(*[F.sum(c + "_is_missing").alias(c) for c in chosen])
+    return wide.unpivot([], chosen, "column_name", "n_flagged")
 
 
 def _p09_sql():
-    sel = " UNION ALL ".join(
-        f"SELECT '{c}' AS c FROM clean WHERE {HASH_SQL} % 100 < 80 HAVING COUNT(*) FILTER (WHERE {c} IS NULL) * 100.0 / COUNT(*) > 2.0"
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS n_flagged, "
+        f"COUNT(*) FILTER (WHERE {c} IS NULL AND {HASH_SQL} % 100 < 80) * 100.0 / COUNT(*) FILTER (WHERE {HASH_SQL} % 100 < 80) AS pct FROM clean"
         for c in IND_COLS)
-    return sel
+    return ctes() + f"SELECT column_name, n_flagged FROM ({parts}) WHERE pct > 2.0"
 
 
 def p12_replace_sentinel(spark, sf):
@@ -166,6 +169,7 @@ QUERIES = {
     "P14_imputation_check": (p14_check, _p14_sql()),
     "P05_standard_scaling": (p05_scaling, SQL_P05),
     "P12_replace_sentinel_stage": (p12_replace_sentinel, SQL_P12),
+    "P09_indicator_columns": (p09_indicators, _p09_sql()),
     "P13_donor_fill": (p13_donor_fill, SQL_P13),
     "P04_P11_prepared_variants": (p04_p11_mice, None),
 }

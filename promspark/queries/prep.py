@@ -275,3 +275,17 @@ QUERIES.update({
     "F17_profile_domain": (f17_profile_domain, SQL_F17),
     "F18_label_sort_key": (f18_label_sort, SQL_F18),
 })
+
+
+def _f19_sql():
+    steps = [cat.oks_items("t0"), cat.eq5d_dims("t0"), ["t0_symptom_period"], ["age_band", "gender"]]
+    cond = " AND ".join(all_not_null(s) for s in steps)
+    return ctes() + f"""SELECT procedure, COUNT(*) AS n, CAST(SUM(success) AS BIGINT) AS n_success FROM (
+  SELECT procedure, t1s,
+    CAST(COALESCE(t1s - t0s >= 6 OR t1s >= 26, FALSE) AS INTEGER) AS success FROM (
+    SELECT procedure, CAST(COALESCE(oks_t0_score, {' + '.join(T0)}) AS INTEGER) AS t0s,
+      CAST(CASE WHEN {any_null(T1)} THEN NULL ELSE COALESCE(oks_t1_score, {' + '.join(T1)}) END AS INTEGER) AS t1s
+    FROM clean WHERE {cond})) WHERE t1s IS NOT NULL GROUP BY procedure"""
+
+
+QUERIES["F19_valid_target_after_prepare"] = (f09_f19_analysis_rows, _f19_sql())

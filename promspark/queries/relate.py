@@ -57,8 +57,8 @@ SQL_J03 = ctes(scored_cte(),
 def j04_counts_shares(spark, sf):
     o = _t(spark, sf, "orders")
     counts = o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    shares = counts.crossJoin(o.agg(F.count(F.lit(1)).alias("__t"))) \
-        .select("o_orderpriority", F.round(F.col("n") / F.col("__t"), 6).alias("share"))
+    from pyspark.sql import Window
+    shares = counts.select("o_orderpriority", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
     return counts.join(shares, "o_orderpriority", "left")
 
 

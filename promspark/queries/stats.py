@@ -260,3 +260,54 @@ QUERIES = {
     "T20_T13_T14_fdr_report": (t20_fdr_report, None),
     "T21_near_zero_variance": (t21_nzv, SQL_T21),
 }
+
+
+# -- T03 Kendall, T22 patterns ---------------------------------------------------
+
+def t03_kendall(spark, sf):
+    return S.kendall_tau_b(cleaned(spark, sf), "t0_eq_vas", "oks_t0_score", with_p=False)
+
+
+def t03_kendall_p(spark, sf):
+    return S.kendall_tau_b(cleaned(spark, sf), "t0_eq_vas", "oks_t0_score", with_p=True)
+
+
+def _ties_sql(name, col):
+    return (f"{name} AS (SELECT SUM(t * (t - 1) / 2) AS tie, SUM(t * (t - 1) * (t - 2)) AS t0, "
+            f"SUM(t * (t - 1) * (2 * t + 5)) AS t1 FROM (SELECT CAST(SUM(n) AS DOUBLE) AS t FROM c GROUP BY {col}))")
+
+
+SQL_T03 = ctes("""c AS (SELECT CAST(t0_eq_vas AS DOUBLE) AS x, CAST(oks_t0_score AS DOUBLE) AS y, COUNT(*) AS n FROM clean
+  WHERE t0_eq_vas IS NOT NULL AND oks_t0_score IS NOT NULL GROUP BY 1, 2)""",
+               "s AS (SELECT CAST(SUM(a.n * b.n * sign(b.y - a.y)) AS DOUBLE) AS s FROM c a JOIN c b ON a.x < b.x)",
+               "tot AS (SELECT CAST(SUM(n) AS DOUBLE) AS n FROM c)", _ties_sql("tx", "x"), _ties_sql("ty", "y")) + \
+    f"""SELECT 't0_eq_vas' AS x, 'oks_t0_score' AS y, CAST(n AS BIGINT) AS n, s,
+  {r6('s / sqrt((n * (n - 1) / 2 - tx.tie) * (n * (n - 1) / 2 - ty.tie))')} AS tau_b,
+  {r6('s / sqrt((n * (n - 1) * (2 * n + 5) - tx.t1 - ty.t1) / 18 + (2 * tx.tie * ty.tie) / (n * (n - 1)) + tx.t0 * ty.t0 / (9 * n * (n - 1) * (n - 2)))')} AS z
+FROM s, tot, tx, ty"""
+
+PATTERN_COLS = MISS_COLS
+
+
+def t22_patterns(spark, sf):
+    return S.missing_patterns(cleaned(spark, sf), PATTERN_COLS, top=10)
+
+
+SQL_T22 = ctes() + f"""SELECT * FROM (SELECT mask, n, n_missing_cols, missing_share,
+  CAST(row_number() OVER (ORDER BY n DESC, mask) AS INTEGER) AS rank FROM (
+  SELECT mask, COUNT(*) AS n, CAST(length(replace(mask, '0', '')) AS INTEGER) AS n_missing_cols,
+    {r6(f"length(replace(mask, '0', '')) / {float(len(MISS_COLS))}")} AS missing_share
+  FROM (SELECT {' || '.join(f'CAST(CAST({c} IS NULL AS INTEGER) AS VARCHAR)' for c in MISS_COLS)} AS mask FROM clean)
+  GROUP BY mask)) WHERE rank <= 10"""
+
+
+def t22_clusters(spark, sf):
+    return S.pattern_clusters(cleaned(spark, sf), PATTERN_COLS, k=4)
+
+
+QUERIES.update({
+    "T03_kendall_tau_b": (t03_kendall, SQL_T03),
+    "T03_kendall_with_p": (t03_kendall_p, None),
+    "T22_missingness_patterns": (t22_patterns, SQL_T22),
+    "T22_pattern_clusters": (t22_clusters, None),
+})
