@@ -30,6 +30,8 @@ def code_table(df: DataFrame, col: str, order: Sequence[str] | None = None,
         return spark.createDataFrame([(str(v), i + start) for i, v in enumerate(order)],
                                      f"{col} string, {col}_code int")
     labels = df.select(F.col(col).cast("string").alias(col)).where(F.col(col).isNotNull()).distinct()
+    # one window over the distinct labels of a categorical column (bounded
+    # by its cardinality, not by rows)
     w = Window.orderBy(col)
     return labels.select(col, (F.dense_rank().over(w) + (start - 1)).cast("int").alias(f"{col}_code"))
 

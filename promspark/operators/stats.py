@@ -29,21 +29,61 @@ def _explode_rows(wide: DataFrame, rows: list[Column]) -> DataFrame:
 
 # -- ranks ---------------------------------------------------------------------
 
-def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+def running_before(counts: DataFrame, value: str, weight: str, by: Sequence[str] = (),
+                   buckets: int = 64) -> DataFrame:
+    """Sum of ``weight`` over all rows of the same ``by`` group with a
+    smaller ``value`` -> column ``__before``.
+
+    A plain running-sum window would hold a group's whole value table in one
+    task.  Instead values are cut into ``buckets`` ranges at approximate
+    quantiles of the group (approximation only affects balance, not the
+    result); bucket totals get a running sum over a (group x bucket) table,
+    and the exact running sum runs inside each (group, bucket)."""
+    by = list(by)
+    probs = [i / buckets for i in range(1, buckets)]
+    q = F.percentile_approx(F.col(value), probs, 1000)
+    if by:
+        bounds = counts.groupBy(*by).agg(q.alias("__q"))
+        c = counts.join(bounds, by, "left")
+        qcol = F.col("__q")
+    else:
+        edges = counts.agg(q.alias("q")).first()["q"] or []
+        c = counts
+        qcol = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
+    c = c.withColumn("__bk", F.size(F.filter(qcol, lambda e: e < F.col(value))))
+    if by:
+        c = c.drop("__q")
+    totals = c.groupBy(*by, "__bk").agg(F.sum(weight).alias("__bt"))
+    wb = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "__bk", F.coalesce(F.sum("__bt").over(wb), F.lit(0)).alias("__off"))
+    c = c.join(offsets, [*by, "__bk"], "left")
+    wv = Window.partitionBy(*by, "__bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("__before", F.col("__off") + F.coalesce(F.sum(weight).over(wv), F.lit(0)))
+    return c.drop("__bk", "__off")
+
+
+def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
+               buckets: int = 64) -> DataFrame:
     """Average rank (ties get the mean of their positions) per distinct
-    value within ``by`` groups: (by..., value, rank).  The running sum runs
-    over the distinct-value table of each group, not over rows."""
+    value within ``by`` groups: (by..., value, rank).  Runs over the
+    distinct-value count table, never over rows (see ``running_before``)."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("__c").over(w), F.lit(0))
-    return counts.select(*by, value, (before + (F.col("__c") + 1) / 2.0).alias(name))
+    c = running_before(counts, value, "__c", by, buckets)
+    return c.select(*by, value, (F.col("__before") + (F.col("__c") + 1) / 2.0).alias(name))
 
 
 def with_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "__rank") -> DataFrame:
-    """Append average-rank columns for each column (rank tables joined back)."""
+    """Append average-rank columns for each column.  One unpivot + one rank
+    table for all columns (distinct values only); each column joins its
+    slice back by equi-join (the slices share one exchange)."""
+    cols = list(cols)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]) \
+        .unpivot([], cols, "__col", "__v").where(F.col("__v").isNotNull())
+    ranks = rank_table(long, "__v", ["__col"], "__r")
     out = df
     for c in cols:
-        out = out.join(rank_table(df.where(F.col(c).isNotNull()), c, name=c + suffix), c, "left")
+        r = ranks.where(F.col("__col") == c).select(F.col("__v").alias(f"__k_{c}"), F.col("__r").alias(c + suffix))
+        out = out.join(r, F.col(c).cast("double") == F.col(f"__k_{c}"), "left").drop(f"__k_{c}")
     return out
 
 
