@@ -76,11 +76,19 @@ def columns_containing(df: DataFrame, value, cols: Sequence[str] | None = None)
 def auto_recode_binary9(df: DataFrame, code: int = 9, to: int = 0,
                         cols: Sequence[str] | None = None) -> DataFrame:
     """where a column has exactly two distinct values and one is ``code``,
-    ``code`` becomes ``to``.  The decision row has two values per column."""
+    ``code`` becomes ``to``.
+
+    "Exactly two distinct values" is min != max and no value other than min
+    or max, so one pass of plain min/max/count_if decides it for every column
+    (no distinct aggregation, which would expand each row once per column).
+    The decision row has three numbers per column."""
     cols = list(cols or numeric_columns(df))
-    stats = df.agg(*[F.count_distinct(c).alias(f"{c}__nd") for c in cols],
-                   *[F.max((F.col(c) == code).cast("int")).alias(f"{c}__has") for c in cols]).first()
-    chosen = {c for c in cols if stats[f"{c}__nd"] == 2 and stats[f"{c}__has"] == 1}
+    mm = df.agg(*[F.min(c).alias(f"{c}__lo") for c in cols], *[F.max(c).alias(f"{c}__hi") for c in cols]).first()
+    third = df.agg(*[F.count_if((F.col(c) != F.lit(mm[f"{c}__lo"])) & (F.col(c) != F.lit(mm[f"{c}__hi"])))
+                     .alias(c) for c in cols if mm[f"{c}__lo"] is not None]).first()
+    chosen = {c for c in cols
+              if mm[f"{c}__lo"] is not None and mm[f"{c}__lo"] != mm[f"{c}__hi"] and third[c] == 0
+              and code in (mm[f"{c}__lo"], mm[f"{c}__hi"])}
     return df.select(*[
         F.when(F.col(c) == code, F.lit(to)).otherwise(F.col(c)).alias(c) if c in chosen else F.col(c)
         for c in df.columns])

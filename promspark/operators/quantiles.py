@@ -42,11 +42,13 @@ def _ranks_needed(n: int, probs: Sequence[float]) -> dict[float, tuple[int, int,
 def _select_ranks(df: DataFrame, col: str, ranks: list[int], lo: float, hi: float,
                   bins: int, max_distinct: int, depth: int = 0) -> dict[int, float]:
     """Values at 0-based ``ranks`` among rows with lo <= x <= hi (ranks are
-    relative to that slice)."""
+    relative to that slice).  Three jobs per level whatever the number of
+    ranks: histogram, distinct-value count of the needed bins, and the
+    (value, count) rows of the bins small enough to read."""
     x = F.col(col)
-    sl = df.where((x >= lo) & (x <= hi))
     if hi <= lo:
         return {r: lo for r in ranks}
+    sl = df.where((x >= lo) & (x <= hi))
     width = (hi - lo) / bins
     b = F.least(F.lit(bins - 1), F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"))
     hist = sorted((r["b"], r["n"]) for r in
@@ -57,50 +59,58 @@ def _select_ranks(df: DataFrame, col: str, ranks: list[int], lo: float, hi: floa
         cum += n
     want: dict[int, list[tuple[int, int]]] = {}
     for r in ranks:
-        for bi, (s, n) in starts.items():
-            if s <= r < s + n:
-                want.setdefault(bi, []).append((r, r - s))
+        for bi, (s0, n) in starts.items():
+            if s0 <= r < s0 + n:
+                want.setdefault(bi, []).append((r, r - s0))
                 break
+    needed = sl.where(b.isin(list(want))).groupBy(b.alias("b"), x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ndist = {r["b"]: r["nd"] for r in needed.groupBy("b").agg(F.count(F.lit(1)).alias("nd")).collect()}
+    small = [bi for bi in want if ndist.get(bi, 0) <= max_distinct or depth >= 8]
+    rows: dict[int, list[tuple[float, int]]] = {}
+    if small:
+        for r in needed.where(F.col("b").isin(small)).collect():
+            rows.setdefault(r["b"], []).append((r["v"], r["n"]))
     out: dict[int, float] = {}
     for bi, pairs in want.items():
-        blo = lo + bi * width
-        bhi = hi if bi == bins - 1 else lo + (bi + 1) * width
-        in_bin = sl.where(b == bi)
-        counts = in_bin.groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        nd = counts.count()
-        if nd > max_distinct and depth < 8:
-            # refine this bin on its own range (boundary rows belong to the
-            # bin by the floor rule, so use a half-open slice)
-            sub = sl.where(b == bi)
-            vals = _select_ranks(sub, col, [rr for _, rr in pairs], blo, bhi, bins,
-                                 max_distinct, depth + 1)
+        if bi in rows:
+            vals = sorted(rows[bi])
             for r, rr in pairs:
-                out[r] = vals[rr]
-            continue
-        rows = sorted((r["v"], r["n"]) for r in counts.collect())
-        for r, rr in pairs:
-            acc = 0
-            for v, n in rows:
-                acc += n
-                if rr < acc:
-                    out[r] = float(v)
-                    break
+                acc = 0
+                for v, n in vals:
+                    acc += n
+                    if rr < acc:
+                        out[r] = float(v)
+                        break
+        else:
+            # too many distinct values in this bin: refine on its own range
+            blo = lo + bi * width
+            bhi = hi if bi == bins - 1 else lo + (bi + 1) * width
+            sub = _select_ranks(sl.where(b == bi), col, [rr for _, rr in pairs], blo, bhi, bins,
+                                max_distinct, depth + 1)
+            for r, rr in pairs:
+                out[r] = sub[rr]
     return out
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 4096,
                     max_distinct: int = 200_000) -> dict[float, float | None]:
-    """Exact linear-interpolated quantiles of a numeric column (nulls ignored)."""
+    """Exact linear-interpolated quantiles of a numeric column (nulls ignored).
+
+    The one-column projection is persisted for the few passes (spilling to
+    disk if needed) so the upstream plan runs once."""
     x = F.col(col)
-    base = df.select(x.cast("double").alias(col)).where(x.isNotNull() & ~F.isnan(x.cast("double")))
-    st = base.agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    n = st["n"]
-    if not n:
-        return {p: None for p in probs}
-    need = _ranks_needed(n, probs)
-    ranks = sorted({r for lo, hi, _ in need.values() for r in (lo, hi)})
-    vals = _select_ranks(base, col, ranks, float(st["lo"]), float(st["hi"]), bins, max_distinct)
-    return {p: vals[lo] + f * (vals[hi] - vals[lo]) for p, (lo, hi, f) in need.items()}
+    base = df.select(x.cast("double").alias(col)).where(x.isNotNull() & ~F.isnan(x.cast("double"))).persist()
+    try:
+        st = base.agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+        n = st["n"]
+        if not n:
+            return {p: None for p in probs}
+        need = _ranks_needed(n, probs)
+        ranks = sorted({r for lo, hi, _ in need.values() for r in (lo, hi)})
+        vals = _select_ranks(base, col, ranks, float(st["lo"]), float(st["hi"]), bins, max_distinct)
+        return {p: vals[lo] + f * (vals[hi] - vals[lo]) for p, (lo, hi, f) in need.items()}
+    finally:
+        base.unpersist()
 
 
 def grouped_percentiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float],

@@ -36,15 +36,16 @@ def folds(df: DataFrame, k: int = 5, key: str = "record_id", repeat: int = 0,
 
 
 def stratified_split(df: DataFrame, strata: Sequence[str], key: str = "record_id",
-                     train_share: float = 0.7, col: str = "split", buckets: int = 4096) -> DataFrame:
+                     train_share: float = 0.7, col: str = "split", buckets: int = 65536) -> DataFrame:
     """Exactly floor(train_share * n_s) rows of each stratum s go to
     train, chosen by ascending (key hash, key).
 
     Equivalent to ``row_number() over (partition by stratum order by hash)
     <= share * n`` but without sorting a whole stratum in one task: rows are
-    bucketed by the top bits of the hash; a (stratum, bucket) count table
+    bucketed by the top 16 bits of the hash; a (stratum, bucket) count table
     (bounded by strata x buckets) locates the boundary bucket of every
-    stratum; only rows of that one bucket are ranked by a window."""
+    stratum; only rows of that one bucket (1/65536 of the stratum) are
+    ranked by a window."""
     strata = list(strata)
     h = key_hash(key)
     b = (h * buckets / F.lit(2 ** 32)).cast("int")

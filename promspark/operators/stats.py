@@ -79,7 +79,12 @@ def with_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "__rank") -> Da
     cols = list(cols)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]) \
         .unpivot([], cols, "__col", "__v").where(F.col("__v").isNotNull())
-    ranks = rank_table(long, "__v", ["__col"], "__r")
+    # the rank table (distinct values only) is materialised once in the
+    # shared checkpoint folder; otherwise each column's filtered slice would
+    # be pushed down and rebuild it
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession, allow_local=True)
+    ranks = rank_table(long, "__v", ["__col"], "__r").checkpoint(eager=True)
     out = df
     for c in cols:
         r = ranks.where(F.col("__col") == c).select(F.col("__v").alias(f"__k_{c}"), F.col("__r").alias(c + suffix))

@@ -163,7 +163,7 @@ def p04_p11_mice(spark, sf):
 
 
 QUERIES = {
-    "P07_A25_split_summary": (p07_a25_split_summary, SQL_P07),
+    "P07_W04_A25_split_summary": (p07_a25_split_summary, SQL_P07),
     "P08_stratified_split": (p08_stratified, SQL_P08),
     "P01_P02_P03_median_mode_fill": (p01_p02_median_mode, _p01_sql()),
     "P14_imputation_check": (p14_check, _p14_sql()),

@@ -49,10 +49,10 @@ def model_frame(spark, sf):
 
 def _one_feature(spark, sf):
     d = scored(spark, sf).where(F.col(TARGET).isNotNull())
-    d = SP.random_split(d, "record_id", 80)
+    d = SP.random_split(d, "record_id", 80).persist()
     model = M.fit_pipeline(d.where(F.col("split") == "train"), M.regressors()["linear"](), ["oks_t0_score"], [], TARGET)
     pred = model.transform(d.where(F.col("split") == "test"))
-    return pred
+    return pred, d
 
 
 ONE_CTE = SPLIT_CTE + f""",
@@ -62,7 +62,8 @@ pred AS (SELECT sp.*, a + b * oks_t0_score AS prediction FROM sp, coef WHERE spl
 
 
 def m01_m18_linear_one(spark, sf):
-    return E.regression_metrics(_one_feature(spark, sf), TARGET, "prediction")
+    pred, d = _one_feature(spark, sf)
+    return _finish(E.regression_metrics(pred, TARGET, "prediction"), d)
 
 
 SQL_M01 = ctes(ONE_CTE) + f"""SELECT COUNT(*) AS n, {r6('AVG(abs(oks_t1_score - prediction))')} AS mae,
@@ -79,7 +80,8 @@ def _pred_success(pred):
 
 
 def m19_confusion(spark, sf):
-    return E.confusion(_pred_success(_one_feature(spark, sf)), "actual", "predicted")
+    pred, d = _one_feature(spark, sf)
+    return _finish(E.confusion(_pred_success(pred), "actual", "predicted"), d)
 
 
 PS_CTE = ONE_CTE + """,
@@ -91,7 +93,8 @@ FROM ps GROUP BY actual, predicted"""
 
 
 def m22_accuracy(spark, sf):
-    return E.accuracy(_pred_success(_one_feature(spark, sf)), "actual", "predicted")
+    pred, d = _one_feature(spark, sf)
+    return _finish(E.accuracy(_pred_success(pred), "actual", "predicted"), d)
 
 
 SQL_M22 = ctes(PS_CTE) + f"SELECT {r6('AVG(CAST(actual = predicted AS DOUBLE))')} AS accuracy FROM ps"
@@ -127,7 +130,8 @@ SQL_M20_AUC = ctes(CURVE_CTE, f"pts AS (SELECT threshold, {r6('tp / P')} AS tpr,
 
 
 def m25_residuals(spark, sf):
-    return E.residual_summary(_one_feature(spark, sf), TARGET, "prediction", 10)
+    pred, d = _one_feature(spark, sf)
+    return _finish(E.residual_summary(pred, TARGET, "prediction", 10), d)
 
 
 SQL_M25 = ctes(ONE_CTE, """r AS (SELECT CAST(oks_t1_score - prediction AS DOUBLE) AS residual FROM pred),
@@ -255,6 +259,23 @@ def m24_m26_m27_m28_explain(spark, sf):
     return _finish(imp.join(top, "feature", "full").withColumn("representative_prediction", F.lit(rep_pred)), d)
 
 
+def m14_boosting_inverse_seeds(spark, sf):
+    """Boosted classifier on the inverse target (predicting failure),
+    five seeds to show the spread of test AUC."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+    d = model_frame(spark, sf).withColumn("label", F.lit(1.0) - F.col("label")).persist()
+    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    rows = None
+    for seed in (0, 1, 2, 3, 4):
+        est = GBTClassifier(maxIter=50, maxDepth=4, subsamplingRate=0.8, seed=seed)
+        pred = M.fit_pipeline(train, est, NUMERIC, CATEGORICAL, "label").transform(test)
+        pred = pred.withColumn("score", F.get(vector_to_array("probability"), 1))
+        a = E.auc(pred, "label", "score", digits=4).withColumn("seed", F.lit(seed))
+        rows = a if rows is None else rows.unionByName(a)
+    return _finish(rows, d)
+
+
 QUERIES = {
     "M01_M18_linear_one_feature": (m01_m18_linear_one, SQL_M01),
     "M19_confusion_matrix": (m19_confusion, SQL_M19),
@@ -268,5 +289,6 @@ QUERIES = {
     "M05_M06_forest_boosting": (m05_m06_forest_boosting, None),
     "M08_M15_logistic_grid_cv": (m08_m15_logistic_grid, None),
     "M09_M10_M11_M12_M13_M14_classifiers": (m09_m14_classifiers, None),
+    "M14_boosting_inverse_five_seeds": (m14_boosting_inverse_seeds, None),
     "M24_M26_M27_M28_explain_and_persist": (m24_m26_m27_m28_explain, None),
 }

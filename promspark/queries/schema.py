@@ -135,7 +135,7 @@ QUERIES = {
     "C06_type_census": (c06_type_census, None),
     "C07_smallest_types": (c07_smallest_types, SQL_C07),
     "C08_C09_C10_coerce_tag_key": (c08_c09_c10_coerce_tag_key, SQL_C08),
-    "C11_C12_C13_C14_projection": (c11_c12_c13_c14_projection, _c11_sql()),
+    "C11_C12_C13_C14_P10_projection": (c11_c12_c13_c14_projection, _c11_sql()),
     "C15_align_columns": (c15_align, SQL_C15),
     "C16_column_families": (c16_families, None),
     "C17_cast_to_string": (c17_strings, SQL_C17),

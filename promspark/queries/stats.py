@@ -240,7 +240,7 @@ QUERIES = {
     "T02_T18_D22_spearman_with_p": (t02_t18_spearman_p, None),
     "T04_spearman_matrix": (t04_spearman_matrix, ctes(scored_cte(), _matrix_sql("scored", T0, True)[0]) + _matrix_sql("scored", T0, True)[1]),
     "T05_pearson_matrix": (t05_pearson_matrix, ctes(_matrix_sql("clean", PEARSON_COLS, False)[0]) + _matrix_sql("clean", PEARSON_COLS, False)[1]),
-    "T06_missingness_strong_pairs": (t06_strong_pairs, ctes(_MISS_CTE, _matrix_sql("mi", MISS_FLAGS, False)[0], "mm AS (" + _matrix_sql("mi", MISS_FLAGS, False)[1] + ")") + "SELECT * FROM mm WHERE abs(r) > 0.3"),
+    "T06_W05_missingness_strong_pairs": (t06_strong_pairs, ctes(_MISS_CTE, _matrix_sql("mi", MISS_FLAGS, False)[0], "mm AS (" + _matrix_sql("mi", MISS_FLAGS, False)[1] + ")") + "SELECT * FROM mm WHERE abs(r) > 0.3"),
     "T07_matrix_summary": (t07_matrix_summary, ctes(_MISS_CTE, _matrix_sql("mi", MISS_FLAGS, False)[0], "mm AS (" + _matrix_sql("mi", MISS_FLAGS, False)[1] + ")") +
         f"""SELECT COUNT(r) AS n_pairs, COUNT(*) FILTER (WHERE r > 0.3) AS n_strong_pos, COUNT(*) FILTER (WHERE r < -0.3) AS n_strong_neg,
   {r6('AVG(r)')} AS mean_r, {r6('AVG(abs(r))')} AS mean_abs_r FROM mm"""),
@@ -311,3 +311,16 @@ QUERIES.update({
     "T22_missingness_patterns": (t22_patterns, SQL_T22),
     "T22_pattern_clusters": (t22_clusters, None),
 })
+
+
+def d22_strength(spark, sf):
+    r = S.spearman(scored(spark, sf), FEATURES, OUTCOME, with_p=False)
+    from ..functions.scores import strength_label
+    return r.select("feature", "r", strength_label("r").alias("strength"))
+
+
+SQL_D22 = ctes(scored_cte()) + f"""SELECT feature, r, CASE WHEN abs(r) >= 0.7 THEN 'Strong' WHEN abs(r) >= 0.4 THEN 'Moderate'
+  WHEN abs(r) >= 0.2 THEN 'Weak' WHEN r IS NOT NULL THEN 'Negligible' END AS strength
+FROM ({_spearman_sql('scored', FEATURES, OUTCOME)})"""
+
+QUERIES["D22_strength_labels"] = (d22_strength, SQL_D22)
