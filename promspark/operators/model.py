@@ -107,7 +107,6 @@ def importances(model: PipelineModel, names: Sequence[str], k: int | None = None
     else:
         vals = [abs(v) for v in last.coefficients.toArray().tolist()]
         kind = "abs_coefficient"
-    spark = model.stages[0].__class__  # noqa: F841 (keeps type checkers quiet)
     from pyspark.sql import SparkSession
     s = SparkSession.getActiveSession()
     df = s.createDataFrame([(n, float(v), kind) for n, v in zip(names, vals)], "feature string, value double, kind string")

@@ -248,8 +248,9 @@ GROUP BY 1"""
 def f18_label_sort(spark, sf):
     df = cleaned(spark, sf).select("age_band").where(F.col("age_band").isNotNull()).distinct()
     k = recode.label_sort_key("age_band")
+    from pyspark.sql import Window
     return df.select("age_band", k[0].alias("lo"), k[1].alias("hi"),
-                     F.dense_rank().over(__import__("pyspark.sql").sql.Window.orderBy(k[0], k[1])).alias("position"))
+                     F.dense_rank().over(Window.orderBy(k[0], k[1])).alias("position"))
 
 
 SQL_F18 = ctes() + """SELECT age_band, lo, hi, CAST(dense_rank() OVER (ORDER BY lo, hi) AS INTEGER) AS position FROM (

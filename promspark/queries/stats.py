@@ -256,7 +256,7 @@ QUERIES = {
         f"h AS ({_spearman_sql('scored', FEATURES, OUTCOME, where=chr(32) + 'WHERE procedure = ' + chr(39) + 'Hip Replacement' + chr(39))})") +
         f"""SELECT COUNT(*) AS shared_features, {r6('corr(k.r, h.r)')} AS agreement_r, {r6('regr_slope(h.r, k.r)')} AS slope,
   {r6('regr_intercept(h.r, k.r)')} AS intercept FROM k JOIN h ON k.feature = h.feature"""),
-    "T20_missing_vs_target": (t20_missing_vs_target, None),
+    "T20_missing_vs_target": (t20_missing_vs_target, None),  # oracle set below
     "T20_T13_T14_fdr_report": (t20_fdr_report, None),
     "T21_near_zero_variance": (t21_nzv, SQL_T21),
 }
@@ -324,3 +324,15 @@ SQL_D22 = ctes(scored_cte()) + f"""SELECT feature, r, CASE WHEN abs(r) >= 0.7 TH
 FROM ({_spearman_sql('scored', FEATURES, OUTCOME)})"""
 
 QUERIES["D22_strength_labels"] = (d22_strength, SQL_D22)
+
+
+def _t20_sql():
+    cols = MISS_COLS[:-2]
+    flags_cte = "mv AS (SELECT oks_t0_score, " + ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}" for c in cols) + " FROM clean)"
+    inner = _welch_sql("mv", cols, "oks_t0_score")
+    return ctes(flags_cte) + f"""SELECT feature, n_present AS missing_count, n_absent AS present_count,
+  mean_present AS target_mean_missing, mean_absent AS target_mean_present, difference, t, df, cohens_d
+FROM ({inner}) WHERE n_present >= 10 AND n_absent > 0"""
+
+
+QUERIES["T20_missing_vs_target"] = (t20_missing_vs_target, _t20_sql())
