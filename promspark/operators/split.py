@@ -7,6 +7,7 @@ different layout gives the same split.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,7 +56,8 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: str = "record_id
     wt = Window.partitionBy(*strata)
     bounds = counts.select(*strata, "__b", "__c",
                            F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__before"),
-                           F.floor(F.sum("__c").over(wt) * F.lit(train_share)).alias("__k"))
+                           # exact decimal share: floor(90 * 0.7) must be 63, not 62.999...
+                           F.floor(F.sum("__c").over(wt) * F.lit(Decimal(str(train_share)))).alias("__k"))
     # per row: bucket fully inside (train), fully outside (test) or boundary
     j = join_keys_null_safe(x, bounds, [*strata, "__b"], "left")
     need = F.col("__k") - F.col("__before")

@@ -63,11 +63,13 @@ def running_before(counts: DataFrame, value: str, weight: str, by: Sequence[str]
 
 
 def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
-               buckets: int = 64) -> DataFrame:
+               buckets: int = 64, weight: str | None = None) -> DataFrame:
     """Average rank (ties get the mean of their positions) per distinct
     value within ``by`` groups: (by..., value, rank).  Runs over the
-    distinct-value count table, never over rows (see ``running_before``)."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    distinct-value count table, never over rows (see ``running_before``).
+    ``weight`` = a count column when ``df`` is already a count table."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.groupBy(*by, value).agg(n.alias("__c"))
     c = running_before(counts, value, "__c", by, buckets)
     return c.select(*by, value, (F.col("__before") + (F.col("__c") + 1) / 2.0).alias(name))
 
@@ -128,12 +130,28 @@ def _with_corr_p(out: DataFrame, with_p: bool) -> DataFrame:
 def spearman(df: DataFrame, features: Sequence[str], outcome: str, min_n: int = 30,
              with_p: bool = True) -> DataFrame:
     """Spearman rho per feature vs outcome, ranks computed on each
-    feature's pairwise-complete rows; features with n < min_n are left out."""
+    feature's pairwise-complete rows; features with n < min_n are left out.
+
+    Base rows are read once, into a (feature, x, y) count table (checkpointed:
+    it feeds both rank tables and the final sums).  Ranks come from weighted
+    running sums over it, and rho is the count-weighted Pearson correlation
+    of the ranks over its cells — equal to Pearson over rows, because every
+    row of a cell has the same pair of ranks."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession, allow_local=True)
     long = _feature_long(df, features, outcome)
-    rx = rank_table(long, "x", ["feature"], "rx")
-    ry = rank_table(long, "y", ["feature"], "ry")
-    ranked = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
-    out = ranked.groupBy("feature").agg(F.corr("rx", "ry").alias("r"), F.count(F.lit(1)).alias("n"))
+    cells = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    rx = rank_table(cells, "x", ["feature"], "rx", weight="n")
+    ry = rank_table(cells, "y", ["feature"], "ry", weight="n")
+    c = cells.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
+    n, a, b = F.col("n").cast("double"), F.col("rx"), F.col("ry")
+    sums = c.groupBy("feature").agg(F.sum(n).alias("s"), F.sum(n * a).alias("sx"), F.sum(n * b).alias("sy"),
+                                    F.sum(n * a * a).alias("sxx"), F.sum(n * b * b).alias("syy"),
+                                    F.sum(n * a * b).alias("sxy"))
+    s0, sx, sy = F.col("s"), F.col("sx"), F.col("sy")
+    den = F.sqrt((s0 * F.col("sxx") - sx * sx) * (s0 * F.col("syy") - sy * sy))
+    out = sums.select("feature", F.when(den > 0, (s0 * F.col("sxy") - sx * sy) / den).alias("r"),
+                      F.col("s").cast("long").alias("n"))
     out = out.where(F.col("n") >= min_n)
     return _with_corr_p(out, with_p)
 

@@ -42,6 +42,28 @@ def build_session(master: str | None = None, app: str = "promspark",
     return spark
 
 
+def scale_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Settings for a cluster run sized to the input.
+
+    Shuffle partitions target ~256 MB each after the map side (AQE then
+    coalesces small ones and splits skewed ones); scan splits are 512 MB so
+    a 100 TB scan is ~200k tasks, a few waves on 1000 executors."""
+    mb = 1024 * 1024
+    parts = max(total_cores * 3, input_bytes // (256 * mb))
+    return {
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.files.maxPartitionBytes": str(512 * mb),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * mb),
+        "spark.sql.autoBroadcastJoinThreshold": str(32 * mb),
+        "spark.sql.parquet.filterPushdown": "true",
+    }
+
+
 def checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 

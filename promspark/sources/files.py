@@ -134,26 +134,25 @@ def read_zip_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: st
 def _zip_partition_writer(out_dir: str, sep: str, columns: Sequence[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
-        frames = list(batches)
-        if not frames:
-            return
-        df = pd.concat(frames)
-        if df.empty:
-            return
         name = f"part-{uuid.uuid4().hex}"
-        buf = io.StringIO()
-        df[list(columns)].to_csv(buf, sep=sep, index=False)
-        raw = io.BytesIO()
-        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr(f"data/{name}.csv", buf.getvalue())
-            z.writestr(f"__MACOSX/data/._{name}.csv", "resource fork")
         # URI-aware (file:, hdfs:, s3:) so executors write to shared storage
         filesystem, root = pafs.FileSystem.from_uri(out_dir if "://" in out_dir or out_dir.startswith("file:")
                                                     else "file://" + os.path.abspath(out_dir))
         filesystem.create_dir(root, recursive=True)
-        with filesystem.open_output_stream(f"{root}/{name}.zip") as fh:
-            fh.write(raw.getvalue())
-        yield pd.DataFrame({"file": [name + ".zip"], "rows": [len(df)]})
+        rows = 0
+        # stream batch by batch into the archive member: memory is one Arrow
+        # batch, not the partition (zipfile writes data descriptors on the
+        # non-seekable output stream)
+        with filesystem.open_output_stream(f"{root}/{name}.zip") as fh, \
+                zipfile.ZipFile(fh, "w", zipfile.ZIP_DEFLATED) as z:
+            with z.open(f"data/{name}.csv", "w", force_zip64=True) as member:
+                member.write((sep.join(columns) + "\n").encode())
+                for b in batches:
+                    if len(b):
+                        member.write(b[list(columns)].to_csv(sep=sep, index=False, header=False).encode())
+                        rows += len(b)
+            z.writestr(f"__MACOSX/data/._{name}.csv", "resource fork")
+        yield pd.DataFrame({"file": [name + ".zip"], "rows": [rows]})
     return run
 
 

@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ def test_stratified_split_exact_counts_match_row_number(prom):
     h = SP.key_hash("record_id")
     w = Window.partitionBy(*strata).orderBy(h, "record_id")
     ref = prom.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*strata))) \
-        .withColumn("split", F.when(F.row_number().over(w) <= F.floor(F.col("__n") * 0.7), "train").otherwise("test"))
+        .withColumn("split", F.when(F.row_number().over(w) <= F.floor(F.col("__n") * F.lit(Decimal("0.7"))),
+                                    "train").otherwise("test"))
     a = got.select("record_id", "split")
     b = ref.select("record_id", "split")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
