@@ -292,3 +292,17 @@ QUERIES = {
     "M14_boosting_inverse_five_seeds": (m14_boosting_inverse_seeds, None),
     "M24_M26_M27_M28_explain_and_persist": (m24_m26_m27_m28_explain, None),
 }
+
+
+def e3_modelling_chain(spark, sf):
+    """Entry 3 as one job: split, train-fitted fills, CV + test for the
+    linear family, comparison, winner importances, saved pipeline."""
+    from ..plans.modelling import modelling_chain
+    from ..sources.files import work_dir
+    d = model_frame(spark, sf).drop("split")
+    table, imp = modelling_chain(d, NUMERIC, CATEGORICAL, TARGET, ["linear", "ridge", "lasso"],
+                                 save_to=work_dir(spark, "models"))
+    return table
+
+
+QUERIES["E3_modelling_chain"] = (e3_modelling_chain, None)

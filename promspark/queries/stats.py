@@ -336,3 +336,33 @@ FROM ({inner}) WHERE n_present >= 10 AND n_absent > 0"""
 
 
 QUERIES["T20_missing_vs_target"] = (t20_missing_vs_target, _t20_sql())
+
+
+def e2_correlation_report(spark, sf):
+    """Entry 2 as one job: the top-15 table of knee vs hip rankings."""
+    from ..plans.correlation_report import correlation_report
+    rep = correlation_report(scored(spark, sf), FEATURES, OUTCOME)
+    return rep.top15
+
+
+def e2_effects(spark, sf):
+    from ..plans.correlation_report import correlation_report
+    return correlation_report(scored(spark, sf), FEATURES, OUTCOME).effects
+
+
+QUERIES["E2_J07_correlation_top15"] = (e2_correlation_report, None)
+QUERIES["E2_T17_T13_effects_table"] = (e2_effects, None)
+
+
+def _e2_sql():
+    knee = _spearman_sql("scored", FEATURES, OUTCOME, where=" WHERE procedure = 'Knee Replacement'")
+    hip = _spearman_sql("scored", FEATURES, OUTCOME, where=" WHERE procedure = 'Hip Replacement'")
+    return ctes(scored_cte(),
+                f"k AS (SELECT feature, r, row_number() OVER (ORDER BY abs(r) DESC, feature) AS position FROM ({knee}))",
+                f"h AS (SELECT feature, r, row_number() OVER (ORDER BY abs(r) DESC, feature) AS position FROM ({hip}))") + \
+        """SELECT CAST(COALESCE(k.position, h.position) AS INTEGER) AS position, k.feature AS knee_feature, k.r AS knee_r,
+  h.feature AS hip_feature, h.r AS hip_r
+FROM (SELECT * FROM k WHERE position <= 15) k FULL JOIN (SELECT * FROM h WHERE position <= 15) h ON k.position = h.position"""
+
+
+QUERIES["E2_J07_correlation_top15"] = (e2_correlation_report, _e2_sql())
