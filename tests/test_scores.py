@@ -57,3 +57,12 @@ def test_success_and_good_outcome(spark):
                     scores.good_outcome("post", scores.gain("post", "pre")).alias("g")).collect()
     assert [r.s for r in out] == [1, 0, 1, 0, 1]
     assert [r.g for r in out] == [False, False, False, False, True]
+
+
+def test_prepare_job_keeps_outcomes_and_drops_leakage(prom):
+    from promspark.plans.prepare import prepare
+    df, audit = prepare(prom)
+    assert "oks_t1_score" in df.columns and "oks_success" in df.columns
+    assert not any(c.startswith("oks_t1_") and c not in ("oks_t1_score",) for c in df.columns)
+    assert df.where(F.col("age_band").isNull() | F.col("gender").isNull()).count() == 0
+    assert set(r.gender for r in df.select("gender").distinct().collect()) <= {"Male", "Female", "Not known"}
