@@ -242,21 +242,26 @@ def binned_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 
 def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """q1, median, q3, whiskers at the most extreme values within
-    1.5 IQR, n and number of outliers per group.  Pass 1 = grouped exact
-    quartiles over value counts; pass 2 joins the (small) per-group limits."""
+    1.5 IQR, n and number of outliers per group.
+
+    Rows are counted per (group, value) once; quartiles, whiskers and the
+    outlier count all run on that count table, so a hot group collapses
+    map-side and the value expression is evaluated once per row."""
     by = list(by)
     if not by:
         return box_stats(df.withColumn("__all", F.lit(1)), ["__all"], col).drop("__all")
-    q = grouped_percentiles(df, by, col, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    lim = q.withColumns({"__lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
-                         "__hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     x = F.col(col)
-    j = join_keys_null_safe(df.where(x.isNotNull()), lim, by)
-    inside = (x >= F.col("__lo")) & (x <= F.col("__hi"))
-    agg = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                             F.min(F.when(inside, x)).alias("whisker_low"),
-                             F.max(F.when(inside, x)).alias("whisker_high"),
-                             F.count_if(~inside).alias("n_outliers"),
+    counted = df.where(x.isNotNull()).groupBy(*by, x.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    q = counted.groupBy(*by).agg(
+        F.percentile(F.col("__v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__n")).alias("__q"))
+    q = q.select(*by, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
+    j = join_keys_null_safe(counted, q, by)
+    v, iqr = F.col("__v"), F.col("q3") - F.col("q1")
+    inside = (v >= F.col("q1") - 1.5 * iqr) & (v <= F.col("q3") + 1.5 * iqr)
+    agg = j.groupBy(*by).agg(F.sum("__n").alias("n"),
+                             F.min(F.when(inside, v)).alias("whisker_low"),
+                             F.max(F.when(inside, v)).alias("whisker_high"),
+                             F.coalesce(F.sum(F.when(~inside, F.col("__n"))), F.lit(0)).alias("n_outliers"),
                              F.first("q1").alias("q1"), F.first("median").alias("median"),
                              F.first("q3").alias("q3"))
     return agg.select(*by, "n", *[_r6(F.col(c)).alias(c) for c in ("q1", "median", "q3")],

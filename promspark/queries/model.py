@@ -204,7 +204,7 @@ def m08_m15_logistic_grid(spark, sf):
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1]).build()
     folds = SP.folds(train, 5, "record_id", col="fold")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
-                        numFolds=5, foldCol="fold", parallelism=2).fit(folds)
+                        numFolds=5, foldCol="fold", parallelism=4).fit(folds)
     pred = cv.bestModel.transform(test)
     from pyspark.ml.functions import vector_to_array
     prob = pred.withColumn("p1", F.get(vector_to_array("probability"), 1))
