@@ -16,6 +16,11 @@ from pyspark.sql import types as T
 
 from .. import catalog as cat
 
+# The column-name rule of the source notebooks (leading
+# characters up to the first letter or '_' are dropped, any other character
+# outside [0-9a-zA-Z_] becomes '_').
+LEADING_JUNK = r"^[^a-zA-Z_]+"
+INVALID_CHAR = r"[^0-9a-zA-Z_]"
 # Phrase map applied after cleaning (order matters).
 SHORT_PHRASES = [("pre_op_q", "t0"), ("post_op_q", "t1"), ("knee_replacement", "oks"), ("hip_replacement", "ohs")]
 # Prefix rules of the modelling notebook (first match wins).
@@ -27,8 +32,8 @@ PREFIX_RULES = [("Hip_Replacement_Pre-Op_Q_", "t0_HR_"), ("Knee_Replacement_Pre-
 def clean_name(s: str) -> str:
     """Drop leading characters up to the first letter or '_', other
     invalid characters -> '_', lower case."""
-    s = re.sub(r"^[^a-zA-Z_]+", "", s.strip())
-    return re.sub(r"[^0-9a-zA-Z_]", "_", s).lower()
+    s = re.sub(LEADING_JUNK, "", s.strip())
+    return re.sub(INVALID_CHAR, "_", s).lower()
 
 
 def shorten_name(s: str) -> str:

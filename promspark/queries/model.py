@@ -252,7 +252,8 @@ def m24_m26_m27_m28_explain(spark, sf):
     attr = M.linear_attribution(model.transform(test), coefs, means)           # M26
     top = attr.groupBy("feature").agg(F.round(F.avg(F.abs("contribution")), 6).alias("mean_abs_contribution"))
     rep = M.representative_profile(train, NUMERIC, CATEGORICAL)                  # M27
-    path = os.path.join(checkpoint_dir(spark, allow_local=True), "models", "linear_pipeline")
+    from ..sources.files import work_dir
+    path = os.path.join(work_dir(spark, "models"), "linear_pipeline")
     M.save_model(model, path)                                                    # M28
     reloaded = M.load_model(path)
     rep_pred = reloaded.transform(rep).select(F.round("prediction", 6).alias("p")).first()["p"]

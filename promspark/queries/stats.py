@@ -366,3 +366,21 @@ FROM (SELECT * FROM k WHERE position <= 15) k FULL JOIN (SELECT * FROM h WHERE p
 
 
 QUERIES["E2_J07_correlation_top15"] = (e2_correlation_report, _e2_sql())
+
+
+def t20_binary_target(spark, sf):
+    d = _scored_gain(spark, sf)
+    return S.missing_vs_target(d, ["t0_eq_vas", "t1_eq_vas", "t0_mobility", "t1_anxiety", "t0_symptom_period"],
+                               "oks_success", kind="binary", with_p=False)
+
+
+def _t20b_sql():
+    cols = ["t0_eq_vas", "t1_eq_vas", "t0_mobility", "t1_anxiety", "t0_symptom_period"]
+    mv = "mb AS (SELECT oks_success, " + ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}" for c in cols) + " FROM sg)"
+    cnt = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(SUM({c}) AS BIGINT) AS missing_count FROM mb" for c in cols)
+    return ctes(SCORED_GAIN_SQL, mv) + f"""SELECT x.feature, x.n, x.chi2, x.cramers_v, m.missing_count
+FROM ({_chi2_sql("mb", cols, "oks_success")}) x JOIN ({cnt}) m ON x.feature = m.feature
+WHERE m.missing_count >= 10 AND m.missing_count < x.n"""
+
+
+QUERIES["T20_binary_target_chi2"] = (t20_binary_target, _t20b_sql())
