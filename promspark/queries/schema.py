@@ -131,7 +131,7 @@ SQL_C17 = ctes() + """SELECT CAST(record_id AS VARCHAR) AS record_id, CAST(oks_t
 QUERIES = {
     "C01_C02_clean_short_names": (c01_c02_clean_names, ctes() + "SELECT * FROM prom"),
     "C03_C04_prefix_rename_table": (c03_c04_name_table, None),
-    "C05_schema_diff": (c05_schema_diff, None),
+    "C05_schema_diff": (c05_schema_diff, None),   # oracles set below
     "C06_type_census": (c06_type_census, None),
     "C07_smallest_types": (c07_smallest_types, SQL_C07),
     "C08_C09_C10_coerce_tag_key": (c08_c09_c10_coerce_tag_key, SQL_C08),
@@ -140,3 +140,24 @@ QUERIES = {
     "C16_column_families": (c16_families, None),
     "C17_cast_to_string": (c17_strings, SQL_C17),
 }
+
+
+def _c05_sql():
+    from ..fixture import prom_sql
+    parts = []
+    for y in cat.YEARS:
+        sel = "* EXCLUDE (t0_eq_vas)" if y == "2016/17" else "*"
+        parts.append(f"SELECT column_name FROM (DESCRIBE (SELECT {sel} FROM ({prom_sql()}) p WHERE year = '{y}'))")
+    return f"""SELECT column_name, COUNT(*) AS n_files, COUNT(*) = {len(cat.YEARS)} AS in_all
+FROM ({' UNION ALL '.join(parts)}) GROUP BY column_name"""
+
+
+def _c06_sql():
+    from ..fixture import prom_sql
+    return f"""SELECT CASE WHEN column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE')
+  OR column_type LIKE 'DECIMAL%' THEN 'numeric' WHEN column_type = 'VARCHAR' THEN 'string' ELSE 'other' END AS family,
+  COUNT(*) AS n_columns FROM (DESCRIBE ({prom_sql()})) GROUP BY 1"""
+
+
+QUERIES["C05_schema_diff"] = (c05_schema_diff, _c05_sql())
+QUERIES["C06_type_census"] = (c06_type_census, _c06_sql())
