@@ -154,7 +154,10 @@ class ChainedImputer:
         self.medians = fit_median(train, self.cols)
         miss = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in self.cols]).first()
         incomplete = [c for c in self.cols if miss[c] > 0]
-        cur = self._start(train.select(*self.cols))
+        # the start frame and every round are checkpointed (lineage cut in
+        # the shared folder) and kept in memory for the round's Gramian passes
+        cur = self._start(train.select(*self.cols)).checkpoint(eager=True).persist()
+        held = cur
         self.steps = []
         for r in range(self.rounds):
             for c in incomplete:
@@ -182,7 +185,10 @@ class ChainedImputer:
                 self.steps.append((r, c, coef))
                 cur = cur.withColumn(c, F.when(F.col(f"__m_{c}"), self._clip(c, self._predict(others, coef)))
                                      .otherwise(F.col(c)))
-            cur = cur.checkpoint(eager=True)
+            cur = cur.checkpoint(eager=True).persist()
+            held.unpersist()
+            held = cur
+        held.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
