@@ -78,17 +78,19 @@ def auto_recode_binary9(df: DataFrame, code: int = 9, to: int = 0,
     """where a column has exactly two distinct values and one is ``code``,
     ``code`` becomes ``to``.
 
-    "Exactly two distinct values" is min != max and no value other than min
-    or max, so one pass of plain min/max/count_if decides it for every column
-    (no distinct aggregation, which would expand each row once per column).
-    The decision row has three numbers per column."""
+    "Exactly two distinct values, one of them ``code``" is: ``code`` occurs,
+    and the other values have min = max.  So one pass of plain aggregates
+    decides it for every column (no distinct aggregation, which would expand
+    each row once per column); the decision row has three numbers per column."""
     cols = list(cols or numeric_columns(df))
-    mm = df.agg(*[F.min(c).alias(f"{c}__lo") for c in cols], *[F.max(c).alias(f"{c}__hi") for c in cols]).first()
-    third = df.agg(*[F.count_if((F.col(c) != F.lit(mm[f"{c}__lo"])) & (F.col(c) != F.lit(mm[f"{c}__hi"])))
-                     .alias(c) for c in cols if mm[f"{c}__lo"] is not None]).first()
-    chosen = {c for c in cols
-              if mm[f"{c}__lo"] is not None and mm[f"{c}__lo"] != mm[f"{c}__hi"] and third[c] == 0
-              and code in (mm[f"{c}__lo"], mm[f"{c}__hi"])}
+    aggs = []
+    for c in cols:
+        other = F.when(F.col(c) != code, F.col(c))
+        aggs += [F.count_if(F.col(c) == code).alias(f"{c}__n"), F.min(other).alias(f"{c}__lo"),
+                 F.max(other).alias(f"{c}__hi")]
+    st = df.agg(*aggs).first()
+    chosen = {c for c in cols if st[f"{c}__n"] > 0 and st[f"{c}__lo"] is not None
+              and st[f"{c}__lo"] == st[f"{c}__hi"]}
     return df.select(*[
         F.when(F.col(c) == code, F.lit(to)).otherwise(F.col(c)).alias(c) if c in chosen else F.col(c)
         for c in df.columns])
