@@ -154,3 +154,32 @@ FROM scored GROUP BY procedure, age_band"""
 
 
 QUERIES["S14_streaming_prepare"] = (s14_streaming_prepare, _s14_sql())
+
+
+def e1_collect_and_prepare(spark, sf):
+    """Collect + Entry 1 end to end: the PROM view is written as yearly CSV
+    files with source-style headers (one file ';'-separated), collected into
+    typed gzip parquet, prepared, and the deletion audit reported."""
+    from ..plans.collect import collect_topic
+    from ..plans.prepare import prepare
+    from .schema import raw_header
+    base = S.work_dir(spark, "collect")
+    prom = load_prom(spark, sf)
+    raw = prom.toDF(*[raw_header(c) for c in prom.columns])
+    specs = []
+    for y in cat.YEARS:
+        sep = ";" if y == "2016/17" else ","
+        path = os.path.join(base, "raw", y.replace("/", "_"))
+        S.write_csv(raw.where(F.col("Year") == y), path, sep)
+        specs.append(S.FileSpec(path, "csv", sep, tag=y))
+    collected = collect_topic(spark, specs, os.path.join(base, "parquet"))
+    _, audit = prepare(collected.table)
+    return audit
+
+
+def _e1_sql():
+    from .prep import _audit_sql
+    return _audit_sql()
+
+
+QUERIES["E1_S_C_collect_and_prepare"] = (e1_collect_and_prepare, _e1_sql())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.relate import union_aligned
+from ..operators.relate import union_aligned  # noqa: F401 (re-exported)
 from ..session import checkpoint_dir
 
 

@@ -21,3 +21,26 @@ def test_zip_roundtrip_and_per_file_separator(prom, spark):
 def test_coerce_numeric_is_ansi_safe(spark):
     df = spark.createDataFrame([("1",), ("*",), ("nan",), ("2.5",)], "v string")
     assert [r.v for r in S.coerce_numeric(df, ["v"]).collect()] == [1.0, None, None, 2.5]
+
+
+def test_collect_roundtrip_types_and_values(prom, spark):
+    from promspark import catalog as cat
+    from promspark.plans.collect import collect_topic
+    from promspark.queries.schema import raw_header
+    base = S.work_dir(spark, "collect-test")
+    raw = prom.toDF(*[raw_header(c) for c in prom.columns])
+    specs = []
+    for y in cat.YEARS:
+        sep = ";" if y == "2016/17" else ","
+        path = os.path.join(base, y.replace("/", "_"))
+        S.write_csv(raw.where(F.col("Year") == y), path, sep)
+        specs.append(S.FileSpec(path, "csv", sep, tag=y))
+    got = collect_topic(spark, specs, os.path.join(base, "out"))
+    types = dict(got.table.dtypes)
+    assert types["oks_t0_pain"] == "tinyint" and types["t0_eq_vas"] == "smallint"
+    assert set(prom.columns) == set(got.table.columns)
+    cols = prom.columns
+    a = got.table.select(*[F.col(c).cast("string") for c in cols])
+    b = prom.select(*[F.col(c).cast("string") for c in cols])
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert got.schema_report.where(~F.col("present")).count() == 0
