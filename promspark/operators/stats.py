@@ -127,46 +127,71 @@ def _with_corr_p(out: DataFrame, with_p: bool) -> DataFrame:
     return out
 
 
+def _weighted_rank_corr(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spearman rho per ``keys`` group from a (keys..., x, y, n) count table:
+    ranks from weighted running sums, then the count-weighted Pearson
+    correlation of the ranks over the cells (equal to Pearson over rows,
+    because every row of a cell has the same pair of ranks)."""
+    keys = list(keys)
+    rx = rank_table(cells, "x", keys, "rx", weight="n")
+    ry = rank_table(cells, "y", keys, "ry", weight="n")
+    c = cells.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])
+    n, a, b = F.col("n").cast("double"), F.col("rx"), F.col("ry")
+    sums = c.groupBy(*keys).agg(F.sum(n).alias("s"), F.sum(n * a).alias("sx"), F.sum(n * b).alias("sy"),
+                                F.sum(n * a * a).alias("sxx"), F.sum(n * b * b).alias("syy"),
+                                F.sum(n * a * b).alias("sxy"))
+    s0, sx, sy = F.col("s"), F.col("sx"), F.col("sy")
+    den = F.sqrt((s0 * F.col("sxx") - sx * sx) * (s0 * F.col("syy") - sy * sy))
+    return sums.select(*keys, F.when(den > 0, (s0 * F.col("sxy") - sx * sy) / den).alias("r"),
+                       F.col("s").cast("long").alias("n"))
+
+
 def spearman(df: DataFrame, features: Sequence[str], outcome: str, min_n: int = 30,
              with_p: bool = True) -> DataFrame:
     """Spearman rho per feature vs outcome, ranks computed on each
     feature's pairwise-complete rows; features with n < min_n are left out.
 
     Base rows are read once, into a (feature, x, y) count table (checkpointed:
-    it feeds both rank tables and the final sums).  Ranks come from weighted
-    running sums over it, and rho is the count-weighted Pearson correlation
-    of the ranks over its cells — equal to Pearson over rows, because every
-    row of a cell has the same pair of ranks."""
+    it feeds both rank tables and the final sums)."""
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession, allow_local=True)
     long = _feature_long(df, features, outcome)
     cells = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    rx = rank_table(cells, "x", ["feature"], "rx", weight="n")
-    ry = rank_table(cells, "y", ["feature"], "ry", weight="n")
-    c = cells.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
-    n, a, b = F.col("n").cast("double"), F.col("rx"), F.col("ry")
-    sums = c.groupBy("feature").agg(F.sum(n).alias("s"), F.sum(n * a).alias("sx"), F.sum(n * b).alias("sy"),
-                                    F.sum(n * a * a).alias("sxx"), F.sum(n * b * b).alias("syy"),
-                                    F.sum(n * a * b).alias("sxy"))
-    s0, sx, sy = F.col("s"), F.col("sx"), F.col("sy")
-    den = F.sqrt((s0 * F.col("sxx") - sx * sx) * (s0 * F.col("syy") - sy * sy))
-    out = sums.select("feature", F.when(den > 0, (s0 * F.col("sxy") - sx * sy) / den).alias("r"),
-                      F.col("s").cast("long").alias("n"))
-    out = out.where(F.col("n") >= min_n)
+    out = _weighted_rank_corr(cells, ["feature"]).where(F.col("n") >= min_n)
     return _with_corr_p(out, with_p)
 
 
+def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Spearman matrix (a, b, r, n) for all a < b, as
+    ``DataFrame.corr(method='spearman')`` in pandas.  Each row contributes
+    one (pair, x, y) entry per pair where both are present; partial
+    aggregation collapses them map-side into a (pair, x, y) count table, and
+    every pair is ranked on its own complete rows."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession, allow_local=True)
+    cols = list(cols)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
+                                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                        for a, b in pairs])
+    long = df.select(F.explode(entries).alias("e")).select("e.*") \
+        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    cells = long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return _weighted_rank_corr(cells, ["a", "b"]).select("a", "b", _r6(F.col("r")).alias("r"), "n")
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
     """Long correlation matrix (a, b, r, n) for all pairs a < b.
 
-    Pearson is pairwise complete.  Spearman ranks each column once on the
-    rows complete for all ``cols`` (equal to pairwise when there are no
-    nulls) and then takes Pearson of the ranks, all pairs in one aggregate."""
+    Pearson and Spearman are pairwise complete; ``spearman_listwise`` ranks
+    each column once on the rows complete for all ``cols`` and takes Pearson
+    of the ranks in one aggregate."""
     cols = list(cols)
     src = df
     if method == "spearman":
-        src = df.na.drop(subset=cols)
-        src = with_ranks(src, cols)
+        return spearman_matrix(df, cols)
+    if method == "spearman_listwise":
+        src = with_ranks(df.na.drop(subset=cols), cols)
         use = {c: c + "__rank" for c in cols}
     elif method == "pearson":
         use = {c: c for c in cols}

@@ -77,6 +77,15 @@ def _matrix_sql(src, cols, ranked: bool):
         for a, b in pairs)
 
 
+def _pairwise_spearman_sql(src, cols):
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            parts.append(f"""SELECT '{a}' AS a, '{b}' AS b, {r6('corr(rx, ry)')} AS r, COUNT(*) AS n FROM (
+  SELECT {_rank_sql(a, '1')} AS rx, {_rank_sql(b, '1')} AS ry FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)""")
+    return " UNION ALL ".join(parts)
+
+
 PEARSON_COLS = ["oks_t0_score", "oks_t1_score", "t0_eq_vas", "t1_eq_vas", "t0_mobility", "t1_mobility"]
 
 
@@ -238,7 +247,7 @@ QUERIES = {
     "T01_pearson_pairs": (t01_pearson, SQL_T01),
     "T02_T18_spearman_ranked": (t02_t18_spearman, ctes(scored_cte()) + _spearman_sql("scored", FEATURES, OUTCOME)),
     "T02_T18_D22_spearman_with_p": (t02_t18_spearman_p, None),
-    "T04_spearman_matrix": (t04_spearman_matrix, ctes(scored_cte(), _matrix_sql("scored", T0, True)[0]) + _matrix_sql("scored", T0, True)[1]),
+    "T04_spearman_matrix": (t04_spearman_matrix, ctes(scored_cte()) + _pairwise_spearman_sql("scored", T0)),
     "T05_pearson_matrix": (t05_pearson_matrix, ctes(_matrix_sql("clean", PEARSON_COLS, False)[0]) + _matrix_sql("clean", PEARSON_COLS, False)[1]),
     "T06_W05_missingness_strong_pairs": (t06_strong_pairs, ctes(_MISS_CTE, _matrix_sql("mi", MISS_FLAGS, False)[0], "mm AS (" + _matrix_sql("mi", MISS_FLAGS, False)[1] + ")") + "SELECT * FROM mm WHERE abs(r) > 0.3"),
     "T07_matrix_summary": (t07_matrix_summary, ctes(_MISS_CTE, _matrix_sql("mi", MISS_FLAGS, False)[0], "mm AS (" + _matrix_sql("mi", MISS_FLAGS, False)[1] + ")") +

@@ -77,3 +77,34 @@ def test_welch_and_chi2_against_hand_formulas(spark):
     exp = obs.sum(1, keepdims=True) * obs.sum(0, keepdims=True) / obs.sum()
     chi = (np.maximum(0, np.abs(obs - exp) - 0.5) ** 2 / exp).sum()
     assert abs(c.chi2 - round(chi, 6)) < 1e-9
+
+
+def _avg_ranks(v):
+    order = np.argsort(v, kind="mergesort")
+    ranks = np.empty(len(v))
+    vals = v[order]
+    i = 0
+    while i < len(v):
+        j = i
+        while j + 1 < len(v) and vals[j + 1] == vals[i]:
+            j += 1
+        ranks[order[i:j + 1]] = (i + j) / 2.0 + 1
+        i = j + 1
+    return ranks
+
+
+def test_spearman_matrix_is_pairwise_complete(spark):
+    rng = np.random.default_rng(9)
+    n = 300
+    cols = {c: rng.integers(0, 6, n).astype(float) for c in "abc"}
+    cols["b"] = cols["a"] + rng.integers(0, 3, n)
+    for c, frac in (("a", 0.1), ("b", 0.2), ("c", 0.05)):
+        cols[c][rng.random(n) < frac] = np.nan
+    rows = [tuple(None if np.isnan(cols[c][i]) else float(cols[c][i]) for c in "abc") for i in range(n)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r.a, r.b): (r.r, r.n) for r in S.spearman_matrix(df, ["a", "b", "c"]).collect()}
+    for x, y in [("a", "b"), ("a", "c"), ("b", "c")]:
+        ok = ~np.isnan(cols[x]) & ~np.isnan(cols[y])
+        rho = np.corrcoef(_avg_ranks(cols[x][ok]), _avg_ranks(cols[y][ok]))[0, 1]
+        assert got[(x, y)][1] == ok.sum()
+        assert abs(got[(x, y)][0] - round(rho, 6)) < 1e-9
