@@ -161,3 +161,16 @@ def _c06_sql():
 
 QUERIES["C05_schema_diff"] = (c05_schema_diff, _c05_sql())
 QUERIES["C06_type_census"] = (c06_type_census, _c06_sql())
+
+
+def _c03_sql():
+    """The prefix rule written independently in SQL over the header list."""
+    heads = ", ".join(f"('{raw_header(c)}')" for c in column_order())
+    u = "replace(old, ' ', '_')"
+    rules = " ".join(f"WHEN starts_with({u}, '{a}') THEN '{b}' || substr({u}, {len(a) + 1})"
+                     for a, b in C.PREFIX_RULES)
+    return f"""SELECT old, CASE {rules} ELSE replace({u}, '_Post-Op_Q_', '_t1_') END AS new
+FROM (VALUES {heads}) t(old)"""
+
+
+QUERIES["C03_C04_prefix_rename_table"] = (c03_c04_name_table, _c03_sql())
