@@ -94,11 +94,11 @@ def with_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "__rank") -> Da
     return out
 
 
-def _feature_long(df: DataFrame, features: Sequence[str], outcome: str) -> DataFrame:
-    """(feature, x, y) on pairwise-complete rows, one scan."""
-    base = df.select(F.col(outcome).cast("double").alias("__y"),
+def _feature_long(df: DataFrame, features: Sequence[str], outcome: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, x, y) on pairwise-complete rows, one scan."""
+    base = df.select(*by, F.col(outcome).cast("double").alias("__y"),
                      *[F.col(f).cast("double").alias(f) for f in features])
-    long = base.unpivot(["__y"], list(features), "feature", "x")
+    long = base.unpivot([*by, "__y"], list(features), "feature", "x")
     return long.where(F.col("x").isNotNull() & F.col("__y").isNotNull()).withColumnRenamed("__y", "y")
 
 
@@ -147,17 +147,19 @@ def _weighted_rank_corr(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, features: Sequence[str], outcome: str, min_n: int = 30,
-             with_p: bool = True) -> DataFrame:
+             with_p: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Spearman rho per feature vs outcome, ranks computed on each
     feature's pairwise-complete rows; features with n < min_n are left out.
+    ``by`` gives one table per group (e.g. per cohort) from the same pass.
 
-    Base rows are read once, into a (feature, x, y) count table (checkpointed:
-    it feeds both rank tables and the final sums)."""
+    Base rows are read once, into a (by..., feature, x, y) count table
+    (checkpointed: it feeds both rank tables and the final sums)."""
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession, allow_local=True)
-    long = _feature_long(df, features, outcome)
-    cells = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    out = _weighted_rank_corr(cells, ["feature"]).where(F.col("n") >= min_n)
+    by = list(by)
+    long = _feature_long(df, features, outcome, by)
+    cells = long.groupBy(*by, "feature", "x", "y").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    out = _weighted_rank_corr(cells, [*by, "feature"]).where(F.col("n") >= min_n)
     return _with_corr_p(out, with_p)
 
 

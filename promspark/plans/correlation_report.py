@@ -30,10 +30,10 @@ class CorrelationReport:
 def correlation_report(prepared: DataFrame, features: list[str], outcome: str = "oks_t1_score",
                        cohort_col: str = "procedure") -> CorrelationReport:
     y = F.col(outcome)
-    cohorts = {"knee": prepared.where(F.col(cohort_col) == cat.PROCEDURES[0]),
-               "hip": prepared.where(F.col(cohort_col) == cat.PROCEDURES[1])}
-    ranks = {name: stats.spearman(df, features, outcome).withColumn("strength", strength_label("r"))
-             for name, df in cohorts.items()}
+    # both cohorts from one pass over the rows (cohort is a key of the count table)
+    both = stats.spearman(prepared, features, outcome, by=[cohort_col]).withColumn("strength", strength_label("r"))
+    ranks = {"knee": both.where(F.col(cohort_col) == cat.PROCEDURES[0]).drop(cohort_col),
+             "hip": both.where(F.col(cohort_col) == cat.PROCEDURES[1]).drop(cohort_col)}
     rankings = relate.union_aligned(list(ranks.values()), list(ranks), "cohort")
     gained = prepared.withColumn("__gain", y - F.col("oks_t0_score"))
     effects = stats.bh_adjust(stats.group_effects(gained, cat.COMORBIDITIES, "__gain"), "p_value")

@@ -155,29 +155,35 @@ o AS (SELECT AVG(CAST(success AS DOUBLE)) AS p FROM ss)""") + f"""SELECT provide
   (rate < p - 1.96 * sqrt(p * (1 - p) / n)) OR (rate > p + 1.96 * sqrt(p * (1 - p) / n)) AS outside FROM pv, e, o"""
 
 
-def _run_regressors(spark, sf, names, k=5, repeats=1, cv=True):
+def _run_regressors(spark, sf, names, k=5, repeats=1, cv=True, parallelism=4):
+    """One (dataset, model) run per name — CV on train (optional) and a
+    test score — submitted from ``parallelism`` driver threads; M23: the
+    comparison table ranked by test RMSE."""
+    from concurrent.futures import ThreadPoolExecutor
+    from pyspark.sql import Window
     d = model_frame(spark, sf).persist()
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     stats = train.agg(F.stddev_pop(TARGET).alias("s"), F.count(F.lit(1)).alias("n")).first()
     reg = M.regressors(stats["s"], stats["n"])
-    rows = None
-    for name in names:                                      # M29: one (dataset, model) run each
+
+    def run(name):
+        cv_rmse = cv_std = cv_r2 = None
         if cv:
-            folds = M.cross_validate(train, reg[name], NUMERIC, CATEGORICAL, TARGET, k=k, repeats=repeats)
-            cvs = folds.agg(F.round(F.avg("rmse"), 6).alias("cv_rmse"),
-                            F.round(F.stddev_samp("rmse"), 6).alias("cv_rmse_std"), F.round(F.avg("r2"), 6).alias("cv_r2"))
-        else:
-            cvs = spark.createDataFrame([(None, None, None)], "cv_rmse double, cv_rmse_std double, cv_r2 double")
+            f = M.cross_validate(train, reg[name], NUMERIC, CATEGORICAL, TARGET, k=k, repeats=repeats).agg(
+                F.avg("rmse").alias("m"), F.stddev_samp("rmse").alias("s"), F.avg("r2").alias("r2")).first()
+            cv_rmse, cv_std, cv_r2 = round(f["m"], 6), round(f["s"], 6), round(f["r2"], 6)
         model = M.fit_pipeline(train, reg[name](), NUMERIC, CATEGORICAL, TARGET)
-        tm = E.regression_metrics(model.transform(test), TARGET, "prediction") \
-            .select(F.col("mae").alias("test_mae"), F.col("rmse").alias("test_rmse"), F.col("r2").alias("test_r2"))
-        t = tm.first()
-        row = cvs.withColumns({"test_mae": F.lit(t["test_mae"]), "test_rmse": F.lit(t["test_rmse"]),
-                               "test_r2": F.lit(t["test_r2"]), "dataset": F.lit("median_mode"), "model": F.lit(name)})
-        rows = row if rows is None else rows.unionByName(row)
-    # Comparison table, winner = lowest test RMSE
-    from pyspark.sql import Window
-    return _finish(rows.withColumn("rank", F.row_number().over(Window.orderBy("test_rmse", "model"))), d)
+        t = E.regression_metrics(model.transform(test), TARGET, "prediction").first()
+        return (cv_rmse, cv_std, cv_r2, t["mae"], t["rmse"], t["r2"], "median_mode", name)
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            rows = list(pool.map(run, names))
+    finally:
+        d.unpersist()
+    table = spark.createDataFrame(rows, "cv_rmse double, cv_rmse_std double, cv_r2 double, test_mae double, "
+                                        "test_rmse double, test_r2 double, dataset string, model string")
+    return table.withColumn("rank", F.row_number().over(Window.orderBy("test_rmse", "model")))
 
 
 def m01_m04_m16_m23_linear_models(spark, sf):

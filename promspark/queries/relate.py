@@ -42,9 +42,10 @@ SQL_J02 = """SELECT COALESCE(c.nationkey, s.nationkey) AS nationkey, n_customers
 
 
 def j03_rank_join(spark, sf):
-    d = scored(spark, sf)
-    k = spearman(d.where(F.col("procedure") == "Knee Replacement"), FEATURES, OUTCOME, with_p=False)
-    h = spearman(d.where(F.col("procedure") == "Hip Replacement"), FEATURES, OUTCOME, with_p=False)
+    from .stats import cohort_rankings
+    r = cohort_rankings(spark, sf)
+    k = r.where(F.col("procedure") == "Knee Replacement")
+    h = r.where(F.col("procedure") == "Hip Replacement")
     return k.select("feature", F.col("r").alias("r_knee")).join(h.select("feature", F.col("r").alias("r_hip")), "feature")
 
 

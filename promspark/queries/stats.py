@@ -207,10 +207,15 @@ def _advice_sql():
 FROM ({' UNION ALL '.join(parts)})"""
 
 
+def cohort_rankings(spark, sf):
+    """Spearman tables of both cohorts from one pass (procedure as a key)."""
+    return S.spearman(scored(spark, sf), FEATURES, OUTCOME, with_p=False, by=["procedure"])
+
+
 def t19_cross_cohort(spark, sf):
-    d = scored(spark, sf)
-    knee = S.spearman(d.where(F.col("procedure") == "Knee Replacement"), FEATURES, OUTCOME, with_p=False)
-    hip = S.spearman(d.where(F.col("procedure") == "Hip Replacement"), FEATURES, OUTCOME, with_p=False)
+    r = cohort_rankings(spark, sf)
+    knee = r.where(F.col("procedure") == "Knee Replacement")
+    hip = r.where(F.col("procedure") == "Hip Replacement")
     j = knee.select("feature", F.col("r").alias("r_knee")).join(hip.select("feature", F.col("r").alias("r_hip")),
                                                                   "feature", "inner")
     return j.agg(F.count(F.lit(1)).alias("shared_features"),
