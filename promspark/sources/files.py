@@ -121,7 +121,9 @@ def _unzip_csv_batches(sep: str, columns: Sequence[str]):
 def read_zip_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",",
                  recursive: bool = True) -> DataFrame:
     """CSV members of every ZIP under ``path`` (macOS resource
-    members skipped) as string columns plus archive and member names."""
+    members skipped) as string columns plus archive and member names.
+    Temporary files of unfinished writer attempts (``_tmp-*``) are hidden
+    files to Spark's listing and are skipped."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
              .option("recursiveFileLookup", recursive).load(path).select("path", "content"))
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns] +
@@ -134,17 +136,22 @@ def read_zip_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: st
 def _zip_partition_writer(out_dir: str, sep: str, columns: Sequence[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
-        name = f"part-{uuid.uuid4().hex}"
-        # URI-aware (file:, hdfs:, s3:) so executors write to shared storage
+        from pyspark import TaskContext
+        ctx = TaskContext.get()
+        part, attempt = (ctx.partitionId(), ctx.attemptNumber()) if ctx else (0, 0)
+        # one archive per partition with a deterministic name; each attempt
+        # writes a temporary file that is renamed at the end, so a task retried
+        # after an executor loss replaces its archive instead of adding one
+        name = f"part-{part:05d}"
         filesystem, root = pafs.FileSystem.from_uri(out_dir if "://" in out_dir or out_dir.startswith("file:")
                                                     else "file://" + os.path.abspath(out_dir))
         filesystem.create_dir(root, recursive=True)
+        tmp = f"{root}/_tmp-{name}-{attempt}-{uuid.uuid4().hex}.zip"
         rows = 0
         # stream batch by batch into the archive member: memory is one Arrow
         # batch, not the partition (zipfile writes data descriptors on the
         # non-seekable output stream)
-        with filesystem.open_output_stream(f"{root}/{name}.zip") as fh, \
-                zipfile.ZipFile(fh, "w", zipfile.ZIP_DEFLATED) as z:
+        with filesystem.open_output_stream(tmp) as fh, zipfile.ZipFile(fh, "w", zipfile.ZIP_DEFLATED) as z:
             with z.open(f"data/{name}.csv", "w", force_zip64=True) as member:
                 member.write((sep.join(columns) + "\n").encode())
                 for b in batches:
@@ -152,6 +159,7 @@ def _zip_partition_writer(out_dir: str, sep: str, columns: Sequence[str]):
                         member.write(b[list(columns)].to_csv(sep=sep, index=False, header=False).encode())
                         rows += len(b)
             z.writestr(f"__MACOSX/data/._{name}.csv", "resource fork")
+        filesystem.move(tmp, f"{root}/{name}.zip")
         yield pd.DataFrame({"file": [name + ".zip"], "rows": [rows]})
     return run
 
