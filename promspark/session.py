@@ -36,6 +36,9 @@ def build_session(master: str | None = None, app: str = "promspark",
         # 8 KB limit, so they would run interpreted (about 2x slower).
         "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
         "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        # checkpoint files (MICE rounds, rank/count tables) are removed once
+        # nothing references them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -67,6 +70,7 @@ def scale_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
         "spark.sql.autoBroadcastJoinThreshold": str(32 * mb),
         "spark.sql.parquet.filterPushdown": "true",
         "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 
