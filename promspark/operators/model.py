@@ -1,8 +1,9 @@
 """Modelling on Spark ML.
 
 Estimators are Spark ML (distributed fitting); cross-validation folds come
-from the record key hash, so fold membership is reproducible; a driver loop
-runs over folds x repeats x models (a bounded count), each fit a Spark job.
+from the record key hash, so fold membership is reproducible.  Fold and
+model fits (a bounded count) are independent Spark jobs submitted from a
+small driver thread pool, as ``CrossValidator(parallelism=...)`` does.
 """
 
 from __future__ import annotations
