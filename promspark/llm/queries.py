@@ -6,18 +6,28 @@ parameters to its whole table and returns the full result.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
-from .common import table
+from . import pii, token_files
+from .common import shared_dir, table
+
+VOCABULARY = public_tokenizers.path  # place of a public vocabulary file
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str = VOCABULARY("word_bpe_49k.json")) -> DataFrame:
+    path = shared_dir(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_file, end_id=1)
+    return token_files.digest(spark, path)
+
+
 QUERIES = {
     "op6_pii": op6_pii,
+    "op7_token_files": op7_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
