@@ -8,13 +8,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pii, token_files
+from . import decontaminate, language, pii, token_files
 from .common import shared_dir, table
 
 VOCABULARY = public_tokenizers.path  # place of a public vocabulary file
 
 
+def op4_language(spark: SparkSession, sf_dir: str, vocabulary_file: str = VOCABULARY("piece_bpe_32k.model")) -> DataFrame:
+    """Learns from the labelled rows outside the held-out fifth; predicts every row."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    model = language.fit(docs.where(~F.col("held_out")), vocabulary_file)
+    return language.identify(docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -25,9 +33,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str = VOCA
     return token_files.digest(spark, path)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op4_language": op4_language,
     "op6_pii": op6_pii,
     "op7_token_files": op7_token_files,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -7,13 +7,15 @@ made per word.  Batches are cut into chunks of bounded size, which bounds
 the memory of a task whatever the batch or document count; only a single
 document larger than the bound is a chunk of its own.
 
-Two alphabets:
+Four alphabets:
 
 * ``SPACE_WORDS``: maximal runs of anything but 0x20 and 0x09-0x0D, A-Z
   lower-cased (the word rule of the n-gram join);
 * ``LETTER_WORDS``: maximal runs of ASCII letters, digits and non-ASCII
   characters, lower-cased for A-Z and Latin-1 capitals, so punctuation, case
-  and white space do not tell two passages apart.
+  and white space do not tell two passages apart;
+* ``ALPHA_WORDS``: the same without digits;
+* ``RAW_WORDS``: as ``SPACE_WORDS`` with the case kept.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
-SPACE_WORDS, LETTER_WORDS, RAW_WORDS = "space", "letter", "raw"
+SPACE_WORDS, LETTER_WORDS, RAW_WORDS, ALPHA_WORDS = "space", "letter", "raw", "alpha"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -44,15 +46,15 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 def _tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
     """(is a word byte, value of a byte) per byte value."""
     b = np.arange(256)
-    if kind == LETTER_WORDS:
-        inside = (b >= 128) | ((b >= 48) & (b <= 57)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
+    if kind in (LETTER_WORDS, ALPHA_WORDS):
+        inside = (b >= 128) | ((b >= 48) & (b <= 57) & (kind == LETTER_WORDS)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
     else:
         inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
     low = b if kind == RAW_WORDS else np.where((b >= 65) & (b <= 90), b + 32, b)
     return inside, np.where(inside, _BYTE[low], np.uint64(0))
 
 
-_TABLES = {k: _tables(k) for k in (SPACE_WORDS, LETTER_WORDS, RAW_WORDS)}
+_TABLES = {k: _tables(k) for k in (SPACE_WORDS, LETTER_WORDS, RAW_WORDS, ALPHA_WORDS)}
 
 
 @dataclass
@@ -113,7 +115,7 @@ def split_words(data: np.ndarray, rows: np.ndarray, kind: str, first: int = 0) -
     right[-1] = True
     right[:-1] = ~word[1:]
     ends = np.flatnonzero(word & (right | cut[1:])) + 1
-    if kind == LETTER_WORDS:  # Latin-1 capitals: C3 80-9E but 97, to C3 A0-BE
+    if kind in (LETTER_WORDS, ALPHA_WORDS):  # Latin-1 capitals: C3 80-9E but 97, to C3 A0-BE
         high = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
         if len(high):
             data_low = data.copy()
