@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, pii, token_files
+from . import decontaminate, html_text, language, pii, token_files
 from .common import shared_dir, table
 
 VOCABULARY = public_tokenizers.path  # place of a public vocabulary file
@@ -23,6 +23,11 @@ def op4_language(spark: SparkSession, sf_dir: str, vocabulary_file: str = VOCABU
     return language.identify(docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text"), model).drop("text")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_language": op4_language,
+    "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
     "op7_token_files": op7_token_files,
     "op10_decontaminate": op10_decontaminate,
