@@ -10,12 +10,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, pii, token_files
+from . import decontaminate, html_text, language, pii, spotsigs, token_files
 from .common import shared_dir, table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 VOCABULARY = public_tokenizers.path  # place of a public vocabulary file
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str, vocabulary_file: str = VOCABULARY("piece_bpe_32k.model")) -> DataFrame:
     """Learns from the labelled rows outside the held-out fifth; predicts every row."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
@@ -43,6 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_spotsigs": op2_spotsigs,
     "op4_language": op4_language,
     "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
@@ -50,4 +56,4 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
