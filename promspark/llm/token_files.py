@@ -9,9 +9,10 @@ tokenizer, and written as one Parquet file per partition:
 * row groups and pages have bounded sizes and page indexes are written, so a
   read of a key range skips row groups and pages.
 
-White space separates the words of this tokenizer, so the ids of a text are
-those of its words one after another; each task encodes a distinct word once
-and keeps a bounded cache.
+White space separates the words of this tokenizer, and a run of letters ends
+where another character follows, so the ids of a text are those of its words
+one after another; each task encodes a distinct word once and keeps a bounded
+cache.
 
 Rules: a null or empty text has only the end id.  Rows with the same key keep
 one row each, ordered by the hash of their text.  A null key sorts first.  An
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,54 +31,76 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import RAW_WORDS, chunks
+from .words import UNIT_WORDS, chunks
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000  # about 40 MB
 
 
 class WordEncoder:
-    """Ids of words by hash: each distinct word is encoded once while it stays in the cache."""
+    """Ids of words by hash: each distinct word is encoded once while it stays in the cache.
+
+    A word of ASCII letters is its own unit for the vocabulary's splitting rule,
+    whatever its neighbours, so many of them go through the library as one text
+    that is split at spaces only; other words are encoded one by one."""
 
     def __init__(self, tokenizer_file: str, end_id: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encode = Tokenizer.from_file(tokenizer_file).encode_batch_fast
+        plain = Tokenizer.from_file(tokenizer_file)
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.encode_plain = plain.encode_batch  # with the word of each id
         self.end_id = end_id
         self.clear()
 
     def clear(self) -> None:
         """Only the end id, as entry 0."""
-        self.entry: dict[int, int] = {}
-        self.ids, self.bounds = [np.array([self.end_id], np.int32)], [np.array([0, 1], np.int64)]
-        self.count, self.total = 1, 1
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.bounds = np.array([self.end_id], np.int32), np.array([0, 1], np.int64)
+
+    def encode_words(self, texts: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids per word)."""
+        plain = np.fromiter((t.isascii() and t.isalpha() for t in texts), bool, len(texts))
+        easy = [t.lower() for t, p in zip(texts, plain) if p]
+        groups = self.encode_plain([" ".join(easy[k:k + together]) for k in range(0, len(easy), together)], add_special_tokens=False)
+        hard = self.encode([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
+        sizes = np.zeros(len(texts), np.int64)
+        own = [np.bincount(np.array(g.word_ids, np.int64)) for g in groups]
+        sizes[plain] = np.concatenate(own) if own else 0
+        sizes[~plain] = np.fromiter((len(e.ids) for e in hard), np.int64, len(hard))
+        out = np.zeros(int(sizes.sum()), np.int32)
+        at = np.repeat(plain, sizes)
+        out[at] = np.fromiter(chain.from_iterable(g.ids for g in groups), np.int32, int(at.sum()))
+        out[~at] = np.fromiter(chain.from_iterable(e.ids for e in hard), np.int32, int((~at).sum()))
+        return out, sizes
 
     def entries(self, words) -> np.ndarray:
         """The cache entry of every word of a chunk; encodes those not seen before."""
         unique, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if self.count + len(unique) > CACHE_WORDS:
+        if len(self.keys) + len(unique) > CACHE_WORDS:
             self.clear()
-        keys = unique.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.entry]
-        if new:
+        at = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == unique[at < len(self.keys)]
+        entry = np.zeros(len(unique), np.int64)
+        entry[known] = self.entry[at[known]]
+        if not known.all():
             data = words.data.tobytes()
-            texts = [data[words.starts[i]:words.ends[i]].decode("utf-8") for i in first[new]]
-            ids = [e.ids for e in self.encode(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.ids.append(np.fromiter((x for e in ids for x in e), np.int32, int(sizes.sum())))
-            self.bounds.append(self.total + np.cumsum(sizes))
-            self.entry.update(zip((keys[k] for k in new), range(self.count, self.count + len(new))))
-            self.count, self.total = self.count + len(new), self.total + int(sizes.sum())
-        at = np.fromiter((self.entry[h] for h in keys), np.int64, len(keys))
-        return at[inverse.reshape(-1)]
+            a, b = words.starts[first[~known]].tolist(), words.ends[first[~known]].tolist()
+            ids, sizes = self.encode_words([data[i:j].decode("utf-8") for i, j in zip(a, b)])
+            entry[~known] = len(self.bounds) - 1 + np.arange(len(sizes))
+            self.bounds = np.concatenate([self.bounds, len(self.ids) + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.keys, self.entry = np.insert(self.keys, at[~known], unique[~known]), np.insert(self.entry, at[~known], entry[~known])
+        return entry[inverse.reshape(-1)]
 
     def encoded(self, words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the rows, n + 1 offsets); each row ends with the end id."""
         entry = np.insert(self.entries(words), words.offsets[1:], 0)
-        self.ids, self.bounds = [np.concatenate(self.ids)], [np.concatenate(self.bounds)]
-        ids, bounds = self.ids[0], self.bounds[0]
+        ids, bounds = self.ids, self.bounds
         size = bounds[entry + 1] - bounds[entry]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -85,13 +109,23 @@ class WordEncoder:
         return out, np.concatenate([[0], ends[last]])
 
 
+def _of_this_worker(tokenizer_file: str, end_id: int) -> WordEncoder:
+    """One encoder per Python worker and file, so that the tasks a worker runs one after another share its cache."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_promspark_word_encoders", {})
+    if (tokenizer_file, end_id) not in kept:
+        kept[tokenizer_file, end_id] = WordEncoder(tokenizer_file, end_id)
+    return kept[tokenizer_file, end_id]
+
+
 def _encoder(tokenizer_file: str, end_id: int, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_file, end_id)
+        encoder = _of_this_worker(tokenizer_file, end_id)
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys = batch.column(0)
-            for words in chunks(batch.column(1), RAW_WORDS):
+            for words in chunks(batch.column(1), UNIT_WORDS):
                 ids, offsets = encoder.encoded(words)
                 n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays([
@@ -113,7 +147,7 @@ def write(df: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, key: s
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.mapInArrow(_encoder(tokenizer_file, end_id, key), f"`{key}` {kind}, part int, local_start bigint, n_tokens bigint, ids array<int>")
     rows.write.options(**{
-        "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(row_group_bytes),
+        "compression": "snappy", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(row_group_bytes),
         "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows),
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),
     }).parquet(path)

@@ -15,7 +15,10 @@ Four alphabets:
   characters, lower-cased for A-Z and Latin-1 capitals, so punctuation, case
   and white space do not tell two passages apart;
 * ``ALPHA_WORDS``: the same without digits;
-* ``RAW_WORDS``: as ``SPACE_WORDS`` with the case kept.
+* ``UNIT_WORDS``: as ``SPACE_WORDS``, cut too where an ASCII letter is followed
+  by another ASCII character (but ``|``).  A chunk that holds ``<|``, which
+  begins the special tokens of public vocabularies, keeps its words whole and
+  their case.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
-SPACE_WORDS, LETTER_WORDS, RAW_WORDS, ALPHA_WORDS = "space", "letter", "raw", "alpha"
+SPACE_WORDS, LETTER_WORDS, UNIT_WORDS, ALPHA_WORDS = "space", "letter", "unit", "alpha"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -50,11 +53,14 @@ def _tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
         inside = (b >= 128) | ((b >= 48) & (b <= 57) & (kind == LETTER_WORDS)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
     else:
         inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    low = b if kind == RAW_WORDS else np.where((b >= 65) & (b <= 90), b + 32, b)
+    low = np.where((b >= 65) & (b <= 90), b + 32, b)
     return inside, np.where(inside, _BYTE[low], np.uint64(0))
 
 
-_TABLES = {k: _tables(k) for k in (SPACE_WORDS, LETTER_WORDS, RAW_WORDS, ALPHA_WORDS)}
+_LETTER = np.isin(np.arange(256) | 0x20, np.arange(97, 123)) & (np.arange(256) < 128)
+_CUTS = ~_LETTER & (np.arange(256) < 128) & (np.arange(256) != ord("|"))
+_SALT = np.uint64(0xA0761D6478BD642F)
+_TABLES = {k: _tables(k) for k in (SPACE_WORDS, LETTER_WORDS, UNIT_WORDS, ALPHA_WORDS)}
 
 
 @dataclass
@@ -107,6 +113,9 @@ def split_words(data: np.ndarray, rows: np.ndarray, kind: str, first: int = 0) -
     cut[rows[:-1]] = True
     cut[size] = True
     word = inside[data]
+    special = kind == UNIT_WORDS and b"<|" in data.tobytes()
+    if kind == UNIT_WORDS and not special:
+        cut[1:-1] |= _LETTER[data[:-1]] & _CUTS[data[1:]]
     left = np.empty(size, bool)
     left[0] = True
     left[1:] = ~word[:-1]
@@ -124,7 +133,7 @@ def split_words(data: np.ndarray, rows: np.ndarray, kind: str, first: int = 0) -
         else:
             val = value[data]
     else:
-        val = value[data]
+        val = np.where(word, _BYTE[data], np.uint64(0)) if special else value[data]
     if len(starts):
         at = np.repeat(starts, np.diff(np.append(starts, size)))
         at = np.arange(starts[0], size) - at  # place within the word (or behind it, where val is 0)
@@ -132,6 +141,7 @@ def split_words(data: np.ndarray, rows: np.ndarray, kind: str, first: int = 0) -
         if len(at) > 65536 and at.max() > 65535:
             v *= (at >> 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         hashes = mix(np.add.reduceat(v, starts - starts[0]) + (ends - starts).astype(np.uint64))
+        hashes = hashes ^ _SALT if special else hashes
     else:
         hashes = np.zeros(0, np.uint64)
     return Words(first, hashes, starts, ends, np.searchsorted(starts, rows), data, rows)
