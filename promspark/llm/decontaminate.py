@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bitmap, probe
 from .common import written
 from .words import _ODD, LETTER_WORDS, Words, chunks, mix
 
 WINDOW, MIN_WORDS, SIMILARITY = 13, 8, 0.8
-BITS_PER_SEED, LEAST_BITS, MOST_BITS, PROBES = 32, 1 << 22, 1 << 27, 3
 
 
 def need(window: int, similarity: float) -> int:
@@ -110,31 +110,6 @@ def _item_seeds(window: int, min_words: int, similarity: float):
     return run
 
 
-def bitmap(table: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """(bits of the seeds, window sizes in use); at most MOST_BITS whatever the benchmark's size."""
-    said = table.groupBy("size").count().collect()
-    count = sum(r["count"] for r in said)
-    bits = LEAST_BITS
-    while bits < MOST_BITS and bits < BITS_PER_SEED * count:
-        bits *= 2
-    probes = F.array(*[F.shiftrightunsigned("seed", 20 * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)])
-    places = table.select(F.explode(probes).alias("p"))
-    cells = places.groupBy(F.shiftright("p", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    out = np.zeros(bits // 64, np.int64)
-    got = cells.toArrow()  # a row per 64 bits at most
-    out[got.column("cell").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(np.uint8), sorted(r["size"] for r in said)
-
-
-def _probe(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Indexes of the values that may be in the bitmap."""
-    last, kept = np.uint64(len(bits) * 8 - 1), np.arange(len(values))
-    for k in range(PROBES):
-        p = (values[kept] >> np.uint64(20 * k)) & last
-        kept = kept[(bits[(p >> np.uint64(3)).view(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-    return kept
-
-
 def _document_hits(bits: np.ndarray, sizes: list[int], similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +118,7 @@ def _document_hits(bits: np.ndarray, sizes: list[int], similarity: float):
                 for size in sizes:
                     at, each = seeds(w, size, similarity)
                     for s in each:
-                        k = _probe(bits, s)
+                        k = probe(bits, s)
                         found.append(s[k])
                         places.append(at[k])
                 found, places = np.concatenate(found), np.concatenate(places)
@@ -208,7 +183,9 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     items = written(_item_words(benchmark, item, item_text).where(F.size("words") >= min_words).groupBy("words").agg(F.min("item_id").alias("item_id")))
     table = written(items.select("item_id", "words").mapInArrow(
         _item_seeds(window, min_words, similarity), f"seed bigint, item_id {item_type}, place int, size int").distinct())
-    bits, sizes = bitmap(table)
+    said = table.groupBy("size").count().collect()
+    sizes = sorted(r["size"] for r in said)
+    bits = bitmap(table, "seed", sum(r["count"] for r in said))
 
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     hits = rows.mapInArrow(_document_hits(bits, sizes, similarity), f"doc_id {key_type}, words array<bigint>, seeds array<bigint>, places array<int>")

@@ -30,4 +30,17 @@ SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '|
 FROM sizes
 """
 
-ORACLE_SQL = {"op2_spotsigs": OP2}
+OP9 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN unnest(generate_series(1, len(w) - 2)) ELSE 1 END AS i, w FROM w WHERE len(w) >= 3
+         UNION ALL SELECT doc_id, 1, w FROM w WHERE len(w) BETWEEN 1 AND 2),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM runs),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(reach.b) AS component_id
+FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+ORACLE_SQL = {"op2_spotsigs": OP2, "op9_ngram_join": OP9}

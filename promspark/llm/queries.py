@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, pii, spotsigs, token_files
+from . import decontaminate, html_text, language, ngram_join, pii, spotsigs, token_files
 from .common import shared_dir, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -43,6 +43,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str = VOCA
     return token_files.digest(spark, path)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
     "op7_token_files": op7_token_files,
+    "op9_ngram_join": op9_ngram_join,
     "op10_decontaminate": op10_decontaminate,
 }
 
