@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, ngram_join, pii, spotsigs, token_files
+from . import decontaminate, html_text, language, ngram_join, piece_lattice, pii, spotsigs, token_files
 from .common import shared_dir, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -21,6 +21,10 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_piece_lattice(spark: SparkSession, sf_dir: str, model_file: str = VOCABULARY("piece_bpe_32k.model")) -> DataFrame:
+    return piece_lattice.encode(table(spark, sf_dir, "documents"), piece_lattice.load(model_file), ids=False)
+
+
 def op4_language(spark: SparkSession, sf_dir: str, vocabulary_file: str = VOCABULARY("piece_bpe_32k.model")) -> DataFrame:
     """Learns from the labelled rows outside the held-out fifth; predicts every row."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
@@ -53,6 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_spotsigs": op2_spotsigs,
+    "op3_piece_lattice": op3_piece_lattice,
     "op4_language": op4_language,
     "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
