@@ -43,4 +43,9 @@ SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(reach.b) AS
 FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE_SQL = {"op2_spotsigs": OP2, "op9_ngram_join": OP9}
+OP8 = r"""
+SELECT page_id, url, 'b' AS damaged, sha256(html) AS sha256_a, sha256(CASE WHEN html LIKE 'X%' THEN 'Y' ELSE 'X' END || substr(html, 2)) AS sha256_b
+FROM pages WHERE ((page_id % 97) + 97) % 97 = 13 AND regexp_matches(html, '^[\x00-\x7F]')
+"""
+
+ORACLE_SQL = {"op2_spotsigs": OP2, "op8_warc_audit": OP8, "op9_ngram_join": OP9}

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, ngram_join, piece_lattice, pii, spotsigs, token_files
+from . import decontaminate, html_text, language, ngram_join, piece_lattice, pii, spotsigs, token_files, warc_audit
 from .common import shared_dir, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -47,6 +47,22 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str = VOCA
     return token_files.digest(spark, path)
 
 
+def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as two replicas, of which the second is damaged in the first byte of the payload of
+    each page whose id has remainder 13 by 97 (pages that begin with an ASCII character), and audits all
+    their records."""
+    pages = table(spark, sf_dir, "pages")
+    hit = (F.pmod("page_id", F.lit(97)) == 13) & F.col("html").rlike(r"^[\x00-\x7F]")
+    good = warc_audit.records(pages.withColumn("hit", hit), keep=["hit"])
+    bad = F.when(F.col("hit"), F.overlay("record", F.when(F.substring("payload", 1, 1) == "X", "Y").otherwise("X"), F.col("payload_at"), F.lit(1))).otherwise(F.col("record"))
+    places = [shared_dir(spark), shared_dir(spark)]
+    warc_audit.write(good.select("record"), places[0])
+    warc_audit.write(good.select(bad.alias("record")), places[1])
+    found = warc_audit.audit(*(warc_audit.leaves(spark, p) for p in places))
+    page = F.regexp_extract("record_id_a", r"^<urn:page_id:(-?\d+)>$", 1).cast("long")
+    return found.select(page.alias("page_id"), F.col("uri_a").alias("url"), "damaged", F.col("payload_a").alias("sha256_a"), F.col("payload_b").alias("sha256_b"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -62,6 +78,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
     "op7_token_files": op7_token_files,
+    "op8_warc_audit": op8_warc_audit,
     "op9_ngram_join": op9_ngram_join,
     "op10_decontaminate": op10_decontaminate,
 }
