@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import written
@@ -83,14 +83,13 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "signatures") ->
     return df.withColumn(out, signatures(F.col(f"`{text}`")))
 
 
-def with_next(df: DataFrame, key: str, carried: list[str], groups: int | None = None) -> DataFrame:
-    """``df`` with a struct ``next`` of the carried columns of the row that follows in descending
-    order of an integer key (null keys last, equal keys by hash of the carried columns); after the
-    last row comes the first.
+def in_order(df: DataFrame, key: str, groups: int | None = None) -> tuple[DataFrame, WindowSpec]:
+    """Rows in descending order of an integer key (null keys last, equal keys by hash of the row), and
+    the window in which ``lead`` finds the row that follows; after the last row comes the first.
 
     Rows go to groups of neighbouring keys, and each group is sorted on its own; the first row of the
-    group that follows is added to it as a last row.  To the driver come the bounds and one key per
-    group."""
+    group that follows is added to it as a last row, marked ``added``: drop those rows when done.  To
+    the driver come the bounds and one key per group."""
     spark = df.sparkSession
     groups = groups or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.coalesce(F.col(key), F.lit(-(1 << 63)))
@@ -99,32 +98,34 @@ def with_next(df: DataFrame, key: str, carried: list[str], groups: int | None =
     bounds = sorted(set((keys.agg(F.percentile_approx("order", shares, F.lit(100 * groups))).first()[0] or []) if groups > 1 else []))
     group = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("order"))) if bounds else F.lit(0)
     first = {r[0]: r[1] for r in keys.groupBy(group.alias("group")).agg(F.max("order")).collect()}
-    rows = df.withColumn("order", order).withColumn("tie", F.xxhash64(*carried)).withColumn("group", group).withColumn("added", F.lit(False))
+    rows = df.withColumn("order", order).withColumn("tie", F.xxhash64(*df.columns)).withColumn("group", group).withColumn("added", F.lit(False))
+    window = Window.partitionBy("group").orderBy("added", F.desc("order"), "tie")
     if not first:
-        return rows.withColumn("next", F.struct(*carried)).drop("order", "tie", "group", "added")
+        return rows, window
     used = sorted(first)  # the group below comes next; below the last, the top one
     above = {first[used[k - 1]]: g for k, g in enumerate(used)}
     ahead = rows.where(F.col("order").isin(*above)).groupBy("order").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "order")), "tie").alias("r"))
     ahead = ahead.select("order", "r.*")
     goes = F.create_map(*(F.lit(x) for pair in above.items() for x in pair))
     ahead = ahead.withColumn("group", goes[F.col("order")]).withColumn("added", F.lit(True))
-    w = Window.partitionBy("group").orderBy("added", F.desc("order"), "tie")
-    both = rows.unionByName(ahead.select(*rows.columns)).withColumn("next", F.lead(F.struct(*carried)).over(w))
-    return both.where(~F.col("added")).drop("order", "tie", "group", "added")
+    return rows.unionByName(ahead.select(*rows.columns)), window
 
 
 def edited_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: its fingerprint, that of its edited text (the last half replaced by the begin of the
-    next document) and the likenesses to the edited text and to the next document."""
-    rows = docs.select(F.col(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = with_next(fingerprints(rows, "text", "own"), key, ["text", "own"])
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+    next document) and the likenesses to the edited text and to the next document.
+
+    Only keys and texts are shuffled, once; signatures are made behind the shuffle."""
+    rows, window = in_order(docs.select(F.col(key).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "key")
+    place = ["key", "order", "tie", "group", "added"]
+    rows = rows.withColumn("ahead", F.lead("text").over(window)).withColumn("n_chars", F.char_length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = rows.select(key, "n_chars", "own", F.col("next.own").alias("next"),
-                       F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next.text", F.lit(1), half)).alias("edited"))
-    rows = rows.select(key, "n_chars", "own", "next", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("changed"))
-    return rows.select(key, "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-                       likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+    rows = rows.select(*place, "n_chars", "text", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("ahead", F.lit(1), half)).alias("edited"))
+    rows = rows.select(*place, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("changed"))
+    rows = rows.withColumn("ahead", F.lead("own").over(window)).where(~F.col("added"))
+    return rows.select(F.col("key").alias(key), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+                       fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
+                       likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("ahead")).alias("near_next"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

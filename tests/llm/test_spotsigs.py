@@ -51,12 +51,13 @@ def test_next_row_over_groups_ties_and_nulls(spark, docs):
     rng = random.Random(3)
     ids = [rng.randint(-50, 50) for _ in range(300)] + [None, None]
     df = docs([f"t{k}" for k in range(len(ids))], ids=ids).select("doc_id", "text")
-    rows = [(r.doc_id, r.text, r.h) for r in df.withColumn("h", spotsigs.F.xxhash64("text")).collect()]
+    rows = [(r.doc_id, r.text, r.h) for r in df.withColumn("h", spotsigs.F.xxhash64("doc_id", "text")).collect()]
     rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
     want = {r[1]: rows[(k + 1) % len(rows)][1] for k, r in enumerate(rows)}
     for groups in (1, 7, 40):
-        got = spotsigs.with_next(df, "doc_id", ["text"], groups).collect()
-        assert {r.text: r.next.text for r in got} == want and len(got) == len(ids)
+        rows, window = spotsigs.in_order(df, "doc_id", groups)
+        got = rows.withColumn("next", spotsigs.F.lead("text").over(window)).where("not added").collect()
+        assert {r.text: r.next for r in got} == want and len(got) == len(ids)
 
 
 def test_near_duplicates_against_brute_force(spark, docs):
