@@ -10,13 +10,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, ngram_join, piece_lattice, pii, spotsigs, token_files, warc_audit
+from . import decontaminate, html_text, language, ngram_join, passages, piece_lattice, pii, spotsigs, token_files, warc_audit
 from .common import shared_dir, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
 VOCABULARY = public_tokenizers.path  # place of a public vocabulary file
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_digest(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_passages": op1_passages,
     "op2_spotsigs": op2_spotsigs,
     "op3_piece_lattice": op3_piece_lattice,
     "op4_language": op4_language,
