@@ -13,7 +13,8 @@ fewer words has its whole sequence as its one element.  Documents link when
    come last by their count, the rest by hash.
 3. A list is read in blocks.  The position tells how many elements two sets
    can share at most, so blocks that cannot hold a partner are skipped, and a
-   parity bitmap of each set bounds the difference from below.
+   short parity bitmap of each set bounds the difference from below; a longer
+   one does so again for the pairs that are left.
 4. Answers come from similar sets: the first set of a list is compared with
    the others, those that may link with it are answered by it and not
    compared again.  Verified on the whole sets, such links join sets to
@@ -90,6 +91,34 @@ def parity(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(out)
 
 
+def wide_parity(elements: np.ndarray) -> bytes:
+    """As many parity bits as a set has elements, rounded up to a power of two; see ``folded``."""
+    bits = 1 << min(20, max(7, (len(elements) - 1).bit_length()))
+    return np.packbits((np.bincount((elements & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parity bits of a set at a smaller size: bits that fall together are added."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def _near_enough(percent: int):
+    """Drops the pairs (a, b, n and wide parity of both) whose parities differ at more bits than linked sets may."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = both - 2 * ((percent * both + 99 + percent) // (100 + percent))
+            kept = []
+            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                size = min(len(x), len(y))
+                if int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= most[k]:
+                    kept.append(k)
+            take = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["a", "b"])
+    return run
+
+
 def _partial_counts(n: int):
     """Rows (bucket, counts by upper half, lower halves) of the 32-bit hashes of all sets' elements."""
     span = 1 << (16 - BUCKET_BITS)
@@ -187,12 +216,14 @@ def _indexed(n: int, percent: int, hashes: np.ndarray, levels: np.ndarray):
                 h1, h2 = digests(flat, offsets)
                 level = order(flat)
                 rare = _sums((level > 0).astype(np.int64), offsets) == 0
-                first, new = [], []
+                first, new, wide = [], [], []
                 for k, key in enumerate(zip(h1.tolist(), h2.tolist())):
                     new.append(sizes[k] > 0 and key not in seen)
+                    wide.append(None)
                     if new[-1]:
                         seen.add(key)
                         a, b = offsets[k], offsets[k + 1]
+                        wide[-1] = wide_parity(flat[a:b])
                         take = sizes[k] - (percent * sizes[k] + 99) // 100 + 1
                         first.append(flat[a:a + take] if rare[k] else flat[a + np.argsort(level[a:b], kind="stable")[:take]])
                 if len(seen) > SEEN:
@@ -202,8 +233,8 @@ def _indexed(n: int, percent: int, hashes: np.ndarray, levels: np.ndarray):
                 new = np.array(new, bool)
                 place = pa.array(np.cumsum(new) - 1, mask=~new)
                 b0, b1 = parity(flat, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n), *map(pa.array, (sizes.astype(np.int64), h1, h2, b0, b1)), lists.take(place)],
-                                                 names=["doc_id", "n", "h1", "h2", "b0", "b1", "first"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n), *map(pa.array, (sizes.astype(np.int64), h1, h2, b0, b1)), pa.array(wide, pa.binary()), lists.take(place)],
+                                                 names=["doc_id", "n", "h1", "h2", "b0", "b1", "wide", "first"])
     return run
 
 
@@ -348,6 +379,9 @@ def _verified(percent: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that link, compared on their whole sets."""
+    x, y = (sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}")) for s in "ab")
+    near = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+    pairs = written(near.mapInArrow(_near_enough(percent), "a bigint, b bigint"))
     named = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sid").join(sets.select("sid", "h1", "h2"), "sid"))
     bits = bitmap(named, "h1", named.count())
     whole = texts.mapInArrow(_named_sets(n, bits), "h1 bigint, h2 bigint, elements binary").dropDuplicates(["h1", "h2"])
@@ -362,8 +396,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, p
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     texts = rows.select("text")
     hashes, levels = frequent(texts, n)
-    each = written(rows.mapInArrow(_indexed(n, percent, hashes, levels), "doc_id bigint, n bigint, h1 bigint, h2 bigint, b0 bigint, b1 bigint, first array<bigint>"))
-    sets = each.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *(F.max(c).alias(c) for c in ("n", "b0", "b1")), F.first("first", True).alias("first"))
+    each = written(rows.mapInArrow(_indexed(n, percent, hashes, levels), "doc_id bigint, n bigint, h1 bigint, h2 bigint, b0 bigint, b1 bigint, wide binary, first array<bigint>"))
+    sets = each.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *(F.max(c).alias(c) for c in ("n", "b0", "b1")),
+                                                            *(F.first(c, True).alias(c) for c in ("wide", "first")))
     sets = written(sets.withColumn("sid", F.monotonically_increasing_id()))
 
     found = written(_list_table(sets.withColumn("label", F.col("sid"))).mapInArrow(_list_pairs(percent, False), "a bigint, b bigint").distinct())
