@@ -1,9 +1,9 @@
 """Operator 3: SentencePiece encoding and decoding by a relational word lattice.
 
 A text is "space + text" with spaces as the mark U+2581, as in SentencePiece.
-It is cut into words: before each run of marks, and around characters that
-stand in no longer piece.  No piece crosses such a cut, so the best
-segmentation of a text is that of its words.
+It is cut into words wherever two neighbouring ASCII characters (or marks)
+stand side by side in no piece, such as before a mark or a new line.  No piece
+crosses such a cut, so the best segmentation of a text is that of its words.
 
 1. Documents are read in packs (consecutive rows up to ``PACK_BYTES``), each
    with its list of distinct words.
@@ -39,18 +39,30 @@ from pyspark.sql import functions as F
 from .spotsigs import let
 from .words import _BYTE, _POWERS, mix, string_buffers
 
-PACK_BYTES, CHUNK_BYTES, RUN = 32 << 20, 2 << 20, 256
-UNKNOWN_COST, BROADCAST_PIECES = 10, 1_000_000
+PACK_BYTES, CHUNK_BYTES, RUN, GROUPS, MERGED = 64 << 20, 2 << 20, 256, 6, 3
+UNKNOWN_COST, BROADCAST_PIECES, ID_ZERO = 10, 1_000_000, 1 << 31
 MARK = "▁"
 
 
 @dataclass
 class Pieces:
-    """A piece table: rows (piece, id, score), the ids of bytes, and the bytes that end a word."""
+    """A piece table: rows (piece, id, score) and the ids of bytes."""
 
     rows: list[tuple[str, int, int]]
     byte_ids: np.ndarray
-    cuts: np.ndarray  # 256 flags
+
+    @property
+    def cuts(self) -> np.ndarray:
+        """Per pair of bytes (256 * first + second): True if a text is cut between them."""
+        out = np.zeros((256, 256), bool)
+        out[:128, :128] = True
+        for p, _, _ in self.rows:
+            p = p.replace(MARK, " ")
+            for x, y in zip(p, p[1:]):
+                if x < "\x80" and y < "\x80":
+                    out[ord(x), ord(y)] = False
+        out[128:, 32] = True  # a mark only begins a piece
+        return out.reshape(-1)
 
     @property
     def longest(self) -> int:
@@ -85,8 +97,7 @@ def load(model_file: str) -> Pieces:
     byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
     if any(MARK in p.lstrip(MARK) for p, _, _ in rows):
         raise ValueError("a piece of this model goes on over white space; its words cannot be cut there")
-    inside = set("".join(p for p, _, _ in rows if len(p) > 1))
-    return Pieces(rows, byte_ids, np.array([b < 128 and b != 32 and chr(b) not in inside for b in range(256)]))
+    return Pieces(rows, byte_ids)
 
 
 class Numbers:
@@ -115,8 +126,7 @@ def cut_words(data: np.ndarray, rows: np.ndarray, cuts: np.ndarray) -> tuple[np.
     """(word begins, hashes, word offsets by row) of rows that lie one after another; words cover all bytes."""
     start = np.zeros(len(data) + 1, bool)
     start[rows] = True
-    space = data == 32
-    start[1:-1] |= (space[1:] & ~space[:-1]) | cuts[data[1:]] | cuts[data[:-1]]
+    start[1:-1] |= cuts[(data[:-1].astype(np.uint16) << 8) | data[1:]]
     begins = np.flatnonzero(start[:-1])
     at = np.arange(len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data))))
     v = _BYTE[data] * _POWERS[at & 0xFFFF] * ((at >> 16).astype(np.uint64) * np.uint64(2) + np.uint64(1))
@@ -139,7 +149,7 @@ def _packs(cuts: np.ndarray, words: bool):
         if words:
             for a, texts in pack["words"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), name)), pa.array((a + np.arange(len(texts))).astype(np.int32)),
-                                                  pa.array(keys[a:a + len(texts)].view(np.int64)), pa.array(texts, pa.string())], names=["pack", "number", "h", "word"])
+                                                  pa.array(texts, pa.string())], names=["pack", "number", "word"])
         else:
             for ids, counts, crc, blob in pack["rows"]:
                 one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
@@ -185,39 +195,40 @@ def _push(run: Column, done: Column, x: Column) -> tuple[Column, Column]:
 
 
 def viterbi(edges: Column, length: Column, longest: int) -> Column:
-    """The ids of the best path over edges (e, s, score, id), sorted by end and start; every end has one."""
-    back_type, score_type = "array<struct<s:int,id:int>>", "array<bigint>"
-    start = F.struct(F.lit(0).alias("at"), F.struct(F.lit(0).cast("long").alias("score"), F.lit(0).alias("s"), F.lit(-1).alias("id")).alias("top"),
-                     F.array().cast(score_type).alias("best"), F.array().cast(back_type).alias("run"), F.array().cast(f"array<{back_type}>").alias("done"))
+    """The ids of the best path over edges (e, s, score, via), sorted by end and start; every end has one.
+    ``via`` is the edge's start and id in one number, see ``segmented``.
 
-    def step(state: Column, edge: Column) -> Column:
-        fresh = edge["e"] > state["at"]
-        kept = F.slice(state["best"], F.greatest(F.size(state["best"]) - longest + 2, F.lit(1)), longest - 1) if longest > 1 else F.array().cast(score_type)
-        best = F.when(fresh, F.concat(kept, F.array(state["top"]["score"]))).otherwise(state["best"])
+    The state has the end in work with its best score and edge, the best scores of the ``longest`` ends
+    before it, and the best edges of all ends before it."""
+    none, parts = F.array().cast("array<bigint>"), F.array().cast("array<array<bigint>>")
+    zero = F.lit(0).cast("long")
 
-        def moved(b: Column) -> Column:
-            new = F.struct((F.get(b, F.size(b) - (edge["e"] - edge["s"])) + edge["score"]).alias("score"), (-edge["s"]).alias("s"), edge["id"].alias("id"))
-            run, done = _push(state["run"], state["done"], F.struct((-state["top"]["s"]).alias("s"), state["top"]["id"].alias("id")))
-            return F.struct(edge["e"].alias("at"), F.when(fresh, new).otherwise(F.greatest(state["top"], new)).alias("top"), b.alias("best"),
-                            F.when(fresh, run).otherwise(state["run"]).alias("run"), F.when(fresh, done).otherwise(state["done"]).alias("done"))
+    def state_of(at, top, via, best, run, done) -> Column:
+        return F.struct(at.alias("at"), top.alias("top"), via.alias("via"), best.alias("best"), run.alias("run"), done.alias("done"))
 
-        return let(best, moved)
+    def step(state: Column, edge: Column) -> Column:
+        top, best, back = state["top"], state["best"], edge["e"] - edge["s"]
+        kept = F.when(F.size(best) < longest, best).otherwise(F.slice(best, 2, longest - 1)) if longest > 1 else none
+        first = F.when(back == 1, top).otherwise(F.get(best, F.size(best) - back + 1)) + edge["score"]
+        next_ = F.get(best, F.size(best) - back) + edge["score"]
+        return F.when(edge["e"] > state["at"], state_of(edge["e"], first, edge["via"], F.concat(kept, F.array(top)), *_push(state["run"], state["done"], state["via"]))).when(
+            next_ > top, state_of(state["at"], next_, edge["via"], best, state["run"], state["done"])).otherwise(state)
 
     def ended(state: Column) -> Column:
-        return F.flatten(F.concat(state["done"], F.array(F.concat(state["run"], F.array(F.struct((-state["top"]["s"]).alias("s"), state["top"]["id"].alias("id")))))))
+        return F.flatten(F.concat(state["done"], F.array(F.concat(state["run"], F.array(state["via"])))))
 
-    ids_type = "array<int>"
-    walk_start = F.struct(length.alias("at"), F.array().cast(ids_type).alias("run"), F.array().cast(f"array<{ids_type}>").alias("done"))
+    ids, id_parts = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    walk_start = F.struct(length.alias("at"), ids.alias("run"), id_parts.alias("done"))
 
     def walk(back: Column) -> Column:
         def one(state: Column, place: Column) -> Column:
             here = F.get(back, place)
-            run, done = _push(state["run"], state["done"], here["id"])
-            return F.when(place == state["at"], F.struct(here["s"].alias("at"), run.alias("run"), done.alias("done"))).otherwise(state)
+            run, done = _push(state["run"], state["done"], (here.bitwiseAND(F.lit(0xFFFFFFFF)) - ID_ZERO).cast("int"))
+            return F.when(place == state["at"], F.struct(F.shiftright(here, 32).cast("int").alias("at"), run.alias("run"), done.alias("done"))).otherwise(state)
 
         return F.aggregate(F.sequence(length, F.lit(1), F.lit(-1)), walk_start, one, lambda s: F.reverse(F.flatten(F.concat(s["done"], F.array(s["run"])))))
 
-    return let(F.aggregate(edges, start, step, ended), walk)
+    return let(F.aggregate(edges, state_of(F.lit(0), zero, zero, none, none, parts), step, ended), walk)
 
 
 def segmented(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -233,9 +244,10 @@ def segmented(words: DataFrame, pieces: Pieces) -> DataFrame:
     rows = rows.join(pieces.table(spark), "piece", "left").where((F.col("n") == 1) | F.col("id").isNotNull())
     # a character that is no piece: minus its code point, replaced by its bytes' ids in the end
     code = F.conv(F.hex(F.encode("piece", "utf-32")), 16, 10).cast("int")
-    edge = F.struct((F.col("s") + F.col("n")).alias("e"), F.col("s"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"), F.coalesce("id", -code - 1).alias("id"))
+    edge = F.struct((F.col("s") + F.col("n")).alias("e"), F.col("s"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
+                    (F.shiftleft(F.col("s").cast("long"), 32) + F.coalesce("id", -code - 1) + ID_ZERO).alias("via"))
     grouped = rows.groupBy("h").agg(F.collect_list(edge).alias("edges"), F.max("length").alias("length"), F.flatten(F.collect_list("uses")).alias("uses"))
-    grouped = grouped.select("h", "uses", "length", F.array_sort("edges").alias("edges"))
+    grouped = grouped.select("h", "uses", "length", F.sort_array("edges").alias("edges"))
     return grouped.select("h", "uses", viterbi(F.col("edges"), F.col("length"), longest).alias("ids"))
 
 
@@ -250,7 +262,7 @@ def _put_together(byte_ids: np.ndarray, decoded: tuple[np.ndarray, np.ndarray],
     def run(words: pa.Table, rows: pa.Table) -> pa.Table:
         import zstandard
 
-        words, ids = words.combine_chunks(), []
+        words, size = words.combine_chunks(), np.zeros(0, np.int64)
         if words.num_rows:
             number, lists = words.column("number").to_numpy(), words.column("ids").combine_chunks()
             value, off = lists.values.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
@@ -272,6 +284,8 @@ def _put_together(byte_ids: np.ndarray, decoded: tuple[np.ndarray, np.ndarray],
             numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
             counts = np.array(rows.column("counts")[r].as_py(), np.int64)
             at = np.append(0, np.cumsum(counts))
+            if len(numbers) and numbers.max() >= len(size):
+                raise ValueError("the words of a pack are not those of its documents: its rows came in another order")
             of_word = size[numbers] if len(numbers) else numbers
             ids = value[flat(of_word, begin[numbers])].astype("<u4") if len(numbers) else np.zeros(0, "<u4")
             ends = np.append(0, np.cumsum(of_word))[at]
@@ -299,7 +313,12 @@ def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "te
     32-bit numbers, and whether they decode to the text."""
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    asked = rows.mapInArrow(_packs(pieces.cuts, True), "pack bigint, number int, h bigint, word string")
+    # a pack spans a few small input splits, so that fewer packs ask for the same words
+    rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // MERGED))
+    asked = rows.mapInArrow(_packs(pieces.cuts, True), "pack bigint, number int, word string")
+    # small groups of words: a group's edges, tens per word, are sorted in memory
+    groups = GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(groups, F.xxhash64("word")).withColumn("h", F.xxhash64("word"))
     same = F.when(F.min("word") == F.max("word"), F.min("word")).otherwise(F.raise_error(F.lit("two words with one hash")))
     words = asked.groupBy("h").agg(same.alias("word"), F.collect_list(F.struct("pack", "number")).alias("uses"))
     answers = segmented(words, pieces).select(F.explode("uses").alias("use"), "ids").select("use.pack", "use.number", "ids")
