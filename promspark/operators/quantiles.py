@@ -6,13 +6,12 @@ that is one task holding the whole column.  ``exact_quantiles`` instead
 selects order statistics by histogram refinement:
 
 1. one aggregate: n, min, max;
-2. a fixed-width histogram (``bins`` rows) -> cumulative counts locate the
+2. a histogram with count, min and max per bin (``bins`` rows) locates the
    bin of every needed rank;
-3. only rows in those bins are grouped by value (partial aggregation
-   collapses repeats map-side) and the rank is read off the counts; a bin
-   with too many distinct values is refined again on its own range.
+3. a bin with more than one value is refined on its own observed range, all
+   bins in question in one job, until the rank's value is known.
 
-Every driver-side read is bounded by ``bins`` or ``max_distinct``, never by
+Every driver-side read is bounded by ``bins`` rows per needed rank, never by
 the row count.  Interpolation is linear between order statistics, equal to
 pandas ``quantile`` / SQL ``quantile_cont`` / Spark ``percentile``.
 
@@ -39,61 +38,54 @@ def _ranks_needed(n: int, probs: Sequence[float]) -> dict[float, tuple[int, int,
     return out
 
 
-def _select_ranks(df: DataFrame, col: str, ranks: list[int], lo: float, hi: float,
-                  bins: int, max_distinct: int, depth: int = 0) -> dict[int, float]:
-    """Values at 0-based ``ranks`` among rows with lo <= x <= hi (ranks are
-    relative to that slice).  Three jobs per level whatever the number of
-    ranks: histogram, distinct-value count of the needed bins, and the
-    (value, count) rows of the bins small enough to read."""
+def _select_ranks(df: DataFrame, col: str, ranks: list[int], lo: float, hi: float, bins: int) -> dict[int, float]:
+    """Values at 0-based ``ranks`` of a column with smallest value lo and largest hi.
+
+    Each level is one job for all ranks: a histogram with count, min and max
+    per bin of every range still in question.  A rank whose bin holds one
+    value, or that is the bin's first or last row, is known; the others go on
+    in the range between their bin's min and max.  Bins follow the order of
+    the values, so these observed ranges never overlap and no row is lost at
+    a computed edge.  What is read is at most ``bins`` rows per range."""
     x = F.col(col)
-    if hi <= lo:
-        return {r: lo for r in ranks}
-    sl = df.where((x >= lo) & (x <= hi))
-    width = (hi - lo) / bins
-    b = F.least(F.lit(bins - 1), F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"))
-    hist = sorted((r["b"], r["n"]) for r in
-                  sl.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-    cum, starts = 0, {}
-    for bi, n in hist:
-        starts[bi] = (cum, n)
-        cum += n
-    want: dict[int, list[tuple[int, int]]] = {}
-    for r in ranks:
-        for bi, (s0, n) in starts.items():
-            if s0 <= r < s0 + n:
-                want.setdefault(bi, []).append((r, r - s0))
-                break
-    needed = sl.where(b.isin(list(want))).groupBy(b.alias("b"), x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ndist = {r["b"]: r["nd"] for r in needed.groupBy("b").agg(F.count(F.lit(1)).alias("nd")).collect()}
-    small = [bi for bi in want if ndist.get(bi, 0) <= max_distinct or depth >= 8]
-    rows: dict[int, list[tuple[float, int]]] = {}
-    if small:
-        for r in needed.where(F.col("b").isin(small)).collect():
-            rows.setdefault(r["b"], []).append((r["v"], r["n"]))
     out: dict[int, float] = {}
-    for bi, pairs in want.items():
-        if bi in rows:
-            vals = sorted(rows[bi])
-            for r, rr in pairs:
-                acc = 0
-                for v, n in vals:
-                    acc += n
-                    if rr < acc:
-                        out[r] = float(v)
-                        break
-        else:
-            # too many distinct values in this bin: refine on its own range
-            blo = lo + bi * width
-            bhi = hi if bi == bins - 1 else lo + (bi + 1) * width
-            sub = _select_ranks(sl.where(b == bi), col, [rr for _, rr in pairs], blo, bhi, bins,
-                                max_distinct, depth + 1)
-            for r, rr in pairs:
-                out[r] = sub[rr]
+    # ranges in question: (min, max, ranks below the range, ranks wanted)
+    open_ranges = [(lo, hi, 0, sorted(ranks))]
+    while open_ranges:
+        for lo, hi, below, wanted in open_ranges:
+            if lo == hi:
+                out.update({r: lo for r in wanted})
+        open_ranges = [r for r in open_ranges if r[0] < r[1]]
+        if not open_ranges:
+            break
+        which, bin_of = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for k, (lo, hi, _, _) in enumerate(open_ranges):
+            inside = (x >= lo) & (x <= hi)
+            width = max(hi / bins - lo / bins, 5e-324)
+            which = F.when(inside, k).otherwise(which)
+            bin_of = F.when(inside, F.when(x == lo, 0).when(x == hi, bins - 1).otherwise(
+                F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"))))).otherwise(bin_of)
+        rows = df.select(x.alias("v"), which.alias("k"), bin_of.alias("b")).where(F.col("k").isNotNull()) \
+            .groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        following = []
+        for k, (_, _, below, wanted) in enumerate(open_ranges):
+            start = below
+            for r in sorted((r for r in rows if r["k"] == k), key=lambda r: r["b"]):
+                mine = [w for w in wanted if start <= w < start + r["n"]]
+                for w in mine:
+                    if w == start or r["lo"] == r["hi"]:
+                        out[w] = float(r["lo"])
+                    elif w == start + r["n"] - 1:
+                        out[w] = float(r["hi"])
+                rest = [w for w in mine if w not in out]
+                if rest:
+                    following.append((float(r["lo"]), float(r["hi"]), start, rest))
+                start += r["n"]
+        open_ranges = following
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 4096,
-                    max_distinct: int = 200_000) -> dict[float, float | None]:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 4096) -> dict[float, float | None]:
     """Exact linear-interpolated quantiles of a numeric column (nulls ignored).
 
     The one-column projection is persisted for the few passes (spilling to
@@ -107,7 +99,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int =
             return {p: None for p in probs}
         need = _ranks_needed(n, probs)
         ranks = sorted({r for lo, hi, _ in need.values() for r in (lo, hi)})
-        vals = _select_ranks(base, col, ranks, float(st["lo"]), float(st["hi"]), bins, max_distinct)
+        vals = _select_ranks(base, col, ranks, float(st["lo"]), float(st["hi"]), bins)
         return {p: vals[lo] + f * (vals[hi] - vals[lo]) for p, (lo, hi, f) in need.items()}
     finally:
         base.unpersist()
