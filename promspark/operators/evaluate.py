@@ -2,8 +2,7 @@
 (M18-M23, M25, M30, M31).
 
 ROC and precision-recall curves are built over the *distinct scores*
-(a grouped count table), with running sums on that table, so their cost is
-one shuffle of the scored rows plus a small window.
+(a grouped count table), with running sums over ranges of that table.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import quantile_bins
+from .stats import running_before
 
 
 def _r6(c: Column) -> Column:
@@ -43,23 +43,26 @@ def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
     return df.agg(_r6(F.avg((F.col(label).cast("int") == F.col(pred).cast("int")).cast("double"))).alias("accuracy"))
 
 
-def curve_points(df: DataFrame, label: str, score: str, digits: int | None = None) -> DataFrame:
-    """For every distinct score threshold t (predict
-    positive when score >= t): tp, fp, fn, tn, tpr, fpr, precision, recall.
+def _thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Per distinct score: positives, negatives, and the positives and negatives with a higher score.
 
-    The running sums span the table of distinct thresholds; for continuous
-    model scores ``digits`` rounds the score first, which bounds that table
-    (10**digits + 1 rows for probabilities) whatever the row count."""
+    The running sums go over ranges of scores (``running_before``), so no task
+    holds the table of all distinct scores."""
     y = F.col(label).cast("int")
-    s = F.col(score).cast("double")
-    if digits is not None:
-        s = F.round(s, digits)
-    per = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(s.alias("threshold")) \
-        .agg(F.sum(y).alias("__pos"), F.sum(1 - y).alias("__neg"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wall = Window.partitionBy()
-    c = per.select("threshold", F.sum("__pos").over(w).alias("tp"), F.sum("__neg").over(w).alias("fp"),
-                   F.sum("__pos").over(wall).alias("__P"), F.sum("__neg").over(wall).alias("__N"))
+    per = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy((-F.col(score).cast("double")).alias("v")) \
+        .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    above = running_before(per, "v", "pos").withColumnRenamed("__before", "pos_above")
+    return running_before(above, "v", "neg").withColumnRenamed("__before", "neg_above")
+
+
+def curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
+    """For every distinct score threshold t (predict
+    positive when score >= t): tp, fp, fn, tn, tpr, fpr, precision, recall."""
+    y = F.col(label).cast("int")
+    total = df.where(F.col(score).isNotNull() & y.isNotNull()).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")).first()
+    c = _thresholds(df, label, score).select((-F.col("v")).alias("threshold"), (F.col("pos_above") + F.col("pos")).alias("tp"),
+                                             (F.col("neg_above") + F.col("neg")).alias("fp"))
+    c = c.withColumns({"__P": F.lit(total["p"]).cast("long"), "__N": F.lit(total["n"]).cast("long")})
     return c.select("threshold", "tp", "fp", (F.col("__P") - F.col("tp")).alias("fn"),
                     (F.col("__N") - F.col("fp")).alias("tn"),
                     _r6(F.col("tp") / F.col("__P")).alias("tpr"), _r6(F.col("fp") / F.col("__N")).alias("fpr"),
@@ -67,14 +70,18 @@ def curve_points(df: DataFrame, label: str, score: str, digits: int | None = Non
                     _r6(F.col("tp") / F.col("__P")).alias("recall"))
 
 
-def auc(df: DataFrame, label: str, score: str, digits: int | None = None) -> DataFrame:
-    """ROC AUC by the trapezoid rule over the curve (ties handled by
-    grouping equal scores into one step), plus the positive base rate."""
-    pts = curve_points(df, label, score, digits)
-    w = Window.orderBy(F.desc("threshold"))
-    seg = pts.select("tpr", "fpr", F.lag("tpr", 1, 0.0).over(w).alias("ptpr"),
-                     F.lag("fpr", 1, 0.0).over(w).alias("pfpr"), "tp", "fn")
-    return seg.agg(_r6(F.sum((F.col("fpr") - F.col("pfpr")) * (F.col("tpr") + F.col("ptpr")) / 2.0)).alias("auc"))
+def auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """ROC AUC, the share of (positive, negative) pairs in which the
+    positive has the higher score, ties counting half; exact counts."""
+    t = _thresholds(df, label, score)
+    pairs = t.agg(F.sum(F.col("neg").cast("decimal(20,0)") * (2 * F.col("pos_above") + F.col("pos")).cast("decimal(18,0)")).alias("won"),
+                  F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
+    return pairs.select(_r6(F.col("won").cast("double") / 2 / F.nullif(F.col("p") * F.col("n"), F.lit(0.0))).alias("auc"))
+
+
+def base_rate(df: DataFrame, label: str) -> DataFrame:
+    """Share of positives, the precision of a model without skill."""
+    return df.agg(_r6(F.avg(F.col(label).cast("double"))).alias("base_rate"))
 
 
 def residual_summary(df: DataFrame, label: str, pred: str, bins: int = 10) -> DataFrame:

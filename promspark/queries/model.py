@@ -124,9 +124,20 @@ def m20_auc(spark, sf):
     return E.auc(_scored_success(spark, sf), "success", "oks_t0_score")
 
 
-SQL_M20_AUC = ctes(CURVE_CTE, f"pts AS (SELECT threshold, {r6('tp / P')} AS tpr, {r6('fp / N')} AS fpr FROM cur)") + \
-    f"""SELECT {r6('SUM((fpr - pfpr) * (tpr + ptpr) / 2.0)')} AS auc FROM (
-  SELECT tpr, fpr, LAG(tpr, 1, 0.0) OVER (ORDER BY threshold DESC) AS ptpr, LAG(fpr, 1, 0.0) OVER (ORDER BY threshold DESC) AS pfpr FROM pts)"""
+SQL_M20_AUC = ctes(CURVE_CTE) + f"""SELECT {r6('SUM(neg * (tp - pos / 2.0)) / (any_value(P) * any_value(N))')} AS auc
+FROM cur JOIN per USING (threshold)"""
+
+
+def m20_auc_continuous(spark, sf):
+    """A score with as many values as rows: returned items by price."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    returned = (F.col("l_returnflag") == "R").cast("int")
+    return E.auc(li.select(returned.alias("returned"), F.col("l_extendedprice").cast("double").alias("price")), "returned", "price")
+
+
+SQL_M20_CONTINUOUS = f"""WITH r AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, rank() OVER (ORDER BY l_extendedprice) AS low,
+  count(*) OVER (PARTITION BY l_extendedprice) AS ties FROM lineitem)
+SELECT {r6('(SUM(CASE WHEN y = 1 THEN low + (ties - 1) / 2.0 END) - SUM(y) * (SUM(y) + 1) / 2.0) / (SUM(y) * SUM(1 - y))')} AS auc FROM r"""
 
 
 def m25_residuals(spark, sf):
@@ -214,7 +225,7 @@ def m08_m15_logistic_grid(spark, sf):
     pred = cv.bestModel.transform(test)
     from pyspark.ml.functions import vector_to_array
     prob = pred.withColumn("p1", F.get(vector_to_array("probability"), 1))
-    a = E.auc(prob, "label", "p1", digits=4)
+    a = E.auc(prob, "label", "p1")
     return _finish(a.withColumns({"model": F.lit("logistic"), "cv_best_auc": F.lit(round(max(cv.avgMetrics), 6))}), d)
 
 
@@ -241,7 +252,7 @@ def m09_m14_classifiers(spark, sf):
         else:
             pred = pred.withColumn("score", F.get(vector_to_array("rawPrediction"), 1))
         acc = E.accuracy(pred, "label", "prediction").first()["accuracy"]
-        a = E.auc(pred, "label", "score", digits=4).withColumn("accuracy", F.lit(acc))
+        a = E.auc(pred, "label", "score").withColumn("accuracy", F.lit(acc))
         a = a.withColumn("model", F.lit(name))
         rows = a if rows is None else rows.unionByName(a)
     return _finish(rows, d)
@@ -278,7 +289,7 @@ def m14_boosting_inverse_seeds(spark, sf):
         est = GBTClassifier(maxIter=50, maxDepth=4, subsamplingRate=0.8, seed=seed)
         pred = M.fit_pipeline(train, est, NUMERIC, CATEGORICAL, "label").transform(test)
         pred = pred.withColumn("score", F.get(vector_to_array("probability"), 1))
-        a = E.auc(pred, "label", "score", digits=4).withColumn("seed", F.lit(seed))
+        a = E.auc(pred, "label", "score").withColumn("seed", F.lit(seed))
         rows = a if rows is None else rows.unionByName(a)
     return _finish(rows, d)
 
@@ -289,6 +300,7 @@ QUERIES = {
     "M22_accuracy": (m22_accuracy, SQL_M22),
     "M20_M21_M30_curve_points": (m20_m21_m30_curve, SQL_M20),
     "M20_auc": (m20_auc, SQL_M20_AUC),
+    "M20_auc_continuous_score": (m20_auc_continuous, SQL_M20_CONTINUOUS),
     "M25_residuals": (m25_residuals, SQL_M25),
     "M31_provider_funnel": (m31_funnel, SQL_M31),
     "M02_M03_M04_M16_M23_M29_regression_comparison": (m01_m04_m16_m23_linear_models, None),
@@ -331,7 +343,7 @@ def m10_tree_grid(spark, sf):
                         numFolds=5, foldCol="fold", parallelism=4).fit(SP.folds(train, 5, "record_id", col="fold"))
     best = cv.bestModel.stages[-1]
     pred = cv.bestModel.transform(test).withColumn("score", F.get(vector_to_array("probability"), 1))
-    out = E.auc(pred, "label", "score", digits=4).withColumns({
+    out = E.auc(pred, "label", "score").withColumns({
         "model": F.lit("tree"), "max_depth": F.lit(best.getMaxDepth()),
         "min_weight_fraction": F.lit(best.getMinWeightFractionPerNode()),
         "cv_best_auc": F.lit(round(max(cv.avgMetrics), 6))})
