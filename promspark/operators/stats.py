@@ -30,7 +30,7 @@ def _explode_rows(wide: DataFrame, rows: list[Column]) -> DataFrame:
 # -- ranks ---------------------------------------------------------------------
 
 def running_before(counts: DataFrame, value: str, weight: str, by: Sequence[str] = (),
-                   buckets: int = 64) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Sum of ``weight`` over all rows of the same ``by`` group with a
     smaller ``value`` -> column ``__before``.
 
@@ -40,8 +40,10 @@ def running_before(counts: DataFrame, value: str, weight: str, by: Sequence[str]
     result); bucket totals get a running sum over a (group x bucket) table,
     and the exact running sum runs inside each (group, bucket)."""
     by = list(by)
+    # as many ranges as shuffle partitions, which are sized to the input
+    buckets = buckets or max(64, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / buckets for i in range(1, buckets)]
-    q = F.percentile_approx(F.col(value), probs, 1000)
+    q = F.percentile_approx(F.col(value), probs, 20 * buckets)
     if by:
         bounds = counts.groupBy(*by).agg(q.alias("__q"))
         c = counts.join(bounds, by, "left")
@@ -63,7 +65,7 @@ def running_before(counts: DataFrame, value: str, weight: str, by: Sequence[str]
 
 
 def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
-               buckets: int = 64, weight: str | None = None) -> DataFrame:
+               buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """Average rank (ties get the mean of their positions) per distinct
     value within ``by`` groups: (by..., value, rank).  Runs over the
     distinct-value count table, never over rows (see ``running_before``).
@@ -107,24 +109,28 @@ def _feature_long(df: DataFrame, features: Sequence[str], outcome: str, by: Sequ
 def pearson(df: DataFrame, features: Sequence[str], outcome: str, with_p: bool = True) -> DataFrame:
     """Pearson r and n for each feature against the outcome on
     pairwise-complete rows (Spark ``corr`` skips rows with a null side)."""
+    return _with_corr_p(_pearson(df, features, outcome), with_p)
+
+
+def _pearson(df: DataFrame, features: Sequence[str], outcome: str) -> DataFrame:
+    """(feature, r, n) at full precision."""
     aggs = []
     for f in features:
         both = F.col(f).isNotNull() & F.col(outcome).isNotNull()
         aggs += [F.corr(F.col(f).cast("double"), F.col(outcome).cast("double")).alias(f"{f}__r"),
                  F.count_if(both).alias(f"{f}__n")]
     wide = df.agg(*aggs)
-    out = _explode_rows(wide, [F.struct(F.lit(f).alias("feature"), F.col(f"{f}__r").alias("r"),
-                                        F.col(f"{f}__n").alias("n")) for f in features])
-    return _with_corr_p(out, with_p)
+    return _explode_rows(wide, [F.struct(F.lit(f).alias("feature"), F.col(f"{f}__r").alias("r"),
+                                         F.col(f"{f}__n").alias("n")) for f in features])
 
 
 def _with_corr_p(out: DataFrame, with_p: bool) -> DataFrame:
-    out = out.withColumn("r", _r6(F.col("r")))
+    """The p-value comes from r as computed; r is rounded last."""
     if with_p:
         t = corr_t(F.col("r"), F.col("n"))
         out = out.withColumn("p_value", t_p_value(t, F.col("n") - 2)) \
             .withColumn("stars", significance_stars("p_value"))
-    return out
+    return out.withColumn("r", _r6(F.col("r")))
 
 
 def _weighted_rank_corr(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -346,29 +352,40 @@ def bh_adjust(df: DataFrame, p: str = "p_value", alpha: float = 0.05, by: Sequen
 def f_regression(df: DataFrame, features: Sequence[str], target: str, k: int | None = None) -> DataFrame:
     """F = r^2 / (1 - r^2) * (n - 2) per feature (univariate linear
     regression test); ``k`` keeps the best k."""
-    pr = pearson(df, features, target, with_p=False)
-    out = pr.withColumn("f_score", _r6(F.col("r") * F.col("r") / (1 - F.col("r") * F.col("r")) * (F.col("n") - 2)))
+    out = _pearson(df, features, target).withColumn("f_score", F.col("r") * F.col("r") / (1 - F.col("r") * F.col("r")) * (F.col("n") - 2))
+    # F comes from r as computed; equal features (whose F differs in the last digits only) rank by name
+    out = out.withColumns({"r": _r6(F.col("r")), "f_score": _r6(F.col("f_score"))})
     out = out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("f_score"), "feature")))
     return out.where(F.col("rank") <= k) if k else out
 
 
 def imputation_advice(df: DataFrame, cols: Sequence[str], drop_above: float = 50.0,
                       skew_limit: float = 1.0) -> DataFrame:
-    """Missing %, population skewness and the suggested strategy:
-    drop > 50 % missing, mode for string columns, median if |skew| > 1,
-    else mean.  Moments in one aggregate; mode by a per-value count."""
+    """Missing %, distinct values, population skewness and the suggested
+    strategy: drop > 50 % missing, mode for string and two-valued columns,
+    median if |skew| > 1, else mean.  Sentinels ('' and '*', 999) are left out
+    of values and moments.  Moments in one aggregate; distinct values from a
+    (column, value) table that partial aggregation collapses map-side."""
+    text = {c for c, t in df.dtypes if t == "string"}
+
+    def value(c: str) -> Column:
+        return F.when(~F.col(c).isin("", "*"), F.col(c)) if c in text else F.when(F.col(c) != 999, F.col(c).cast("double"))
+
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__m"), F.count(F.lit(1)).alias(f"{c}__n"),
-                 F.skewness(x).alias(f"{c}__s")]
+                 (F.lit(None).cast("double") if c in text else F.skewness(value(c))).alias(f"{c}__s")]
     wide = df.agg(*aggs)
-    long = _explode_rows(wide, [F.struct(F.lit(c).alias("column_name"),
-                                         _r6(F.col(f"{c}__m") * 100.0 / F.col(f"{c}__n")).alias("missing_pct"),
-                                         _r6(F.col(f"{c}__s")).alias("skewness")) for c in cols])
-    strategy = (F.when(F.col("missing_pct") > drop_above, "drop")
+    long = _explode_rows(wide, [F.struct(F.lit(c).alias("column_name"), F.lit(c in text).alias("is_text"),
+                                         (F.col(f"{c}__m") * 100.0 / F.col(f"{c}__n")).alias("missing_pct"),
+                                         F.col(f"{c}__s").alias("skewness")) for c in cols])
+    values = df.select(*[value(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column_name", "v")
+    unique = values.where(F.col("v").isNotNull()).distinct().groupBy("column_name").agg(F.count("v").alias("n_unique"))
+    out = long.join(unique, "column_name", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("long")))
+    strategy = (F.when(F.col("missing_pct") > drop_above, "drop").when(F.col("is_text") | (F.col("n_unique") == 2), "mode")
                 .when(F.abs(F.col("skewness")) > skew_limit, "median").otherwise("mean"))
-    return long.withColumn("strategy", strategy)
+    return out.select("column_name", _r6(F.col("missing_pct")).alias("missing_pct"), "n_unique", _r6(F.col("skewness")).alias("skewness"),
+                      strategy.alias("strategy"))
 
 
 def near_zero_variance(df: DataFrame, cols: Sequence[str], threshold: float = 0.0) -> DataFrame:

@@ -184,13 +184,14 @@ def t15_f_regression(spark, sf):
 
 def _f_sql(src, feats, target, k):
     pr = " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, {r6(f'corr({f}, {target})')} AS r, COUNT(*) FILTER (WHERE {f} IS NOT NULL AND {target} IS NOT NULL) AS n FROM {src}"
+        f"SELECT '{f}' AS feature, corr({f}, {target}) AS r, COUNT(*) FILTER (WHERE {f} IS NOT NULL AND {target} IS NOT NULL) AS n FROM {src}"
         for f in feats)
-    return f"""SELECT * FROM (SELECT feature, r, n, f_score, CAST(row_number() OVER (ORDER BY f_score DESC, feature) AS INTEGER) AS rank
+    return f"""SELECT * FROM (SELECT feature, {r6('r')} AS r, n, f_score, CAST(row_number() OVER (ORDER BY f_score DESC, feature) AS INTEGER) AS rank
   FROM (SELECT *, {r6('r * r / (1 - r * r) * (n - 2)')} AS f_score FROM ({pr}))) WHERE rank <= {k}"""
 
 
-ADVICE_COLS = ["t0_eq_vas", "t1_eq_vas", "oks_t1_score", "t1_mobility", "oks_t0_pain", "t0_symptom_period"]
+ADVICE_TEXT = ["gender", "age_band", "procedure"]
+ADVICE_COLS = ADVICE_TEXT + ["t0_assisted", "t0_eq_vas", "t1_eq_vas", "oks_t1_score", "t1_mobility", "oks_t0_pain", "t0_symptom_period"]
 
 
 def t16_advice(spark, sf):
@@ -200,10 +201,17 @@ def t16_advice(spark, sf):
 def _advice_sql():
     parts = []
     for c in ADVICE_COLS:
-        parts.append(f"""SELECT '{c}' AS column_name, {r6(f'COUNT(*) FILTER (WHERE {c} IS NULL) * 100.0 / COUNT(*)')} AS missing_pct,
-  {r6(f'AVG(power({c} - (SELECT AVG({c}) FROM clean), 3)) / power(AVG(power({c} - (SELECT AVG({c}) FROM clean), 2)), 1.5)')} AS skewness FROM clean""")
-    return ctes() + f"""SELECT column_name, missing_pct, skewness,
-  CASE WHEN missing_pct > 50.0 THEN 'drop' WHEN abs(skewness) > 1.0 THEN 'median' ELSE 'mean' END AS strategy
+        if c in ADVICE_TEXT:
+            v, skew, text = f"CASE WHEN {c} NOT IN ('', '*') THEN {c} END", "CAST(NULL AS DOUBLE)", "TRUE"
+        else:
+            v, text = f"CASE WHEN {c} <> 999 THEN {c} END", "FALSE"
+            mean = f"(SELECT AVG({v}) FROM clean)"
+            skew = f"AVG(power({v} - {mean}, 3)) / power(AVG(power({v} - {mean}, 2)), 1.5)"
+        parts.append(f"""SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) * 100.0 / COUNT(*) AS missing_pct,
+  COUNT(DISTINCT {v}) AS n_unique, {skew} AS skewness, {text} AS is_text FROM clean""")
+    return ctes() + f"""SELECT column_name, {r6('missing_pct')} AS missing_pct, n_unique, {r6('skewness')} AS skewness,
+  CASE WHEN missing_pct > 50.0 THEN 'drop' WHEN is_text OR n_unique = 2 THEN 'mode'
+       WHEN abs(skewness) > 1.0 THEN 'median' ELSE 'mean' END AS strategy
 FROM ({' UNION ALL '.join(parts)})"""
 
 
