@@ -23,10 +23,16 @@ LEADING_JUNK = r"^[^a-zA-Z_]+"
 INVALID_CHAR = r"[^0-9a-zA-Z_]"
 # Phrase map applied after cleaning (order matters).
 SHORT_PHRASES = [("pre_op_q", "t0"), ("post_op_q", "t1"), ("knee_replacement", "oks"), ("hip_replacement", "ohs")]
-# Prefix rules of the modelling notebook (first match wins).
-PREFIX_RULES = [("Hip_Replacement_Pre-Op_Q_", "t0_HR_"), ("Knee_Replacement_Pre-Op_Q_", "t0_KR_"),
-                ("Hip_Replacement_Post-Op_Q_", "t1_HR_"), ("Knee_Replacement_Post-Op_Q_", "t1_KR_"),
-                ("Pre-Op_Q_", "t0_"), ("Post-Op_Q_", "t1_")]
+# Prefix rules of the modelling notebook (first match wins); the knee
+# rules are the same for the other procedure.
+PREFIX_RULES = [("Pre-Op_Q_", "t0_"), ("Hip_Replacement_Pre-Op_Q_", "t0_HR_"),
+                ("Post-Op_Q_", "t1_"), ("Hip_Replacement_Post-Op_Q_", "t1_HR_"),
+                ("Knee_Replacement_Pre-Op_Q_", "t0_KR_"), ("Knee_Replacement_Post-Op_Q_", "t1_KR_")]
+# Names with the phrase inside lose it and their procedure becomes a prefix.
+INNER_PHRASE = "_Post-Op_Q_"
+INNER_PREFIXES = [("Hip_Replacement_", "t1_HR_"), ("Knee_Replacement_", "t1_KR_")]
+# What is left of post-operative names.
+REST_RULES = [("Hip_Replacement_Post-Op", "HR_t1_"), ("Knee_Replacement_Post-Op", "KR_t1_")]
 
 
 def clean_name(s: str) -> str:
@@ -49,12 +55,16 @@ def short_name(s: str) -> str:
 
 
 def prefix_rename(s: str) -> str:
-    """Spaces -> '_', then the first matching prefix rule."""
+    """Spaces -> '_', then the first rule that applies: a prefix, the
+    phrase inside the name, or what is left of post-operative names."""
     s = s.replace(" ", "_")
     for a, b in PREFIX_RULES:
         if s.startswith(a):
             return b + s[len(a):]
-    return s.replace("_Post-Op_Q_", "_t1_")
+    if INNER_PHRASE in s:
+        s = s.replace(INNER_PHRASE, "_")
+        return next((b + s[len(a):] for a, b in INNER_PREFIXES if s.startswith(a)), s)
+    return next((s.replace(a, b, 1) for a, b in REST_RULES if a in s), s)
 
 
 def rename_columns(df: DataFrame, fn) -> DataFrame:

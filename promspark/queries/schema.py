@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as cat
@@ -40,21 +43,33 @@ def c01_c02_clean_names(spark, sf):
     return C.rename_columns(raw_frame(spark, sf), C.short_name)
 
 
+def _values_per_column(df):
+    """(column_name, n_values): non-null values of every column, from one aggregate over the table."""
+    return df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).unpivot([], df.columns, "column_name", "n_values")
+
+
 def c03_c04_name_table(spark, sf):
-    return C.name_table(raw_frame(spark, sf), C.prefix_rename)
+    """Old and new names with the values that the renamed table holds under the new one."""
+    raw = raw_frame(spark, sf)
+    counts = _values_per_column(C.rename_columns(raw, C.prefix_rename)).withColumnRenamed("column_name", "new")
+    return C.name_table(raw, C.prefix_rename).join(counts, "new")
 
 
 def c05_schema_diff(spark, sf):
     p = load_prom(spark, sf)
     frames = {y: (p.where(F.col("year") == y).drop("t0_eq_vas") if y == "2016/17" else p.where(F.col("year") == y))
               for y in cat.YEARS}
-    d = C.schema_diff(frames)
-    return d.groupBy("column_name").agg(F.count_if("present").alias("n_files"),
-                                        F.min(F.col("present").cast("int")).cast("boolean").alias("in_all"))
+    d = C.schema_diff(frames).groupBy("column_name").agg(
+        F.count_if("present").alias("n_files"), F.min(F.col("present").cast("int")).cast("boolean").alias("in_all"))
+    values = [_values_per_column(f) for f in frames.values()]
+    values = reduce(DataFrame.union, values).groupBy("column_name").agg(F.sum("n_values").alias("n_values"))
+    return d.join(values, "column_name")
 
 
 def c06_type_census(spark, sf):
-    return C.type_census(load_prom(spark, sf)).groupBy("family").agg(F.count(F.lit(1)).alias("n_columns"))
+    p = load_prom(spark, sf)
+    return C.type_census(p).join(_values_per_column(p), "column_name").groupBy("family").agg(
+        F.count(F.lit(1)).alias("n_columns"), F.sum("n_values").alias("n_values"))
 
 
 NUMERIC = [c for c in column_order() if c not in ("provider_code", "year", "procedure", "age_band", "gender")]
@@ -116,8 +131,8 @@ WHERE NOT ({HASH_SQL} % 100 < 80)"""
 def c16_families(spark, sf):
     p = load_prom(spark, sf)
     fams = C.column_families(p.columns)
-    return spark.createDataFrame(fams, "family string, column_name string").groupBy("family") \
-        .agg(F.count(F.lit(1)).alias("n_columns"))
+    return spark.createDataFrame(fams, "family string, column_name string").join(_values_per_column(p), "column_name") \
+        .groupBy("family").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n_values").alias("n_values"))
 
 
 def c17_strings(spark, sf):
@@ -142,21 +157,23 @@ QUERIES = {
 }
 
 
+def _values_sql(where: str = "", skip: tuple = ()) -> str:
+    """(column_name, n_values) of the fixture columns."""
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT({c}) AS n_values FROM prom{where}" for c in column_order() if c not in skip)
+
+
 def _c05_sql():
-    from ..fixture import prom_sql
-    parts = []
-    for y in cat.YEARS:
-        sel = "* EXCLUDE (t0_eq_vas)" if y == "2016/17" else "*"
-        parts.append(f"SELECT column_name FROM (DESCRIBE (SELECT {sel} FROM ({prom_sql()}) p WHERE year = '{y}'))")
-    return f"""SELECT column_name, COUNT(*) AS n_files, COUNT(*) = {len(cat.YEARS)} AS in_all
+    parts = [f"SELECT * FROM ({_values_sql(f' WHERE year = {chr(39)}{y}{chr(39)}', ('t0_eq_vas',) if y == '2016/17' else ())})" for y in cat.YEARS]
+    return ctes() + f"""SELECT column_name, COUNT(*) AS n_files, COUNT(*) = {len(cat.YEARS)} AS in_all, CAST(SUM(n_values) AS BIGINT) AS n_values
 FROM ({' UNION ALL '.join(parts)}) GROUP BY column_name"""
 
 
 def _c06_sql():
     from ..fixture import prom_sql
-    return f"""SELECT CASE WHEN column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE')
+    return ctes() + f"""SELECT CASE WHEN column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE')
   OR column_type LIKE 'DECIMAL%' THEN 'numeric' WHEN column_type = 'VARCHAR' THEN 'string' ELSE 'other' END AS family,
-  COUNT(*) AS n_columns FROM (DESCRIBE ({prom_sql()})) GROUP BY 1"""
+  COUNT(*) AS n_columns, CAST(SUM(n_values) AS BIGINT) AS n_values
+FROM (DESCRIBE ({prom_sql()})) d JOIN ({_values_sql()}) v USING (column_name) GROUP BY 1"""
 
 
 QUERIES["C05_schema_diff"] = (c05_schema_diff, _c05_sql())
@@ -164,13 +181,18 @@ QUERIES["C06_type_census"] = (c06_type_census, _c06_sql())
 
 
 def _c03_sql():
-    """The prefix rule written independently in SQL over the header list."""
-    heads = ", ".join(f"('{raw_header(c)}')" for c in column_order())
-    u = "replace(old, ' ', '_')"
-    rules = " ".join(f"WHEN starts_with({u}, '{a}') THEN '{b}' || substr({u}, {len(a) + 1})"
-                     for a, b in C.PREFIX_RULES)
-    return f"""SELECT old, CASE {rules} ELSE replace({u}, '_Post-Op_Q_', '_t1_') END AS new
-FROM (VALUES {heads}) t(old)"""
+    """The new names from the fixture's short names, not from the rules."""
+    def new(short: str) -> str:
+        head = raw_header(short).replace(" ", "_")
+        for t, phase in (("t0", "Pre-Op_Q_"), ("t1", "Post-Op_Q_")):
+            if short.startswith(f"oks_{t}_"):
+                return f"{t}_KR_" + head.split(phase)[1]
+            if short.startswith(f"{t}_"):
+                return f"{t}_" + head.split(phase)[1]
+        return head
+
+    rows = " UNION ALL ".join(f"SELECT '{raw_header(c)}' AS old, '{new(c)}' AS new, COUNT({c}) AS n_values FROM prom" for c in column_order())
+    return ctes() + rows
 
 
 QUERIES["C03_C04_prefix_rename_table"] = (c03_c04_name_table, _c03_sql())
