@@ -151,8 +151,8 @@ def cross_source_duplicates(df: DataFrame, source_col: str, ignore: Sequence[str
     The source column itself is excluded from the key (a key that contains
     it can never match across sources)."""
     key = [c for c in df.columns if c != source_col and c not in set(ignore)]
-    return (df.groupBy(*key).agg(F.count_distinct(source_col).alias("n_sources"),
-                                 F.count(F.lit(1)).alias("copies"))
+    per_source = df.groupBy(*key, source_col).agg(F.count(F.lit(1)).alias("copies"))
+    return (per_source.groupBy(*key).agg(F.count(source_col).alias("n_sources"), F.sum("copies").alias("copies"))
             .where(F.col("n_sources") > 1))
 
 

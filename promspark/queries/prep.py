@@ -207,21 +207,28 @@ SQL_F12 = ctes() + " UNION ALL ".join(
 
 
 def f14_duplicate_rows(spark, sf):
+    """Whole rows over all columns; rows of line number 1 are added again, as lineitem has no equal rows."""
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    return clean.duplicate_rows(li.select("l_partkey", "l_suppkey", "l_quantity"))
+    return clean.duplicate_rows(li.union(li.where(F.col("l_linenumber") == 1)))
 
 
-SQL_F14 = """SELECT l_partkey, l_suppkey, l_quantity, COUNT(*) AS copies FROM lineitem
-GROUP BY l_partkey, l_suppkey, l_quantity HAVING COUNT(*) > 1"""
+SQL_F14 = """SELECT *, COUNT(*) AS copies FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)
+GROUP BY ALL HAVING COUNT(*) > 1"""
 
 
 def f15_cross_source(spark, sf):
-    df = load_prom(spark, sf).select("year", "age_band", "gender", "oks_t0_score", "provider_code", "procedure")
-    return clean.cross_source_duplicates(df, "procedure", ignore=["provider_code"])
+    """All columns but procedure (the source) and provider; the knee records of one year are added once
+    more as hip records of another provider, as the fixture has no record in two sources."""
+    df = load_prom(spark, sf)
+    again = df.where((F.col("procedure") == "Knee Replacement") & (F.col("year") == "2016/17")).withColumns(
+        {"procedure": F.lit("Hip Replacement"), "provider_code": F.lit("P999")})
+    return clean.cross_source_duplicates(df.union(again), "procedure", ignore=["provider_code"])
 
 
-SQL_F15 = ctes() + """SELECT year, age_band, gender, oks_t0_score, COUNT(DISTINCT procedure) AS n_sources,
-  COUNT(*) AS copies FROM prom GROUP BY year, age_band, gender, oks_t0_score HAVING COUNT(DISTINCT procedure) > 1"""
+SQL_F15 = ctes() + """SELECT * EXCLUDE (procedure, provider_code), COUNT(DISTINCT procedure) AS n_sources, COUNT(*) AS copies
+FROM (SELECT * FROM prom UNION ALL SELECT * REPLACE ('Hip Replacement' AS procedure, 'P999' AS provider_code) FROM prom
+      WHERE procedure = 'Knee Replacement' AND year = '2016/17')
+GROUP BY ALL HAVING COUNT(DISTINCT procedure) > 1"""
 
 
 def f16_contains(spark, sf):

@@ -7,6 +7,7 @@ made here are the ones a job owner would put in ``spark-defaults.conf``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -78,8 +79,9 @@ def checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
     On a cluster the folder must be shared storage; it is read from the
-    session.  Only when nothing is configured and ``allow_local`` is set
-    (tests, local bench) is a scratch folder created and registered.
+    session.  Only when nothing is configured, ``allow_local`` is set and the
+    master is local (one machine: tests, bench) is a scratch folder created
+    and registered; on a cluster that raises an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -87,7 +89,7 @@ def checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not allow_local:
+    if not allow_local or not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
     path = tempfile.mkdtemp(prefix="promspark-ckpt-")
     sc.setCheckpointDir(path)

@@ -73,11 +73,17 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructTyp
 def read_manifest(spark: SparkSession, specs: Sequence[FileSpec], schema: T.StructType | None = None,
                   tag_col: str = "source") -> DataFrame:
     """S01 + S07: files with per-file options -> one frame, union by name,
-    with the tag (e.g. year) of each file."""
+    with the tag (e.g. year) of each file.  A CSV file is read by its own
+    header; ``schema`` names the columns to keep and their types, whatever
+    their order in a file."""
     frames, tags = [], []
     for s in specs:
         if s.fmt == "csv":
-            df = read_csv(spark, s.path, s.sep, schema=schema, null_value=s.null_value)
+            own = header(spark, s.path, s.sep)
+            df = read_csv(spark, s.path, s.sep, schema=string_schema(own), null_value=s.null_value)
+            if schema is not None:
+                df = df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+                                 for f in schema.fields if f.name in own])
         elif s.fmt == "parquet":
             df = spark.read.parquet(s.path)
         else:
