@@ -57,7 +57,7 @@ def base_columns() -> list[tuple[str, str]]:
                 miss, val = f"({k} + {11 * i}) % 43 = 0", f"1 + ({k} * {i + 5} + {c}) % 3"
             cols.append((f"{t}_{name}", f"CAST({_case(miss, '9', val)} AS INT)"))
     cols.append(("t0_eq_vas", f"CAST({_case(f'{k} % 29 = 0', '999', f'({k} * 37 + {c} * 11) % 101')} AS INT)"))
-    cols.append(("t1_eq_vas", f"CAST({_case(f'{k} % 23 = 0', '999', f'({k} * 41 + {c} * 17) % 101')} AS INT)"))
+    cols.append(("t1_eq_vas", f"CAST({_case(f'{k} % 23 = 0 OR {k} % 29 = 0', '999', f'({k} * 41 + {c} * 17) % 101')} AS INT)"))
     for j, name in enumerate(cat.COMORBIDITIES, start=1):
         cols.append((name, f"CAST({_case(f'({k} * {j + 3} + {c}) % 11 = 0', '1', '9')} AS INT)"))
     for name, mod, expr in (("t0_assisted", 97, f"({k} * 3) % 2"),

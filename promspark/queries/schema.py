@@ -176,6 +176,19 @@ def _c06_sql():
 FROM (DESCRIBE ({prom_sql()})) d JOIN ({_values_sql()}) v USING (column_name) GROUP BY 1"""
 
 
+def _c16_sql():
+    return ctes() + f"""SELECT CASE WHEN column_name IN ('record_id', 'provider_code', 'year', 'procedure') THEN 'key'
+  WHEN column_name IN ('age_band', 'gender') THEN 'demographic'
+  WHEN regexp_matches(column_name, '^oks_t[01]_score$') THEN 'score_' || column_name[5:6]
+  WHEN starts_with(column_name, 'oks_') THEN 'item_' || column_name[5:6]
+  WHEN regexp_matches(column_name, '^t[01]_eq_vas$') THEN 'vas_' || column_name[1:2]
+  WHEN regexp_matches(column_name, '^t[01]_(mobility|self_care|activity|discomfort|anxiety)$') THEN 'eq5d_dim_' || column_name[1:2]
+  WHEN column_name IN ('t0_assisted', 't0_previous_surgery', 't0_disability') THEN 'yes_no'
+  WHEN starts_with(column_name, 't0_') THEN 'category' ELSE 'comorbidity' END AS family,
+  COUNT(*) AS n_columns, CAST(SUM(n_values) AS BIGINT) AS n_values FROM ({_values_sql()}) GROUP BY 1"""
+
+
+QUERIES["C16_column_families"] = (c16_families, _c16_sql())
 QUERIES["C05_schema_diff"] = (c05_schema_diff, _c05_sql())
 QUERIES["C06_type_census"] = (c06_type_census, _c06_sql())
 
