@@ -423,37 +423,45 @@ def missing_vs_target(df: DataFrame, cols: Sequence[str], target: str, kind: str
 
 # -- Kendall tau-b without pair enumeration --------------------------------------
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, max_grid: int = 5_000_000, with_p: bool = True) -> DataFrame:
-    """Kendall tau-b with tie correction, exact, for ordinal columns.
-
-    S = concordant - discordant = sum over cells (x, y) of n(x, y) * (L - G)
-    where L (G) counts observations with smaller x and smaller (larger) y.
-    L and G come from a level grid (distinct x levels x distinct y levels,
-    generated with ``sequence``, no join of row pairs): running sums down x
-    per y level, then along y per x level.  Cost: one shuffle of the rows to
-    the (x, y) count table, then windows over a grid bounded by the number
-    of distinct levels (checked against ``max_grid``).  The p-value is the
-    asymptotic normal one with the tie-corrected variance."""
+def _concordance(cells: DataFrame, small: int) -> DataFrame:
+    """S = concordant - discordant pairs of a count table (x, y, n), one row.
+
+    Distinct x are numbered in order.  Two numbers differ first at one binary
+    digit, so every pair of rows with different x meets at exactly one level,
+    in the group of the digits above it, one row left (0) and one right (1).
+    There a right row counts the left rows with smaller y less those with
+    larger y, from a running sum over y: a plain window in groups of up to
+    ``small`` y values, ranges of y in larger ones.  Rows: the count table
+    times the digits of the number of levels."""
+    numbered = running_before(cells.select("x").distinct().withColumn("one", F.lit(1)), "x", "one").withColumnRenamed("__before", "xr")
+    levels = max(1, int(numbered.agg(F.coalesce(F.max("xr"), F.lit(0))).first()[0]).bit_length())
+    long = cells.join(numbered.select("x", F.col("xr").cast("long").alias("xr")), "x") \
+        .select("xr", "y", "n", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    right = F.expr("shiftright(xr, level) & 1") == 1
+    per = long.groupBy("level", F.expr("shiftright(xr, level + 1)").alias("above"), "y").agg(
+        F.sum(F.when(~right, F.col("n")).otherwise(0)).alias("wl"), F.sum(F.when(right, F.col("n")).otherwise(0)).alias("wr"))
+    keys = ["level", "above"]
+    sizes = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum("wl").alias("left"), F.sum("wr").alias("right")) \
+        .where((F.col("left") > 0) & (F.col("right") > 0))
+    per = per.join(sizes.drop("right"), keys).checkpoint(eager=True)
+    w = Window.partitionBy(*keys).orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
+    near = per.where(F.col("size") <= small).withColumn("__before", F.coalesce(F.sum("wl").over(w), F.lit(0)))
+    far = running_before(per.where(F.col("size") > small), "y", "wl", keys)
+    both = near.unionByName(far.select(*near.columns))
+    return both.agg(F.coalesce(F.sum(F.col("wr").cast("double") * (2 * F.col("__before") + F.col("wl") - F.col("left"))), F.lit(0.0)).alias("S"))
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, with_p: bool = True, small: int = 100_000) -> DataFrame:
+    """Kendall tau-b with tie correction, exact, for ordinal and
+    continuous columns: one shuffle of the rows to the (x, y) count table,
+    then ``_concordance``.  The p-value is the asymptotic normal one with the
+    tie-corrected variance."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession, allow_local=True)
     xx, yy = F.col(x).cast("double"), F.col(y).cast("double")
     cells = df.where(xx.isNotNull() & yy.isNotNull()).groupBy(xx.alias("x"), yy.alias("y")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    xl = cells.select("x").distinct()
-    yl = cells.select("y").distinct()
-    lv = xl.agg(F.count(F.lit(1)).alias("kx")).first()["kx"], yl.agg(F.count(F.lit(1)).alias("ky")).first()["ky"]
-    if lv[0] * lv[1] > max_grid:
-        raise ValueError(f"level grid {lv[0]} x {lv[1]} exceeds max_grid; bin the columns first")
-    yidx = yl.withColumn("yi", F.dense_rank().over(Window.orderBy("y")) - 1)
-    cells = cells.join(yidx, "y")
-    grid = xl.select("x", F.explode(F.sequence(F.lit(0), F.lit(lv[1] - 1))).alias("yi"))
-    g = grid.join(cells.select("x", "yi", "n"), ["x", "yi"], "left").fillna(0, subset=["n"])
-    below_x = Window.partitionBy("yi").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("c", F.coalesce(F.sum("n").over(below_x), F.lit(0)))
-    lower_y = Window.partitionBy("x").orderBy("yi").rowsBetween(Window.unboundedPreceding, -1)
-    upper_y = Window.partitionBy("x").orderBy("yi").rowsBetween(1, Window.unboundedFollowing)
-    g = g.withColumns({"L": F.coalesce(F.sum("c").over(lower_y), F.lit(0)),
-                       "G": F.coalesce(F.sum("c").over(upper_y), F.lit(0))})
-    s = g.agg(F.sum(F.col("n") * (F.col("L") - F.col("G"))).cast("double").alias("S"),
-              F.sum("n").cast("double").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    srow = _concordance(cells, small).first()
     tx = cells.groupBy("x").agg(F.sum("n").cast("double").alias("t"))
     ty = cells.groupBy("y").agg(F.sum("n").cast("double").alias("t"))
 
@@ -461,8 +469,11 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, max_grid: int = 5_000_000, with
         t = F.col("t")
         return d.agg(F.sum(t * (t - 1) / 2).alias(f"{p}tie"), F.sum(t * (t - 1) * (t - 2)).alias(f"{p}0"),
                      F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{p}1"))
-    srow, xrow, yrow = s.first(), ties(tx, "x").first(), ties(ty, "y").first()
-    n, S = srow["n"], srow["S"]
+    xrow, yrow = ties(tx, "x").first(), ties(ty, "y").first()
+    n, S = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n")).first()["n"], srow["S"]
+    if n < 2:  # no pair
+        return df.sparkSession.createDataFrame([(x, y, int(n), 0.0, None, None)], "x string, y string, n long, s double, tau_b double, z double") \
+            .withColumns({"p_value": F.lit(None).cast("double")} if with_p else {})
     n0 = n * (n - 1) / 2
     tau = S / ((n0 - xrow["xtie"]) * (n0 - yrow["ytie"])) ** 0.5 if n0 > max(xrow["xtie"], yrow["ytie"]) else None
     m = n * (n - 1)

@@ -290,6 +290,25 @@ def t03_kendall(spark, sf):
     return S.kendall_tau_b(cleaned(spark, sf), "t0_eq_vas", "oks_t0_score", with_p=False)
 
 
+def t03_kendall_continuous(spark, sf):
+    """Balance and total spending of customers: as many levels as rows."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.sum("o_totalprice").cast("decimal(18,2)").alias("spent"))
+    c = spark.read.parquet(f"{sf}/customer.parquet").join(orders, F.col("c_custkey") == F.col("o_custkey"))
+    return S.kendall_tau_b(c, "c_acctbal", "spent", with_p=False)
+
+
+SQL_T03_CONTINUOUS = f"""WITH o AS (SELECT o_custkey, CAST(SUM(o_totalprice) AS DECIMAL(18,2)) AS spent FROM orders GROUP BY 1),
+r AS (SELECT CAST(c_acctbal AS DOUBLE) AS x, CAST(spent AS DOUBLE) AS y FROM customer JOIN o ON c_custkey = o_custkey),
+s AS (SELECT CAST(SUM(sign(b.y - a.y)) AS DOUBLE) AS s FROM r a JOIN r b ON a.x < b.x),
+tot AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM r),
+tx AS (SELECT SUM(t * (t - 1) / 2) AS tie, SUM(t * (t - 1) * (t - 2)) AS t0, SUM(t * (t - 1) * (2 * t + 5)) AS t1 FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS t FROM r GROUP BY x)),
+ty AS (SELECT SUM(t * (t - 1) / 2) AS tie, SUM(t * (t - 1) * (t - 2)) AS t0, SUM(t * (t - 1) * (2 * t + 5)) AS t1 FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS t FROM r GROUP BY y))
+SELECT 'c_acctbal' AS x, 'spent' AS y, CAST(n AS BIGINT) AS n, s,
+  {r6('s / sqrt((n * (n - 1) / 2 - tx.tie) * (n * (n - 1) / 2 - ty.tie))')} AS tau_b,
+  {r6('s / sqrt((n * (n - 1) * (2 * n + 5) - tx.t1 - ty.t1) / 18 + 2 * tx.tie * ty.tie / (n * (n - 1)) + tx.t0 * ty.t0 / (9 * n * (n - 1) * (n - 2)))')} AS z
+FROM s, tot, tx, ty"""
+
+
 def t03_kendall_p(spark, sf):
     return S.kendall_tau_b(cleaned(spark, sf), "t0_eq_vas", "oks_t0_score", with_p=True)
 
@@ -329,6 +348,7 @@ def t22_clusters(spark, sf):
 
 QUERIES.update({
     "T03_kendall_tau_b": (t03_kendall, SQL_T03),
+    "T03_kendall_continuous": (t03_kendall_continuous, SQL_T03_CONTINUOUS),
     "T03_kendall_with_p": (t03_kendall_p, None),
     "T22_missingness_patterns": (t22_patterns, SQL_T22),
     "T22_pattern_clusters": (t22_clusters, None),

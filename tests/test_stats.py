@@ -29,6 +29,20 @@ def test_kendall_matches_brute_force(spark):
     assert 0 <= r.p_value < 1e-6
 
 
+def test_kendall_of_continuous_columns(spark):
+    """More levels than the old grid held; large groups go through ranges of y."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=700)
+    y = x + rng.normal(size=700)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    s, tau = _kendall_brute(x, y)
+    for small in (100_000, 20):
+        r = S.kendall_tau_b(df, "x", "y", with_p=False, small=small).first()
+        assert r.s == s and abs(r.tau_b - round(tau, 6)) < 1e-9
+    assert S.kendall_tau_b(df.limit(1), "x", "y").first().tau_b is None
+    assert S.kendall_tau_b(df.limit(0), "x", "y").first().n == 0
+
+
 def test_rank_table_average_ties(spark):
     df = spark.createDataFrame([(v,) for v in [10, 20, 20, 30, 30, 30]], "v int")
     got = {r.v: r.rank for r in S.rank_table(df, "v", buckets=2).collect()}
