@@ -1,4 +1,5 @@
 import __spark_entry__ as entry
+from promspark.queries import registry
 
 
 def test_entry_smoke(spark):
@@ -11,7 +12,10 @@ def test_registry_contract():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 100
-    for k in q:
+    own = registry()
+    assert set(own) <= set(q)
+    # the names of the optional subpackage are not taken by the package's own queries
+    for k in own:
         assert not k.lower().startswith("op") and "pipeline" not in k.lower()
 
 
