@@ -156,25 +156,54 @@ FROM scored GROUP BY procedure, age_band"""
 QUERIES["S14_streaming_prepare"] = (s14_streaming_prepare, _s14_sql())
 
 
-def e1_collect_and_prepare(spark, sf):
-    """Collect + Entry 1 end to end: the PROM view is written as yearly CSV
-    files with source-style headers (one file ';'-separated), collected into
-    typed gzip parquet, prepared, and the deletion audit reported."""
+INDEX_HEADER = "Pre-Op Q EQ5D Index"  # a column with fractions, thousandths of the record number
+TEXT_COLUMNS = ["provider_code", "year", "procedure", "age_band", "gender"]
+
+
+def _collected(spark, sf):
+    """The PROM view as yearly CSV files with source-style headers (one file
+    ';'-separated, columns in another order), collected into typed gzip parquet."""
     from ..plans.collect import collect_topic
-    from ..plans.prepare import prepare
     from .schema import raw_header
     base = S.work_dir(spark, "collect")
     prom = load_prom(spark, sf)
-    raw = prom.toDF(*[raw_header(c) for c in prom.columns])
+    raw = prom.toDF(*[raw_header(c) for c in prom.columns]).withColumn(
+        INDEX_HEADER, F.round(F.col("record_id") % 1000 / 1000 - F.lit(0.3), 3))
     specs = []
     for y in cat.YEARS:
         sep = ";" if y == "2016/17" else ","
         path = os.path.join(base, "raw", y.replace("/", "_"))
-        S.write_csv(raw.where(F.col("Year") == y), path, sep)
+        own = raw.where(F.col("Year") == y)
+        S.write_csv(own.select(*own.columns[::-1]) if y == "2016/17" else own, path, sep)
         specs.append(S.FileSpec(path, "csv", sep, tag=y))
-    collected = collect_topic(spark, specs, os.path.join(base, "parquet"))
-    _, audit = prepare(collected.table)
-    return audit
+    return collect_topic(spark, specs, os.path.join(base, "parquet")).table
+
+
+def e1_collect_and_prepare(spark, sf):
+    """Collect + Entry 1 end to end: the collected table is prepared and the
+    deletion audit reported."""
+    from ..plans.prepare import prepare
+    return prepare(_collected(spark, sf))[1]
+
+
+def e1_collected_columns(spark, sf):
+    """Values and sum of every number column of the collected table, and the
+    values of its text columns."""
+    table = _collected(spark, sf)
+    numbers = [c for c in table.columns if c not in TEXT_COLUMNS]
+    wide = table.agg(*[F.struct(F.count(c).alias("n_values"), (F.sum(F.col(c).cast("double")) if c in numbers else F.lit(None).cast("double")).alias("total")).alias(c)
+                       for c in table.columns])
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}.n_values").alias("n_values"), F.round(F.col(f"{c}.total"), 3).alias("total"))
+                                           for c in table.columns])).alias("s"))
+    return long.select("s.*")
+
+
+def _e1_columns_sql():
+    from ..fixture import column_order
+    rows = [f"SELECT '{c}' AS column_name, COUNT({c}) AS n_values, "
+            + ("CAST(NULL AS DOUBLE)" if c in TEXT_COLUMNS else f"round(CAST(SUM({c}) AS DOUBLE), 3)") + " AS total FROM prom" for c in column_order()]
+    rows.append("SELECT 't0_eq5d_index', COUNT(*), round(SUM(round(record_id % 1000 / 1000.0 - 0.3, 3)), 3) FROM prom")
+    return ctes() + " UNION ALL ".join(rows)
 
 
 def _e1_sql():
@@ -183,3 +212,4 @@ def _e1_sql():
 
 
 QUERIES["E1_S_C_collect_and_prepare"] = (e1_collect_and_prepare, _e1_sql())
+QUERIES["E1_collected_columns"] = (e1_collected_columns, _e1_columns_sql())

@@ -49,3 +49,30 @@ def test_collect_roundtrip_types_and_values(prom, spark):
     b = prom.select(*[F.col(c).cast("string") for c in cols])
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert got.schema_report.where(~F.col("present")).count() == 0
+
+
+def test_collect_keeps_decimals_and_text_and_makes_row_ids(spark, tmp_path):
+    """Decimals stay, rows get ids, files may order their columns differently, and text in a number column raises."""
+    import pytest
+
+    from promspark.plans.collect import collect_topic
+    (tmp_path / "a.csv").write_text("Pre-Op Q Score,Provider Code,Post-Op Q EQ5D Index\n9,RX1,0.796\n12.0,RX2,-0.016\n,RX3,\n")
+    (tmp_path / "b.csv").write_text("Post-Op Q EQ5D Index;Provider Code;Pre-Op Q Score\n1;RX1;40\n")
+    specs = [S.FileSpec(str(tmp_path / "a.csv"), "csv", ",", tag="1"), S.FileSpec(str(tmp_path / "b.csv"), "csv", ";", tag="2")]
+    t = collect_topic(spark, specs, str(tmp_path / "out")).table
+    rows = sorted((r.provider_code, r.t0_score, r.t1_eq5d_index) for r in t.where("year = '1'").collect())
+    assert rows == [("RX1", 9, 0.796), ("RX2", 12, -0.016), ("RX3", None, None)]
+    assert dict(t.dtypes)["t0_score"] == "tinyint" and dict(t.dtypes)["t1_eq5d_index"] == "double"
+    assert t.select("record_id").distinct().count() == 4
+    two = t.where("year = '2'").first()
+    assert (two.provider_code, two.t0_score, two.t1_eq5d_index) == ("RX1", 40, 1.0)
+    with pytest.raises(ValueError, match="provider_code"):
+        collect_topic(spark, specs, str(tmp_path / "out2"), text_columns=())
+
+
+def test_manifest_reads_each_file_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,a\n")
+    (tmp_path / "b.csv").write_text("y,z,x\nb,9,2\n")
+    specs = [S.FileSpec(str(tmp_path / n), "csv", ",", tag=n) for n in ("a.csv", "b.csv")]
+    got = S.read_manifest(spark, specs, schema=S.string_schema(["x", "y"]))
+    assert sorted((r.x, r.y, r.source) for r in got.collect()) == [("1", "a", "a.csv"), ("2", "b", "b.csv")]
