@@ -153,15 +153,21 @@ def describe_strings(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def grouped_measures(df: DataFrame, by: Sequence[str], measures: Sequence[str],
                      funcs: Sequence[str] = ("sum",)) -> DataFrame:
-    """Several functions over several measures per group."""
-    fmap = {"sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-            "median": F.median, "count": F.count}
+    """Several functions over several measures per group.
+
+    Medians run over (group, value) counts, so repeats collapse map-side."""
+    fmap = {"sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count}
     aggs = []
     for m in measures:
         for f in funcs:
-            c = fmap[f](m)
-            aggs.append((_r6(c) if f in ("mean", "std", "median") else c).alias(f"{m}_{f}"))
-    return df.groupBy(*by).agg(*aggs)
+            if f != "median":
+                c = fmap[f](m)
+                aggs.append((_r6(c) if f in ("mean", "std") else c).alias(f"{m}_{f}"))
+    out = df.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
+    for m in measures if "median" in funcs else ():
+        q = grouped_percentiles(df, by, m, [0.5], [f"{m}_median"])
+        out = join_keys_null_safe(out, q.withColumn(f"{m}_median", _r6(F.col(f"{m}_median"))), list(by), "left")
+    return out.select(*by, *[f"{m}_{f}" for m in measures for f in funcs])
 
 
 def rate_bottom_k(df: DataFrame, by: Sequence[str], num: str, den: str, k: int = 10) -> DataFrame:

@@ -45,8 +45,8 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: str = "record_id
     <= share * n`` but without sorting a whole stratum in one task: rows are
     bucketed by the top 16 bits of the hash; a (stratum, bucket) count table
     (bounded by strata x buckets) locates the boundary bucket of every
-    stratum; only rows of that one bucket (1/65536 of the stratum) are
-    ranked by a window."""
+    stratum, one row each, which is what the rows are joined with; only rows
+    of that one bucket (1/65536 of the stratum) are ranked by a window."""
     strata = list(strata)
     h = key_hash(key)
     b = (h * buckets / F.lit(2 ** 32)).cast("int")
@@ -58,16 +58,15 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: str = "record_id
                            F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__before"),
                            # exact decimal share: floor(90 * 0.7) must be 63, not 62.999...
                            F.floor(F.sum("__c").over(wt) * F.lit(Decimal(str(train_share)))).alias("__k"))
-    # per row: bucket fully inside (train), fully outside (test) or boundary
-    j = join_keys_null_safe(x, bounds, [*strata, "__b"], "left")
-    need = F.col("__k") - F.col("__before")
-    inside = F.col("__before") + F.col("__c") <= F.col("__k")
-    outside = F.col("__before") >= F.col("__k")
-    wb = Window.partitionBy(*strata, "__b").orderBy("__h", key)
-    boundary = j.where(~inside & ~outside).withColumn("__r", F.row_number().over(wb)) \
-        .withColumn(col, F.when(F.col("__r") <= need, "train").otherwise("test")).drop("__r")
-    rest = j.where(inside | outside).withColumn(col, F.when(inside, "train").otherwise("test"))
-    return rest.unionByName(boundary).drop("__h", "__b", "__c", "__before", "__k")
+    # the last bucket that gives rows to train, and how many; none if the share rounds to no row
+    edge = bounds.where(F.col("__before") < F.col("__k")).groupBy(*strata).agg(
+        F.max("__b").alias("__edge"), F.max_by(F.col("__k") - F.col("__before"), "__b").alias("__need"))
+    j = join_keys_null_safe(x, edge, strata, "left").withColumn("__edge", F.coalesce("__edge", F.lit(-1)))
+    wb = Window.partitionBy(*strata).orderBy("__h", key)
+    boundary = j.where(F.col("__b") == F.col("__edge")).withColumn("__r", F.row_number().over(wb)) \
+        .withColumn(col, F.when(F.col("__r") <= F.col("__need"), "train").otherwise("test")).drop("__r")
+    rest = j.where(F.col("__b") != F.col("__edge")).withColumn(col, F.when(F.col("__b") < F.col("__edge"), "train").otherwise("test"))
+    return rest.unionByName(boundary).drop("__h", "__b", "__edge", "__need")
 
 
 def standard_scaler_fit(train: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
