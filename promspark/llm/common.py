@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose batches to Python hold 2,000 rows unless the job has set another size:
+    rows here are whole documents, and a batch of the default 10,000 is held on both sides."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_ROWS) == "10000":
+        conf.set(ARROW_ROWS, "2000")
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder that the cluster names in ``spark.checkpoint.dir``.
 

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([A-Za-z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""", re.S)
 LABEL = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 PART = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
@@ -219,4 +221,4 @@ def extract(df: DataFrame, column: str = "html", out: str = "text") -> DataFrame
     def run(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in pages:
             yield pa.array([main_text(p) for p in batch.to_pylist()], pa.string())
-    return df.withColumn(out, run(F.col(f"`{column}`")))
+    return bounded_batches(df).withColumn(out, run(F.col(f"`{column}`")))

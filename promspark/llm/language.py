@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .words import ALPHA_WORDS, chunks, mix
 
 MAX_DOCUMENTS, LONGEST, CACHE_CELLS = 20_000, 32, 1_600_000
@@ -216,7 +217,7 @@ def _expected(pieces: list[str]):
 def fit(df: DataFrame, model_file: str, text: str = "text", lang: str = "lang", max_documents: int = MAX_DOCUMENTS) -> Model:
     """Learns from rows with a language; what comes to the driver is vocabulary x languages numbers."""
     pieces = vocabulary(model_file)
-    rows = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
+    rows = bounded_batches(df).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
     count = rows.count()
     if count > max_documents:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_documents / count))
@@ -295,11 +296,13 @@ def predicted(model: Model, text: Column) -> Column:
                 best[here] = np.where(some, top, len(model.languages))
                 score[here] = np.where(some, np.minimum(posterior, 1.0), 0.0)
             yield pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(score)], fields=list(kind))
-    return run(text)
+    # once per row, also where a filter on the result is pushed down
+    return run.asNondeterministic()(text)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``df`` with the predicted language of each text and its score."""
+    df = bounded_batches(df)
     got = F.col(f"`{text}`")
     names = [c for c in df.columns if c not in (lang_pred, score)]
     rows = df.select(*(F.col(f"`{c}`") for c in names), predicted(model, got).alias("__language"))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bitmap, probe
-from .common import written
+from .common import bounded_batches, written
 from .components import components
 from .words import _ODD, SPACE_WORDS, Words, chunks, mix, ngrams
 
@@ -393,7 +393,7 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, percent:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: its key, ``n_shingles`` and ``component_id``, the smallest key it is linked to by any path."""
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     texts = rows.select("text")
     hashes, levels = frequent(texts, n)
     each = written(rows.mapInArrow(_indexed(n, percent, hashes, levels), "doc_id bigint, n bigint, h1 bigint, h2 bigint, b0 bigint, b1 bigint, wide binary, first array<bigint>"))

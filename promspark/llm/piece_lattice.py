@@ -36,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .spotsigs import let
-from .words import _BYTE, _POWERS, mix, string_buffers
+from .words import _BYTE, _POWERS, give_back, mix, string_buffers
 
-PACK_BYTES, CHUNK_BYTES, RUN, GROUPS, MERGED = 64 << 20, 2 << 20, 256, 6, 3
+PACK_BYTES, CHUNK_BYTES, RUN, GROUPS, MERGED = 64 << 20, 1 << 20, 256, 6, 3
 UNKNOWN_COST, BROADCAST_PIECES, ID_ZERO = 10, 1_000_000, 1 << 31
 MARK = "▁"
 
@@ -162,6 +163,7 @@ def _packs(cuts: np.ndarray, words: bool):
         fresh = lambda: {"numbers": Numbers(), "words": [], "rows": [], "size": 0}
         pack, press = fresh(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
+            give_back()
             offsets, data = string_buffers(batch.column(1))
             i = 0
             while i < batch.num_rows:
@@ -262,6 +264,7 @@ def _put_together(byte_ids: np.ndarray, decoded: tuple[np.ndarray, np.ndarray],
     def run(words: pa.Table, rows: pa.Table) -> pa.Table:
         import zstandard
 
+        give_back()
         words, size = words.combine_chunks(), np.zeros(0, np.int64)
         if words.num_rows:
             number, lists = words.column("number").to_numpy(), words.column("ids").combine_chunks()
@@ -278,7 +281,10 @@ def _put_together(byte_ids: np.ndarray, decoded: tuple[np.ndarray, np.ndarray],
                     new[moved[k]:moved[k + 1]] = x
                 value, off = new, moved[off]
             size[number], begin[number] = np.diff(off), off[:-1]
-        out = {"doc_id": [], "n_tokens": [], "ids_crc32": [], "round_trip": [], "ids": []}
+        kind = rows.schema.field("doc_id").type.value_type
+        names = [key, "n_tokens", *["ids"] * whole, "ids_crc32", "round_trip"]
+        types = [kind, pa.int64(), *[pa.list_(pa.int32())] * whole, pa.int64(), pa.bool_()]
+        out = []
         for r in range(rows.num_rows):
             planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(rows.column("blob")[r].as_py()), np.uint8)
             numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
@@ -293,25 +299,20 @@ def _put_together(byte_ids: np.ndarray, decoded: tuple[np.ndarray, np.ndarray],
             text = said[flat(text_size, bounds[ids])].tobytes()
             text_ends = np.append(0, np.cumsum(text_size))[ends].tolist()
             crc = rows.column("crc")[r].as_py()
-            out["doc_id"] += rows.column("doc_id")[r].as_py()
-            out["n_tokens"] += np.diff(ends).tolist()
-            out["ids_crc32"] += [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            out["round_trip"] += [zlib.crc32(text[a + 1:b]) == c if b > a else c == 0 for a, b, c in zip(text_ends[:-1], text_ends[1:], crc)]
+            columns = [rows.column("doc_id")[r].values, pa.array(np.diff(ends))]
             if whole:
-                out["ids"] += [ids[a:b].astype(np.int32) for a, b in zip(ends[:-1], ends[1:])]
-        kind = rows.schema.field("doc_id").type.value_type
-        columns = [pa.array(out["doc_id"], kind), pa.array(out["n_tokens"], pa.int64())]
-        if whole:
-            columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
-        return pa.Table.from_arrays([*columns, pa.array(out["ids_crc32"], pa.int64()), pa.array(out["round_trip"], pa.bool_())],
-                                    names=[key, "n_tokens", *["ids"] * whole, "ids_crc32", "round_trip"])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32))))
+            columns.append(pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])], pa.int64()))
+            columns.append(pa.array([zlib.crc32(text[a + 1:b]) == c if b > a else c == 0 for a, b, c in zip(text_ends[:-1], text_ends[1:], crc)], pa.bool_()))
+            out.append(pa.RecordBatch.from_arrays(columns, names=names))
+        return pa.Table.from_batches(out, pa.schema(zip(names, types)))
     return run
 
 
 def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """Per row: key, ``n_tokens``, ``ids`` (unless told not to), the CRC-32 of the ids as little-endian
     32-bit numbers, and whether they decode to the text."""
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     # a pack spans a few small input splits, so that fewer packs ask for the same words
     rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // MERGED))

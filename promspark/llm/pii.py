@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 
@@ -148,7 +150,7 @@ def _spans_udf(threshold: float):
 
 def spans(df: DataFrame, text: str = "text", threshold: float = 0.5, out: str = "pii") -> DataFrame:
     """``df`` with a column ``out`` of (kind, start, end, score); a column of that name is replaced."""
-    return df.withColumn(out, _spans_udf(threshold)(F.col(f"`{text}`")))
+    return bounded_batches(df).withColumn(out, _spans_udf(threshold)(F.col(f"`{text}`")))
 
 
 def masked(text: str | None, threshold: float) -> str | None:
@@ -169,7 +171,7 @@ def redact(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFra
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             yield pa.array([masked(t, threshold) for t in batch.to_pylist()], pa.string())
-    return df.withColumn(text, run(F.col(f"`{text}`")))
+    return bounded_batches(df).withColumn(text, run(F.col(f"`{text}`")))
 
 
 def digest(df: DataFrame, text: str = "text", threshold: float = 0.5, key: str = "doc_id") -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .words import UNIT_WORDS, chunks
 
 CACHE_WORDS = 1_000_000  # about 40 MB
@@ -142,7 +143,7 @@ def write(df: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, key: s
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding must be dictionary or delta, not {encoding}")
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(f"`{key}`").alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = bounded_batches(df).select(F.col(f"`{key}`").alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     order = [F.col(key).asc_nulls_first(), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.mapInArrow(_encoder(tokenizer_file, end_id, key), f"`{key}` {kind}, part int, local_start bigint, n_tokens bigint, ids array<int>")

@@ -83,5 +83,5 @@ def test_query_over_whole_table(spark, sf):
     got = queries.op3_piece_lattice(spark, sf).collect()
     assert len(got) == len(texts) and all(r.round_trip for r in got)
     for r in got:
-        if r.doc_id % 10 == 0:
+        if r.doc_id % 5 == 0 and len(texts[r.doc_id] or "") < 4000:
             assert r.ids_crc32 == zlib.crc32(np.array(best_ids(texts[r.doc_id], PIECES), "<u4").tobytes())

@@ -23,7 +23,7 @@ def test_against_brute_force(spark, sf):
     want = {d: pii.masked(t, 0.5) for d, t in kept if d not in bad}
     got = {r.doc_id: r for r in C.run(spark, sf).collect()}
     assert set(got) == set(want) and bad and len(want) < len(docs)
-    for d in sorted(want)[::12]:
+    for d in [d for d in sorted(want)[::6] if len(want[d]) < 4000]:
         assert got[d].ids == best_ids(want[d], PIECES)
     assert all(r.round_trip for r in got.values())
 
