@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promspark.llm import decontaminate, language, ngram_join, pii, piece_lattice
+from promspark.llm.bloom import without
 from promspark.llm.common import written
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,8 +41,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = written(ngram_join.join(docs.select("doc_id", "text")))
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    kept = without(docs, "doc_id", gone)
     again = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if again.isEmpty():
         return kept.select(*docs.columns)

@@ -6,6 +6,7 @@ follows, so a larger input only lets more rows through."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,20 @@ def probe(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
         p = (values[kept] >> np.uint64(20 * k)) & last
         kept = kept[(bits[(p >> np.uint64(3)).view(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
     return kept
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in the key column of ``gone``; rows with a null key stay.
+
+    Rows that the bitmap tells apart are kept where they are; only the others, the rows to drop and
+    few more, are shuffled for the exact anti-join."""
+    bits = bitmap(gone.select(F.xxhash64(key).alias("h")), "h", gone.count())
+
+    @F.arrow_udf("boolean")
+    def perhaps(hashes: pa.Array) -> pa.Array:
+        out = np.zeros(len(hashes), bool)
+        out[probe(bits, hashes.to_numpy(zero_copy_only=False).view(np.uint64))] = True
+        return pa.array(out)
+
+    flag = perhaps(F.xxhash64(key))
+    return rows.where(~flag).unionByName(rows.where(flag).join(gone.select(key), key, "left_anti").select(*rows.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,12 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    A session without that setting (tests) gets a folder of its own."""
+    A session on one machine without that setting (tests) gets a folder of its own; on a cluster the
+    setting is needed.  Folders stay until the job's owner removes them, as results are read lazily."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
         root = tempfile.mkdtemp(prefix="promspark-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/promspark-{uuid.uuid4().hex}"

@@ -106,3 +106,12 @@ def test_row_sets_are_distinct_and_sorted():
     w = next(chunks(pa.array(["a b c a b c", "", "a", "a b", "x y z"]), SPACE_WORDS))
     flat, offsets = ngram_join.row_sets(w, 3)
     assert np.diff(offsets).tolist() == [3, 0, 1, 1, 1] and all(np.all(np.diff(flat[a:b].astype(object)) > 0) for a, b in zip(offsets, offsets[1:]))
+
+
+def test_without_drops_exactly_the_given_keys(spark, docs):
+    from promspark.llm.bloom import without
+    df = docs([f"t{k}" for k in range(3000)] + ["null"] * 2, ids=[*range(3000), None, None])
+    gone = spark.range(0, 6000, 7).withColumnRenamed("id", "doc_id")
+    got = [r.doc_id for r in without(df, "doc_id", gone).collect()]
+    assert sorted(k for k in got if k is not None) == [k for k in range(3000) if k % 7] and got.count(None) == 2
+    assert without(df, "doc_id", gone.limit(0)).count() == 3002 and without(df.limit(0), "doc_id", gone).count() == 0
