@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .bloom import bitmap, probe
 from .common import bounded_batches, written
-from .words import _ODD, LETTER_WORDS, Words, chunks, mix
+from .words import _ODD, LETTER_WORDS, Words, chunks, mix, tidy
 
 WINDOW, MIN_WORDS, SIMILARITY = 13, 8, 0.8
 
@@ -188,7 +188,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     bits = bitmap(table, "seed", sum(r["count"] for r in said))
 
     rows = bounded_batches(docs).select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    hits = rows.mapInArrow(_document_hits(bits, sizes, similarity), f"doc_id {key_type}, words array<bigint>, seeds array<bigint>, places array<int>")
+    hits = rows.mapInArrow(tidy(_document_hits(bits, sizes, similarity)), f"doc_id {key_type}, words array<bigint>, seeds array<bigint>, places array<int>")
     hits = written(hits.withColumn("rid", F.monotonically_increasing_id()))
 
     pairs = hits.select("rid", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("rid", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .words import ALPHA_WORDS, chunks, mix
+from .words import ALPHA_WORDS, chunks, give_back, mix, tidy
 
 MAX_DOCUMENTS, LONGEST, CACHE_CELLS = 20_000, 32, 1_600_000
 UNKNOWN = 1e-8  # probability of a letter that is no piece
@@ -221,7 +221,7 @@ def fit(df: DataFrame, model_file: str, text: str = "text", lang: str = "lang",
     count = rows.count()
     if count > max_documents:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_documents / count))
-    uses = rows.mapInArrow(_expected(pieces), "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
+    uses = rows.mapInArrow(tidy(_expected(pieces)), "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
     got = uses.toArrow()
     names, piece, value = np.array(got.column(0).to_pylist(), object), got.column(1).to_numpy(), got.column(2).to_numpy()
     languages = sorted(set(names))
@@ -296,6 +296,8 @@ def predicted(model: Model, text: Column) -> Column:
                 best[here] = np.where(some, top, len(model.languages))
                 score[here] = np.where(some, np.minimum(posterior, 1.0), 0.0)
             yield pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(score)], fields=list(kind))
+        scorer = None
+        give_back()
     # once per row, also where a filter on the result is pushed down
     return run.asNondeterministic()(text)
 

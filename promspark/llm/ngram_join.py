@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .bloom import bitmap, probe
 from .common import bounded_batches, written
 from .components import components
-from .words import _ODD, SPACE_WORDS, Words, chunks, mix, ngrams
+from .words import _ODD, SPACE_WORDS, Words, chunks, mix, ngrams, tidy
 
 PERCENT, N = 90, 3
 LEAST_COUNT, MOST_FREQUENT, BUCKET_BITS = 16, 1 << 20, 10
@@ -172,7 +172,7 @@ def _total_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted 32-bit hashes, level) of the most frequent elements; the level is the count's logarithm."""
-    parts = texts.mapInArrow(_partial_counts(n), "bucket int, high binary, low binary")
+    parts = texts.mapInArrow(tidy(_partial_counts(n)), "bucket int, high binary, low binary")
     counts = written(parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_total_counts, "hash bigint, count bigint"))
     level = F.floor(F.log2("count")).cast("int")
     sizes, least, total = counts.groupBy(level.alias("level")).count().collect(), 64, 0
@@ -384,11 +384,11 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, percent:
     pairs = written(near.mapInArrow(_near_enough(percent), "a bigint, b bigint"))
     named = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sid").join(sets.select("sid", "h1", "h2"), "sid"))
     bits = bitmap(named, "h1", named.count())
-    whole = texts.mapInArrow(_named_sets(n, bits), "h1 bigint, h2 bigint, elements binary").dropDuplicates(["h1", "h2"])
+    whole = texts.mapInArrow(tidy(_named_sets(n, bits)), "h1 bigint, h2 bigint, elements binary").dropDuplicates(["h1", "h2"])
     whole = written(whole.join(named, ["h1", "h2"]).select("sid", "elements"))
     x, y = (whole.select(F.col("sid").alias(s), F.col("elements").alias(f"of_{s}")) for s in "ab")
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "of_a", "of_b")
-    return written(both.mapInArrow(_verified(percent), "a bigint, b bigint"))
+    return written(both.mapInArrow(tidy(_verified(percent)), "a bigint, b bigint"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -396,17 +396,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, p
     rows = bounded_batches(docs).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     texts = rows.select("text")
     hashes, levels = frequent(texts, n)
-    each = written(rows.mapInArrow(_indexed(n, percent, hashes, levels), "doc_id bigint, n bigint, h1 bigint, h2 bigint, b0 bigint, b1 bigint, wide binary, first array<bigint>"))
+    each = written(rows.mapInArrow(tidy(_indexed(n, percent, hashes, levels)), "doc_id bigint, n bigint, h1 bigint, h2 bigint, b0 bigint, b1 bigint, wide binary, first array<bigint>"))
     sets = each.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *(F.max(c).alias(c) for c in ("n", "b0", "b1")),
                                                             *(F.first(c, True).alias(c) for c in ("wide", "first")))
     sets = written(sets.withColumn("sid", F.monotonically_increasing_id()))
 
-    found = written(_list_table(sets.withColumn("label", F.col("sid"))).mapInArrow(_list_pairs(percent, False), "a bigint, b bigint").distinct())
+    found = written(_list_table(sets.withColumn("label", F.col("sid"))).mapInArrow(tidy(_list_pairs(percent, False)), "a bigint, b bigint").distinct())
     links = _links(written(found.where("b is not null")), sets, texts, n, percent)
     labels = components(links)
     active = sets.join(found.where("b is null").select(F.col("a").alias("sid")), "sid", "left_semi")
     active = active.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    rest = written(_list_table(active).mapInArrow(_list_pairs(percent, True), "a bigint, b bigint").distinct())
+    rest = written(_list_table(active).mapInArrow(tidy(_list_pairs(percent, True)), "a bigint, b bigint").distinct())
     more = _links(rest, sets, texts, n, percent)
     if not more.isEmpty():
         labels = components(links.union(more))

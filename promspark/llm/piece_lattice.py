@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 from .spotsigs import let
-from .words import _BYTE, _POWERS, give_back, mix, string_buffers
+from .words import _BYTE, _POWERS, give_back, mix, string_buffers, tidy
 
 PACK_BYTES, CHUNK_BYTES, RUN, GROUPS, MERGED = 64 << 20, 1 << 20, 256, 6, 3
 UNKNOWN_COST, BROADCAST_PIECES, ID_ZERO = 10, 1_000_000, 1 << 31
@@ -316,14 +316,14 @@ def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "te
     kind = rows.schema["doc_id"].dataType.simpleString()
     # a pack spans a few small input splits, so that fewer packs ask for the same words
     rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // MERGED))
-    asked = rows.mapInArrow(_packs(pieces.cuts, True), "pack bigint, number int, word string")
+    asked = rows.mapInArrow(tidy(_packs(pieces.cuts, True)), "pack bigint, number int, word string")
     # small groups of words: a group's edges, tens per word, are sorted in memory
     groups = GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = asked.repartition(groups, F.xxhash64("word")).withColumn("h", F.xxhash64("word"))
     same = F.when(F.min("word") == F.max("word"), F.min("word")).otherwise(F.raise_error(F.lit("two words with one hash")))
     words = asked.groupBy("h").agg(same.alias("word"), F.collect_list(F.struct("pack", "number")).alias("uses"))
     answers = segmented(words, pieces).select(F.explode("uses").alias("use"), "ids").select("use.pack", "use.number", "ids")
-    packs = rows.mapInArrow(_packs(pieces.cuts, False), f"pack bigint, doc_id array<{kind}>, counts array<int>, crc array<bigint>, blob binary")
+    packs = rows.mapInArrow(tidy(_packs(pieces.cuts, False)), f"pack bigint, doc_id array<{kind}>, counts array<int>, crc array<bigint>, blob binary")
     out = f"`{key}` {kind}, n_tokens bigint, {'ids array<int>, ' if ids else ''}ids_crc32 bigint, round_trip boolean"
     return answers.groupBy("pack").cogroup(packs.groupBy("pack")).applyInArrow(_put_together(pieces.byte_ids, pieces.decoded(), key, ids), out)
 

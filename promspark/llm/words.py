@@ -104,6 +104,15 @@ def give_back() -> None:
         pass
 
 
+def tidy(run):
+    """A function from batches to batches that gives its memory back when it ends: its worker waits for
+    the next task with what it keeps."""
+    def to_the_end(batches):
+        yield from run(batches)
+        give_back()
+    return to_the_end
+
+
 def chunks(column: pa.Array, kind: str, limit: int = CHUNK_BYTES) -> Iterator[Words]:
     """The words of a string column in chunks of about ``limit`` bytes; every row is in one chunk."""
     give_back()
