@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import quantile_bins
-from .stats import running_before
+from .running import running_sums
 
 
 def _r6(c: Column) -> Column:
@@ -46,28 +46,29 @@ def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
 def _thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
     """Per distinct score: positives, negatives, and the positives and negatives with a higher score.
 
-    The running sums go over ranges of scores (``running_before``), so no task
-    holds the table of all distinct scores."""
+    The base is read once, into the count table of distinct scores; both running sums
+    go over ranges of that table (``running_sums``), so no task holds all of it."""
     y = F.col(label).cast("int")
     per = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy((-F.col(score).cast("double")).alias("v")) \
         .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    above = running_before(per, "v", "pos").withColumnRenamed("__before", "pos_above")
-    return running_before(above, "v", "neg").withColumnRenamed("__before", "neg_above")
+    return running_sums(per, ["v"], {"pos": "pos_above", "neg": "neg_above"})
 
 
 def curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """For every distinct score threshold t (predict
-    positive when score >= t): tp, fp, fn, tn, tpr, fpr, precision, recall."""
-    y = F.col(label).cast("int")
-    total = df.where(F.col(score).isNotNull() & y.isNotNull()).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")).first()
-    c = _thresholds(df, label, score).select((-F.col("v")).alias("threshold"), (F.col("pos_above") + F.col("pos")).alias("tp"),
-                                             (F.col("neg_above") + F.col("neg")).alias("fp"))
+    positive when score >= t): tp, fp, fn, tn, tpr, fpr, precision, recall,
+    and the base rate, the precision of a model without skill."""
+    t = _thresholds(df, label, score)
+    total = t.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    c = t.select((-F.col("v")).alias("threshold"), (F.col("pos_above") + F.col("pos")).alias("tp"),
+                 (F.col("neg_above") + F.col("neg")).alias("fp"))
     c = c.withColumns({"__P": F.lit(total["p"]).cast("long"), "__N": F.lit(total["n"]).cast("long")})
     return c.select("threshold", "tp", "fp", (F.col("__P") - F.col("tp")).alias("fn"),
                     (F.col("__N") - F.col("fp")).alias("tn"),
-                    _r6(F.col("tp") / F.col("__P")).alias("tpr"), _r6(F.col("fp") / F.col("__N")).alias("fpr"),
+                    _r6(F.try_divide(F.col("tp"), F.col("__P"))).alias("tpr"), _r6(F.try_divide(F.col("fp"), F.col("__N"))).alias("fpr"),
                     _r6(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                    _r6(F.col("tp") / F.col("__P")).alias("recall"))
+                    _r6(F.try_divide(F.col("tp"), F.col("__P"))).alias("recall"),
+                    _r6(F.col("__P") / (F.col("__P") + F.col("__N"))).alias("base_rate"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_p_value, corr_t, t_p_value
 from ..functions.scores import significance_stars
+from .running import running_before
 
 
 def _r6(c: Column) -> Column:
@@ -29,41 +30,6 @@ def _explode_rows(wide: DataFrame, rows: list[Column]) -> DataFrame:
 
 # -- ranks ---------------------------------------------------------------------
 
-def running_before(counts: DataFrame, value: str, weight: str, by: Sequence[str] = (),
-                   buckets: int | None = None) -> DataFrame:
-    """Sum of ``weight`` over all rows of the same ``by`` group with a
-    smaller ``value`` -> column ``__before``.
-
-    A plain running-sum window would hold a group's whole value table in one
-    task.  Instead values are cut into ``buckets`` ranges at approximate
-    quantiles of the group (approximation only affects balance, not the
-    result); bucket totals get a running sum over a (group x bucket) table,
-    and the exact running sum runs inside each (group, bucket)."""
-    by = list(by)
-    # as many ranges as shuffle partitions, which are sized to the input
-    buckets = buckets or max(64, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probs = [i / buckets for i in range(1, buckets)]
-    q = F.percentile_approx(F.col(value), probs, 20 * buckets)
-    if by:
-        bounds = counts.groupBy(*by).agg(q.alias("__q"))
-        c = counts.join(bounds, by, "left")
-        qcol = F.col("__q")
-    else:
-        edges = counts.agg(q.alias("q")).first()["q"] or []
-        c = counts
-        qcol = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
-    c = c.withColumn("__bk", F.size(F.filter(qcol, lambda e: e < F.col(value))))
-    if by:
-        c = c.drop("__q")
-    totals = c.groupBy(*by, "__bk").agg(F.sum(weight).alias("__bt"))
-    wb = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__bk", F.coalesce(F.sum("__bt").over(wb), F.lit(0)).alias("__off"))
-    c = c.join(offsets, [*by, "__bk"], "left")
-    wv = Window.partitionBy(*by, "__bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("__before", F.col("__off") + F.coalesce(F.sum(weight).over(wv), F.lit(0)))
-    return c.drop("__bk", "__off")
-
-
 def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
                buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """Average rank (ties get the mean of their positions) per distinct

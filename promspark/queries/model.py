@@ -117,7 +117,8 @@ cur AS (SELECT threshold, SUM(pos) OVER (ORDER BY threshold DESC ROWS BETWEEN UN
   SUM(pos) OVER () AS P, SUM(neg) OVER () AS N FROM per)"""
 
 SQL_M20 = ctes(CURVE_CTE) + f"""SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(P - tp AS BIGINT) AS fn,
-  CAST(N - fp AS BIGINT) AS tn, {r6('tp / P')} AS tpr, {r6('fp / N')} AS fpr, {r6('tp / (tp + fp)')} AS precision, {r6('tp / P')} AS recall FROM cur"""
+  CAST(N - fp AS BIGINT) AS tn, {r6('tp / P')} AS tpr, {r6('fp / N')} AS fpr, {r6('tp / (tp + fp)')} AS precision, {r6('tp / P')} AS recall,
+  {r6('P / (P + N)')} AS base_rate FROM cur"""
 
 
 def m20_auc(spark, sf):

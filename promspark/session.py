@@ -9,8 +9,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "promspark",
@@ -94,3 +95,11 @@ def checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
     path = tempfile.mkdtemp(prefix="promspark-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def written_table(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table below the shared checkpoint folder, read again:
+    cuts the lineage, and every executor can read it when another is lost."""
+    path = f"{checkpoint_dir(df.sparkSession, allow_local=True).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
