@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog as cat
+from .session import written_table
 
 K = "o_orderkey"
 C = "o_custkey"
@@ -93,15 +94,22 @@ def prom_fixture(orders: DataFrame) -> DataFrame:
     return stage.select("*", *[F.expr(e).alias(n) for n, e in score_columns()])
 
 
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
 def load_prom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Every fixture column is a wide CASE expression that later projections
-    # inline many times (scores reference 12 items twice, etc.).  Constraint
-    # propagation over such plans costs tens of seconds of optimizer time for
-    # no benefit (there are no joins to infer filters for), so it is switched
-    # off for sessions that read the fixture.  Real PROM tables are plain
-    # parquet columns and do not need this.
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    return prom_fixture(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    """The PROM table of a folder, read as Parquet columns.
+
+    The projection of ``orders`` is written once per application and input into the shared
+    folder, as a Collect job would have left it; queries then read the columns that they need
+    and push their filters down."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, *orders.inputFiles())
+    if key not in _WRITTEN:
+        # two narrow columns are dealt to all cores: a small table may be one file, and the rows get wide
+        _WRITTEN[key] = written_table(prom_fixture(orders.select(K, C).repartition(K)))
+    # a frame of the asking session, with column ids of its own
+    return spark.read.schema(_WRITTEN[key].schema).parquet(*_WRITTEN[key].inputFiles())
 
 
 def prom_sql(source: str = "orders") -> str:
