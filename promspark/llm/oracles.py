@@ -48,4 +48,23 @@ SELECT page_id, url, 'b' AS damaged, sha256(html) AS sha256_a, sha256(CASE WHEN
 FROM pages WHERE ((page_id % 97) + 97) % 97 = 13 AND regexp_matches(html, '^[\x00-\x7F]')
 """
 
-ORACLE_SQL = {"op2_spotsigs": OP2, "op8_warc_audit": OP8, "op9_ngram_join": OP9}
+OP11 = r"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS o,
+             CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
+w AS (SELECT *, CAST(CASE number % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, 2 * source_size AS cap FROM s),
+f AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+      FROM w WINDOW before AS (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT first(level ORDER BY cap / weight, number) AS level FROM f WHERE level * weight <= cap),
+g AS (SELECT source, source_size, number, weight, least(CAST(cap AS DOUBLE), coalesce(l.level * weight, CAST(cap AS DOUBLE))) AS target FROM w, l),
+p AS (SELECT d.*, g.* EXCLUDE (source), coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+u AS (SELECT *, greatest(0, least(size, floor(target) - before)) AS one, greatest(0, least(size, floor(target) - before - source_size)) AS two,
+        before / target * weight AS a, (before + source_size) / target * weight AS b,
+        CASE number % 3 WHEN 0 THEN 7.5 WHEN 1 THEN 2.0 ELSE 0.5 END AS w0, CASE number % 3 WHEN 0 THEN -5.0 WHEN 1 THEN 0.0 ELSE 1.0 END AS slope FROM p)
+SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
+  CASE WHEN one > 0 THEN 2 * a / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * a, 0))) END AS first_at,
+  CASE WHEN two > 0 THEN 2 * b / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * b, 0))) END AS second_at FROM u
+"""
+
+ORACLE_SQL = {"op2_spotsigs": OP2, "op8_warc_audit": OP8, "op9_ngram_join": OP9, "op11_curriculum": OP11}

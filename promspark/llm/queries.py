@@ -1,4 +1,4 @@
-"""Queries of the ten operators, and the SQL of those that SQL can express.
+"""Queries of the numbered operators, and the SQL of those that SQL can express.
 
 Each takes (spark, sf_dir), applies one operator with its production
 parameters to its whole table and returns the full result.
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, ngram_join, passages, piece_lattice, pii, spotsigs, token_files, warc_audit
+from . import curriculum, decontaminate, html_text, language, ngram_join, passages, piece_lattice, pii, spotsigs, token_files, warc_audit
 from .common import shared_dir, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -75,6 +75,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.digest(curriculum.plan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_passages": op1_passages,
     "op2_spotsigs": op2_spotsigs,
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_warc_audit": op8_warc_audit,
     "op9_ngram_join": op9_ngram_join,
     "op10_decontaminate": op10_decontaminate,
+    "op11_curriculum": op11_curriculum,
 }
 
 
