@@ -67,4 +67,20 @@ SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
   CASE WHEN two > 0 THEN 2 * b / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * b, 0))) END AS second_at FROM u
 """
 
-ORACLE_SQL = {"op2_spotsigs": OP2, "op8_warc_audit": OP8, "op9_ngram_join": OP9, "op11_curriculum": OP11}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+q AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark),
+asked AS (SELECT i, x, count(*) AS times FROM (SELECT i, unnest(t) AS x FROM q) GROUP BY ALL),
+tf AS (SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(t) AS x FROM d) WHERE x IN (SELECT x FROM asked) GROUP BY ALL),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+w AS (SELECT x, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY x, n_docs),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * len(t) * n_docs) // n_terms AS m FROM d, c WHERE len(t) > 0),
+s AS (SELECT i, m.r, any_value(doc_id) AS doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM asked JOIN tf USING (x) JOIN w USING (x) JOIN m USING (r) GROUP BY i, m.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN q USING (i) WHERE rank <= 20
+"""
+
+ORACLE_SQL = {"op2_spotsigs": OP2, "op8_warc_audit": OP8, "op9_ngram_join": OP9, "op11_curriculum": OP11, "op13_lexical_search": OP13}

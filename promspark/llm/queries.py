@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontaminate, html_text, language, ngram_join, passages, piece_lattice, pii, spotsigs, token_files, warc_audit
+from . import curriculum, decontaminate, html_text, language, lexical_search, ngram_join, passages, piece_lattice, pii, spotsigs, token_files, warc_audit, whitening
 from .common import shared_dir, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -79,6 +79,15 @@ def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.digest(curriculum.plan(table(spark, sf_dir, "documents")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_passages": op1_passages,
     "op2_spotsigs": op2_spotsigs,
@@ -91,6 +100,8 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_decontaminate": op10_decontaminate,
     "op11_curriculum": op11_curriculum,
+    "op12_whitening": op12_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 

@@ -7,7 +7,7 @@ made per word.  Batches are cut into chunks of bounded size, which bounds
 the memory of a task whatever the batch or document count; only a single
 document larger than the bound is a chunk of its own.
 
-Four alphabets:
+Five alphabets:
 
 * ``SPACE_WORDS``: maximal runs of anything but 0x20 and 0x09-0x0D, A-Z
   lower-cased (the word rule of the n-gram join);
@@ -15,6 +15,7 @@ Four alphabets:
   characters, lower-cased for A-Z and Latin-1 capitals, so punctuation, case
   and white space do not tell two passages apart;
 * ``ALPHA_WORDS``: the same without digits;
+* ``TERM_WORDS``: as ``LETTER_WORDS``, but only A-Z is lower-cased;
 * ``UNIT_WORDS``: as ``SPACE_WORDS``, cut too where an ASCII letter is followed
   by another ASCII character (but ``|``).  A chunk that holds ``<|``, which
   begins the special tokens of public vocabularies, keeps its words whole and
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
-SPACE_WORDS, LETTER_WORDS, UNIT_WORDS, ALPHA_WORDS = "space", "letter", "unit", "alpha"
+SPACE_WORDS, LETTER_WORDS, UNIT_WORDS, ALPHA_WORDS, TERM_WORDS = "space", "letter", "unit", "alpha", "term"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -49,8 +50,8 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 def _tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
     """(is a word byte, value of a byte) per byte value."""
     b = np.arange(256)
-    if kind in (LETTER_WORDS, ALPHA_WORDS):
-        inside = (b >= 128) | ((b >= 48) & (b <= 57) & (kind == LETTER_WORDS)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
+    if kind in (LETTER_WORDS, ALPHA_WORDS, TERM_WORDS):
+        inside = (b >= 128) | ((b >= 48) & (b <= 57) & (kind != ALPHA_WORDS)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
     else:
         inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
     low = np.where((b >= 65) & (b <= 90), b + 32, b)
@@ -60,7 +61,7 @@ def _tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
 _LETTER = np.isin(np.arange(256) | 0x20, np.arange(97, 123)) & (np.arange(256) < 128)
 _CUTS = ~_LETTER & (np.arange(256) < 128) & (np.arange(256) != ord("|"))
 _SALT = np.uint64(0xA0761D6478BD642F)
-_TABLES = {k: _tables(k) for k in (SPACE_WORDS, LETTER_WORDS, UNIT_WORDS, ALPHA_WORDS)}
+_TABLES = {k: _tables(k) for k in (SPACE_WORDS, LETTER_WORDS, UNIT_WORDS, ALPHA_WORDS, TERM_WORDS)}
 
 
 @dataclass
