@@ -103,8 +103,9 @@ def plan(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, most: int =
     name = F.concat(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit(":"), body)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.md5(name).alias("order"),
                        F.spark_partition_id().alias("lane"), F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
-    # lane: equal rows of several files may lie in several ranges
-    rows = written(running_sums(rows, ["order", "lane"], {"size": "before"}, ["source"]))
+    # lane: equal rows of several files may lie in several ranges.  Written first: the range bounds are sampled
+    # from these narrow rows, and the texts are read once
+    rows = written(running_sums(written(rows), ["order", "lane"], {"size": "before"}, ["source"]))
     goals = written(targets(rows, schedules, share, most))
     demand = goals.groupBy((F.col("number") % len(schedules)).alias("k")).agg(F.sum("target").alias("t")).collect()
     goals = goals.withColumnRenamed("source", "from")
