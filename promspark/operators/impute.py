@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from typing import Sequence
 
-import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param.shared import HasInputCols, Param, Params, TypeConverters
@@ -16,7 +15,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from .chained import ChainedImputer  # noqa: F401  (P04)
 from .profile import missing_report
 from .quantiles import grouped_percentiles
 
@@ -112,94 +111,3 @@ def donor_fill(train: DataFrame, df: DataFrame, target: str, donor_key: str) ->
                                    F.col("__pm")).otherwise(F.col("__nm")).alias("__donor"))
     j = df.join(pick, F.col(donor_key).cast("double") == F.col("k"), "left").drop("k")
     return j.withColumn(target, F.coalesce(F.col(target), F.col("__donor"))).drop("__donor")
-
-
-class ChainedImputer:
-    """Chained equations (MICE).  Start from train medians; in each
-    round every incomplete column is regressed (ridge, alpha) on all other
-    columns over the rows where it was observed, and its originally missing
-    cells take the prediction.  Fit on train records the coefficients of
-    every (round, column) step; ``transform`` replays them on any split.
-
-    Each step is one aggregate: the Gramian X'X and X'y of the observed rows
-    (p x p numbers), solved on the driver.  The frame is checkpointed to the
-    shared checkpoint folder after every round to cut lineage."""
-
-    def __init__(self, cols: Sequence[str], rounds: int = 10, alpha: float = 1.0, clip: dict | None = None):
-        self.cols = list(cols)
-        self.rounds = rounds
-        self.alpha = alpha
-        self.clip = clip or {}
-        self.steps: list[tuple[int, str, list[float]]] = []
-        self.medians: dict[str, float] = {}
-
-    def _start(self, df: DataFrame) -> DataFrame:
-        out = df.withColumns({f"__m_{c}": F.col(c).isNull() for c in self.cols})
-        return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for c in self.cols})
-
-    def _predict(self, others: list[str], coef: list[float]):
-        expr = F.lit(coef[0])
-        for c, b in zip(others, coef[1:]):
-            expr = expr + F.col(c) * F.lit(b)
-        return expr
-
-    def _clip(self, c: str, e):
-        if c in self.clip:
-            lo, hi = self.clip[c]
-            e = F.least(F.lit(hi), F.greatest(F.lit(lo), e))
-        return e
-
-    def fit(self, train: DataFrame) -> "ChainedImputer":
-        checkpoint_dir(train.sparkSession)
-        self.medians = fit_median(train, self.cols)
-        miss = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in self.cols]).first()
-        incomplete = [c for c in self.cols if miss[c] > 0]
-        # the start frame and every round are checkpointed (lineage cut in
-        # the shared folder) and kept in memory for the round's Gramian passes
-        cur = self._start(train.select(*self.cols)).checkpoint(eager=True).persist()
-        held = cur
-        self.steps = []
-        for r in range(self.rounds):
-            for c in incomplete:
-                others = [o for o in self.cols if o != c]
-                obs = cur.where(~F.col(f"__m_{c}"))
-                xs = [F.lit(1.0)] + [F.col(o) for o in others]
-                aggs = [F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if j >= i]
-                aggs += [F.sum(a * F.col(c)).alias(f"y{i}") for i, a in enumerate(xs)]
-                g = obs.agg(*aggs).first()
-                p = len(xs)
-                G = np.zeros((p, p))
-                for i in range(p):
-                    for j in range(i, p):
-                        G[i, j] = G[j, i] = g[f"g{i}_{j}"] or 0.0
-                y = np.array([g[f"y{i}"] or 0.0 for i in range(p)])
-                # centre: ridge penalty on slopes only (intercept free), as sklearn
-                n = G[0, 0]
-                mx = G[0, 1:] / n
-                my = y[0] / n
-                Sxx = G[1:, 1:] - n * np.outer(mx, mx)
-                Sxy = y[1:] - n * mx * my
-                beta = np.linalg.solve(Sxx + self.alpha * np.eye(p - 1), Sxy)
-                b0 = my - mx @ beta
-                coef = [float(b0)] + [float(b) for b in beta]
-                self.steps.append((r, c, coef))
-                cur = cur.withColumn(c, F.when(F.col(f"__m_{c}"), self._clip(c, self._predict(others, coef)))
-                                     .otherwise(F.col(c)))
-            cur = cur.checkpoint(eager=True).persist()
-            held.unpersist()
-            held = cur
-        held.unpersist()
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        checkpoint_dir(df.sparkSession)
-        cur = self._start(df)
-        last_round = -1
-        for r, c, coef in self.steps:
-            if r != last_round and last_round >= 0:
-                cur = cur.checkpoint(eager=True)
-            last_round = r
-            others = [o for o in self.cols if o != c]
-            cur = cur.withColumn(c, F.when(F.col(f"__m_{c}"), self._clip(c, self._predict(others, coef)))
-                                 .otherwise(F.col(c)))
-        return cur.drop(*[f"__m_{c}" for c in self.cols])

@@ -1,5 +1,5 @@
-"""Three prepared variants of one split, target recomputed after
-imputation: keep nulls / median + mode / chained equations (MICE)."""
+"""Three prepared variants of one split, scores and target recomputed
+from the filled items: keep nulls / median + mode / chained equations (MICE)."""
 
 from __future__ import annotations
 
@@ -8,33 +8,48 @@ from pyspark.sql import functions as F
 
 from .. import catalog as cat
 from ..fixture import load_prom
-from ..functions import scores
 from ..operators import clean
 from ..operators import impute as I
 from ..operators import split as SP
+from ..session import written_table
 
-NUMERIC = ["t0_eq_vas", "t0_mobility", "t0_self_care", "t0_activity", "t0_discomfort", "t0_anxiety",
-           "oks_t0_score", "oks_t1_score"]
-CATEGORICAL = ["t0_symptom_period", "t0_living_arrangements", "t0_disability"]
+ITEMS = [*cat.oks_items("t0"), *cat.oks_items("t1")]
+NUMERIC = [*ITEMS, *cat.eq5d_dims("t0"), *cat.eq5d_dims("t1"), "t0_eq_vas", "t1_eq_vas"]
+CATEGORICAL = ["t0_symptom_period", "t0_living_arrangements", "t0_disability", "t0_assisted", "t0_previous_surgery", "age_band", "gender"]
+COMPLETE = [*cat.COMORBIDITIES]  # predictors of the chained equations only
+CLIP = {c: (0, 4) for c in ITEMS} | {c: (1, 3) for t in ("t0", "t1") for c in cat.eq5d_dims(t)} | {"t0_eq_vas": (0, 100), "t1_eq_vas": (0, 100)}
+
+
+def with_target(df: DataFrame) -> DataFrame:
+    """Oxford scores from the items, and their difference; null where an item is."""
+    sums = {f"oks_{t}_score": sum((F.col(c) for c in cat.oks_items(t)), F.lit(0.0)) for t in ("t0", "t1")}
+    return df.withColumns(sums).withColumn("target", F.col("oks_t1_score") - F.col("oks_t0_score"))
+
+
+def split_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = clean.apply_roles(load_prom(spark, sf_dir)).select("record_id", *NUMERIC, *CATEGORICAL, *COMPLETE)
+    return SP.random_split(df.withColumns({c: F.col(c).cast("double") for c in NUMERIC}), "record_id", 80)
+
+
+COLUMNS = ["record_id", "split", "variant", *NUMERIC, *CATEGORICAL, "oks_t0_score", "oks_t1_score", "target"]
+
+
+def simple_variants(df: DataFrame) -> DataFrame:
+    """Keep nulls, and median + mode fitted on train."""
+    train = df.where(F.col("split") == "train")
+    filled = I.apply_fill(I.apply_fill(df, I.fit_median(train, NUMERIC)), I.fit_mode(train, CATEGORICAL))
+    both = {"keep_nulls": df, "median_mode": filled}
+    a, b = (with_target(d).withColumn("variant", F.lit(v)).select(*COLUMNS) for v, d in both.items())
+    return a.unionByName(b)
+
+
+def mice_variant(df: DataFrame, rounds: int = 10) -> DataFrame:
+    """Chained equations over every column, categoricals coded and decoded; fitted on train."""
+    mice = I.ChainedImputer([*NUMERIC, *CATEGORICAL, *COMPLETE], rounds=rounds, clip=CLIP, categorical=CATEGORICAL)
+    filled = mice.fit(df.where(F.col("split") == "train"), labels_from=df).transform(df)
+    return with_target(filled).withColumn("variant", F.lit("mice")).select(*COLUMNS)
 
 
 def prepared_variants(spark: SparkSession, sf_dir: str, rounds: int = 10) -> DataFrame:
-    df = clean.apply_roles(load_prom(spark, sf_dir))
-    t0, t1 = cat.oks_items("t0"), cat.oks_items("t1")
-    df = df.withColumns({"oks_t0_score": scores.backfill_score("oks_t0_score", t0),
-                         "oks_t1_score": scores.backfill_score("oks_t1_score", t1, guard=True)})
-    df = SP.random_split(df.select("record_id", *NUMERIC, *CATEGORICAL), "record_id", 80)
-    train, test = df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
-
-    def with_target(d):
-        return d.withColumn("target", (F.col("oks_t1_score") - F.col("oks_t0_score")).cast("double"))
-
-    v1 = with_target(df).withColumn("variant", F.lit("keep_nulls"))
-    med = I.fit_median(train, NUMERIC)
-    mode = I.fit_mode(train, CATEGORICAL)
-    v2 = with_target(I.apply_fill(I.apply_fill(df, med), mode)).withColumn("variant", F.lit("median_mode"))
-    mice = I.ChainedImputer(NUMERIC, rounds=rounds, alpha=1.0,
-                            clip={"oks_t0_score": (0, 48), "oks_t1_score": (0, 48), "t0_eq_vas": (0, 100)}).fit(train)
-    v3 = with_target(I.apply_fill(mice.transform(df), mode)).withColumn("variant", F.lit("mice"))
-    cols = ["record_id", "split", "variant", *NUMERIC, *CATEGORICAL, "target"]
-    return v1.select(*cols).unionByName(v2.select(*cols)).unionByName(v3.select(*cols))
+    df = written_table(split_frame(spark, sf_dir))
+    return simple_variants(df).unionByName(mice_variant(df, rounds))

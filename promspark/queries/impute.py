@@ -154,12 +154,81 @@ pick AS (SELECT k, (SELECT mode FROM modes ORDER BY abs(k - mk), mk LIMIT 1) AS
     """SELECT record_id, gain, COALESCE(age_band, donor) AS age_band FROM g LEFT JOIN pick ON g.gain = pick.k WHERE split = 'test'"""
 
 
+def _variant_report(v):
+    """Per variant and split: rows, rows without a target, target mean and deviation, cells still missing."""
+    from ..plans.variants import CATEGORICAL, NUMERIC
+    gaps = sum((F.col(c).isNull().cast("long") for c in [*NUMERIC, *CATEGORICAL]), F.lit(0))
+    return v.groupBy("variant", "split").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("n_target"),
+                                             F.round(F.avg("target"), 6).alias("target_mean"), F.round(F.stddev_samp("target"), 6).alias("target_std"),
+                                             F.sum(gaps).alias("missing_cells"), F.round(F.avg("t0_eq_vas"), 6).alias("vas_mean"),
+                                             F.round(F.avg(F.col("t0_symptom_period").cast("double")), 6).alias("symptom_mean"))
+
+
 def p04_p11_mice(spark, sf):
     from ..plans.variants import prepared_variants
-    v = prepared_variants(spark, sf)
-    return v.groupBy("variant", "split").agg(F.count(F.lit(1)).alias("n"),
-                                             F.round(F.avg("target"), 6).alias("target_mean"),
-                                             F.count_if(F.col("t0_eq_vas").isNull()).alias("vas_missing"))
+    return _variant_report(prepared_variants(spark, sf))
+
+
+def p11_simple_variants(spark, sf):
+    """The two variants without a model."""
+    from ..plans.variants import simple_variants, split_frame
+    return _variant_report(simple_variants(split_frame(spark, sf)))
+
+
+def _p11_sql():
+    from ..plans.variants import CATEGORICAL, NUMERIC
+    numbers = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC)
+    med = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in NUMERIC)
+    modes = ", ".join(f"(SELECT {c} FROM vs WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1) AS {c}" for c in CATEGORICAL)
+    filled = ", ".join([f"COALESCE(vs.{c}, med.{c}) AS {c}" for c in NUMERIC] + [f"COALESCE(vs.{c}, mo.{c}) AS {c}" for c in CATEGORICAL])
+    total = {t: " + ".join(cat.oks_items(t)) for t in ("t0", "t1")}
+    gaps = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in [*NUMERIC, *CATEGORICAL])
+    return ctes(f"vs AS (SELECT record_id, {numbers}, {', '.join(CATEGORICAL)}, CASE WHEN {HASH_SQL} % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM clean)",
+                f"med AS (SELECT {med} FROM vs WHERE split = 'train')", f"mo AS (SELECT {modes})",
+                f"filled AS (SELECT vs.record_id, {filled}, vs.split FROM vs, med, mo)",
+                "variants AS (SELECT *, 'keep_nulls' AS variant FROM vs UNION ALL BY NAME SELECT *, 'median_mode' AS variant FROM filled)",
+                f"t AS (SELECT *, ({total['t1']}) - ({total['t0']}) AS target FROM variants)") + f"""SELECT variant, split, COUNT(*) AS n, COUNT(target) AS n_target,
+  {r6('AVG(target)')} AS target_mean, {r6('STDDEV_SAMP(target)')} AS target_std, CAST(SUM({gaps}) AS BIGINT) AS missing_cells,
+  {r6('AVG(t0_eq_vas)')} AS vas_mean, {r6('AVG(t0_symptom_period)')} AS symptom_mean FROM t GROUP BY variant, split"""
+
+
+def p04_two_columns(spark, sf):
+    """Chained equations of the two VAS columns, ten rounds, fitted on train: every row that lacked a value."""
+    df = SP.random_split(cleaned(spark, sf).select("record_id", "t0_eq_vas", "t1_eq_vas"), "record_id", 80)
+    found = I.ChainedImputer(["t0_eq_vas", "t1_eq_vas"], rounds=10, alpha=1.0).fit(df.where(F.col("split") == "train"))
+    gaps = df.where(F.col("t0_eq_vas").isNull() | F.col("t1_eq_vas").isNull())
+    return found.transform(gaps).select("record_id", "split", F.round("t0_eq_vas", 6).alias("t0_eq_vas"), F.round("t1_eq_vas", 6).alias("t1_eq_vas"))
+
+
+# The rounds as a recursion over four coefficients: x = a + b y, y = c + d x.  Filled rows enter the sums of the
+# other regression through the moments of their observed column: n, s, q per kind of row.
+SQL_P04 = ctes(f"v AS (SELECT record_id, CAST(t0_eq_vas AS DOUBLE) AS x, CAST(t1_eq_vas AS DOUBLE) AS y, CASE WHEN {HASH_SQL} % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM clean)",
+               """m AS (SELECT AVG(x) AS mx, AVG(y) AS my, COUNT(*) - COUNT(x) <= COUNT(*) - COUNT(y) AS x_first FROM v WHERE split = 'train'),
+u AS (SELECT CASE WHEN x_first THEN x ELSE y END AS x, CASE WHEN x_first THEN y ELSE x END AS y, CASE WHEN x_first THEN mx ELSE my END AS mx,
+             CASE WHEN x_first THEN my ELSE mx END AS my FROM v, m WHERE split = 'train'),
+s AS (SELECT any_value(mx) AS mx, any_value(my) AS my,
+  COUNT(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS n, SUM(x) FILTER (WHERE y IS NOT NULL) AS sx, SUM(y) FILTER (WHERE x IS NOT NULL) AS sy,
+  SUM(x * x) FILTER (WHERE y IS NOT NULL) AS sxx, SUM(y * y) FILTER (WHERE x IS NOT NULL) AS syy, SUM(x * y) AS sxy,
+  COUNT(*) FILTER (WHERE y IS NULL AND x IS NOT NULL) AS nx, COALESCE(SUM(x) FILTER (WHERE y IS NULL), 0) AS ox, COALESCE(SUM(x * x) FILTER (WHERE y IS NULL), 0) AS oxx,
+  COUNT(*) FILTER (WHERE x IS NULL AND y IS NOT NULL) AS ny, COALESCE(SUM(y) FILTER (WHERE x IS NULL), 0) AS oy, COALESCE(SUM(y * y) FILTER (WHERE x IS NULL), 0) AS oyy FROM u),
+r AS (SELECT 0 AS round, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, my AS c, 0.0::DOUBLE AS d FROM s
+  UNION ALL
+  SELECT round + 1, a2, b2, (ty + 0.0 - d2 * tx) / tn AS c, d2 AS d FROM (
+    SELECT *, (txy - tx * ty / tn) / (txx - tx * tx / tn + 1) AS d2 FROM (
+      SELECT *, n + ny AS tn, sx + ny * a2 + b2 * oy AS tx, sy + oy AS ty, sxx + ny * a2 * a2 + 2 * a2 * b2 * oy + b2 * b2 * oyy AS txx, sxy + a2 * oy + b2 * oyy AS txy FROM (
+        SELECT *, (px - b2 * py) / pn AS a2 FROM (
+          SELECT *, (pxy - px * py / pn) / (pyy - py * py / pn + 1) AS b2 FROM (
+            SELECT r.*, s.*, n + nx AS pn, sx + ox AS px, sy + nx * c + d * ox AS py, syy + nx * c * c + 2 * c * d * ox + d * d * oxx AS pyy, sxy + c * ox + d * oxx AS pxy FROM r, s WHERE round < 10)))))),
+f AS (SELECT r.*, s.mx, s.my FROM r, s WHERE round > 0)""").replace("WITH ", "WITH RECURSIVE ", 1)
+# a row without both: x starts at its mean, y at its mean, and each round replays both equations
+SQL_P04 += f""",
+steps AS (SELECT list(struct_pack(a, b, c, d) ORDER BY round) AS l, any_value(mx) AS mx, any_value(my) AS my FROM f),
+last AS (SELECT * FROM f WHERE round = 10),
+done AS (SELECT record_id, split, x_first, CASE WHEN x_first THEN x ELSE y END AS p, CASE WHEN x_first THEN y ELSE x END AS q FROM v, m WHERE x IS NULL OR y IS NULL),
+e AS (SELECT done.*, CASE WHEN p IS NULL AND q IS NULL THEN list_reduce(list_prepend(struct_pack(a := 0.0::DOUBLE, b := 0.0::DOUBLE, c := steps.my, d := 0.0::DOUBLE), l),
+        lambda z, t: struct_pack(a := t.a + t.b * z.c, b := 0.0::DOUBLE, c := t.c + t.d * (t.a + t.b * z.c), d := 0.0::DOUBLE)) END AS z, last.a, last.b, last.c, last.d FROM done, steps, last),
+g AS (SELECT record_id, split, x_first, COALESCE(p, CASE WHEN q IS NULL THEN z.a ELSE a + b * q END) AS p, COALESCE(q, CASE WHEN p IS NULL THEN z.c ELSE c + d * p END) AS q FROM e)
+SELECT record_id, split, {r6('CASE WHEN x_first THEN p ELSE q END')} AS t0_eq_vas, {r6('CASE WHEN x_first THEN q ELSE p END')} AS t1_eq_vas FROM g"""
 
 
 QUERIES = {
@@ -172,4 +241,6 @@ QUERIES = {
     "P09_indicator_columns": (p09_indicators, _p09_sql()),
     "P13_donor_fill": (p13_donor_fill, SQL_P13),
     "P04_P11_prepared_variants": (p04_p11_mice, None),
+    "P11_variants_without_model": (p11_simple_variants, _p11_sql()),
+    "P04_chained_two_columns": (p04_two_columns, SQL_P04),
 }
