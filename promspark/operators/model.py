@@ -19,6 +19,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import linear as L
 from .evaluate import regression_metrics
 from .split import folds as add_folds
 
@@ -113,6 +114,42 @@ def cross_validate(df: DataFrame, make_estimator: Callable, numeric: Sequence[st
     return spark.createDataFrame(rows, "repeat int, fold int, n long, mae double, rmse double, r2 double")
 
 
+def score_regressors(df: DataFrame, names: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], label: str,
+                     k: int = 5, repeats: int = 1, cv: bool = True, parallelism: int = 4) -> list[tuple]:
+    """(model, cv_mae, cv_rmse, cv_rmse_std, cv_r2, test_mae, test_rmse, test_r2) per name.
+
+    The linear family of ``linear.MODELS`` is scored together in two readings of the table, whatever the number
+    of folds and models; trees are fitted by Spark ML, their folds from ``parallelism`` driver threads."""
+    family = {n: L.MODELS[n] for n in names if n in L.MODELS}
+    rows = {}
+    if family:
+        got = L.evaluate(df, label, numeric, categorical, family, k=k, repeats=repeats)
+        test = {t[0]: t[2:] for t in got.test}
+        for n in family:
+            rows[n] = (*_over_folds([f[4:] for f in got.folds if f[0] == n]), *test.get(n, (None,) * 3))
+    train, held = df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
+    for n in names:
+        if n not in rows:
+            make = regressors()[n]
+            each = cross_validate(train, make, numeric, categorical, label, k=k, repeats=repeats, parallelism=parallelism).collect() if cv else []
+            t = regression_metrics(fit_pipeline(train, make(), numeric, categorical, label).transform(held), label, "prediction").first()
+            rows[n] = (*_over_folds([(r["mae"], r["rmse"], r["r2"]) for r in each]), t["mae"], t["rmse"], t["r2"])
+    return [(n, *(None if v is None else round(float(v), 6) for v in rows[n])) for n in names]
+
+
+def _over_folds(folds: list[tuple]) -> tuple:
+    """Mean MAE, mean and sample deviation of RMSE, mean R^2."""
+    if not folds:
+        return (None,) * 4
+    mae, rmse, r2 = zip(*folds)
+    mean = sum(rmse) / len(rmse)
+    spread = (sum((x - mean) ** 2 for x in rmse) / (len(rmse) - 1)) ** 0.5 if len(rmse) > 1 else None
+    return sum(mae) / len(mae), mean, spread, None if None in r2 else sum(r2) / len(r2)
+
+
+SCORES = "model string, cv_mae double, cv_rmse double, cv_rmse_std double, cv_r2 double, test_mae double, test_rmse double, test_r2 double"
+
+
 def importances(model: PipelineModel, names: Sequence[str], k: int | None = None) -> DataFrame:
     """Feature importances (trees) or absolute coefficients (linear)."""
     last = model.stages[-1]

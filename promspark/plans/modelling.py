@@ -12,7 +12,6 @@ import os
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluate as E
 from ..operators import impute as I
 from ..operators import model as M
 from ..operators import split as SP
@@ -28,21 +27,14 @@ def modelling_chain(prepared: DataFrame, numeric: list[str], categorical: list[s
     train = d.where(F.col("split") == "train")
     d = I.apply_fill(I.apply_fill(d, I.fit_median(train, numeric)), I.fit_mode(train, categorical)).persist()
     try:
-        train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-        st = train.agg(F.stddev_pop(target).alias("s"), F.count(F.lit(1)).alias("n")).first()
-        reg = M.regressors(st["s"], st["n"])
-        rows, fitted = [], {}
-        for name in models:
-            cv = M.cross_validate(train, reg[name], numeric, categorical, target, k=k, repeats=repeats) \
-                .agg(F.avg("rmse").alias("cv_rmse"), F.avg("r2").alias("cv_r2")).first()
-            model = M.fit_pipeline(train, reg[name](), numeric, categorical, target)
-            t = E.regression_metrics(model.transform(test), target, "prediction").first()
-            rows.append((name, round(cv["cv_rmse"], 6), round(cv["cv_r2"], 6), t["mae"], t["rmse"], t["r2"]))
-            fitted[name] = model
-        table = spark.createDataFrame(rows, "model string, cv_rmse double, cv_r2 double, test_mae double, "
-                                            "test_rmse double, test_r2 double")
+        train = d.where(F.col("split") == "train")
+        rows = M.score_regressors(d, models, numeric, categorical, target, k=k, repeats=repeats)
+        table = spark.createDataFrame([(r[0], r[2], *r[4:]) for r in rows], "model string, cv_rmse double, cv_r2 double, test_mae double, "
+                                                                             "test_rmse double, test_r2 double")
         table = table.withColumn("rank", F.row_number().over(Window.orderBy("test_rmse", "model")))
-        winner = min(rows, key=lambda r: (r[4], r[0]))[0]
+        winner = min(rows, key=lambda r: (r[6], r[0]))[0]
+        stats = train.agg(F.stddev_pop(target).alias("s"), F.count(F.lit(1)).alias("n")).first()
+        fitted = {winner: M.fit_pipeline(train, M.regressors(stats["s"], stats["n"])[winner](), numeric, categorical, target)}
         names = M.feature_names(fitted[winner], numeric, categorical)
         imp = M.importances(fitted[winner], names, k=10).withColumn("model", F.lit(winner))
         if save_to:

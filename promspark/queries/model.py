@@ -12,6 +12,7 @@ from .. import catalog as cat
 from ..functions import scores
 from ..operators import evaluate as E
 from ..operators import impute as I
+from ..operators import linear as L
 from ..operators import model as M
 from ..operators import split as SP
 from ..session import checkpoint_dir
@@ -167,34 +168,15 @@ o AS (SELECT AVG(CAST(success AS DOUBLE)) AS p FROM ss)""") + f"""SELECT provide
   (rate < p - 1.96 * sqrt(p * (1 - p) / n)) OR (rate > p + 1.96 * sqrt(p * (1 - p) / n)) AS outside FROM pv, e, o"""
 
 
-def _run_regressors(spark, sf, names, k=5, repeats=1, cv=True, parallelism=4):
-    """One (dataset, model) run per name — CV on train (optional) and a
-    test score — submitted from ``parallelism`` driver threads; M23: the
-    comparison table ranked by test RMSE."""
-    from concurrent.futures import ThreadPoolExecutor
+def _run_regressors(spark, sf, names, k=5, repeats=1, cv=True):
+    """One (dataset, model) run per name, M23: the comparison table ranked by test RMSE."""
     from pyspark.sql import Window
     d = model_frame(spark, sf).persist()
-    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    stats = train.agg(F.stddev_pop(TARGET).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    reg = M.regressors(stats["s"], stats["n"])
-
-    def run(name):
-        cv_rmse = cv_std = cv_r2 = None
-        if cv:
-            f = M.cross_validate(train, reg[name], NUMERIC, CATEGORICAL, TARGET, k=k, repeats=repeats).agg(
-                F.avg("rmse").alias("m"), F.stddev_samp("rmse").alias("s"), F.avg("r2").alias("r2")).first()
-            cv_rmse, cv_std, cv_r2 = round(f["m"], 6), round(f["s"], 6), round(f["r2"], 6)
-        model = M.fit_pipeline(train, reg[name](), NUMERIC, CATEGORICAL, TARGET)
-        t = E.regression_metrics(model.transform(test), TARGET, "prediction").first()
-        return (cv_rmse, cv_std, cv_r2, t["mae"], t["rmse"], t["r2"], "median_mode", name)
-
     try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            rows = list(pool.map(run, names))
+        rows = M.score_regressors(d, names, NUMERIC, CATEGORICAL, TARGET, k=k, repeats=repeats, cv=cv)
     finally:
         d.unpersist()
-    table = spark.createDataFrame(rows, "cv_rmse double, cv_rmse_std double, cv_r2 double, test_mae double, "
-                                        "test_rmse double, test_r2 double, dataset string, model string")
+    table = spark.createDataFrame(rows, M.SCORES).drop("cv_mae").withColumn("dataset", F.lit("median_mode"))
     return table.withColumn("rank", F.row_number().over(Window.orderBy("test_rmse", "model")))
 
 
@@ -204,7 +186,83 @@ def m01_m04_m16_m23_linear_models(spark, sf):
 
 def m17_repeated_kfold(spark, sf):
     d = model_frame(spark, sf).where(F.col("split") == "train").persist()
-    return _finish(M.cross_validate(d, M.regressors()["linear"], NUMERIC, CATEGORICAL, TARGET, k=5, repeats=3), d)
+    try:
+        got = L.evaluate(d, TARGET, NUMERIC, CATEGORICAL, {"linear": L.MODELS["linear"]}, k=5, repeats=3)
+    finally:
+        d.unpersist()
+    return spark.createDataFrame([f[1:] for f in got.folds], "repeat int, fold int, n long, mae double, rmse double, r2 double")
+
+
+def _one_feature_rows(spark, sf):
+    d = scored(spark, sf).where(F.col(TARGET).isNotNull())
+    return SP.random_split(d, "record_id", 80).select("record_id", "split", "oks_t0_score", TARGET)
+
+
+def m16_m17_one_feature(spark, sf):
+    """Linear, ridge and lasso regression on one feature: every fold of 5 x 3, and the test rows (repeat -1)."""
+    got = L.evaluate(_one_feature_rows(spark, sf), TARGET, ["oks_t0_score"], k=5, repeats=3)
+    rows = [(f[0], f[1], f[2], f[3], *(round(v, 6) for v in f[4:])) for f in got.folds] + [(t[0], -1, -1, t[1], *(round(v, 6) for v in t[2:])) for t in got.test]
+    return spark.createDataFrame(rows, "model string, repeat int, fold int, n long, mae double, rmse double, r2 double")
+
+
+ONE_CTES = SPLIT_CTE + f""",
+ot AS (SELECT record_id, split, oks_t0_score AS x, oks_t1_score AS y FROM sp WHERE oks_t1_score IS NOT NULL),
+fo AS (SELECT ot.*, r, CASE WHEN r = 0 THEN {HASH_SQL} ELSE ('0x' || substr(md5(CAST(record_id AS VARCHAR) || '#' || CAST(r AS VARCHAR)), 1, 8))::BIGINT END % 5 AS fold
+       FROM ot, range(3) AS t(r) WHERE split = 'train'),
+tr AS (SELECT r, f, x, y FROM fo, range(5) AS g(f) WHERE fold <> f UNION ALL SELECT -1, -1, x, y FROM ot WHERE split = 'train'),
+te AS (SELECT r, fold AS f, x, y FROM fo UNION ALL SELECT -1, -1, x, y FROM ot WHERE split = 'test'),
+ms AS (SELECT r, f, COUNT(*) AS n, AVG(x) AS mx, AVG(y) AS my, COVAR_POP(x, y) AS cxy, VAR_POP(x) AS vx, STDDEV_POP(x) AS sx FROM tr GROUP BY r, f)"""
+
+SQL_M16 = ctes(ONE_CTES, """sl AS (SELECT ms.*, 'linear' AS model, cxy / vx AS b FROM ms
+  UNION ALL SELECT ms.*, 'ridge', cxy / vx * n / (n + 1) FROM ms
+  UNION ALL SELECT ms.*, 'lasso', sign(cxy) * greatest(abs(cxy / sx) - 0.01, 0) / sx FROM ms),
+er AS (SELECT model, r, f, y, y - (my + b * (x - mx)) AS e FROM sl JOIN te USING (r, f))""") + f"""SELECT model, CAST(r AS INTEGER) AS repeat, CAST(f AS INTEGER) AS fold,
+  COUNT(*) AS n, {r6('AVG(abs(e))')} AS mae, {r6('sqrt(AVG(e * e))')} AS rmse, {r6('1 - SUM(e * e) / (VAR_POP(y) * COUNT(*))')} AS r2 FROM er GROUP BY model, r, f"""
+
+
+def m03_lasso_path_one_feature(spark, sf):
+    d = _one_feature_rows(spark, sf).where(F.col("split") == "train")
+    return _path_rows(spark, L.lasso_path(d, TARGET, ["oks_t0_score"]))
+
+
+def _path_rows(spark, path):
+    best = int(path.errors.mean(0).argmin())
+    rows = [(j, round(float(a), 6), *(round(float(e), 6) for e in (path.errors[:, j].mean(), path.errors[:, j].min(), path.errors[:, j].max())), j == best)
+            for j, a in enumerate(path.alphas)]
+    return spark.createDataFrame(rows, "step int, alpha double, mean_mse double, least_mse double, most_mse double, best boolean")
+
+
+SQL_M03 = ctes(ONE_CTES, """al AS (SELECT j, abs(cxy / sx) * power(0.001, j / 99.0) AS alpha FROM ms, range(100) AS t(j) WHERE r = -1),
+sl AS (SELECT j, alpha, f, mx, my, sign(cxy) * greatest(abs(cxy / sx) - alpha, 0) / sx AS b FROM ms, al WHERE r = 0),
+er AS (SELECT j, alpha, f, AVG(power(y - (my + b * (x - mx)), 2)) AS mse FROM sl JOIN te USING (f) WHERE te.r = 0 GROUP BY j, alpha, f),
+pa AS (SELECT j, alpha, AVG(mse) AS m, MIN(mse) AS l, MAX(mse) AS h FROM er GROUP BY j, alpha)""") + f"""SELECT CAST(j AS INTEGER) AS step, {r6('alpha')} AS alpha,
+  {r6('m')} AS mean_mse, {r6('l')} AS least_mse, {r6('h')} AS most_mse, j = (SELECT arg_min(j, m) FROM pa) AS best FROM pa"""
+
+
+def m03_lasso_path(spark, sf):
+    """100 penalties over all features, 5 folds, and the slopes at the best one in the last rows."""
+    d = model_frame(spark, sf).where(F.col("split") == "train")
+    return _path_rows(spark, L.lasso_path(d, TARGET, NUMERIC, CATEGORICAL))
+
+
+def m23_m29_registry(spark, sf, models=("linear", "ridge", "lasso")):
+    """Every dataset of the variants by every model, 5 x 3 folds and the test rows; ranked by test RMSE.
+    Predictors are the pre-op columns without VAS; nulls that a variant keeps are filled with train medians."""
+    from pyspark.sql import Window
+    from ..plans import variants as V
+    from ..session import written_table
+    df = written_table(V.split_frame(spark, sf))
+    both = V.simple_variants(df).unionByName(V.mice_variant(df))
+    d = written_table(both.where(F.col("target").isNotNull()))
+    numeric = [c for c in V.NUMERIC if not c.startswith(("t1_", "oks_t1_")) and c != "t0_eq_vas"]
+    rows = []
+    for dataset in ("keep_nulls", "median_mode", "mice"):
+        one = d.where(F.col("variant") == dataset)
+        if dataset == "keep_nulls":
+            one = I.apply_fill(one, I.fit_median(one.where(F.col("split") == "train"), numeric))
+        rows += [(dataset, *r) for r in M.score_regressors(one, list(models), numeric, V.CATEGORICAL, "target", k=5, repeats=3)]
+    table = spark.createDataFrame(rows, "dataset string, " + M.SCORES)
+    return table.withColumn("rank", F.row_number().over(Window.orderBy("test_rmse", "dataset", "model")))
 
 
 def m05_m06_forest_boosting(spark, sf):
@@ -306,6 +364,10 @@ QUERIES = {
     "M31_provider_funnel": (m31_funnel, SQL_M31),
     "M02_M03_M04_M16_M23_M29_regression_comparison": (m01_m04_m16_m23_linear_models, None),
     "M17_repeated_kfold": (m17_repeated_kfold, None),
+    "M16_M17_one_feature_folds": (m16_m17_one_feature, SQL_M16),
+    "M03_lasso_path_one_feature": (m03_lasso_path_one_feature, SQL_M03),
+    "M03_lasso_path": (m03_lasso_path, None),
+    "M23_M29_registry_over_variants": (m23_m29_registry, None),
     "M05_M06_forest_boosting": (m05_m06_forest_boosting, None),
     "M08_M15_logistic_grid_cv": (m08_m15_logistic_grid, None),
     "M09_M10_M11_M12_M13_M14_classifiers": (m09_m14_classifiers, None),
@@ -320,7 +382,7 @@ def e3_modelling_chain(spark, sf):
     from ..plans.modelling import modelling_chain
     from ..sources.files import work_dir
     d = model_frame(spark, sf).drop("split")
-    table, imp = modelling_chain(d, NUMERIC, CATEGORICAL, TARGET, ["linear", "ridge", "lasso"],
+    table, imp = modelling_chain(d, NUMERIC, CATEGORICAL, TARGET, ["linear", "ridge", "lasso", "tree"],
                                  save_to=work_dir(spark, "models"))
     return table
 
