@@ -107,7 +107,8 @@ def load_prom(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, *orders.inputFiles())
     if key not in _WRITTEN:
         # two narrow columns are dealt to all cores: a small table may be one file, and the rows get wide
-        _WRITTEN[key] = written_table(prom_fixture(orders.select(K, C).repartition(K)))
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _WRITTEN[key] = written_table(prom_fixture(orders.select(K, C).repartition(parts, K)))
     # a frame of the asking session, with column ids of its own
     return spark.read.schema(_WRITTEN[key].schema).parquet(*_WRITTEN[key].inputFiles())
 
