@@ -52,8 +52,8 @@ def fit_mode(train: DataFrame, cols: Sequence[str]) -> dict[str, object]:
 
 def apply_fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
     """P01-P03 apply: coalesce each column with its fitted value."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(dict(df.dtypes)[c])) for c, v in values.items()
-                           if c in df.columns})
+    types = dict(df.dtypes)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(types[c])) for c, v in values.items() if c in types})
 
 
 def indicator_columns(train: DataFrame, cols: Sequence[str], threshold_pct: float = 2.0) -> list[str]:

@@ -172,7 +172,8 @@ def p04_p11_mice(spark, sf):
 def p11_simple_variants(spark, sf):
     """The two variants without a model."""
     from ..plans.variants import simple_variants, split_frame
-    return _variant_report(simple_variants(split_frame(spark, sf)))
+    from ..session import written_table
+    return _variant_report(simple_variants(written_table(split_frame(spark, sf))))
 
 
 def _p11_sql():
