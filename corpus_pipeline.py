@@ -14,8 +14,8 @@ documents table.
 4. PII: personal data is replaced by its kind.
 5. SentencePiece: token ids, one row per document.
 
-Rows with a null id are taken as one document each, but where one of them
-holds a benchmark passage all of them go.
+Rows with a null id are taken as one document each; rows with the same id but
+other texts go together where one of them is a duplicate of another row.
 """
 
 from __future__ import annotations
@@ -51,9 +51,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = written(hits.select(F.col("doc_id").alias("hit")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+    # rows, not ids: a null or repeated id tells no rows apart.  The numbers are those of the places in the files
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    hits = decontaminate.find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__row")
+    return rows.join(written(hits.select("__row").distinct()), "__row", "left_anti").select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,13 +214,17 @@ def _expected(pieces: list[str]):
     return run
 
 
+def hash_bound(count: int, most: int) -> int:
+    """Hashes of 62 bits below this choose about ``most`` of ``count`` texts, all if there are no more."""
+    return (1 << 62) * min(most, count) // max(1, count)
+
+
 def fit(df: DataFrame, model_file: str, text: str = "text", lang: str = "lang", max_documents: int = MAX_DOCUMENTS) -> Model:
     """Learns from rows with a language; what comes to the driver is vocabulary x languages numbers."""
     pieces = vocabulary(model_file)
     rows = bounded_batches(df).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
-    count = rows.count()
-    if count > max_documents:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_documents / count))
+    # chosen by 62 bits of the text's hash; a text that is repeated often counts once per language
+    rows = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 2) < hash_bound(rows.count(), max_documents)).distinct()
     uses = rows.mapInArrow(tidy(_expected(pieces)), "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
     got = uses.toArrow()
     names, piece, value = np.array(got.column(0).to_pylist(), object), got.column(1).to_numpy(), got.column(2).to_numpy()

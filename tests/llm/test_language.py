@@ -59,3 +59,10 @@ def test_edges(spark, docs):
     none = L.fit(df.where("lang is null"), FILE)
     assert {r.lang_pred for r in L.identify(df, none).collect()} == {"und"}
     assert L.identify(df.limit(0), model).count() == 0
+
+
+def test_share_of_the_sample_never_rounds_to_nothing(spark):
+    assert L.hash_bound(5 * 10 ** 10, 20_000) > 10 ** 11 and L.hash_bound(10, 20_000) == 1 << 62 and L.hash_bound(0, 5) == 0
+    rows = [(f"the cat and the dog number {k}", "en") for k in range(300)] + [("le chat et le chien", "fr")] * 300
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"), FILE, max_documents=100)
+    assert "en" in model.languages

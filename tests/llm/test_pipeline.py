@@ -50,3 +50,10 @@ def test_stages_keep_the_columns_and_the_edges(spark, sf, docs):
         none = f(spark, none, sf) if name != "sentencepiece" else none
         assert none.count() == 0
     assert C.STAGES[-1][1](spark, none, sf).count() == 0
+
+
+def test_decontamination_tells_rows_with_null_ids_and_clashing_columns_apart(spark, sf, docs):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    df = docs([item, "the cat and the dog", "a clean text without an id", item], ids=[None, None, 5, 5]).selectExpr("*", "'x' AS hit", "'y' AS seed")
+    kept = dict(C.STAGES)["decontamination"](spark, df, sf)
+    assert kept.columns == df.columns and sorted(r.text for r in kept.collect()) == ["a clean text without an id", "the cat and the dog"]
