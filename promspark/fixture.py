@@ -103,6 +103,9 @@ def load_prom(spark: SparkSession, sf_dir: str) -> DataFrame:
     The projection of ``orders`` is written once per application and input into the shared
     folder, as a Collect job would have left it; queries then read the columns that they need
     and push their filters down."""
+    # Role cleaning makes a CASE of each of 60 columns, and deletion filters on many of them: inferring constraints
+    # from such plans takes the optimizer up to a minute a query, and there is nothing to gain without joins.
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = (spark.sparkContext.applicationId, sf_dir, *orders.inputFiles())
     if key not in _WRITTEN:

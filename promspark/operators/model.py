@@ -181,8 +181,12 @@ def linear_attribution(pred: DataFrame, coefs: dict[str, float], means: dict[str
 
 def representative_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """One-row frame: median of every numeric, mode of every categorical."""
-    aggs = [F.median(c).alias(c) for c in numeric] + [F.mode(c, True).alias(c) for c in categorical]
-    return df.agg(*aggs)
+    from .impute import fit_median, fit_mode
+    found = fit_median(df, numeric) | fit_mode(df, categorical)
+    cells = [found.get(c) for c in numeric] + [found.get(c) for c in categorical]
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{c}` double" for c in numeric] + [f"`{c}` {kinds[c]}" for c in categorical])
+    return df.sparkSession.createDataFrame([cells], schema)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -15,19 +15,22 @@ Every driver-side read is bounded by ``bins`` rows per needed rank, never by
 the row count.  Interpolation is linear between order statistics, equal to
 pandas ``quantile`` / SQL ``quantile_cont`` / Spark ``percentile``.
 
-Grouped quantiles of low-cardinality columns (scores, levels) use
-``grouped_percentiles``: rows are first counted per (group, value), then
-``percentile(value, p, count)`` runs over the counts.
+``grouped_percentiles`` does the same for all groups of a table at once, from
+running sums over ranges of the (group, value) count table.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 
 def _ranks_needed(n: int, probs: Sequence[float]) -> dict[float, tuple[int, int, float]]:
     out = {}
@@ -107,10 +110,28 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int =
 
 def grouped_percentiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float],
                         names: Sequence[str] | None = None) -> DataFrame:
-    """Exact grouped percentiles via a (group, value) count pre-aggregation."""
+    """Exact linear-interpolated percentiles per group, for all groups and shares together.
+
+    Rows are counted per (group, value); running sums over ranges of that table give every value the ranks it
+    takes, and the values at the needed ranks are picked by a plain aggregate.  No task holds the distinct values
+    of a group, however many there are.  Null groups are a group; null values are ignored."""
+    by, keys = list(by), list(by) or ["__all"]
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    counted = (df.where(F.col(col).isNotNull())
-               .groupBy(*by, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
-    q = F.percentile(F.col("__v"), F.array(*[F.lit(float(p)) for p in probs]), F.col("__n"))
-    agg = counted.groupBy(*by).agg(q.alias("__q"))
-    return agg.select(*by, *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
+    rows = df.where(F.col(col).isNotNull())
+    rows = rows.select(*by, F.col(col).alias("__v")) if by else rows.select(F.lit(0).alias("__all"), F.col(col).alias("__v"))
+    counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    placed = running_sums(counted, ["__v"], {"__n": "__before"}, keys)
+    sizes = placed.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.sum("__n").alias("__size"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    here = placed.join(sizes, same).drop(*(f"__k{i}" for i in range(len(keys))))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n")), F.col("__v").cast("double")))
+
+    place = [(F.col("__size") - 1) * F.lit(float(p)) for p in probs]
+    picked = here.groupBy(*keys, "__size").agg(*[at(f(h)).alias(f"__{n}{i}") for i, h in enumerate(place) for n, f in (("lo", F.floor), ("hi", F.ceil))])
+    out = []
+    for i, (h, name) in enumerate(zip(place, names)):
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(h) - h) * lo + (h - F.floor(h)) * hi).alias(name))
+    return picked.select(*by, *out)

@@ -232,7 +232,19 @@ g AS (SELECT record_id, split, x_first, COALESCE(p, CASE WHEN q IS NULL THEN z.a
 SELECT record_id, split, {r6('CASE WHEN x_first THEN p ELSE q END')} AS t0_eq_vas, {r6('CASE WHEN x_first THEN q ELSE p END')} AS t1_eq_vas FROM g"""
 
 
+def p01_median_continuous(spark, sf):
+    """Medians of columns with about as many values as rows."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    found = I.fit_median(li, ["l_extendedprice", "l_quantity", "l_orderkey"])
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in found.items()], "column_name string, median double")
+
+
+SQL_P01_CONTINUOUS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {r6(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)')} AS median FROM lineitem"
+                                        for c in ("l_extendedprice", "l_quantity", "l_orderkey"))
+
+
 QUERIES = {
+    "P01_median_continuous": (p01_median_continuous, SQL_P01_CONTINUOUS),
     "P07_W04_A25_split_summary": (p07_a25_split_summary, SQL_P07),
     "P08_stratified_split": (p08_stratified, SQL_P08),
     "P01_P02_P03_median_mode_fill": (p01_p02_median_mode, _p01_sql()),

@@ -360,3 +360,18 @@ QUERIES = {
     "A27_before_after": (a27_before_after, SQL_A27),
     "A28_expected_columns": (a28_expected, SQL_A28),
 }
+
+
+def a09_price_quantiles(spark, sf):
+    """Quartiles and tails of a column with about as many values as rows, per group."""
+    from ..operators.quantiles import grouped_percentiles
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").cast("double").alias("price"))
+    out = grouped_percentiles(li, ["l_returnflag", "l_linestatus"], "price", [0.01, 0.25, 0.5, 0.75, 0.99], ["p01", "p25", "p50", "p75", "p99"])
+    return out.select("l_returnflag", "l_linestatus", *[F.round(c, 6).alias(c) for c in ("p01", "p25", "p50", "p75", "p99")])
+
+
+SQL_A09_PRICE = "SELECT l_returnflag, l_linestatus, " + ", ".join(
+    f"ROUND(quantile_cont(CAST(l_extendedprice AS DOUBLE), {q}), 6) AS {n}" for q, n in ((0.01, "p01"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.99, "p99"))) + \
+    " FROM lineitem GROUP BY l_returnflag, l_linestatus"
+
+QUERIES["A09_price_quantiles_by_group"] = (a09_price_quantiles, SQL_A09_PRICE)

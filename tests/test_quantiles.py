@@ -34,3 +34,20 @@ def test_values_on_bin_edges_and_wide_ranges(spark):
         h = (len(vals) - 1) * p
         lo, hi = want[int(np.floor(h))], want[int(np.ceil(h))]
         assert got[p] == lo + (h - np.floor(h)) * (hi - lo)
+
+
+def test_grouped_percentiles_against_numpy(spark):
+    import numpy as np
+
+    from promspark.operators.quantiles import grouped_percentiles
+    rng = np.random.default_rng(7)
+    rows = [(["a", "b", None][k % 3] if k % 5 else "hot", None if k % 11 == 0 else float(rng.choice([rng.normal(), k % 4]))) for k in range(1500)]
+    df = spark.createDataFrame(rows + [("one", 3.5), ("none", None)], "g string, v double").repartition(6)
+    probs = [0.0, 0.013, 0.25, 0.5, 0.999, 1.0]
+    got = {r.g: r[1:] for r in grouped_percentiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == {"a", "b", None, "hot", "one"} and set(got["one"]) == {3.5}
+    for g in ("a", "b", None, "hot"):
+        assert np.allclose(got[g], np.quantile([v for h, v in rows if h == g and v is not None], probs), rtol=0, atol=1e-12)
+    whole = grouped_percentiles(df, [], "v", [0.5], ["m"]).first().m
+    assert abs(whole - np.median([v for _, v in rows if v is not None] + [3.5])) < 1e-12
+    assert grouped_percentiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
