@@ -94,18 +94,23 @@ def prom_fixture(orders: DataFrame) -> DataFrame:
     return stage.select("*", *[F.expr(e).alias(n) for n, e in score_columns()])
 
 
-_WRITTEN: dict[tuple, DataFrame] = {}
-
-
 def load_prom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The PROM table of a folder, read as Parquet columns.
-
-    The projection of ``orders`` is written once per application and input into the shared
-    folder, as a Collect job would have left it; queries then read the columns that they need
-    and push their filters down."""
+    """The PROM table of a folder as a projection of ``orders``."""
     # Role cleaning makes a CASE of each of 60 columns, and deletion filters on many of them: inferring constraints
     # from such plans takes the optimizer up to a minute a query, and there is nothing to gain without joins.
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return prom_fixture(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def stored_prom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``load_prom`` read as Parquet columns.
+
+    The table is written once per application and input into the shared folder, as a Collect job would have left
+    it; queries then read the columns that they need and push their filters down."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")  # as in load_prom
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = (spark.sparkContext.applicationId, sf_dir, *orders.inputFiles())
     if key not in _WRITTEN:

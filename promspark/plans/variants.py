@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import catalog as cat
-from ..fixture import load_prom
+from ..fixture import stored_prom
 from ..operators import clean
 from ..operators import impute as I
 from ..operators import split as SP
@@ -29,7 +29,7 @@ def with_target(df: DataFrame) -> DataFrame:
 
 
 def split_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = clean.apply_roles(load_prom(spark, sf_dir)).select("record_id", *NUMERIC, *CATEGORICAL, *COMPLETE)
+    df = clean.apply_roles(stored_prom(spark, sf_dir)).select("record_id", *NUMERIC, *CATEGORICAL, *COMPLETE)
     return SP.random_split(df.withColumns({c: F.col(c).cast("double") for c in NUMERIC}), "record_id", 80)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import catalog as cat
-from ..fixture import load_prom
+from ..fixture import stored_prom
 from ..functions import recode, scores
 from ..operators import encode
 from ._sql import all_not_null, any_null, ctes, eq5d_index_sql, items_sum, r6, scored_cte

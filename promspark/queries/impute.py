@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import catalog as cat
-from ..fixture import load_prom
+from ..fixture import stored_prom
 from ..functions import scores
 from ..operators import impute as I
 from ..operators import split as SP
@@ -130,7 +130,7 @@ def _p09_sql():
 
 def p12_replace_sentinel(spark, sf):
     stage = I.ReplaceSentinel(inputCols=T0[:4], sentinel=9.0)
-    return stage.transform(load_prom(spark, sf).select("record_id", *T0[:4]))
+    return stage.transform(stored_prom(spark, sf).select("record_id", *T0[:4]))
 
 
 SQL_P12 = ctes() + "SELECT record_id, " + ", ".join(f"CASE WHEN {c} <> 9 THEN {c} END AS {c}" for c in T0[:4]) + " FROM prom"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import catalog as cat
-from ..fixture import load_prom
+from ..fixture import stored_prom
 from ..functions import recode, scores
 from ..operators import clean
 from ..plans.prepare import prepare
@@ -19,7 +19,7 @@ T0, T1 = cat.oks_items("t0"), cat.oks_items("t1")
 
 
 def cleaned(spark, sf):
-    return clean.apply_roles(load_prom(spark, sf))
+    return clean.apply_roles(stored_prom(spark, sf))
 
 
 def scored(spark, sf):
@@ -78,7 +78,7 @@ STRING_FIXTURE = ["provider_code", "year", "procedure", "age_band", "gender"]
 
 
 def f01_all_sentinels(spark, sf):
-    return clean.all_sentinels_to_null(load_prom(spark, sf))
+    return clean.all_sentinels_to_null(stored_prom(spark, sf))
 
 
 SQL_F01 = ctes() + "SELECT\n  " + ",\n  ".join(
@@ -94,7 +94,7 @@ SQL_F02 = ctes() + "SELECT * FROM clean"
 
 
 def f03_columns_with_9(spark, sf):
-    return clean.columns_containing(load_prom(spark, sf), 9, NUMERIC_FIXTURE)
+    return clean.columns_containing(stored_prom(spark, sf), 9, NUMERIC_FIXTURE)
 
 
 SQL_F03 = ctes() + "SELECT column_name FROM (\n  SELECT " + ",\n  ".join(
@@ -103,7 +103,7 @@ SQL_F03 = ctes() + "SELECT column_name FROM (\n  SELECT " + ",\n  ".join(
 
 
 def f04_auto_recode(spark, sf):
-    return clean.auto_recode_binary9(load_prom(spark, sf), cols=NUMERIC_FIXTURE)
+    return clean.auto_recode_binary9(stored_prom(spark, sf), cols=NUMERIC_FIXTURE)
 
 
 SQL_F04 = ctes("st AS (SELECT " + ",\n ".join(
@@ -114,7 +114,7 @@ SQL_F04 = ctes("st AS (SELECT " + ",\n ".join(
 
 
 def f05_f07_recodes(spark, sf):
-    df = load_prom(spark, sf)
+    df = stored_prom(spark, sf)
     return df.select("record_id",
                      recode.presence("t0_assisted").alias("assisted_presence"),
                      recode.yes_no(recode.null_if_in("t0_assisted", [9])).alias("assisted_01"),
@@ -155,7 +155,7 @@ FROM clean"""
 
 
 def f10_deletion_audit(spark, sf):
-    _, audit = prepare(load_prom(spark, sf))
+    _, audit = prepare(stored_prom(spark, sf))
     return audit
 
 
@@ -174,13 +174,13 @@ def _audit_sql():
 
 
 def f09_f19_analysis_rows(spark, sf):
-    df, _ = prepare(load_prom(spark, sf))
+    df, _ = prepare(stored_prom(spark, sf))
     return clean.valid_target(df, "oks_t1_score").groupBy("procedure" if "procedure" in df.columns else "year") \
         .agg(F.count(F.lit(1)).alias("n"), F.sum("oks_success").alias("n_success"))
 
 
 def f11_mask_filter(spark, sf):
-    df = load_prom(spark, sf)
+    df = stored_prom(spark, sf)
     return (df.where((F.col("procedure") == "Knee Replacement") & F.col("year").isin("2017/18", "2018/19"))
             .select("record_id", "provider_code", "year"))
 
@@ -219,7 +219,7 @@ GROUP BY ALL HAVING COUNT(*) > 1"""
 def f15_cross_source(spark, sf):
     """All columns but procedure (the source) and provider; the knee records of one year are added once
     more as hip records of another provider, as the fixture has no record in two sources."""
-    df = load_prom(spark, sf)
+    df = stored_prom(spark, sf)
     again = df.where((F.col("procedure") == "Knee Replacement") & (F.col("year") == "2016/17")).withColumns(
         {"procedure": F.lit("Hip Replacement"), "provider_code": F.lit("P999")})
     return clean.cross_source_duplicates(df.union(again), "procedure", ignore=["provider_code"])
@@ -232,7 +232,7 @@ GROUP BY ALL HAVING COUNT(DISTINCT procedure) > 1"""
 
 
 def f16_contains(spark, sf):
-    df = load_prom(spark, sf)
+    df = stored_prom(spark, sf)
     return (df.where(recode.contains_ci("procedure", "KNEE") & recode.contains_ci("provider_code", "p01"))
             .groupBy("provider_code").agg(F.count(F.lit(1)).alias("n")))
 
@@ -242,7 +242,7 @@ WHERE lower(procedure) LIKE '%knee%' AND lower(provider_code) LIKE '%p01%' GROUP
 
 
 def f17_profile_domain(spark, sf):
-    df = load_prom(spark, sf).select(scores.eq5d_profile(cat.eq5d_dims("t0")).alias("profile"))
+    df = stored_prom(spark, sf).select(scores.eq5d_profile(cat.eq5d_dims("t0")).alias("profile"))
     return (df.groupBy(recode.is_valid_profile("profile").alias("valid"))
             .agg(F.count(F.lit(1)).alias("n")))
 

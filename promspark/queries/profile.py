@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import catalog as cat
-from ..fixture import column_order, load_prom
+from ..fixture import column_order, stored_prom
 from ..functions import scores
 from ..operators import profile as P
 from ._sql import ctes, r6, scored_cte
@@ -50,7 +50,7 @@ def a01_missing(spark, sf):
 def a02_sentinel_missing(spark, sf):
     sent = {c: [9] for c in T0 + T1 + cat.eq5d_dims("t0") + cat.eq5d_dims("t1")}
     sent.update({"t0_eq_vas": [999], "t1_eq_vas": [999], "age_band": ["*", ""], "gender": ["*", ""]})
-    return P.missing_report(load_prom(spark, sf), list(sent), sentinels=sent)
+    return P.missing_report(stored_prom(spark, sf), list(sent), sentinels=sent)
 
 
 _SENT = {c: [9] for c in T0 + T1 + cat.eq5d_dims("t0") + cat.eq5d_dims("t1")}
@@ -192,7 +192,7 @@ ORDER BY rate NULLS LAST, procedure, year, dimension, value LIMIT 10"""
 
 
 def a15_pivot(spark, sf):
-    return P.count_pivot(load_prom(spark, sf), "provider_code", "year", cat.YEARS)
+    return P.count_pivot(stored_prom(spark, sf), "provider_code", "year", cat.YEARS)
 
 
 SQL_A15 = ctes() + "SELECT provider_code, " + ", ".join(
@@ -310,7 +310,7 @@ A27_COLS = ["t0_eq_vas", "t1_eq_vas", "oks_t0_pain", "oks_t1_stairs", "diabetes"
 
 
 def a27_before_after(spark, sf):
-    return P.compare_frames(load_prom(spark, sf), cleaned(spark, sf), A27_COLS)
+    return P.compare_frames(stored_prom(spark, sf), cleaned(spark, sf), A27_COLS)
 
 
 SQL_A27 = ctes() + " UNION ALL ".join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import catalog as cat
-from ..fixture import load_prom
+from ..fixture import stored_prom
 from ..operators import relate as R
 from ..operators.stats import rank_table, spearman
 from ._sql import ctes, r6, scored_cte
@@ -109,7 +109,7 @@ def j08_set_ops(spark, sf):
     from ..operators.clean import columns_containing
     from ..operators.profile import missing_report
     a = missing_report(cleaned(spark, sf)).where(F.col("n_missing") > 0).select(F.col("column_name").alias("name"))
-    b = columns_containing(load_prom(spark, sf), 9).select(F.col("column_name").alias("name"))
+    b = columns_containing(stored_prom(spark, sf), 9).select(F.col("column_name").alias("name"))
     return R.set_ops(a, b, "name")
 
 

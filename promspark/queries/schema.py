@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as cat
-from ..fixture import column_order, load_prom
+from ..fixture import column_order, stored_prom
 from ..operators import schema as C
 from ..operators.split import random_split
 from ._sql import ctes, r6
@@ -35,7 +35,7 @@ def raw_header(short: str) -> str:
 
 
 def raw_frame(spark, sf):
-    df = load_prom(spark, sf)
+    df = stored_prom(spark, sf)
     return df.toDF(*[raw_header(c) for c in df.columns])
 
 
@@ -56,7 +56,7 @@ def c03_c04_name_table(spark, sf):
 
 
 def c05_schema_diff(spark, sf):
-    p = load_prom(spark, sf)
+    p = stored_prom(spark, sf)
     frames = {y: (p.where(F.col("year") == y).drop("t0_eq_vas") if y == "2016/17" else p.where(F.col("year") == y))
               for y in cat.YEARS}
     d = C.schema_diff(frames).groupBy("column_name").agg(
@@ -67,7 +67,7 @@ def c05_schema_diff(spark, sf):
 
 
 def c06_type_census(spark, sf):
-    p = load_prom(spark, sf)
+    p = stored_prom(spark, sf)
     return C.type_census(p).join(_values_per_column(p), "column_name").groupBy("family").agg(
         F.count(F.lit(1)).alias("n_columns"), F.sum("n_values").alias("n_values"))
 
@@ -76,7 +76,7 @@ NUMERIC = [c for c in column_order() if c not in ("provider_code", "year", "proc
 
 
 def c07_smallest_types(spark, sf):
-    return C.smallest_types(load_prom(spark, sf), NUMERIC)
+    return C.smallest_types(stored_prom(spark, sf), NUMERIC)
 
 
 SQL_C07 = ctes() + " UNION ALL ".join(
@@ -87,7 +87,7 @@ SQL_C07 = ctes() + " UNION ALL ".join(
 
 
 def c08_c09_c10_coerce_tag_key(spark, sf):
-    p = load_prom(spark, sf)
+    p = stored_prom(spark, sf)
     d = p.select(F.substring("provider_code", 2, 3).try_cast("int").alias("provider_number"),
                  F.col("age_band").try_cast("int").alias("age_number"),
                  C.composite_key("provider_code", "year").alias("lookup_key"),
@@ -105,7 +105,7 @@ SQL_C08 = ctes() + """SELECT 'Knee' AS csv_tag, COUNT(DISTINCT provider_code ||
 
 def c11_c12_c13_c14_projection(spark, sf):
     from ..operators.clean import leakage_safe_columns
-    p = load_prom(spark, sf)
+    p = stored_prom(spark, sf)
     keep = leakage_safe_columns(p.columns, keep=["oks_t1_score"])
     d = C.keep_columns(C.drop_columns(p, ["t0_living_arrangements", "not_a_column"]), keep)
     return C.numeric_then_strings(d)
@@ -118,7 +118,7 @@ def _c11_sql():
 
 
 def c15_align(spark, sf):
-    p = random_split(load_prom(spark, sf), "record_id", 80)
+    p = random_split(stored_prom(spark, sf), "record_id", 80)
     train = p.where(F.col("split") == "train").select("record_id", "oks_t0_score", "t0_eq_vas", "gender")
     test = p.where(F.col("split") == "test").select("gender", "record_id", "oks_t0_score", "year")
     return C.align_to(test, train)
@@ -129,14 +129,14 @@ WHERE NOT ({HASH_SQL} % 100 < 80)"""
 
 
 def c16_families(spark, sf):
-    p = load_prom(spark, sf)
+    p = stored_prom(spark, sf)
     fams = C.column_families(p.columns)
     return spark.createDataFrame(fams, "family string, column_name string").join(_values_per_column(p), "column_name") \
         .groupBy("family").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n_values").alias("n_values"))
 
 
 def c17_strings(spark, sf):
-    return C.all_strings(load_prom(spark, sf).select("record_id", "oks_t0_score", "t0_eq_vas", "year"))
+    return C.all_strings(stored_prom(spark, sf).select("record_id", "oks_t0_score", "t0_eq_vas", "year"))
 
 
 SQL_C17 = ctes() + """SELECT CAST(record_id AS VARCHAR) AS record_id, CAST(oks_t0_score AS VARCHAR) AS oks_t0_score,

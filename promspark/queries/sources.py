@@ -14,7 +14,7 @@ import os
 from pyspark.sql import functions as F
 
 from .. import catalog as cat
-from ..fixture import load_prom
+from ..fixture import stored_prom
 from ..sources import files as S
 from ..operators.split import random_split
 from ._sql import ctes, r6
@@ -36,7 +36,7 @@ def _agg(df):
 def _write_yearly_csv(spark, sf):
     """One CSV folder per year; 2016/17 uses ';' (as one source file does)."""
     base = S.work_dir(spark, "csv")
-    prom = load_prom(spark, sf).select(*COLS)
+    prom = stored_prom(spark, sf).select(*COLS)
     specs = []
     for y in cat.YEARS:
         sep = ";" if y == "2016/17" else ","
@@ -71,7 +71,7 @@ SQL_S04 = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', CAST(3 AS BIGINT))
 
 def s05_s06_zip(spark, sf):
     base = S.work_dir(spark, "zip")
-    prom = load_prom(spark, sf).select(*COLS)
+    prom = stored_prom(spark, sf).select(*COLS)
     for y in cat.YEARS:                                                        # nested folders, found recursively
         S.write_zip_csv(prom.where(F.col("year") == y), os.path.join(base, y.replace("/", "_"), "nested"),
                         partitions=2).collect()
@@ -87,7 +87,7 @@ SQL_S05 = ctes(f"src AS (SELECT year, provider_code, CASE WHEN age_band = '*' TH
 
 def s08_s09_s10_parquet_roundtrip(spark, sf):
     path = S.work_dir(spark, "parquet")
-    S.write_parquet(load_prom(spark, sf), path, "gzip", partition_by=["year"])  # S10
+    S.write_parquet(stored_prom(spark, sf), path, "gzip", partition_by=["year"])  # S10
     back = spark.read.parquet(path).select(*COLS)                              # S09 + S08 projection
     return _agg(back)
 
@@ -97,7 +97,7 @@ SQL_S08 = ctes("src AS (SELECT * FROM prom)") + AGG_SQL
 
 def s12_s13_registry_paired(spark, sf):
     base = S.work_dir(spark, "registry")
-    prom = random_split(load_prom(spark, sf), "record_id", 80)
+    prom = random_split(stored_prom(spark, sf), "record_id", 80)
     reg = {}
     for proc in cat.PROCEDURES:
         label = proc.split()[0].lower()
@@ -137,7 +137,7 @@ def s14_streaming_prepare(spark, sf):
     from ..streaming.prepare_stream import run_prepare_stream, stream_roundtrip_paths
     base = S.work_dir(spark, "stream")
     landing, sink, ckpt = stream_roundtrip_paths(base)
-    prom = load_prom(spark, sf)
+    prom = stored_prom(spark, sf)
     S.write_parquet(prom, landing, "snappy")
     q = run_prepare_stream(spark, landing, prom.schema, sink, ckpt)
     q.awaitTermination()
@@ -166,7 +166,7 @@ def _collected(spark, sf):
     from ..plans.collect import collect_topic
     from .schema import raw_header
     base = S.work_dir(spark, "collect")
-    prom = load_prom(spark, sf)
+    prom = stored_prom(spark, sf)
     raw = prom.toDF(*[raw_header(c) for c in prom.columns]).withColumn(
         INDEX_HEADER, F.round(F.col("record_id") % 1000 / 1000 - F.lit(0.3), 3))
     specs = []
