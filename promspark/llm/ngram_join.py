@@ -19,7 +19,9 @@ fewer words has its whole sequence as its one element.  Documents link when
    the others, those that may link with it are answered by it and not
    compared again.  Verified on the whole sets, such links join sets to
    components, and a second reading of the lists compares only sets that are
-   still in different components, all of them.  Nothing is sampled or capped,
+   still in different components, all of them; lists of one component are left
+   out, and parity bitmaps of ``FINE`` bits bound the difference of two copies
+   of one text more closely, before a pair is made.  Nothing is sampled or capped,
    so the components are those of the full join, without a group's pairs
    being made.
 
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bitmap, probe
@@ -45,7 +47,7 @@ from .words import _ODD, SPACE_WORDS, Words, chunks, mix, ngrams, tidy
 
 PERCENT, N = 90, 3
 LEAST_COUNT, MOST_FREQUENT, BUCKET_BITS = 16, 1 << 20, 10
-FLUSH, SEEN, SMALL_LIST, BLOCK = 4 << 20, 200_000, 24, 64
+FLUSH, SEEN, SMALL_LIST, BLOCK, FINE = 4 << 20, 200_000, 24, 64, 512
 
 
 def row_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +94,8 @@ def parity(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def wide_parity(elements: np.ndarray) -> bytes:
-    """As many parity bits as a set has elements, rounded up to a power of two; see ``folded``."""
-    bits = 1 << min(20, max(7, (len(elements) - 1).bit_length()))
+    """As many parity bits as a set has elements, rounded up to a power of two, at least ``FINE``; see ``folded``."""
+    bits = max(FINE, 1 << min(20, (len(elements) - 1).bit_length()))
     return np.packbits((np.bincount((elements & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -102,6 +104,18 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
+def fine_parity(wide: str) -> list[Column]:
+    """``FINE`` parity bits, 64 a column, from those of ``wide_parity``."""
+    @F.arrow_udf("array<bigint>")
+    def fold(column: pa.Array) -> pa.Array:
+        rows = [folded(np.frombuffer(x.as_buffer(), np.uint8), FINE // 8).view(np.int64) for x in column]
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (FINE // 64)), pa.array(flat))
+
+    bits = fold(F.col(wide))
+    return [bits[k].alias(f"b{k}") for k in range(FINE // 64)]
+
+
 def _near_enough(percent: int):
     """Drops the pairs (a, b, n and wide parity of both) whose parities differ at more bits than linked sets may."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +256,8 @@ class Lists:
     """Index lists, one after another: sets of a list by size."""
 
     def __init__(self, columns: list[np.ndarray], percent: int):
-        self.token, self.sid, both, self.b0, self.b1, self.label = columns
-        self.b0, self.b1 = self.b0.view(np.uint64), self.b1.view(np.uint64)
+        self.token, self.sid, both, self.label, *bits = columns
+        self.bits = [b.view(np.uint64) for b in bits]
         self.n, self.rest = both >> 32, (both >> 32) - (both & 0xFFFFFFFF)  # rest: the element itself and those after it
         self.percent = percent
 
@@ -252,7 +266,8 @@ class Lists:
         p, both = self.percent, self.n[i] + self.n[j]
         common = (p * both + 99 + p) // (100 + p)
         ok = (100 * self.n[j] >= p * self.n[i]) & (np.minimum(self.rest[i], self.rest[j]) >= common) & (self.label[i] != self.label[j])
-        ok[ok] = (np.bitwise_count(self.b0[i[ok]] ^ self.b0[j[ok]]).astype(np.int64) + np.bitwise_count(self.b1[i[ok]] ^ self.b1[j[ok]]) <= (both - 2 * common)[ok])
+        most, x, y = (both - 2 * common)[ok], i[ok], j[ok]
+        ok[ok] = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in self.bits) <= most
         return ok
 
     def blocks(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,6 +288,15 @@ class Lists:
         the places of the lists that have any."""
         starts = np.flatnonzero(np.append(True, self.token[1:] != self.token[:-1])) if len(self.token) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(self.token))
+        if every and len(starts):  # a list whose sets are all in one component has nothing left to find
+            some = np.minimum.reduceat(self.label, starts) != np.maximum.reduceat(self.label, starts)
+            open_ = np.repeat(some, ends - starts)
+            if not open_.all():
+                columns = [c[open_] for c in (self.token, self.sid, self.n, self.rest, self.label)]
+                self.token, self.sid, self.n, self.rest, self.label = columns
+                self.bits = [b[open_] for b in self.bits]
+                ends = np.cumsum((ends - starts)[some])
+                starts = ends - np.diff(np.append(0, ends))
         size = np.repeat(ends - starts, ends - starts)
         place = np.arange(len(self.token)) - np.repeat(starts, ends - starts)
         left, right = [], []
@@ -337,9 +361,10 @@ def _list_pairs(percent: int, every: bool):
 
 
 def _list_table(sets: DataFrame) -> DataFrame:
-    """The index lists of sets (sid, n, b0, b1, label, first)."""
-    rows = sets.select("sid", "n", "b0", "b1", "label", F.posexplode("first").alias("pos", "token"))
-    return rows.select("token", "sid", (F.shiftleft("n", 32) + F.col("pos")).alias("np"), "b0", "b1", "label").repartition("token").sortWithinPartitions("token", "np")
+    """The index lists of sets (sid, n, label, first, parity bits b0, b1 and so on)."""
+    bits = sorted(c for c in sets.columns if c[0] == "b")
+    rows = sets.select("sid", "n", "label", *bits, F.posexplode("first").alias("pos", "token"))
+    return rows.select("token", "sid", (F.shiftleft("n", 32) + F.col("pos")).alias("np"), "label", *bits).repartition("token").sortWithinPartitions("token", "np")
 
 
 def _named_sets(n: int, bits: np.ndarray):
@@ -405,7 +430,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, p
     links = _links(written(found.where("b is not null")), sets, texts, n, percent)
     labels = components(links)
     active = sets.join(found.where("b is null").select(F.col("a").alias("sid")), "sid", "left_semi")
-    active = active.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    active = active.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    active = active.select("sid", "n", F.coalesce("label", "sid").alias("label"), "first", *fine_parity("wide"))
     rest = written(_list_table(active).mapInArrow(tidy(_list_pairs(percent, True)), "a bigint, b bigint").distinct())
     more = _links(rest, sets, texts, n, percent)
     if not more.isEmpty():
