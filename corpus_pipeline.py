@@ -8,14 +8,15 @@ documents table.
 1. language ID: learns from the labelled documents, names the language of
    those without one, and rejects texts without a letter or with a posterior
    under ``LEAST_SCORE``.
-2. n-gram Jaccard join: of each group of linked documents the one with the
-   smallest id stays; rows with the same id and text are one.
+2. n-gram Jaccard join: documents whose sets of five-word runs have a Jaccard
+   of 0.8 or more are linked; of each group the one with the smallest id stays
+   (null ids last, then the first row).
 3. benchmark decontamination: documents that hold a benchmark passage go.
 4. PII: personal data is replaced by its kind.
 5. SentencePiece: token ids, one row per document.
 
-Rows with a null id are taken as one document each; rows with the same id but
-other texts go together where one of them is a duplicate of another row.
+Rows are told apart by their place, not by id: rows with a null id or with the
+same id but other texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from promspark.llm.common import written
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 LEAST_SCORE = 0.5
+SHINGLE, PERCENT = 5, 80  # near duplicates: words of a shingle, least Jaccard in percent
+PACK_BYTES = 16 << 20  # text of a token pack: a worker has the earlier stages behind it
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,20 +42,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows, not ids: a null or repeated id tells no rows apart.  The numbers are those of the places in the files."""
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = written(ngram_join.join(docs.select("doc_id", "text")))
-    gone = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = without(docs, "doc_id", gone)
-    again = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    rows = numbered(docs)
+    groups = written(ngram_join.join(rows.select("__row", "text"), key="__row", n=SHINGLE, percent=PERCENT).select("__row", "component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    stay = rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(first).select("first.__row")
+    return without(rows, "__row", written(groups.join(stay, "__row", "left_anti").select("__row"))).select(*docs.columns)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # rows, not ids: a null or repeated id tells no rows apart.  The numbers are those of the places in the files
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = numbered(docs)
     hits = decontaminate.find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__row")
     return rows.join(written(hits.select("__row").distinct()), "__row", "left_anti").select(*docs.columns)
 
@@ -62,7 +66,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_lattice.encode(docs.select("doc_id", "text"), piece_lattice.load(PIECES))
+    return piece_lattice.encode(docs.select("doc_id", "text"), piece_lattice.load(PIECES), pack_bytes=PACK_BYTES)
 
 
 STAGES = [

@@ -141,7 +141,7 @@ def _spaced(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.insert(data, rows[:-1][some], 32), rows + np.append(0, np.cumsum(some))
 
 
-def _packs(cuts: np.ndarray, words: bool):
+def _packs(cuts: np.ndarray, words: bool, pack_bytes: int):
     """Rows of the packs: their words, or their documents as word numbers.  Both readings make the same
     packs; a pack's name is the digest of its words, so equal names mean equal numbers."""
     def said(pack: dict) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def _packs(cuts: np.ndarray, words: bool):
                     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
                     pack["rows"].append((batch.column(0).slice(i, j - i), np.diff(at).astype(np.int32), crc, press.compress(planes)))
                 pack["size"] += len(part)
-                if pack["size"] >= PACK_BYTES:
+                if pack["size"] >= pack_bytes:
                     yield from said(pack)
                     pack = fresh()
                 i = j
@@ -309,21 +309,23 @@ def _put_together(byte_ids: np.ndarray, decoded: tuple[np.ndarray, np.ndarray],
     return run
 
 
-def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", ids: bool = True, pack_bytes: int | None = None) -> DataFrame:
     """Per row: key, ``n_tokens``, ``ids`` (unless told not to), the CRC-32 of the ids as little-endian
-    32-bit numbers, and whether they decode to the text."""
+    32-bit numbers, and whether they decode to the text.  ``pack_bytes`` (``PACK_BYTES`` unless given) is the text
+    of a pack: a smaller one holds less in a task and asks for more words; the rows are the same."""
+    pack_bytes = pack_bytes or PACK_BYTES
     rows = bounded_batches(docs).select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     # a pack spans a few small input splits, so that fewer packs ask for the same words
     rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // MERGED))
-    asked = rows.mapInArrow(tidy(_packs(pieces.cuts, True)), "pack bigint, number int, word string")
+    asked = rows.mapInArrow(tidy(_packs(pieces.cuts, True, pack_bytes)), "pack bigint, number int, word string")
     # small groups of words: a group's edges, tens per word, are sorted in memory
     groups = GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = asked.repartition(groups, F.xxhash64("word")).withColumn("h", F.xxhash64("word"))
     same = F.when(F.min("word") == F.max("word"), F.min("word")).otherwise(F.raise_error(F.lit("two words with one hash")))
     words = asked.groupBy("h").agg(same.alias("word"), F.collect_list(F.struct("pack", "number")).alias("uses"))
     answers = segmented(words, pieces).select(F.explode("uses").alias("use"), "ids").select("use.pack", "use.number", "ids")
-    packs = rows.mapInArrow(tidy(_packs(pieces.cuts, False)), f"pack bigint, doc_id array<{kind}>, counts array<int>, crc array<bigint>, blob binary")
+    packs = rows.mapInArrow(tidy(_packs(pieces.cuts, False, pack_bytes)), f"pack bigint, doc_id array<{kind}>, counts array<int>, crc array<bigint>, blob binary")
     out = f"`{key}` {kind}, n_tokens bigint, {'ids array<int>, ' if ids else ''}ids_crc32 bigint, round_trip boolean"
     return answers.groupBy("pack").cogroup(packs.groupBy("pack")).applyInArrow(_put_together(pieces.byte_ids, pieces.decoded(), key, ids), out)
 

@@ -12,10 +12,10 @@ from promspark.llm.words import SPACE_WORDS, chunks
 from .duck import same
 
 
-def shingles(text):
+def shingles(text, n=3):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
-    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
 def brute(texts, percent=90):
