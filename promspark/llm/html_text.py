@@ -20,9 +20,10 @@ say so by their tag, role, class or id.
 Rules: a null, empty or tagless page is a body of text; character references
 are decoded, white space in a block becomes one space, blocks are joined by
 one space.  Ties go to the node that comes first.  Malformed markup never
-raises: unclosed paragraphs, items and cells end where the next begins, an
-unmatched end tag is ignored.  Rows are independent; extra columns pass
-through.
+raises and takes time in proportion to its length: unclosed paragraphs, items
+and cells end where the next begins, an unmatched end tag is ignored, a tag
+with an open quote ends at its first ``>``.  Rows are independent; extra
+columns pass through.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([A-Za-z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""", re.S)
+START = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*+)|[!?/])")
+SPECIAL = re.compile("[>\"']")
+LONG_NUMBER = re.compile("&#0*+([0-9]{8,});?|&#0{8,}(?=[0-9])")
 LABEL = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 PART = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -78,6 +81,52 @@ def _outside(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class Markup:
+    """Tags and comments of a text, each found in time that grows with the text read, also where quotes or tags stay open."""
+
+    def __init__(self, text: str):
+        self.text, self.last = text, text.rfind(">")
+        self.lost: set[int] = set()  # opening quotes after which no tag ends
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" of an end tag, name, attributes) of the first piece of markup from ``at`` on; a comment
+        or declaration has no name.  A tag without a ``>`` is text; a comment without an end takes the rest."""
+        m = START.search(self.text, at)
+        if m is not None and not m[1] and m.end() > self.last:
+            m = re.compile("<(!--)").search(self.text, m.start() + 1)
+        if m is None:
+            return None
+        if m[1]:
+            stop = self.text.find("-->", m.end())
+            return m.start(), len(self.text) if stop < 0 else stop + 3, "", "", ""
+        if m[3] is None:
+            return m.start(), self.text.find(">", m.end()) + 1, "", "", ""
+        end = self._end(m.end())
+        return m.start(), end, m[2], m[3].lower(), self.text[m.end():end - 1]
+
+    def _end(self, at: int) -> int:
+        """Place after the ``>`` of a tag whose name ends at ``at``: the first outside quotes, or the first of all
+        where a quote stays open."""
+        seen, k = [], at
+        while True:
+            m = SPECIAL.search(self.text, k)
+            if m is not None and m[0] == ">":
+                return m.end()
+            if m is None or m.start() in self.lost:
+                break
+            seen.append(m.start())
+            k = self.text.find(m[0], m.end()) + 1
+            if not k:
+                break
+        self.lost.update(seen)
+        return self.text.find(">", at) + 1
+
+
+def decoded(text: str) -> str:
+    """Character references as characters; a number beyond Unicode is U+FFFD, whatever its length."""
+    return html.unescape(LONG_NUMBER.sub(lambda m: "\ufffd" if m[1] else "&#0", text))
+
+
 class Page:
     """Block nodes of a page in page order: parents come before their children."""
 
@@ -97,11 +146,13 @@ class Page:
 
     def _read(self, text: str) -> None:
         stack = [("body", 0, False)]  # (tag, node, inside an article)
+        opened: dict[str, list[int]] = {}  # places in the stack by tag
         links = at = 0
+        markup = Markup(text)
 
         def say(part: str) -> None:
             node = stack[-1][1]
-            part = html.unescape(part) if "&" in part else part
+            part = decoded(part) if "&" in part else part
             count = len("".join(part.split()))
             self.chars[node] += count
             if links:
@@ -109,29 +160,27 @@ class Page:
             self.pieces.append((node, part))
 
         def close(names, until=()) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in names:
-                    del stack[k:]
-                    return
-                if stack[k][0] in until:
-                    return
+            last, border = (max((opened[t][-1] for t in tags if opened.get(t)), default=0) for tags in (names, until))
+            if last > border:
+                for t, *_ in stack[last:]:
+                    opened[t].pop()
+                del stack[last:]
 
         while True:
-            m = TAG.search(text, at)
+            m = markup.after(at)
             if m is None:
                 say(text[at:])
                 return
-            if m.start() > at:
-                say(text[at:m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            start, stop, end, tag, attributes = m
+            if start > at:
+                say(text[at:start])
+            at = stop
             if not tag:
                 continue
-            end, attributes = m[1] or m[4], m[3] or m[6] or ""
             if tag in RAW:
                 if not end:
-                    stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
-                    at = stop.end() if stop else len(text)
+                    m = re.compile(rf"</{tag}\b", re.I).search(text, at)
+                    at = (m and text.find(">", m.end()) + 1) or len(text)
                 continue
             if tag in ("html", "body"):
                 continue
@@ -158,6 +207,7 @@ class Page:
                 continue
             _, parent, in_article = stack[-1]
             node = self._open(parent, self.outside[parent] or _outside(tag, attributes, in_article))
+            opened.setdefault(tag, []).append(len(stack))
             stack.append((tag, node, in_article or tag in ("article", "main")))
 
     def densities(self) -> tuple[list[float], list[float]]:

@@ -1,6 +1,7 @@
 import html
 import math
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -58,3 +59,19 @@ def test_edges(spark):
     got = [r.text for r in H.extract(df).orderBy("page_id").collect()]
     assert got[:6] == ["", "", "plain <text", "a", "a", "deep"] and len(got[6]) == 999_999
     assert H.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece", ['<a href="x ', "<a '\">", "<p \"\"\"><b '", "<div>", "<a<a", "</script", "<!-", "<!-- x", "<script></script", "<li><td>", "<div class='", "</p>", "&#0"])
+def test_time_grows_with_the_text(piece):
+    def seconds(text):
+        start = time.perf_counter()
+        H.main_text(text)
+        return time.perf_counter() - start
+    text = piece * (1_000_000 // len(piece))
+    assert seconds(text) < 30 and seconds(text + ">") < 30  # a scanner that starts anew at each piece takes hours
+
+
+@pytest.mark.parametrize("number", ["9" * 5000, "0" * 5000 + "65", "0" * 5000, "65", "1114112"])
+def test_long_character_numbers(number):
+    want = "A" if number.endswith("65") else "\ufffd"
+    assert H.main_text(f"<p>x&#{number};y") == f"x{want}y"
