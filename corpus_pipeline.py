@@ -11,7 +11,8 @@ documents table.
 2. n-gram Jaccard join: documents whose sets of five-word runs have a Jaccard
    of 0.8 or more are linked; of each group the one with the smallest id stays
    (null ids last, then the first row).
-3. benchmark decontamination: documents that hold a benchmark passage go.
+3. benchmark decontamination: documents that hold a passage of a benchmark item
+   of at least ``LEAST_ITEM`` words go (a few words in a row stand in clean text too).
 4. PII: personal data is replaced by its kind.
 5. SentencePiece: token ids, one row per document.
 
@@ -31,6 +32,7 @@ from promspark.llm.common import written
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 LEAST_SCORE = 0.5
+LEAST_ITEM = decontaminate.MIN_WORDS
 SHINGLE, PERCENT = 5, 80  # near duplicates: words of a shingle, least Jaccard in percent
 PACK_BYTES = 16 << 20  # text of a token pack: a worker has the earlier stages behind it
 
@@ -57,7 +59,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs)
-    hits = decontaminate.find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__row")
+    hits = decontaminate.find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__row", least_item=LEAST_ITEM)
     return rows.join(written(hits.select("__row").distinct()), "__row", "left_anti").select(*docs.columns)
 
 

@@ -19,8 +19,10 @@ matching window shares a seed with the item, and none is missed.
    matching windows on that diagonal give the passage.
 
 Rules: words are runs of letters, digits and non-ASCII characters in lower
-case.  Items of fewer than ``window`` words are one window as a whole; items
-of fewer than ``min_words`` words, empty and null texts are never found.
+case.  Items of fewer than ``window`` words are one window as a whole; those
+of fewer than ``min_words`` words count only where every word is the same (a
+substitution would leave too little), through the same join with one seed of
+all their words.  Items without a word and null texts are never found.
 Items with the same words are one class, reported by the smallest item_id;
 ``item_classes`` has the membership.  Repeated document rows and ids give a
 result each.  Extra columns are ignored.  An empty table gives no rows.
@@ -49,6 +51,11 @@ def need(window: int, similarity: float) -> int:
     return math.ceil(similarity * window - 1e-9)
 
 
+def tolerance(size: int, min_words: int, similarity: float) -> float:
+    """The similarity asked of windows of ``size`` words."""
+    return similarity if size >= min_words else 1.0
+
+
 def seeds(words: Words, window: int, similarity: float) -> tuple[np.ndarray, list[np.ndarray]]:
     """(first word of every window inside a row, one array of seeds per mask)."""
     h = words.hashes
@@ -96,12 +103,12 @@ def _item_seeds(window: int, min_words: int, similarity: float):
         for batch in batches:
             lists = batch.column(1)
             lengths = np.diff(lists.offsets.to_numpy())
-            for size in range(min_words, window + 1):
+            for size in range(1, window + 1):
                 rows = np.flatnonzero(lengths >= window if size == window else lengths == size)
                 if not len(rows):
                     continue
                 words = _array_words(lists.take(pa.array(rows)))
-                at, each = seeds(words, size, similarity)
+                at, each = seeds(words, size, tolerance(size, min_words, similarity))
                 row = np.searchsorted(words.offsets, at, "right") - 1
                 ids = batch.column(0).take(pa.array(rows[row]))
                 for s in each:
@@ -110,13 +117,13 @@ def _item_seeds(window: int, min_words: int, similarity: float):
     return run
 
 
-def _document_hits(bits: np.ndarray, sizes: list[int], similarity: float):
+def _document_hits(bits: np.ndarray, sizes: list[int], min_words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in chunks(batch.column(1), LETTER_WORDS):
                 found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for size in sizes:
-                    at, each = seeds(w, size, similarity)
+                    at, each = seeds(w, size, tolerance(size, min_words, similarity))
                     for s in each:
                         k = probe(bits, s)
                         found.append(s[k])
@@ -154,7 +161,7 @@ def passage(text: np.ndarray, item: np.ndarray, window: int, similarity: float)
     return int(good[0]), int(good[-1] + window), int(((text == item) & inside).sum())
 
 
-def _verify(window: int, similarity: float):
+def _verify(window: int, min_words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(4), batch.column(5))]
@@ -163,7 +170,7 @@ def _verify(window: int, similarity: float):
             for i in range(batch.num_rows):
                 part, item = (v[o[i]:o[i + 1]] for o, v in lists)
                 skip = int(low[i] - shift[i])  # words of the item before the part
-                got = passage(part, item[skip:skip + len(part)], min(window, len(item)), similarity)
+                got = passage(part, item[skip:skip + len(part)], min(window, len(item)), tolerance(len(item), min_words, similarity))
                 if got:
                     kept.append(i)
                     spans.append((got[0] + int(low[i]), got[1] + int(low[i]), got[2], len(item)))
@@ -176,11 +183,12 @@ def _verify(window: int, similarity: float):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-         window: int = WINDOW, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+         window: int = WINDOW, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, least_item: int = 1) -> DataFrame:
     """One row per document row and item class that it holds a passage of: the words of the
-    longest passage (start, end), its equal words and the item's length in words."""
+    longest passage (start, end), its equal words and the item's length in words.
+    Items of fewer than ``least_item`` words are left out."""
     key_type, item_type = (d.select(F.col(f"`{c}`")).schema[0].dataType.simpleString() for d, c in ((docs, key), (benchmark, item)))
-    items = written(_item_words(benchmark, item, item_text).where(F.size("words") >= min_words).groupBy("words").agg(F.min("item_id").alias("item_id")))
+    items = written(_item_words(benchmark, item, item_text).where(F.size("words") >= max(1, least_item)).groupBy("words").agg(F.min("item_id").alias("item_id")))
     table = written(items.select("item_id", "words").mapInArrow(
         _item_seeds(window, min_words, similarity), f"seed bigint, item_id {item_type}, place int, size int").distinct())
     said = table.groupBy("size").count().collect()
@@ -188,7 +196,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     bits = bitmap(table, "seed", sum(r["count"] for r in said))
 
     rows = bounded_batches(docs).select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    hits = rows.mapInArrow(tidy(_document_hits(bits, sizes, similarity)), f"doc_id {key_type}, words array<bigint>, seeds array<bigint>, places array<int>")
+    hits = rows.mapInArrow(tidy(_document_hits(bits, sizes, min_words, similarity)), f"doc_id {key_type}, words array<bigint>, seeds array<bigint>, places array<int>")
     hits = written(hits.withColumn("rid", F.monotonically_increasing_id()))
 
     pairs = hits.select("rid", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("rid", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
@@ -199,6 +207,6 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     parts = pairs.join(hits.select("rid", "doc_id", "words"), "rid").select(
         "rid", "doc_id", "item_id", "shift", F.slice("words", low + 1, F.col("shift") + F.col("n") - low).alias("part"), low.alias("low"))
     both = parts.join(sizes_of.select("item_id", "words"), "item_id").select("rid", "doc_id", "item_id", "shift", "part", "words", "low")
-    found = both.mapInArrow(_verify(window, similarity), f"rid bigint, doc_id {key_type}, item_id {item_type}, start_word bigint, end_word bigint, equal_words bigint, item_words bigint")
+    found = both.mapInArrow(_verify(window, min_words, similarity), f"rid bigint, doc_id {key_type}, item_id {item_type}, start_word bigint, end_word bigint, equal_words bigint, item_words bigint")
     best = found.groupBy("rid", "item_id").agg(F.max(F.struct("equal_words", (-F.col("start_word")).alias("before"), "end_word", "item_words", "doc_id")).alias("b"))
     return best.select(F.col("b.doc_id").alias(key), "item_id", (-F.col("b.before")).alias("start_word"), "b.end_word", "b.equal_words", "b.item_words")

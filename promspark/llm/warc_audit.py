@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-RECORDS_PER_FILE, FANOUT, FILES_PER_PART = 2000, 16, 4096
+RECORDS_PER_FILE, FANOUT = 2000, 16
+FILES_PER_PART = 1 << 20  # Spark itself ends a task that opens more than 1,000,000 files
 END = "\r\n"
 FILE = re.compile(r"part-(\d+)-.*?(?:-c(\d+))?\.txt")
 LEAF = "file_no bigint, idx bigint, start bigint, length bigint, record_id string, uri string, hash string, payload string, sound boolean"
@@ -93,13 +94,21 @@ def _parsed(data: bytes, whole: bool) -> Iterator[tuple]:
         yield at, len(rest), None, None, hashlib.sha256(b"%d:%d:" % (at, whole) + rest).hexdigest(), None, False
 
 
+def file_number(path: str) -> int:
+    """The number of a file that Spark wrote: by its task, then by its place among the task's files."""
+    part = FILE.search(path.rsplit("/", 1)[-1])
+    place = int(part[2] or 0)
+    if place >= FILES_PER_PART:
+        raise ValueError(f"{path} is beyond the {FILES_PER_PART} files of a task")
+    return int(part[1]) * FILES_PER_PART + place
+
+
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["file_no", "idx", "start", "length", "record_id", "uri", "hash", "payload", "sound"]
     types = [pa.int64()] * 4 + [pa.string()] * 4 + [pa.bool_()]
     for batch in batches:
         for k in range(batch.num_rows):
-            part = FILE.search(batch.column(0)[k].as_py().rsplit("/", 1)[-1])
-            number = int(part[1]) * FILES_PER_PART + int(part[2] or 0)
+            number = file_number(batch.column(0)[k].as_py())
             rows = [(number, i, *r) for i, r in enumerate(_parsed(*_inflated(batch.column(1)[k].as_buffer().to_pybytes())))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], names=names)
 

@@ -20,7 +20,8 @@ def words(text):
 
 
 def brute(docs, items, window=D.WINDOW, low=D.MIN_WORDS, similarity=D.SIMILARITY):
-    """{(doc_id, item class)}: some window of the item matches one of the document."""
+    """{(doc_id, item class)}: some window of the item matches one of the document; items of fewer than ``low``
+    words match as a whole and exactly."""
     out, classes = set(), {}
     for i, t in sorted(items):
         classes.setdefault(tuple(words(t)), i)
@@ -28,8 +29,9 @@ def brute(docs, items, window=D.WINDOW, low=D.MIN_WORDS, similarity=D.SIMILARITY
         x = words(text)
         for y, i in classes.items():
             size = min(window, len(y))
-            if len(y) >= low and any(sum(a == b for a, b in zip(x[p:p + size], y[q:q + size])) >= D.need(size, similarity)
-                                     for p in range(len(x) - size + 1) for q in range(len(y) - size + 1)):
+            least = D.need(size, similarity) if len(y) >= low else size
+            if y and any(sum(a == b for a, b in zip(x[p:p + size], y[q:q + size])) >= least
+                         for p in range(len(x) - size + 1) for q in range(len(y) - size + 1)):
                 out.add((d, i))
     return out
 
@@ -70,8 +72,8 @@ def test_edges(spark, docs):
     items = spark.createDataFrame([(5, passage, "x"), (3, passage.upper(), "y"), (1, None, None), (2, "", ""), (4, "too few words", ""), (6, short, "z")], ITEM_SCHEMA)
     texts = [None, "", passage, passage, "a " * 300_000 + passage, short.replace("short4", "other"), "too few words", passage.replace("token3", "x").replace("token9", "y")]
     got = sorted(map(tuple, D.find(docs(texts, ids=[0, 1, 2, 2, 4, 5, 6, 7]), items).collect()))
-    assert [r[:2] for r in got] == [(2, 3), (2, 3), (4, 3), (5, 6), (7, 3)]
-    assert got[2][2] == 300_000 and got[4][4] == 13
+    assert [r[:2] for r in got] == [(2, 3), (2, 3), (4, 3), (5, 6), (6, 4), (7, 3)]
+    assert got[2][2] == 300_000 and got[4][2:] == (0, 3, 3, 3) and got[5][4] == 13
     assert sorted(map(tuple, D.item_classes(items).where("item_id in (3, 5)").collect())) == [(3, 3), (5, 3)]
     assert D.find(docs(texts).limit(0), items).count() == 0
     assert D.find(docs(texts), items.limit(0)).count() == 0
@@ -93,3 +95,13 @@ def test_query_over_whole_table(spark, sf):
         near = set().union(*(places.get(tuple(w[k:k + 3]), ()) for k in range(len(w) - 2))) if w else set()
         want |= brute([(i, t)], [(j, texts[j]) for j in near])
     assert got == want and got
+
+
+@pytest.mark.parametrize("size", range(1, D.MIN_WORDS))
+def test_short_items_are_found_word_for_word(spark, docs, size):
+    item = [f"short{k}" for k in range(size)]
+    items = spark.createDataFrame([(1, " ".join(item), "x")], ITEM_SCHEMA)
+    changed = item[:-1] + ["other"]
+    texts = [" ".join(["before", *item, "after"]), " ".join(item), " ".join(changed), " ".join(item[:-1]), " ".join(changed + item + item)]
+    got = sorted(map(tuple, D.find(docs(texts), items).collect()))
+    assert got == [(0, 1, 1, size + 1, size, size), (1, 1, 0, size, size, size), (4, 1, size, 2 * size, size, size)]

@@ -89,3 +89,15 @@ def test_empty_table(spark, tmp_path):
 
 def test_query_against_sql(spark):
     assert same(queries.op8_warc_audit(spark, "/root/testdata/sf0.01"), OP8, "/root/testdata/sf0.01")
+
+
+def test_files_of_a_task_have_numbers_of_their_own(spark, tmp_path):
+    name = "file:/x/part-%05d-0b1c2d3e-aaaa-bbbb-cccc-0123456789ab-c%03d.txt.gz"
+    seen = [W.file_number(name % (t, c)) for t in range(3) for c in (0, 1, 4095, 4096, 999_999)]
+    assert seen == sorted(set(seen))
+    with pytest.raises(ValueError):
+        W.file_number(name % (0, 1 << 20))
+    rows = spark.range(0, 4200, 1, 2).selectExpr("id page_id", "'u' url", "'text' html").coalesce(1).union(spark.range(4200, 4203, 1, 1).selectExpr("id", "'u'", "'text'"))
+    W.write(W.records(rows).select("record"), str(tmp_path / "many"), records_per_file=1)
+    got = W.leaves(spark, str(tmp_path / "many"))
+    assert got.count() == got.select("file_no", "idx").distinct().count() == 4203
