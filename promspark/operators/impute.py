@@ -15,6 +15,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import as_of
 from .chained import ChainedImputer  # noqa: F401  (P04)
 from .profile import missing_report
 from .quantiles import grouped_percentiles
@@ -86,28 +87,18 @@ def imputation_check(df: DataFrame, cols: Sequence[str], by: str = "split") -> D
     return missing_report(df, cols, by=[by]).select(by, "column_name", "n_missing")
 
 
-def donor_fill(train: DataFrame, df: DataFrame, target: str, donor_key: str) -> DataFrame:
+def donor_fill(train: DataFrame, df: DataFrame, target: str, donor_key: str, ranges: int | None = None) -> DataFrame:
     """A missing ``target`` takes the most frequent target value among
-    train rows whose ``donor_key`` is nearest (ties -> smaller key).
+    train rows whose ``donor_key`` is nearest (ties -> smaller key; of equally
+    frequent values the smallest).  A row without a key keeps its gap.
 
-    Works on the small table of distinct keys: the mode per key on train,
-    then for every distinct key of ``df`` the nearest key that has a mode
-    (running last/first non-null over the union of both key lists)."""
+    The mode per distinct key comes from a count table; the keys of the rows
+    with a gap meet it in an as-of join over key ranges, so a continuous key
+    is no different from a score of few values.  Rows without a gap are not
+    shuffled."""
     counts = train.where(F.col(target).isNotNull() & F.col(donor_key).isNotNull()) \
-        .groupBy(donor_key, target).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(donor_key).orderBy(F.desc("n"), target)
-    modes = counts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") == 1) \
-        .select(F.col(donor_key).cast("double").alias("k"), F.col(target).alias("__mode"))
-    need = df.select(F.col(donor_key).cast("double").alias("k")).where(F.col("k").isNotNull()).distinct()
-    allk = need.join(modes, "k", "full")
-    o = Window.orderBy("k")
-    prev = allk.withColumns({
-        "__pk": F.last(F.when(F.col("__mode").isNotNull(), F.col("k")), True).over(o.rowsBetween(Window.unboundedPreceding, 0)),
-        "__pm": F.last("__mode", True).over(o.rowsBetween(Window.unboundedPreceding, 0)),
-        "__nk": F.first(F.when(F.col("__mode").isNotNull(), F.col("k")), True).over(o.rowsBetween(0, Window.unboundedFollowing)),
-        "__nm": F.first("__mode", True).over(o.rowsBetween(0, Window.unboundedFollowing))})
-    pick = prev.select("k", F.when(F.col("__nk").isNull() |
-                                   (F.col("__pk").isNotNull() & (F.col("k") - F.col("__pk") <= F.col("__nk") - F.col("k"))),
-                                   F.col("__pm")).otherwise(F.col("__nm")).alias("__donor"))
-    j = df.join(pick, F.col(donor_key).cast("double") == F.col("k"), "left").drop("k")
-    return j.withColumn(target, F.coalesce(F.col(target), F.col("__donor"))).drop("__donor")
+        .groupBy(F.col(donor_key).cast("double").alias("__key"), F.col(target).alias("__donor")).agg(F.count(F.lit(1)).alias("n"))
+    modes = counts.groupBy("__key").agg(F.min(F.struct(-F.col("n"), F.col("__donor"))).alias("m")).select("__key", "m.__donor")
+    gaps = df.where(F.col(target).isNull()).withColumn("__key", F.col(donor_key).cast("double"))
+    filled = gaps.join(as_of(gaps, modes, "__key", "__donor", ranges=ranges), "__key", "left").withColumn(target, F.col("__donor"))
+    return df.where(F.col(target).isNotNull()).unionByName(filled.select(*df.columns))

@@ -154,6 +154,24 @@ pick AS (SELECT k, (SELECT mode FROM modes ORDER BY abs(k - mk), mk LIMIT 1) AS
     """SELECT record_id, gain, COALESCE(age_band, donor) AS age_band FROM g LEFT JOIN pick ON g.gain = pick.k WHERE split = 'test'"""
 
 
+def p13_donor_continuous(spark, sf):
+    """A continuous key: the order priority of the training order with the nearest total price."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    d = SP.random_split(orders.withColumnRenamed("o_orderkey", "record_id"), "record_id", 80)
+    d = d.withColumn("o_orderpriority", F.when(F.col("record_id") % 7 != 0, F.col("o_orderpriority")))
+    return I.donor_fill(d.where(F.col("split") == "train"), d, "o_orderpriority", "o_totalprice")
+
+
+SQL_P13_CONTINUOUS = f"""WITH d AS (SELECT o_orderkey AS record_id, o_totalprice, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS given FROM orders),
+g AS (SELECT *, CASE WHEN {HASH_SQL} % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM d),
+modes AS (SELECT mk, given AS mode FROM (SELECT o_totalprice AS mk, given, row_number() OVER (PARTITION BY o_totalprice ORDER BY COUNT(*) DESC, given) AS rk
+  FROM g WHERE split = 'train' AND given IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY o_totalprice, given) WHERE rk = 1),
+low AS (SELECT record_id, o_totalprice, given, split, mk AS lk, mode AS lm FROM g ASOF LEFT JOIN modes ON g.o_totalprice >= modes.mk),
+both_sides AS (SELECT low.*, mk AS hk, mode AS hm FROM low ASOF LEFT JOIN modes ON low.o_totalprice <= modes.mk)
+SELECT record_id, o_totalprice, split, COALESCE(given, CASE WHEN hk IS NULL OR o_totalprice - lk <= hk - o_totalprice THEN lm ELSE hm END) AS o_orderpriority
+FROM both_sides"""
+
+
 def _variant_report(v):
     """Per variant and split: rows, rows without a target, target mean and deviation, cells still missing."""
     from ..plans.variants import CATEGORICAL, NUMERIC
@@ -253,6 +271,7 @@ QUERIES = {
     "P12_replace_sentinel_stage": (p12_replace_sentinel, SQL_P12),
     "P09_indicator_columns": (p09_indicators, _p09_sql()),
     "P13_donor_fill": (p13_donor_fill, SQL_P13),
+    "P13_donor_fill_continuous": (p13_donor_continuous, SQL_P13_CONTINUOUS),
     "P04_P11_prepared_variants": (p04_p11_mice, None),
     "P11_variants_without_model": (p11_simple_variants, _p11_sql()),
     "P04_chained_two_columns": (p04_two_columns, SQL_P04),
