@@ -2,10 +2,11 @@
 
 per-file header read and schema diff (S04, C05) -> all-string scan with the
 file's separator (S01, S03) -> union by name with the year tag (S07, C09) ->
-clean and shorten column names (C01, C02) -> row ids -> ANSI-safe numeric
-coercion of the non-text columns (C08), which must keep every value ->
-smallest integer types from one min/max pass where no value has a fraction
-(C07), doubles elsewhere -> gzip parquet partitioned by year (S10).
+clean and shorten column names (C01, C02) -> text Parquet, the one parse of
+the files, with row ids by file and place (S07) -> ANSI-safe numeric coercion
+of the non-text columns (C08), which must keep every value -> smallest
+integer types from one min/max pass where no value has a fraction (C07),
+doubles elsewhere -> gzip parquet partitioned by year (S10).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import schema as C
+from ..session import written_table
 from ..sources import files as S
 
 
@@ -30,24 +32,24 @@ def collect_topic(spark: SparkSession, specs: list[S.FileSpec], out_path: str,
                   tag_col: str = "year", key: str = "record_id") -> Collected:
     """``text_columns`` stay text; any other column whose text is not all
     numbers raises an error that names it, so no value is lost.  Rows without
-    a ``key`` column get one: unique per collected table, written with it."""
+    a ``key`` column get one: the row's number in the order of file paths and
+    of the rows in a file, the same however the files are cut into splits."""
     headers = {s.tag or s.path: S.header(spark, s.path, s.sep) for s in specs}
     report = C.schema_diff({name: spark.createDataFrame([], S.string_schema(cols))
                             for name, cols in headers.items()})
     all_cols = sorted({c for cols in headers.values() for c in cols})
     frames, tags = [], []
     for s in specs:
-        frames.append(S.read_csv(spark, s.path, s.sep, schema=S.string_schema(headers[s.tag or s.path])))
+        frames.append(S.read_csv(spark, s.path, s.sep, schema=S.string_schema(headers[s.tag or s.path]), place=True))
         tags.append(s.tag)
     raw = S.union_aligned(frames, tags, f"__{tag_col}_tag")
-    named = C.rename_columns(raw, C.short_name)
+    named = C.rename_columns(raw, lambda c: c if c in S.PLACE else C.short_name(c))
     if tag_col not in named.columns:
         named = named.withColumnRenamed(f"__{tag_col}_tag", tag_col)
     else:
         named = named.withColumn(tag_col, F.coalesce(F.col(tag_col), F.col(f"__{tag_col}_tag"))) \
             .drop(f"__{tag_col}_tag")
-    if key not in named.columns:
-        named = named.withColumn(key, F.monotonically_increasing_id())
+    named = S.number_rows(named, key) if key not in named.columns else written_table(named.drop(*S.PLACE))
     numeric = [c for c in named.columns if c not in text_columns and c not in (tag_col, key)]
     if dict(named.dtypes)[key] == "string":
         numeric.append(key)

@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relate import union_aligned  # noqa: F401 (re-exported)
-from ..session import checkpoint_dir
+from ..operators.running import running_sums
+from ..session import checkpoint_dir, written_table
+
+#: where a row stands: its file, the start of its split, and a number that grows by one per row of the split
+PLACE = ("__file", "__block", "__at")
 
 
 def work_dir(spark: SparkSession, name: str = "work") -> str:
@@ -54,9 +58,10 @@ def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None,
              null_value: str | None = None, columns: Sequence[str] | None = None,
-             recursive: bool = False, glob: str | None = None) -> DataFrame:
+             recursive: bool = False, glob: str | None = None, place: bool = False) -> DataFrame:
     """CSV scan with header and separator,
-    optional null marker, explicit (e.g. all-string) schema, projection."""
+    optional null marker, explicit (e.g. all-string) schema, projection.
+    ``place`` adds the columns that ``number_rows`` needs."""
     r = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
     if null_value is not None:
         r = r.option("nullValue", null_value)
@@ -67,30 +72,52 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructTyp
     if schema is not None:
         r = r.schema(schema)
     df = r.csv(path)
+    if place:
+        return with_place(df, columns)
     return df.select(*columns) if columns else df
 
 
+def with_place(scan: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """A file scan with ``PLACE``, which ``number_rows`` turns into row numbers."""
+    found = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return scan.select(*[F.col(f"`{c}`") for c in columns or scan.columns], *[c.alias(name) for c, name in zip(found, PLACE)])
+
+
+def number_rows(placed: DataFrame, id_col: str = "record_id") -> DataFrame:
+    """``placed`` (rows with ``PLACE``) as a written table with the row's number, from 0, in the order of the
+    file paths and of the rows in a file.  The number does not depend on how the files were cut into splits.
+
+    The files are parsed once, to that table.  A count per split and a running sum over the splits give each
+    split's first number; that table has a row per split and is joined by its measured size."""
+    rows = written_table(placed)
+    splits = rows.groupBy("__file", "__block").agg(F.min("__at").alias("__base"), F.count(F.lit(1)).alias("__n"))
+    starts = written_table(running_sums(splits, ["__file", "__block"], {"__n": "__start"}).select("__file", "__block", (F.col("__start") - F.col("__base")).alias("__start")))
+    return rows.join(starts, ["__file", "__block"]).withColumn(id_col, F.col("__start") + F.col("__at")).drop(*PLACE, "__start")
+
+
 def read_manifest(spark: SparkSession, specs: Sequence[FileSpec], schema: T.StructType | None = None,
-                  tag_col: str = "source") -> DataFrame:
+                  tag_col: str = "source", id_col: str | None = None) -> DataFrame:
     """S01 + S07: files with per-file options -> one frame, union by name,
     with the tag (e.g. year) of each file.  A CSV file is read by its own
     header; ``schema`` names the columns to keep and their types, whatever
-    their order in a file."""
-    frames, tags = [], []
+    their order in a file.  ``id_col`` adds row numbers (see ``number_rows``)."""
+    frames, tags, place = [], [], PLACE if id_col else ()
     for s in specs:
         if s.fmt == "csv":
             own = header(spark, s.path, s.sep)
-            df = read_csv(spark, s.path, s.sep, schema=string_schema(own), null_value=s.null_value)
+            df = read_csv(spark, s.path, s.sep, schema=string_schema(own), null_value=s.null_value, place=bool(id_col))
             if schema is not None:
                 df = df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
-                                 for f in schema.fields if f.name in own])
+                                 for f in schema.fields if f.name in own], *place)
         elif s.fmt == "parquet":
             df = spark.read.parquet(s.path)
+            df = with_place(df) if id_col else df
         else:
             raise ValueError(s.fmt)
         frames.append(df)
         tags.append(s.tag or os.path.basename(s.path))
-    return union_aligned(frames, tags, tag_col)
+    rows = union_aligned(frames, tags, tag_col)
+    return number_rows(rows, id_col) if id_col else rows
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str], to: str = "double") -> DataFrame:

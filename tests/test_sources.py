@@ -76,3 +76,33 @@ def test_manifest_reads_each_file_by_its_own_header(spark, tmp_path):
     specs = [S.FileSpec(str(tmp_path / n), "csv", ",", tag=n) for n in ("a.csv", "b.csv")]
     got = S.read_manifest(spark, specs, schema=S.string_schema(["x", "y"]))
     assert sorted((r.x, r.y, r.source) for r in got.collect()) == [("1", "a", "a.csv"), ("2", "b", "b.csv")]
+
+
+def test_row_ids_do_not_depend_on_splits(spark, tmp_path):
+    from promspark.plans.collect import collect_topic
+    sizes = {"a": 4000, "b": 0, "c": 1, "d": 2500}
+    want, n = {}, 0
+    for name, rows in sizes.items():
+        (tmp_path / f"{name}.csv").write_text("Provider Code,Pre-Op Q Score\n" + "".join(f"{name}{k},{k % 49}\n" for k in range(rows)))
+        want |= {f"{name}{k}": n + k for k in range(rows)}
+        n += rows
+    specs = [S.FileSpec(str(tmp_path / f"{name}.csv"), tag=name) for name in reversed(sizes)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, size in enumerate(("134217728", "3000", "17000")):
+            for c in before:
+                spark.conf.set(c, size)
+            rows = collect_topic(spark, specs, str(tmp_path / f"out{k}")).table.collect()
+            assert {r.provider_code: r.record_id for r in rows} == want and len(rows) == n
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_manifest_numbers_rows_of_csv_and_parquet(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n" + "".join(f"{k},a\n" for k in range(500)))
+    spark.range(500, 900, 1, 1).selectExpr("CAST(id AS STRING) x", "'b' y").coalesce(1).write.parquet(str(tmp_path / "b"))
+    specs = [S.FileSpec(str(tmp_path / "b"), "parquet", tag="b"), S.FileSpec(str(tmp_path / "a.csv"), tag="a")]
+    got = S.read_manifest(spark, specs, schema=S.string_schema(["x"]), id_col="row")
+    assert got.columns[-1] == "row" and not set(S.PLACE) & set(got.columns)
+    assert sorted((r.row, int(r.x)) for r in got.collect()) == [(k, k) for k in range(900)]
