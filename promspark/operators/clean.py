@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import catalog as cat
 from ..functions.recode import comorbidity_flag, null_if_in
+from ..session import written_table
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -149,8 +150,16 @@ def cross_source_duplicates(df: DataFrame, source_col: str, ignore: Sequence[str
     """value combinations that occur in more than one source.
 
     The source column itself is excluded from the key (a key that contains
-    it can never match across sources)."""
+    it can never match across sources).  Only 128-bit hashes of the rows are
+    grouped over all rows; those seen in more than one source pick the rows
+    that are grouped by their values, so equal hashes of other values do no
+    harm.  The hash table is joined by its written size."""
     key = [c for c in df.columns if c != source_col and c not in set(ignore)]
+    gaps = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in key])  # xxhash64 passes nulls over
+    hashed = df.withColumns({"__h1": F.xxhash64(*key, gaps), "__h2": F.xxhash64(F.lit(1), *key, gaps)})
+    shared = hashed.groupBy("__h1", "__h2").agg(F.min(source_col).alias("__a"), F.max(source_col).alias("__b")) \
+        .where(F.col("__a") != F.col("__b")).select("__h1", "__h2")
+    df = hashed.join(written_table(shared), ["__h1", "__h2"], "left_semi")
     per_source = df.groupBy(*key, source_col).agg(F.count(F.lit(1)).alias("copies"))
     return (per_source.groupBy(*key).agg(F.count(source_col).alias("n_sources"), F.sum("copies").alias("copies"))
             .where(F.col("n_sources") > 1))

@@ -49,6 +49,15 @@ def test_cross_source_duplicates_ignore_source(spark):
     assert [(r.k, r.v, r.n_sources) for r in out] == [("x", 1, 2)]
 
 
+def test_cross_source_duplicates_with_nulls(spark):
+    rows = [(None, "a", "A"), ("a", None, "B"), (None, None, "A"), (None, None, "B"), (None, None, "B"), ("c", "c", None), ("c", "c", "A"), ("d", "d", "A"), ("d", "d", "A")]
+    df = spark.createDataFrame(rows, "k string, v string, source string")
+    out = clean.cross_source_duplicates(df, "source")
+    assert out.columns == ["k", "v", "n_sources", "copies"]
+    assert [tuple(r) for r in out.collect()] == [(None, None, 2, 3)]
+    assert clean.cross_source_duplicates(df.limit(0), "source").count() == 0
+
+
 def test_recode_idempotent(prom):
     once = clean.apply_roles(prom)
     twice = clean.apply_roles(once)
