@@ -62,3 +62,11 @@ def test_recode_idempotent(prom):
     once = clean.apply_roles(prom)
     twice = clean.apply_roles(once)
     assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
+
+
+def test_cross_source_rows_are_dealt_to_more_tasks_as_they_get_more(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id % 100 AS k", "IF(id < 200, 'x', 'y') AS source")  # each k: two of x, one of y
+    monkeypatch.setattr(clean, "SHARED_ROWS", 30)
+    out = clean.cross_source_duplicates(df, "source")
+    assert out.rdd.getNumPartitions() == 11
+    assert sorted(map(tuple, out.collect())) == [(k, 2, 3) for k in range(100)]
