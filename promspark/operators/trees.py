@@ -1,14 +1,14 @@
 """Cross-validated decision trees, grown together.
 
-A level of a tree needs, for every node, feature and bin, the number of rows and the sum of the label only.  The
-rows are binned once; one pass a level then makes these sums for the trees of all folds, repeats and settings, and
+A level of a tree needs, for every node, feature and bin, the number of rows and the sums of the label and its square
+only.  The rows are binned once; one pass a level then makes these sums for the trees of all folds, repeats and settings, and
 one last pass scores them on the rows they were not fitted on.  So the number of readings is the depth of the
 deepest tree, not folds times settings times depth.  A tree of a smaller depth is the top of a deeper one.
 
 Splits are those of Spark ML's trees: at most ``max_bins`` bins a feature, cut between all values of the training
 set where they are few, and into bins of about equal counts otherwise; a feature of more than MAX_VALUES values is
 cut at approximate percentiles of all training rows.  A split must lower the variance, or the Gini impurity of labels
-0 and 1, whose gain is worked out in the order that Spark ML does, as its rounding decides between equal splits.
+0 and 1; the gain is worked out in the order that Spark ML does, as its rounding decides between equal splits.
 The first feature and cut win ties.  A null number counts as larger than all others.
 Categoricals get one column per label of the training rows and one for nulls and other labels.
 """
@@ -202,31 +202,29 @@ def _summed(table: DataFrame, run) -> dict[int, np.ndarray]:
     return {r["t"]: np.frombuffer(r["data"], "<f8") for r in table.mapInArrow(first, kind).repartition("t").mapInArrow(total, kind).collect()}
 
 
-def _variance_gain(whole, total, nl, sl):
-    nr, sr = whole - nl, total - sl
-    base = total * total / whole
-    gain = sl * sl / nl + sr * sr / nr - base
-    return np.where(gain > 1e-12 * np.maximum(base, 1e-300), gain, -1.0)
-
-
 def _gini(n, s):
     a, b = (n - s) / n, s / n
     return 1.0 - a * a - b * b
 
 
-def _gini_gain(whole, total, nl, sl, hot: bool):
-    nr, sr = whole - nl, total - sl
-    if hot:  # two categories: the one with the lower rate is on the left
-        swap = sl / nl > sr / nr
-        nl, nr, sl, sr = np.where(swap, nr, nl), np.where(swap, nl, nr), np.where(swap, sr, sl), np.where(swap, sl, sr)
-    return _gini(whole, total) - nl / whole * _gini(nl, sl) - nr / whole * _gini(nr, sr)
+def _variance(n, s, q):
+    return (q - s * s / n) / n
+
+
+def _gain(impurity, whole: list, left: list, hot: bool):
+    """``whole`` and ``left``: rows, sum of labels and, for the variance, of their squares."""
+    right = [w - x for w, x in zip(whole, left)]
+    if hot:  # two categories: the one with the lower mean is on the left
+        swap = left[1] / left[0] > right[1] / right[0]
+        left, right = [np.where(swap, r, x) for x, r in zip(left, right)], [np.where(swap, x, r) for x, r in zip(left, right)]
+    return impurity(*whole) - left[0] / whole[0] * impurity(*left) - right[0] / whole[0] * impurity(*right)
 
 
 def _grow(table: DataFrame, trees: Sequence[Tree], points: list[np.ndarray], used: dict, repeats: int, depth: int, gini: bool, numeric: int) -> None:
     widths = [len(p) + 1 for p in points]
     some = [j for j, w in enumerate(widths) if w > 1]
     starts = np.concatenate([[0], np.cumsum([widths[j] for j in some])]).astype(np.int64)
-    frontier = [[0] for _ in trees]
+    frontier, moments = [[0] for _ in trees], 2 if gini else 3
     for level in range(depth):
         slots = []
         for tree, nodes in zip(trees, frontier):
@@ -246,7 +244,7 @@ def _grow(table: DataFrame, trees: Sequence[Tree], points: list[np.ndarray], use
                     got = []
                     for j in some:
                         at = slot * widths[j] + x[j][rows]
-                        got += [np.bincount(at, None, sizes[t] * widths[j]), np.bincount(at, label, sizes[t] * widths[j])]
+                        got += [np.bincount(at, w, sizes[t] * widths[j]) for w in (None, label, label * label)[:moments]]
                     got.append(np.zeros(0))
                     if not some:
                         got = [np.bincount(slot, None, sizes[t]), np.bincount(slot, label, sizes[t])]
@@ -266,19 +264,18 @@ def _grow(table: DataFrame, trees: Sequence[Tree], points: list[np.ndarray], use
             choice = np.full((m, 2), -1)
             left = np.zeros((m, 2))
             for i, j in enumerate(some):
-                n, s = data[2 * m * starts[i]:2 * m * starts[i + 1]].reshape(2, m, widths[j])
-                n, s = n.cumsum(1), s.cumsum(1)
-                whole, total = n[:, -1:], s[:, -1:]
+                sums_ = data[moments * m * starts[i]:moments * m * starts[i + 1]].reshape(moments, m, widths[j]).cumsum(2)
+                whole, upto = [a[:, -1:] for a in sums_], [a[:, :-1] for a in sums_]
                 if not level and not i:
-                    tree.n, tree.s = [float(whole[0, 0])], [float(total[0, 0])]
-                nl, sl = n[:, :-1], s[:, :-1]
+                    tree.n, tree.s = [float(whole[0][0, 0])], [float(whole[1][0, 0])]
+                nl, sl = upto[:2]
                 least = max(1.0, tree.min_weight * tree.n[0])
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = _gini_gain(whole, total, nl, sl, j >= numeric) if gini else _variance_gain(whole, total, nl, sl)
-                    gain = np.where((nl >= least) & (whole - nl >= least) & used[tree.held][j], gain, -1)
+                    gain = _gain(_gini if gini else _variance, whole, upto, j >= numeric)
+                    gain = np.where((nl >= least) & (whole[0] - nl >= least) & used[tree.held][j], gain, -1)
                 k = gain.argmax(1)
                 g = gain[np.arange(m), k]
-                better = g > (best if gini else best * (1 + 1e-13))
+                better = g > best
                 best = np.where(better, g, best)
                 choice[better] = np.column_stack([np.full(m, j), k])[better]
                 left[better] = np.column_stack([nl[np.arange(m), k], sl[np.arange(m), k]])[better]
