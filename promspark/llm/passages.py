@@ -184,15 +184,15 @@ class Fenwick:
         return out
 
 
-def segments(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """(i, j, words) of matches joined along their diagonals, where they touch or nearly do."""
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
+def segments(pair: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, (i, j, words)) of matches joined along their diagonals, where they touch or nearly do; sorted by pair."""
     d = j - i
-    new = np.append(True, (d[1:] != d[:-1]) | (i[1:] - i[:-1] > NEAR))
+    order = np.lexsort((i, d, pair))
+    pair, i, j, d = pair[order], i[order], j[order], d[order]
+    new = np.append(True, (pair[1:] != pair[:-1]) | (d[1:] != d[:-1]) | (i[1:] - i[:-1] > NEAR))
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(i)) - 1
-    return np.stack([i[at], j[at], i[last] + K - i[at]], axis=1)
+    return pair[at], np.stack([i[at], j[at], i[last] + K - i[at]], axis=1)
 
 
 def chains(parts: np.ndarray) -> list[list[int]]:
@@ -237,15 +237,20 @@ def chains(parts: np.ndarray) -> list[list[int]]:
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by x, y: the chains of each pair of texts, as lists of segments."""
     for x, y, i, j in _whole_groups(batches, 2):
-        i, j = i.astype(np.int64), j.astype(np.int64)
         start = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-        rows = []
-        for a, b in zip(start.tolist(), np.append(start[1:], len(x)).tolist()):
-            parts = segments(i[a:b], j[a:b])
-            for chain in chains(parts):
-                rows.append((x[a], y[a], parts[chain]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                                          *(pa.array([r[2][:, k].astype(np.int32) for r in rows], pa.list_(pa.int32())) for k in range(3))], names=["x", "y", "i", "j", "n"])
+        pair, parts = segments(np.repeat(np.arange(len(start)), np.diff(np.append(start, len(x)))), i.astype(np.int64), j.astype(np.int64))
+        begin = np.searchsorted(pair, np.arange(len(start) + 1))
+        alone = begin[:-1][np.diff(begin) == 1]  # most pairs have one segment: it is their chain
+        pairs, flat, sizes = [pair[alone]], [alone], [np.ones(len(alone), np.int64)]
+        for k in np.flatnonzero(np.diff(begin) > 1).tolist():
+            a, b = begin[k], begin[k + 1]
+            found = chains(parts[a:b])
+            pairs.append(np.full(len(found), k))
+            flat += [a + np.array(c) for c in found]
+            sizes.append(np.array([len(c) for c in found]))
+        first, flat, offsets = start[np.concatenate(pairs)], np.concatenate(flat), np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first]), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(parts[flat, k].astype(np.int32))) for k in range(3))],
+                                         names=["x", "y", "i", "j", "n"])
 
 
 def _named_words(bits: np.ndarray):
@@ -281,48 +286,70 @@ def equal_words(a: np.ndarray, b: np.ndarray) -> int:
 SKIPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2))
 
 
-def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(words of a, of b, equal words) of two ends that go on alike: equal runs, with up to two words of
-    either side passed over where three equal words follow."""
-    i = j = same = 0
-    while True:
-        n = min(len(a) - i, len(b) - j)
-        differ = np.flatnonzero(a[i:i + n] != b[j:j + n])
-        run = int(differ[0]) if len(differ) else n
-        i, j, same = i + run, j + run, same + run
+def _stretch(offsets: np.ndarray, values: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int, none: int) -> np.ndarray:
+    """A row per list: ``size`` values from place ``begin`` on, forwards or backwards, and ``none`` behind them."""
+    k = np.arange(int(size.max(initial=0)) + 6)
+    out = np.full((len(size), len(k)), none, np.int64)
+    row, col = np.nonzero(k < size[:, None])
+    out[row, col] = values[offsets[row] + begin[row] + step * col]
+    return out
+
+
+def extended(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of a, of b, equal words) of ends that go on alike, an end a row: equal runs, with up to two words of
+    either side passed over where three equal words follow.  Both have five unequal words or more behind the end."""
+    width = min(a.shape[1], b.shape[1])
+    i, j, same = (np.zeros(len(a), np.int64) for _ in range(3))
+    on, k = np.arange(len(a)), np.arange(width)
+    last_a, last_b = a.shape[1] - 1, b.shape[1] - 1
+    while len(on):
+        x = a[on[:, None], np.minimum(i[on][:, None] + k, last_a)]
+        y = b[on[:, None], np.minimum(j[on][:, None] + k, last_b)]
+        run = np.argmin(x == y, axis=1)
+        i[on] += run
+        j[on] += run
+        same[on] += run
+        go = np.zeros(len(on), bool)
         for s, t in SKIPS:
-            x, y = a[i + s:i + s + 3], b[j + t:j + t + 3]
-            if len(x) == len(y) == 3 and (x == y).all():
-                i, j = i + s, j + t
-                break
-        else:
-            return i, j, same
+            p, q = i[on] + s, j[on] + t
+            like = ~go
+            for m in range(3):
+                like &= a[on, np.minimum(p + m, last_a)] == b[on, np.minimum(q + m, last_b)]
+            i[on[like]], j[on[like]] = p[like], q[like]
+            go |= like
+        on = on[go]
+    return i, j, same
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains with the words around both sides: the stretches that agree."""
     for batch in batches:
-        lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(k) for k in (2, 3, 4, 5, 7))]
+        if not batch.num_rows:
+            continue
+        lists = [(c.offsets.to_numpy().astype(np.int64), c.values.to_numpy()) for c in (batch.column(k) for k in (2, 3, 4, 5, 7))]
         from_x, from_y = batch.column(6).to_numpy(), batch.column(8).to_numpy()
-        out, kept = [], []
-        for r in range(batch.num_rows):
-            i, j, n, a, b = (v[o[r]:o[r + 1]] for o, v in lists)
-            i, j = i - from_x[r], j - from_y[r]
-            same = 0
-            for s in range(len(i)):  # matches nearly touch inside a segment: compare its words
-                same += int((a[i[s]:i[s] + n[s]] == b[j[s]:j[s] + n[s]]).sum())
-                if s:
-                    same += equal_words(a[i[s - 1] + n[s - 1]:i[s]], b[j[s - 1] + n[s - 1]:j[s]])
-            x0, y0, x1, y1 = int(i[0]), int(j[0]), int(i[-1] + n[-1]), int(j[-1] + n[-1])
-            s, t, e = extended(a[:x0][::-1], b[:y0][::-1])
-            x0, y0, same = x0 - s, y0 - t, same + e
-            s, t, e = extended(a[x1:], b[y1:])
-            x1, y1, same = x1 + s, y1 + t, same + e
-            if min(x1 - x0, y1 - y0) >= LEAST_ALIGNED and same >= SIMILARITY * max(x1 - x0, y1 - y0):
-                kept.append(r)
-                out.append((x0 + from_x[r], x1 + from_x[r], y0 + from_y[r], y1 + from_y[r]))
-        take, got = pa.array(kept, pa.int64()), np.array(out, np.int64).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(got[:, k].copy()) for k in range(4))], names=["x", "y", "x0", "x1", "y0", "y1"])
+        (o, i), (_, j), (_, n), (oa, a), (ob, b) = lists
+        i, j, n = (v[o[0]:o[-1]].astype(np.int64) for v in (i, j, n))
+        o = o - o[0]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(o))
+        i, j = i - from_x[row], j - from_y[row]
+        # matches nearly touch inside a segment: compare its words
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        equal = a[np.repeat(oa[row] + i, n) + step] == b[np.repeat(ob[row] + j, n) + step]
+        same = np.bincount(np.repeat(row, n), equal, batch.num_rows).astype(np.int64)
+        s = np.flatnonzero(row[1:] == row[:-1])
+        s = s[(i[s] + n[s] < i[s + 1]) & (j[s] + n[s] < j[s + 1])]
+        for k in s.tolist():
+            r = row[k]
+            same[r] += equal_words(a[oa[r] + i[k] + n[k]:oa[r] + i[k + 1]], b[ob[r] + j[k] + n[k]:ob[r] + j[k + 1]])
+        first, last = o[:-1], o[1:] - 1
+        x0, y0, x1, y1 = i[first], j[first], i[last] + n[last], j[last] + n[last]
+        e = extended(_stretch(oa, a, x0 - 1, x0, -1, -1 << 40), _stretch(ob, b, y0 - 1, y0, -1, -2 << 40))
+        f = extended(_stretch(oa, a, x1, np.diff(oa) - x1, 1, -1 << 40), _stretch(ob, b, y1, np.diff(ob) - y1, 1, -2 << 40))
+        x0, y0, x1, y1, same = x0 - e[0], y0 - e[1], x1 + f[0], y1 + f[1], same + e[2] + f[2]
+        kept = np.flatnonzero((np.minimum(x1 - x0, y1 - y0) >= LEAST_ALIGNED) & (same >= SIMILARITY * np.maximum(x1 - x0, y1 - y0)))
+        take, got = pa.array(kept), [(x0 + from_x)[kept], (x1 + from_x)[kept], (y0 + from_y)[kept], (y1 + from_y)[kept]]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, got)], names=["x", "y", "x0", "x1", "y0", "y1"])
 
 
 def _members(key: str):

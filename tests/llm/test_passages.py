@@ -102,6 +102,41 @@ def test_chains_against_all_orders():
         assert total == pytest.approx(max(score))
 
 
+def plain_ends(a, b):
+    i = j = same = 0
+    while True:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j, same = i + 1, j + 1, same + 1
+        for s, t in P.SKIPS:
+            if a[i + s:i + s + 3] == b[j + t:j + t + 3] and len(a[i + s:i + s + 3]) == 3:
+                i, j = i + s, j + t
+                break
+        else:
+            return i, j, same
+
+
+def test_ends_of_many_chains_at_once():
+    """All ends of a batch in one call, as one by one; lists of other lengths, backwards too."""
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        a = rng.choices(range(50), k=rng.randint(0, 24))
+        b = [x for x in a if rng.random() > 0.08]
+        pairs.append((a, [rng.randrange(50) if rng.random() < 0.08 else x for x in b] + rng.choices(range(50), k=rng.randint(0, 3))))
+    flat = [(np.append(0, np.cumsum([len(p[k]) for p in pairs])), np.array([x for p in pairs for x in p[k]], np.int32)) for k in (0, 1)]
+    for step in (1, -1):
+        rows = [P._stretch(o, v, np.zeros(300, np.int64) if step > 0 else np.diff(o) - 1, np.diff(o), step, none) for (o, v), none in zip(flat, (-1 << 40, -2 << 40))]
+        assert list(zip(*(c.tolist() for c in P.extended(*rows)))) == [plain_ends(a[::step], b[::step]) for a, b in pairs]
+
+
+def test_chains_of_pairs_come_as_lists():
+    """Pairs of one segment, of several on one diagonal, and of two chains."""
+    x, y, i, j = zip(*[(1, 2, 5, 9), (1, 3, 0, 0), (1, 3, 4, 4), (1, 3, 40, 42), (2, 3, 0, 500), (2, 3, 400, 0)])
+    batch = pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(i, pa.int32()), pa.array(j, pa.int32())], names=["x", "y", "i", "j"])
+    got = [tuple(map(str, r.values())) for b in P._chained(iter([batch])) for r in b.to_pylist()]
+    assert sorted(got) == sorted([("1", "2", "[5]", "[9]", "[5]"), ("1", "3", "[0]", "[0]", "[9]"), ("1", "3", "[40]", "[42]", "[5]"), ("2", "3", "[0]", "[500]", "[5]"), ("2", "3", "[400]", "[0]", "[5]")])
+
+
 def test_minimizers_of_a_shared_stretch_are_shared():
     rng = random.Random(0)
     for _ in range(50):
