@@ -102,6 +102,26 @@ def test_components_of_a_long_path(spark):
     assert set(got.values()) == {min(nodes[:151])} and len(got) == 151
 
 
+def test_components_read_long_paths_a_few_times(spark, monkeypatch):
+    """A chain of near copies: the rounds shrink, all together write a few times the edges; other shapes too."""
+    rng = random.Random(3)
+    nodes = list(range(2000))
+    rng.shuffle(nodes)
+    edges = list(zip(nodes, nodes[1:])) + [(5000 + k % 7, 6000 + k) for k in range(300)] + [(9001, 9000), (9000, 9001), (9100, 9100)]
+    rows, plain = [], components.written
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", counted)
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {x: 0 for x in nodes} | {9000: 9000, 9001: 9000, 9100: 9100}
+    want |= {5000 + k: 5000 + k for k in range(7)} | {6000 + k: 5000 + k % 7 for k in range(300)}
+    assert got == want and sum(rows) < 12 * len(edges)
+
+
 def test_row_sets_are_distinct_and_sorted():
     w = next(chunks(pa.array(["a b c a b c", "", "a", "a b", "x y z"]), SPACE_WORDS))
     flat, offsets = ngram_join.row_sets(w, 3)
