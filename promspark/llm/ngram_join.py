@@ -18,12 +18,13 @@ fewer words has its whole sequence as its one element.  Documents link when
 4. Answers come from similar sets: the first set of a list is compared with
    the others, those that may link with it are answered by it and not
    compared again.  Verified on the whole sets, such links join sets to
-   components, and a second reading of the lists compares only sets that are
-   still in different components, all of them; lists of one component are left
-   out, and parity bitmaps of ``FINE`` bits bound the difference of two copies
-   of one text more closely, before a pair is made.  Nothing is sampled or capped,
-   so the components are those of the full join, without a group's pairs
-   being made.
+   components.  A first answer need not be a link, so a group may still be in
+   parts: up to ``ROUNDS`` more readings make one pair per list and component,
+   with the closest set of another one by parity bitmaps of ``FINE`` bits, and
+   the links among these join the parts.  A last reading compares only sets that are still in
+   different components, all of them; lists of one component are left out.
+   Nothing is sampled or capped, so the components are those of the full join,
+   without a group's pairs being made.
 
 Rules: words are runs of anything but 0x20 and 0x09-0x0D, A-Z lower-cased.
 Null and empty texts and texts without words have the empty set, no link and
@@ -47,7 +48,7 @@ from .words import _ODD, SPACE_WORDS, Words, chunks, mix, ngrams, tidy
 
 PERCENT, N = 90, 3
 LEAST_COUNT, MOST_FREQUENT, BUCKET_BITS = 16, 1 << 20, 10
-FLUSH, SEEN, SMALL_LIST, BLOCK, FINE = 4 << 20, 200_000, 24, 64, 512
+FLUSH, SEEN, SMALL_LIST, BLOCK, FINE, ROUNDS = 4 << 20, 200_000, 24, 64, 512, 2
 
 
 def row_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,10 +267,23 @@ class Lists:
         p, both = self.percent, self.n[i] + self.n[j]
         common = (p * both + 99 + p) // (100 + p)
         ok = (100 * self.n[j] >= p * self.n[i]) & (np.minimum(self.rest[i], self.rest[j]) >= common) & (self.label[i] != self.label[j])
-        most, x, y = (both - 2 * common)[ok], i[ok], j[ok]
-        ok[ok] = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in self.bits) <= most
+        ok[ok] = self.difference(i[ok], j[ok]) <= (both - 2 * common)[ok]
         return ok
 
+    def difference(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Parity bits that differ, for pairs of places."""
+        return sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in self.bits)
+
+    def closest(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of places, the one with the least difference for each list and component."""
+        if not len(i):
+            return i, j
+        keys = np.stack([np.tile(self.token[i], 2), np.concatenate([self.label[i], self.label[j]])])
+        order = np.lexsort((np.tile(self.difference(i, j), 2), *keys[::-1]))
+        keys = keys[:, order]
+        at = np.unique(order[np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))] % len(i))
+        return i[at], j[at]
+
     def blocks(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, most elements left, smallest set) per block of a list."""
         at = np.arange(a, b, BLOCK)
@@ -283,9 +297,9 @@ class Lists:
         out = (at[ok][:, None] + np.arange(BLOCK)).reshape(-1)
         return out[(out > j) & (out < b)]
 
-    def pairs(self, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of places that may link: all, or for each place the first set that may answer it; and
-        the places of the lists that have any."""
+    def pairs(self, every: bool, one: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of places that may link: all, the closest ``one`` of each component in a list, or for each place
+        the first set that may answer it; and the places of the lists that have any."""
         starts = np.flatnonzero(np.append(True, self.token[1:] != self.token[:-1])) if len(self.token) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(self.token))
         if every and len(starts):  # a list whose sets are all in one component has nothing left to find
@@ -299,7 +313,7 @@ class Lists:
                 starts = ends - np.diff(np.append(0, ends))
         size = np.repeat(ends - starts, ends - starts)
         place = np.arange(len(self.token)) - np.repeat(starts, ends - starts)
-        left, right = [], []
+        left, right, held = [], [], 0
         first = np.full(len(self.token), -1)
         for lag in range(1, SMALL_LIST):
             i = np.flatnonzero((place >= lag) & (size <= SMALL_LIST))
@@ -319,22 +333,28 @@ class Lists:
                     i = i if every else i[first[i] < 0]
                     i = i[self.may_link(i, np.full(len(i), j))] if len(i) else i
                     if every:
+                        i, js = self.closest(i, np.full(len(i), j)) if one else (i, np.full(len(i), j))
                         left.append(i)
-                        right.append(np.full(len(i), j))
+                        right.append(js)
+                        held += len(i)
+                        if one and held > SEEN:
+                            left, right = ([x] for x in self.closest(np.concatenate(left), np.concatenate(right)))
+                            held = 0
                     else:
                         first[i] = j
         if not every:
             left, right = [np.flatnonzero(first >= 0)], [first[first >= 0]]
         left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        left, right = self.closest(left, right) if one else (left, right)
         used = np.isin(np.repeat(np.arange(len(starts)), ends - starts), np.unique(np.searchsorted(starts, left, "right") - 1))
         return left, right, np.flatnonzero(used)
 
 
-def _list_pairs(percent: int, every: bool):
-    """Rows (a, b) of sets to compare; in the first reading also (set, null) for each set of a list with any."""
+def _list_pairs(percent: int, every: bool, one: bool = False):
+    """Rows (a, b) of sets to compare, see ``Lists.pairs``; in the first reading also (set, null) for each set of a list with any."""
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         lists = Lists(columns, percent)
-        left, right, used = lists.pairs(every)
+        left, right, used = lists.pairs(every, one)
         a, b = np.minimum(lists.sid[left], lists.sid[right]), np.maximum(lists.sid[left], lists.sid[right])
         both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
@@ -430,12 +450,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, p
     links = _links(written(found.where("b is not null")), sets, texts, n, percent)
     labels = components(links)
     active = sets.join(found.where("b is null").select(F.col("a").alias("sid")), "sid", "left_semi")
-    active = active.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    active = active.select("sid", "n", F.coalesce("label", "sid").alias("label"), "first", *fine_parity("wide"))
-    rest = written(_list_table(active).mapInArrow(tidy(_list_pairs(percent, True)), "a bigint, b bigint").distinct())
-    more = _links(rest, sets, texts, n, percent)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    active = written(active.select("sid", "n", "first", *fine_parity("wide")))
+    readings = [True] * ROUNDS + [False]
+    while readings:
+        one = readings.pop(0)
+        now = active.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        rest = written(_list_table(now).mapInArrow(tidy(_list_pairs(percent, True, one)), "a bigint, b bigint").distinct())
+        if rest.isEmpty():
+            break
+        more = _links(rest, sets, texts, n, percent)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+        elif one:
+            readings = [False]
 
     named = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     named = written(named.select("h1", "h2", "label", "least"))

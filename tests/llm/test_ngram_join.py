@@ -62,6 +62,38 @@ def test_components_against_all_pairs(spark, docs, monkeypatch, seed, small, blo
     assert [r[1:] for r in got] == brute(texts)
 
 
+def test_group_in_parts_makes_few_pairs(spark, docs, monkeypatch):
+    """Where the first answers leave a group of near copies in parts, not all pairs between them are made."""
+    rng = random.Random(5)
+    texts = family(rng, 400, 160, 3, [f"w{k}" for k in range(3000)])
+    pairs, links, whole = [], ngram_join._links, ngram_join.components
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return links(found, *rest)
+
+    def parts(edges):
+        if len(pairs) == 1:
+            edges = edges.where("pmod(xxhash64(a), 2) = pmod(xxhash64(b), 2)")
+        return whole(edges)
+
+    monkeypatch.setattr(ngram_join, "_links", counted)
+    monkeypatch.setattr(ngram_join, "components", parts)
+    got = sorted(map(tuple, ngram_join.join(docs(texts)).collect()))
+    assert [r[1:] for r in got] == brute(texts)
+    assert sum(pairs) < 6 * len(texts), pairs
+
+
+def test_closest_pair_of_two_components(spark):
+    """A list of two components gives a pair each, of the least difference, whatever the list's length."""
+    for size in (6, 60):
+        k = np.arange(size)
+        columns = [np.zeros(size, np.int64), k, np.full(size, 100 << 32), k % 2, np.where(k < size - 2, (1 << (k % 3 + k % 2)) - 1, 0)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "sid", "np", "label", "b0"])
+        rows = [r for b in ngram_join._list_pairs(80, True, True)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert 0 < len(rows) <= 2 and all(columns[4][a] == columns[4][b] and (a + b) % 2 for a, b in rows)
+
+
 def test_whole_table_against_sql(spark, sf):
     assert same(queries.op9_ngram_join(spark, sf), OP9, sf)
 
