@@ -98,3 +98,27 @@ def test_edges(spark):
     assert L.evaluate(df.limit(0), "y", ["x0"], split=None).folds == []
     with pytest.raises(Exception, match="fill it first"):
         L.evaluate(df.selectExpr("record_id", "y", "CAST(NULL AS DOUBLE) AS x0"), "y", ["x0"], split=None)
+
+
+def test_lasso_with_nearly_equal_columns_ends(monkeypatch):
+    """Columns that differ by 1e-6 of their deviation: no search goes on to the last sweep for what rounding hides."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3000, 4))
+    x = np.column_stack([base, *(base + rng.normal(size=base.shape) * 5e-7 for _ in range(3)), np.eye(4)[rng.integers(0, 4, 3000)], np.eye(2)[rng.integers(0, 2, 3000)]])
+    y = base @ [3.0, -2.0, 1.0, 0.5] + x[:, 16:20] @ [0.0, 1.0, 2.0, 4.0] + rng.normal(size=3000)
+    z = np.column_stack([np.ones(3000), x, y])
+    tried, plain = [], np.linalg.lstsq
+
+    def counted(*args, **kwargs):
+        tried.append(1)
+        return plain(*args, **kwargs)
+
+    monkeypatch.setattr(np.linalg, "lstsq", counted)
+    t = L._Training([z[:1500], z[1500:]], 16)
+    slopes = L.lasso_slopes([t], np.array([0.01]))[0, 0]
+    monkeypatch.undo()
+    assert len(tried) < 2000
+    # the same fit as with one column of each group of equal ones
+    one = L._Training([np.column_stack([np.ones(3000), base, x[:, 16:], y])], 4)
+    few = L.lasso_slopes([one], np.array([0.01]))[0, 0]
+    assert np.allclose(slopes[:16].reshape(4, 4).sum(0), few[:4], atol=1e-5)
