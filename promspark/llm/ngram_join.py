@@ -22,7 +22,8 @@ fewer words has its whole sequence as its one element.  Documents link when
    parts: up to ``ROUNDS`` more readings make one pair per list and component,
    with the closest set of another one by parity bitmaps of ``FINE`` bits, and
    the links among these join the parts.  A last reading compares only sets that are still in
-   different components, all of them; lists of one component are left out.
+   different components, all of them.  These readings take the lists in which the first one found a pair
+   that may link: it has tried all pairs of the others; lists of one component are left out.
    Nothing is sampled or capped, so the components are those of the full join,
    without a group's pairs being made.
 
@@ -254,14 +255,18 @@ def _indexed(n: int, percent: int, hashes: np.ndarray, levels: np.ndarray):
 
 
 class Lists:
-    """Index lists, one after another: sets of a list by size."""
+    """Index lists, one after another: sets of a list by size.  Without labels each set is its own component."""
 
-    def __init__(self, columns: list[np.ndarray], percent: int):
-        self.token, self.sid, both, self.label, *bits = columns
+    def __init__(self, columns: list[np.ndarray], percent: int, labelled: bool = True):
+        self.token, self.sid, both, self.label, *bits = columns if labelled else [*columns[:3], columns[1], *columns[3:]]
         self.bits = [b.view(np.uint64) for b in bits]
         self.n, self.rest = both >> 32, (both >> 32) - (both & 0xFFFFFFFF)  # rest: the element itself and those after it
         self.percent = percent
 
+    def place(self, at: np.ndarray) -> np.ndarray:
+        """Size and position of places, as the columns had them."""
+        return (self.n[at] << 32) + self.n[at] - self.rest[at]
+
     def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """For pairs of places, j with the smaller set: whether size, position and parity allow a link."""
         p, both = self.percent, self.n[i] + self.n[j]
@@ -351,16 +356,20 @@ class Lists:
 
 
 def _list_pairs(percent: int, every: bool, one: bool = False):
-    """Rows (a, b) of sets to compare, see ``Lists.pairs``; in the first reading also (set, null) for each set of a list with any."""
+    """Rows (a, b) of sets to compare, see ``Lists.pairs``; in the first reading also the lists that have any, as
+    rows (set, null, token, size and position)."""
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        lists = Lists(columns, percent)
+        lists = Lists(columns, percent, every)
         left, right, used = lists.pairs(every, one)
         a, b = np.minimum(lists.sid[left], lists.sid[right]), np.maximum(lists.sid[left], lists.sid[right])
         both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
-        if not every:
-            sids = np.unique(lists.sid[used])
-            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.nulls(len(sids), pa.int64())], names=["a", "b"])
+        pairs = [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+        if every:
+            yield pa.RecordBatch.from_arrays(pairs, names=["a", "b"])
+        else:
+            yield pa.RecordBatch.from_arrays([*pairs, *[pa.nulls(len(both), pa.int64())] * 2], names=["a", "b", "token", "np"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists.sid[used]), pa.nulls(len(used), pa.int64()), pa.array(lists.token[used]), pa.array(lists.place(used))],
+                                             names=["a", "b", "token", "np"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -380,11 +389,19 @@ def _list_pairs(percent: int, every: bool, one: bool = False):
     return run
 
 
-def _list_table(sets: DataFrame) -> DataFrame:
-    """The index lists of sets (sid, n, label, first, parity bits b0, b1 and so on)."""
-    bits = sorted(c for c in sets.columns if c[0] == "b")
-    rows = sets.select("sid", "n", "label", *bits, F.posexplode("first").alias("pos", "token"))
-    return rows.select("token", "sid", (F.shiftleft("n", 32) + F.col("pos")).alias("np"), "label", *bits).repartition("token").sortWithinPartitions("token", "np")
+def _list_table(rows: DataFrame) -> DataFrame:
+    """The index lists of rows (token, sid, np: size and position, a label unless each set is its own, parity bits)."""
+    label = [c for c in rows.columns if c == "label"]
+    bits = sorted(c for c in rows.columns if c[0] == "b")
+    return rows.select("token", "sid", "np", *label, *bits).repartition("token").sortWithinPartitions("token", "np")
+
+
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists (token, sid, np) whose sets are not all in one component.  Components only grow: the others have
+    nothing left to find in any reading."""
+    now = lists.select("token", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", F.coalesce("label", "sid").alias("label"))
+    some = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    return lists.join(some, "token", "left_semi")
 
 
 def _named_sets(n: int, bits: np.ndarray):
@@ -446,16 +463,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, p
                                                             *(F.first(c, True).alias(c) for c in ("wide", "first")))
     sets = written(sets.withColumn("sid", F.monotonically_increasing_id()))
 
-    found = written(_list_table(sets.withColumn("label", F.col("sid"))).mapInArrow(tidy(_list_pairs(percent, False)), "a bigint, b bigint").distinct())
-    links = _links(written(found.where("b is not null")), sets, texts, n, percent)
+    whole = sets.select("sid", "n", "b0", "b1", F.posexplode("first").alias("pos", "token")).withColumn("np", F.shiftleft("n", 32) + F.col("pos"))
+    found = written(_list_table(whole).mapInArrow(tidy(_list_pairs(percent, False)), "a bigint, b bigint, token bigint, np bigint"))
+    links = _links(written(found.where("b is not null").select("a", "b").distinct()), sets, texts, n, percent)
     labels = components(links)
-    active = sets.join(found.where("b is null").select(F.col("a").alias("sid")), "sid", "left_semi")
-    active = written(active.select("sid", "n", "first", *fine_parity("wide")))
+    lists = written(_open_lists(found.where("b is null").select("token", F.col("a").alias("sid"), "np"), labels))
+    first = lists.groupBy("sid").agg(F.collect_list(F.struct("token", "np")).alias("first"))
+    active = written(sets.select("sid", "wide").join(first, "sid").select("sid", "first", *fine_parity("wide")))
     readings = [True] * ROUNDS + [False]
     while readings:
         one = readings.pop(0)
         now = active.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        rest = written(_list_table(now).mapInArrow(tidy(_list_pairs(percent, True, one)), "a bigint, b bigint").distinct())
+        rest = _list_table(now.select("*", F.inline("first"))).mapInArrow(tidy(_list_pairs(percent, True, one)), "a bigint, b bigint")
+        rest = written(rest.distinct())
         if rest.isEmpty():
             break
         more = _links(rest, sets, texts, n, percent)

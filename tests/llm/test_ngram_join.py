@@ -84,6 +84,23 @@ def test_group_in_parts_makes_few_pairs(spark, docs, monkeypatch):
     assert sum(pairs) < 6 * len(texts), pairs
 
 
+def test_later_readings_take_open_lists_only(spark, docs, monkeypatch):
+    """Lists without a possible pair, or of one component, are not made again for sets that stand in other lists."""
+    rng = random.Random(6)
+    texts = [t for k in range(40) for t in family(rng, 5, 120, 1, [f"w{k}_{i}" for i in range(400)])]
+    read, plain = [], ngram_join._list_table
+
+    def counted(rows):
+        out = plain(rows)
+        read.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_list_table", counted)
+    got = sorted(map(tuple, ngram_join.join(docs(texts)).collect()))
+    assert [r[1:] for r in got] == brute(texts)
+    assert len(read) > 1 and max(read[1:]) < read[0] / 4, read
+
+
 def test_closest_pair_of_two_components(spark):
     """A list of two components gives a pair each, of the least difference, whatever the list's length."""
     for size in (6, 60):
