@@ -87,7 +87,7 @@ def test_group_in_parts_makes_few_pairs(spark, docs, monkeypatch):
 def test_later_readings_take_open_lists_only(spark, docs, monkeypatch):
     """Lists without a possible pair, or of one component, are not made again for sets that stand in other lists."""
     rng = random.Random(6)
-    texts = [t for k in range(40) for t in family(rng, 5, 120, 1, [f"w{k}_{i}" for i in range(400)])]
+    texts = [t for k in range(40) for t in family(rng, 120, 5, 1, [f"w{k}_{i}" for i in range(400)])]
     read, plain = [], ngram_join._list_table
 
     def counted(rows):
