@@ -1,7 +1,7 @@
 """Three prepared variants of one split, scores and target recomputed
 from the filled items: keep nulls / median + mode / chained equations (MICE).
 
-Each filled table is written, as the reports and models that follow read it many times."""
+The split table is written; the fills are projections of it.  Whoever reads the variants many times writes them."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ COLUMNS = ["record_id", "split", "variant", *NUMERIC, *CATEGORICAL, "oks_t0_scor
 def simple_variants(df: DataFrame) -> DataFrame:
     """Keep nulls, and median + mode fitted on train."""
     train = df.where(F.col("split") == "train")
-    filled = written_table(I.apply_fill(df, I.fit_median(train, NUMERIC) | I.fit_mode(train, CATEGORICAL)))
+    filled = I.apply_fill(df, I.fit_median(train, NUMERIC) | I.fit_mode(train, CATEGORICAL))
     both = {"keep_nulls": df, "median_mode": filled}
     a, b = (with_target(d).withColumn("variant", F.lit(v)).select(*COLUMNS) for v, d in both.items())
     return a.unionByName(b)
@@ -48,7 +48,7 @@ def simple_variants(df: DataFrame) -> DataFrame:
 def mice_variant(df: DataFrame, rounds: int = 10) -> DataFrame:
     """Chained equations over every column, categoricals coded and decoded; fitted on train."""
     mice = I.ChainedImputer([*NUMERIC, *CATEGORICAL, *COMPLETE], rounds=rounds, clip=CLIP, categorical=CATEGORICAL)
-    filled = written_table(mice.fit(df.where(F.col("split") == "train"), labels_from=df).transform(df))
+    filled = mice.fit(df.where(F.col("split") == "train"), labels_from=df).transform(df)
     return with_target(filled).withColumn("variant", F.lit("mice")).select(*COLUMNS)
 
 
