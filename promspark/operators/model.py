@@ -117,13 +117,12 @@ def cross_validate(df: DataFrame, make_estimator: Callable, numeric: Sequence[st
 
 
 def score_regressors(df: DataFrame, names: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], label: str,
-                     k: int = 5, repeats: int = 1, cv: bool = True, parallelism: int = 4) -> list[tuple]:
+                     k: int = 5, repeats: int = 1, cv: bool = True) -> list[tuple]:
     """(model, cv_mae, cv_rmse, cv_rmse_std, cv_r2, test_mae, test_rmse, test_r2) per name.
 
     The linear family of ``linear.MODELS`` is scored together in two readings of the table, whatever the number
-    of folds and models; the single trees of all folds are grown together, one reading a level; so are the trees of
-    the forest that is scored on the test rows; boosting, and the folds of both, are fitted by Spark ML from
-    ``parallelism`` driver threads."""
+    of folds and models; the single trees of all folds are grown together, one reading a level; the forests and the
+    boosted trees of all folds share one table of binned rows, and the boosted ones are fitted side by side."""
     family = {n: L.MODELS[n] for n in names if n in L.MODELS}
     rows = {}
     if family:
@@ -136,18 +135,17 @@ def score_regressors(df: DataFrame, names: Sequence[str], numeric: Sequence[str]
         scored = [T.regression_scores(grown, i) for i in range(len(grown.trees))]
         each = [tuple(None if v is None else round(float(v), 6) for v in s[1:]) for s in scored[:-1] if s]
         rows["tree"] = (*_over_folds(each), *(scored[-1][1:] if scored[-1] else (None,) * 3))
-    train, held = df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
-    for n in names:
-        if n not in rows:
-            make = regressors()[n]
-            each = cross_validate(train, make, numeric, categorical, label, k=k, repeats=repeats, parallelism=parallelism).collect() if cv else []
+    if left := [n for n in names if n not in rows]:
+        data = EN.binned(df, label, numeric, categorical, k=k, repeats=repeats if cv else 0)
+        helds = [h for h in data.used if h != T.TEST] + [T.TEST]
+        for n in left:
+            of = regressors()[n]()
             if n == "forest":
-                of = make()
-                scored = EN.forest(df, label, numeric, categorical, of.getNumTrees(), of.getMaxDepth(), of.getSeed()).withColumnRenamed("label", label)
+                preds = (EN.forest_of(data, of.getNumTrees(), of.getMaxDepth(), of.getSeed(), held=h) for h in helds)
             else:
-                scored = fit_pipeline(train, make(), numeric, categorical, label).transform(held)
-            t = regression_metrics(scored, label, "prediction").first()
-            rows[n] = (*_over_folds([(r["mae"], r["rmse"], r["r2"]) for r in each]), t["mae"], t["rmse"], t["r2"])
+                preds = EN.boosted_of(data, of.getMaxIter(), of.getMaxDepth(), of.getStepSize(), [(of.getSeed(), h) for h in helds], of.getSubsamplingRate())
+            *each, t = (regression_metrics(p, "label", "prediction").first() for p in preds)
+            rows[n] = (*_over_folds([(r["mae"], r["rmse"], r["r2"]) for r in each if r["n"]]), t["mae"], t["rmse"], t["r2"])
     return [(n, *(None if v is None else round(float(v), 6) for v in rows[n])) for n in names]
 
 

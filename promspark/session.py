@@ -103,3 +103,9 @@ def written_table(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession, allow_local=True).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def task_slots(spark: SparkSession) -> int:
+    """Tasks that the executors run at once."""
+    sc = spark.sparkContext._jsc.sc()
+    return max(1, int(sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile())))

@@ -82,3 +82,43 @@ def test_edges(frame):
     got = EN.forest(frame.withColumn("y", F.lit(3.0)), "y", ["flat"], [], 2, 3, 1).collect()
     assert len(got) == 250 and {r["prediction"] for r in got} == {3.0}
     assert EN.forest(frame.where("split = 'train'"), "y", NUMERIC, CATEGORICAL, 2, 3, 1).count() == 0
+
+
+def test_boosting_by_readings_is_that_of_tasks_with_the_whole_table(frame, monkeypatch):
+    data = EN.binned(frame, "y", NUMERIC, CATEGORICAL, k=3, repeats=2)
+    models = [(1, (0, 1)), (1, (1, 2)), (2, EN.TEST)]
+    here = EN.boosted_of(data, 6, 3, 0.1, models, 0.8)
+    monkeypatch.setattr(EN, "HELD", 1)
+    there = EN.boosted_of(data, 6, 3, 0.1, models, 0.8)
+    for a, b in zip(here, there):
+        assert np.allclose(sorted(r["prediction"] for r in a.collect()), sorted(r["prediction"] for r in b.collect()))
+    assert [a.count() for a in here][2] == 250 and sum(EN.boosted_of(data, 1, 1, 0.1, [(1, (0, f)) for f in range(3)])[f].count() for f in range(3)) == 1250
+
+
+def test_a_fold_s_models_are_those_of_its_training_rows(frame):
+    from promspark.operators.split import folds
+    data = EN.binned(frame, "y", NUMERIC, CATEGORICAL, k=3, repeats=2)
+    got = EN.boosted_of(data, 4, 3, 0.1, [(1, (1, 2))])[0]
+    alone = folds(frame.where("split = 'train'"), 3, repeat=1).withColumn("split", F.when(F.col("fold") == 2, "test").otherwise("train"))
+    want = ml(alone, GBTRegressor(maxIter=4, maxDepth=3, stepSize=0.1), "y")
+    assert np.allclose(sorted(r["prediction"] for r in got.collect()), sorted(r["s"] for r in want.collect()))
+
+
+@pytest.mark.parametrize("classes", [False, True])
+def test_forests_of_both_ways_are_the_same(frame, monkeypatch, classes):
+    data = EN.binned(frame, "label" if classes else "y", NUMERIC, CATEGORICAL, k=3, repeats=1)
+    def predicted(held):
+        return sorted(r["score"] for r in EN.forest_of(data, 3, 5, 42, classes, held=held).collect())
+    here = {held: predicted(held) for held in [(0, 1), EN.TEST]}
+    monkeypatch.setattr(EN, "HELD", 1)
+    for held, want in here.items():
+        assert np.allclose(predicted(held), want)
+
+
+def test_the_registry_s_ensembles_need_no_fit_of_spark_ml(frame, monkeypatch):
+    """Boosting, and the folds of forests and boosting, were a Spark ML fit each."""
+    makes = M.regressors() | {"forest": lambda: RandomForestRegressor(numTrees=3, maxDepth=3, seed=1), "boosting": lambda: GBTRegressor(maxIter=3, maxDepth=3, subsamplingRate=0.8, seed=1)}
+    monkeypatch.setattr(M, "regressors", lambda *_: makes)
+    monkeypatch.setattr(M, "fit_pipeline", None)
+    for row in M.score_regressors(frame, ["forest", "boosting"], NUMERIC, CATEGORICAL, "y", k=3, repeats=2):
+        assert None not in row and 0 < row[-1] < 1 and abs(row[2] - row[6]) < 0.3
