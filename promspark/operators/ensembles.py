@@ -392,7 +392,7 @@ def _copies(table: DataFrame, parts: int) -> DataFrame:
     return table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartitionById(parts, "part").drop("part")
 
 
-def _grow(data: Binned, trees: Sequence[Grown], seeds: Sequence[int], depth: int, some: int, classes: bool, held: tuple[int, int]) -> list[Grown]:
+def _grow(data: Binned, trees: Sequence[Grown], seeds: Sequence[int], depth: int, some: int, classes: bool, held: tuple[int, int], whole: bool) -> list[Grown]:
     """The trees of a forest by readings of the table, a level each."""
     frontier, bins, used = [np.zeros(1, np.int32) for _ in trees], data.bins, data.used[held]
     left_out, cells = data.out(held), 2 * (some * bins.most if some else bins.cells)
@@ -409,7 +409,7 @@ def _grow(data: Binned, trees: Sequence[Grown], seeds: Sequence[int], depth: int
                 sums: dict[int, np.ndarray] = {}
                 for block in _rows(batches, bins):
                     for t, (tree, nodes, features) in of.items():
-                        one = _drawn(block, seeds[t], left_out)
+                        one = _drawn(block, seeds[t], left_out, whole)
                         one.at = tree.ends(block.x, level, one.rows)
                         part = _share_sums(tree, one, nodes, features, bins)
                         sums[t] = np.add(sums[t], part, out=sums[t]) if t in sums else part
@@ -434,16 +434,16 @@ def _grow(data: Binned, trees: Sequence[Grown], seeds: Sequence[int], depth: int
     return list(trees)
 
 
-def _drawn(block: Block, seed: int, left_out: Callable | None) -> Share:
-    """The rows of a block in a bootstrap sample."""
-    n = _poisson(block.row, seed) * block.w
+def _drawn(block: Block, seed: int, left_out: Callable | None, whole: bool) -> Share:
+    """The rows of a block in a bootstrap sample; ``whole``: all rows weigh 1."""
+    n = _poisson(block.row, seed) * (1.0 if whole else block.w)
     rows = np.flatnonzero(n if left_out is None else (n != 0) & ~left_out(block.held))
     n = n.take(rows)
     return Share(block, rows, n, n * block.y.take(rows), np.zeros(len(rows), np.intp))
 
 
 def forest_of(data: Binned, trees: int, depth: int, seed: int, classes: bool = False, held: tuple[int, int] = TEST, whole: bool = True) -> DataFrame:
-    """(label, score, prediction) of the rows that a training set leaves out."""
+    """(label, score, prediction) of the rows that a training set leaves out; ``whole``: the table's weights are not used."""
     bins, used, left_out = data.bins, data.used[held], data.out(held)
     seeds, some = [seed * 1_000_003 + t for t in range(trees)], math.ceil(math.sqrt(len(bins.widths))) if classes else 0
     if data.small():
@@ -453,12 +453,12 @@ def forest_of(data: Binned, trees: int, depth: int, seed: int, classes: bool = F
             blocks = list(_rows(batches, bins))
             for t in range(TaskContext.get().partitionId(), trees if blocks else 0, parts):
                 tree = Grown.root()
-                _grow_here(tree, [_drawn(b, seeds[t], left_out) for b in blocks], bins, used, depth, seeds[t], some, classes, whole)
+                _grow_here(tree, [_drawn(b, seeds[t], left_out, whole) for b in blocks], bins, used, depth, seeds[t], some, classes, whole)
                 yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([Grown.packed([tree])], pa.binary())], names=["t", "tree"])
         found = {r["t"]: Grown.unpacked(r["tree"])[0] for r in _copies(data.train, parts).mapInArrow(grow, "t int, tree binary").collect()}
         grown = [found.get(t, Grown.root()) for t in range(trees)]
     else:
-        grown = _grow(data, [Grown.root() for _ in range(trees)], seeds, depth, some, classes, held)
+        grown = _grow(data, [Grown.root() for _ in range(trees)], seeds, depth, some, classes, held, whole)
 
     def score(batches):
         for block in _rows(batches, bins, counted=False):

@@ -302,16 +302,17 @@ def m09_m14_classifiers(spark, sf):
     keep = counts[minority] / counts[1.0 - minority] if (1.0 - minority) in counts else 1.0
     balanced = train_w.where((F.col("label") == minority) |                     # M13 hash under-sample
                              (SP.key_hash("record_id") % 10000 < int(keep * 10000)))
+    tests = test.withColumn("weight", F.lit(1.0))
+    data = EN.binned(train_w.unionByName(tests), "label", NUMERIC, CATEGORICAL, F.col("weight"))
     rows = None
     for name, frame in [("svm", train_w), ("tree", train_w), ("forest", train_w), ("weighted_forest", train_w),
                         ("balanced_forest", balanced), ("boosting", train_w)]:
         est = M.classifiers()["forest" if name == "balanced_forest" else name]()
-        both = frame.unionByName(test.withColumn("weight", F.lit(1.0)))
         if "forest" in name:
-            w = F.col("weight") if est.isSet("weightCol") else None
-            pred = EN.forest(both, "label", NUMERIC, CATEGORICAL, est.getNumTrees(), est.getMaxDepth(), est.getSeed(), classes=True, weight=w)
+            of = data if frame is train_w else EN.binned(frame.unionByName(tests), "label", NUMERIC, CATEGORICAL)
+            pred = EN.forest_of(of, est.getNumTrees(), est.getMaxDepth(), est.getSeed(), classes=True, whole=not est.isSet("weightCol"))
         elif name == "boosting":
-            pred = EN.boosted(both, "label", NUMERIC, CATEGORICAL, est.getMaxIter(), est.getMaxDepth(), est.getStepSize(), [est.getSeed()], est.getSubsamplingRate(), classes=True)[0]
+            pred = EN.boosted_of(data, est.getMaxIter(), est.getMaxDepth(), est.getStepSize(), [(est.getSeed(), T.TEST)], est.getSubsamplingRate(), classes=True)[0]
         else:
             pred = M.fit_pipeline(frame, est, NUMERIC, CATEGORICAL, "label").transform(test)
             pred = pred.withColumn("score", F.get(vector_to_array("probability" if "probability" in pred.columns else "rawPrediction"), 1))
